@@ -31,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds what an Arrow batch of whole texts can hold in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage is cut and
     no result is recomputed when an executor is lost."""
@@ -88,7 +94,7 @@ def merged(parts: DataFrame, merge: Callable[[list[bytes]], bytes]) -> bytes | N
     About sqrt(P) groups of sqrt(P) blobs are merged by executors, so neither a
     task nor the driver holds more than sqrt(P) of them.
     """
-    width = max(1, math.isqrt(max(1, parts.sparkSession.sparkContext.defaultParallelism * 64)))
+    width = max(1, math.isqrt(parts.rdd.getNumPartitions()))
 
     def level(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"blob": [merge(list(pdf["blob"]))]})

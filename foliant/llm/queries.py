@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import mixing
+from foliant.llm import mixing, sentencepieces, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepieces": sentencepieces.op1_sentencepieces,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op10_mixing": mixing.op10_mixing,
 }
 
