@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import jaccard_join, language_id, mixing, quality_rules, sentencepieces, token_counts
+from foliant.llm import hmm_lm, jaccard_join, language_id, mixing, quality_rules, sentencepieces, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepieces": sentencepieces.op1_sentencepieces,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_token_counts": token_counts.op3_token_counts,
     "op5_language_id": language_id.op5_language_id,
+    "op6_hmm_lm": hmm_lm.op6_hmm_lm,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_mixing": mixing.op10_mixing,
 }
