@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import hmm_lm, jaccard_join, language_id, mixing, quality_rules, sentencepieces, token_counts
+from foliant.llm import hmm_lm, jaccard_join, language_id, mixing, quality_cnn, quality_rules, sentencepieces, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepieces": sentencepieces.op1_sentencepieces,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op5_language_id": language_id.op5_language_id,
     "op6_hmm_lm": hmm_lm.op6_hmm_lm,
+    "op7_quality_cnn": quality_cnn.op7_quality_cnn,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_mixing": mixing.op10_mixing,
 }
