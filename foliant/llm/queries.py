@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import hmm_lm, jaccard_join, language_id, mixing, quality_cnn, quality_rules, sentencepieces, token_counts
+from foliant.llm import hmm_lm, jaccard_join, language_id, mixing, quality_cnn, quality_rules, secrets, sentencepieces, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepieces": sentencepieces.op1_sentencepieces,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_secrets": secrets.op4_secrets,
     "op5_language_id": language_id.op5_language_id,
     "op6_hmm_lm": hmm_lm.op6_hmm_lm,
     "op7_quality_cnn": quality_cnn.op7_quality_cnn,
