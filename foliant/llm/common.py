@@ -101,3 +101,12 @@ def merged(parts: DataFrame, merge: Callable[[list[bytes]], bytes]) -> bytes | N
 
     got = parts.groupBy((F.col("part") % width).alias("g")).applyInPandas(level, "blob binary").collect()
     return merge([bytes(r[0]) for r in got]) if got else None
+
+
+def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The about ``n`` rows with the lowest hash of ``keys``: a bounded sample to
+    fit on, the same in every run.  Only hashes are ordered; the rows are then
+    filtered by the highest one taken."""
+    k = F.xxhash64(*keys)
+    top = df.select(k.alias("k")).orderBy("k").limit(n).agg(F.max("k")).first()[0]
+    return df.where(F.lit(False) if top is None else k <= top)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.llm.common import crc_mod, small_batches, table
+from foliant.llm.common import crc_mod, hash_sample, small_batches, table
 from foliant.llm.pieces import Kept
 
 SAMPLE = 8_000
@@ -44,12 +44,11 @@ def grams(word: str, n: int) -> list[str]:
 
 def train(docs: DataFrame, chosen: Column, sample: int = SAMPLE) -> dict:
     """Fits on the rows of ``docs`` (doc_id, text, lang) where ``chosen`` holds
-    and lang is not null: the ``sample`` of them with the lowest hash of id and
-    text, a bounded number that is documented and chosen before reading texts.
+    and lang is not null: the ``sample`` of them with the lowest hash of id.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(chosen & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    few = rows.select("lang", "text", F.xxhash64("doc_id").alias("k"), F.length("text").alias("n")).orderBy("k", "n", "lang").limit(sample).select("lang", "text")
+    few = hash_sample(rows, sample, "doc_id").select("lang", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
@@ -67,7 +66,7 @@ def train(docs: DataFrame, chosen: Column, sample: int = SAMPLE) -> dict:
         if rows:
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["lang", "size", "entry", "n"]), preserve_index=False)
 
-    counts = few.repartition(16, "text").mapInArrow(task, "lang string, size long, entry string, n long")
+    counts = few.mapInArrow(task, "lang string, size long, entry string, n long")
     counts = counts.groupBy("lang", "size", "entry").agg(F.sum("n").alias("n"))
     w = W.partitionBy("lang", "size")
     counts = counts.withColumn("total", F.sum("n").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "entry")))
