@@ -119,7 +119,7 @@ class Model:
         if any(re.search("[^▁]▁|\n", p) and len(p) > 1 for p in self.ids):
             raise ValueError("pieces cross pre-tokens")
         self.rank = {p: -self.scores[i] for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
+        self.tails = {p[k:]: False for p in self.ids for k in range(len(p))} | dict.fromkeys(self.ids, True)  # of pieces; whether whole
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
         self.unknown_score = min(self.scores) - 10.0
@@ -161,7 +161,7 @@ class Model:
         """
         got: dict[str, list[int]] = {}
         last, best, prev = [0], [0.0], ""
-        ids, rank, pair, longest, bpe = self.ids, self.rank, self._pair, self.longest, self.type == BPE
+        ids, rank, pair, tails, bpe = self.ids, self.rank, self._pair, self.tails, self.type == BPE
         for w in sorted(set(words)):
             keep, most = 0, min(len(prev), len(w))
             while keep < most and prev[keep] == w[keep]:
@@ -169,16 +169,19 @@ class Model:
             del last[keep + 1 :], best[keep + 1 :]
             for i in range(keep + 1, len(w) + 1):
                 size, score = 0, 0.0
-                for j in range(max(0, i - longest), i):
-                    p = w[j:i]
-                    if p in ids:
-                        if not bpe:
-                            s = best[j] - rank[p]
-                            if not size or s > score:
-                                size, score = i - j, s
-                        elif pair(w[j - last[j] : j], p):
-                            size = i - j
-                            break
+                at, j = [], i - 1
+                while j >= 0 and (whole := tails.get(w[j:i])) is not None:
+                    if whole:
+                        at.append(j)
+                    j -= 1
+                for j in reversed(at):
+                    if not bpe:
+                        s = best[j] - rank[w[j:i]]
+                        if not size or s > score:
+                            size, score = i - j, s
+                    elif pair(w[j - last[j] : j], w[j:i]):
+                        size = i - j
+                        break
                 if not size or not bpe and best[i - 1] + self.unknown_score > score:
                     size, score = 1, best[i - 1] + self.unknown_score
                 last.append(size)

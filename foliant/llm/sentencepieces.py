@@ -7,6 +7,7 @@ No shuffle, no collected state; a lost task is simply run again.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -18,11 +19,12 @@ from foliant.llm.common import small_batches, table
 from foliant.llm.pieces import Kept, file_of, marked, model, pre_tokens
 
 MODEL = "piece_bpe_32k.model"
-ROWS = 256
 
 
+@functools.lru_cache(2)
 def encoder(path: str):
-    """A function from a list of texts to their piece ids as int32 bytes."""
+    """A function from a list of texts to their piece ids as int32 bytes; a
+    worker process has one, whose kept pre-tokens serve all its tasks."""
     m, kept = model(path), Kept()
 
     def make(keys: list[str]) -> list[bytes]:
@@ -54,19 +56,17 @@ def encode(docs: DataFrame, tokenizer: str = MODEL, text: str = "text", keep: tu
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = encoder(path)
         m = model(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                texts = batch.column(len(keep)).to_pylist()
-                ids = run(texts)
-                if digest:
-                    back = [m.decode(np.frombuffer(x, "<i4").tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
-                    out = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(back, pa.bool_())]
-                    names = ["n_pieces", "ids_sha256", "round_trip"]
-                else:
-                    offs = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                    out, names = [pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(ids), "<i4")))], ["pieces"]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *out], [*keep, *names])
+        for batch in batches:
+            texts = batch.column(len(keep)).to_pylist()
+            ids = run(texts)
+            if digest:
+                back = [m.decode(np.frombuffer(x, "<i4").tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
+                out = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(back, pa.bool_())]
+                names = ["n_pieces", "ids_sha256", "round_trip"]
+            else:
+                offs = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                out, names = [pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(ids), "<i4")))], ["pieces"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *out], [*keep, *names])
 
     return docs.select(*keep, text).mapInArrow(task, f"{fields}, {kinds}")
 
