@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import hmm_lm, jaccard_join, language_id, mixing, quality_cnn, quality_rules, secrets, sentencepieces, token_counts
+from foliant.llm import hmm_lm, jaccard_join, language_id, mixing, near_vectors, quality_cnn, quality_rules, secrets, sentencepieces, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepieces": sentencepieces.op1_sentencepieces,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hmm_lm": hmm_lm.op6_hmm_lm,
     "op7_quality_cnn": quality_cnn.op7_quality_cnn,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_near_vectors": near_vectors.op9_near_vectors,
     "op10_mixing": mixing.op10_mixing,
 }
 
