@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table, word_count
+from foliant.llm.common import durable, table, word_count
 
 BUCKETS = 4096
 CAP = 3
 SEED = "mix"
+MAX_SOURCES = 100_000
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -59,36 +60,66 @@ def targets(sized: DataFrame, cap: int = CAP) -> DataFrame:
     return by.select("source", "source_size", F.least(F.col("w") * F.col("at"), (F.col("source_size") * cap).cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, cap: int = CAP, buckets: int = BUCKETS, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Mixes ``docs`` (doc_id, text, source) to the target weights.
+def sort_key(quality: Column | None, seed: str = SEED) -> Column:
+    """The exponential key of a row with doc_id and text."""
+    q = quality if quality is not None else default_quality(F.coalesce(F.col("text"), F.lit("")), word_count(F.col("text")))
+    return -F.log(uniform(F.col("doc_id"), seed)) / F.greatest(q, F.lit(1e-6))
 
-    Returns doc_id, size, source_size, target, taken and the columns of
-    ``keep``.  A document whose size crosses what is left of the target is taken
-    when that leaves the source nearer its target.  Null text has size 0 and
-    takes 0; null is a source of its own; repeated rows are mixed one by one;
-    an empty table gives no rows; columns beyond those named are ignored.
-    """
-    size = word_count(F.col("text"))
-    sized = docs.select("doc_id", "source", *keep, size.alias("size"), (quality if quality is not None else default_quality(F.coalesce(F.col("text"), F.lit("")), size)).alias("q"))
-    key = -F.log(uniform(F.col("doc_id"), seed)) / F.greatest(F.col("q"), F.lit(1e-6))
-    keyed = sized.withColumn("key", key)
-    keyed = keyed.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets)).cast("int")).drop("q")
-    goal = targets(sized.select("source", "size"), cap)
+
+def planned(docs: DataFrame, quality: Column | None = None, cap: int = CAP, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
+    """(doc_id, source, key, size, source_size, target, upto) of every row: upto
+    is the prefix sum of the sizes in key order within its source."""
+    keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), sort_key(quality, seed).alias("key"))
+    keyed = keyed.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets)).cast("int"))
+    goal = targets(keyed.select("source", "size"), cap)
     ahead = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("here"))
     ahead = ahead.select("source", "bucket", (F.sum("here").over(W.partitionBy("source").orderBy("bucket")) - F.col("here")).alias("ahead"))
     plan = ahead.alias("a").join(goal.alias("g"), F.col("a.source").eqNullSafe(F.col("g.source"))).select("a.source", "bucket", "ahead", "source_size", "target")
     rows = keyed.withColumn("upto", F.sum("size").over(W.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0)))
     rows = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bucket") == F.col("p.bucket")))
-    rows = rows.select("r.doc_id", *(f"r.{c}" for c in keep), "r.size", "p.source_size", "p.target", (F.col("upto") + F.col("ahead")).alias("upto"))
-    return rows.select("doc_id", *keep, "size", "source_size", "target", taken().alias("taken"))
+    return rows.select("r.doc_id", "r.source", "r.key", "r.size", "p.source_size", "p.target", (F.col("upto") + F.col("ahead")).alias("upto"))
+
+
+def mix(docs: DataFrame, quality: Column | None = None, cap: int = CAP, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
+    """Mixes ``docs`` (doc_id, text, source) to the target weights.
+
+    Returns doc_id, size, source_size, target and taken.  A document whose size
+    crosses what is left of the target is taken when that leaves the source
+    nearer its target.  Null text has size 0 and takes 0; null is a source of
+    its own; repeated rows are mixed one by one; an empty table gives no rows;
+    columns beyond those named are ignored.
+    """
+    return planned(docs, quality, cap, buckets, seed).select("doc_id", "size", "source_size", "target", (epochs() * F.col("size") + F.when(once(), F.col("size")).otherwise(0)).cast("long").alias("taken"))
 
 
-def taken() -> Column:
-    """Words taken of a row, from size, source_size, target and its prefix sum."""
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("long")
-    left = F.col("target") - epochs * F.col("source_size")
-    once = (F.col("upto") <= left) | ((F.col("upto") - F.col("size") < left) & (F.col("upto") - left < left - (F.col("upto") - F.col("size"))))
-    return (epochs * F.col("size") + F.when(once, F.col("size")).otherwise(0)).cast("long")
+def take(docs: DataFrame, quality: Column | None = None, cap: int = CAP, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
+    """The mixed rows of ``docs`` themselves, each as often as it is taken;
+    documents without words are in no mix.
+
+    Only ids and numbers are shuffled: a source's fractional selection ends at
+    one key, so the texts are filtered where they are read.
+    """
+    columns = docs.columns
+    cuts = planned(docs, quality, cap, buckets, seed).groupBy("source").agg(F.max(epochs()).alias("_epochs"), F.max(F.when(once(), F.struct("key", "doc_id"))).alias("_cut"))
+    cuts = durable(cuts.withColumnRenamed("source", "_source"))
+    if cuts.count() <= MAX_SOURCES:
+        cuts = F.broadcast(cuts)
+    rows = docs.withColumn("_key", F.struct(sort_key(quality, seed).alias("key"), F.col("doc_id"))).join(cuts, F.col("source").eqNullSafe(F.col("_source")))
+    times = F.col("_epochs") + F.coalesce((F.col("_key") <= F.col("_cut")).cast("int"), F.lit(0))
+    rows = rows.where((times > 0) & (word_count(F.col("text")) > 0)).withColumn("_n", F.explode(F.sequence(F.lit(1), times.cast("int"))))
+    return rows.select(*columns)
+
+
+def epochs() -> Column:
+    """Whole passes over a row's source."""
+    return F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("long")
+
+
+def once() -> Column:
+    """Whether a row is in its source's fractional selection."""
+    left = F.col("target") - epochs() * F.col("source_size")
+    before = F.col("upto") - F.col("size")
+    return (F.col("upto") <= left) | ((before < left) & (F.col("upto") - left < left - before))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
