@@ -289,7 +289,7 @@ def _score(docs: DataFrame, vocabulary: Vocabulary, model: Hmm, keep: tuple[str,
             return pa.RecordBatch.from_arrays([*heads.columns, *(pa.array(x) for x in flat), *lists], names)
 
         for batch in batches:
-            for a, b, data, offs in slices(column(batch, "text")):
+            for a, b, data, offs in slices(column(batch, "_text")):
                 w = Words(data, offs)
                 n, own, bucket = len(w.count), w.rows(), buckets_of(w)
                 s = voc.symbols(w.hash, bucket)
@@ -319,7 +319,7 @@ def _score(docs: DataFrame, vocabulary: Vocabulary, model: Hmm, keep: tuple[str,
             yield flush()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(task, f"{fields}, row long, n_tokens long, n_known long, sum_known double, model double, h array<long>, k array<int>")
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(task, f"{fields}, row long, n_tokens long, n_known long, sum_known double, model double, h array<long>, k array<int>")
 
 
 def score(docs: DataFrame, chosen: Column, keep: tuple[str, ...] = ("doc_id",), rounds: int = ROUNDS) -> DataFrame:

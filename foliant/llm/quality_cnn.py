@@ -187,13 +187,13 @@ def classify(docs: DataFrame, network: Network, keep: tuple[str, ...] = ("doc_id
         net.table, net.bias, net.out, net.shift = spread.value
         net.ready()
         for batch in batches:
-            for a, b, data, offs in slices(column(batch, "text"), 200_000):
+            for a, b, data, offs in slices(column(batch, "_text"), 200_000):
                 p = net.score(data, offs)
                 kept = [batch.columns[i].slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(p), pa.array((p >= cut).astype(np.int32))], [*keep, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(task, f"{fields}, score double, predicted int")
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(task, f"{fields}, score double, predicted int")
 
 
 def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

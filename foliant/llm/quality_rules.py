@@ -48,7 +48,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "sour
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offs in slices(column(batch, "text")):
+            for a, b, data, offs in slices(column(batch, "_text")):
                 w = Words(data, offs, lower=False)
                 chars = np.concatenate([[0], np.cumsum(w.solid & ((data & 0xC0) != 0x80))])
                 marks = np.concatenate([[0], np.cumsum(symbol[data])])
@@ -56,7 +56,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "sour
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), *(pa.array(x.astype(np.int64)) for x in out)], [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(task, f"{fields}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(task, f"{fields}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
 
 
 def _later(group: np.ndarray, key: np.ndarray) -> np.ndarray:

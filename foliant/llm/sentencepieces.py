@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.llm.common import small_batches, table
 from foliant.llm.pieces import Kept, file_of, marked, model, pre_tokens
@@ -68,7 +69,7 @@ def encode(docs: DataFrame, tokenizer: str = MODEL, text: str = "text", keep: tu
                 out, names = [pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(ids), "<i4")))], ["pieces"]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *out], [*keep, *names])
 
-    return docs.select(*keep, text).mapInArrow(task, f"{fields}, {kinds}")
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(task, f"{fields}, {kinds}")
 
 
 def decode(encoded: DataFrame, tokenizer: str = MODEL, pieces: str = "pieces", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.llm.common import merged, small_batches, table
 from foliant.llm.pieces import CACHED_CHARS, Kept, file_of, library, library_input, pre_tokens
@@ -110,7 +111,7 @@ def count(docs: DataFrame, tokenizer: str = MODEL, text: str = "text", limit: in
                 out = [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *out], [*keep, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(*keep, text).mapInArrow(task, f"{fields}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(task, f"{fields}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
