@@ -1,4 +1,9 @@
-"""Registered queries and their oracle SQL."""
+"""All registered queries and their oracle SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from foliant.plans import documents
+
+MODULES = (documents,)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
