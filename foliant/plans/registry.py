@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliant.plans import documents
+from foliant.plans import documents, novels, tables
 
-MODULES = (documents,)
+MODULES = (documents, tables, novels)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
