@@ -29,7 +29,7 @@ MARK = "▁"
 _CHUNK = re.compile("\n[^▁\n]*|▁+[^▁\n]*")
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE = 400_000
+CACHE = 1_000_000
 CACHED_CHARS = 64
 
 
