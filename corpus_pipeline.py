@@ -18,7 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go.  It is fitted on the
     labelled documents among ``docs``; without labels none is rejected."""
     network = quality_cnn.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), F.lit(True))
-    return quality_cnn.classify(docs, network, tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    return quality_cnn.classify(whole, network, ("doc",)).where("predicted = 1").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -289,7 +289,7 @@ def _score(docs: DataFrame, vocabulary: Vocabulary, model: Hmm, keep: tuple[str,
             return pa.RecordBatch.from_arrays([*heads.columns, *(pa.array(x) for x in flat), *lists], names)
 
         for batch in batches:
-            for a, b, data, offs in slices(column(batch, "_text")):
+            for a, b, data, offs in slices(batch.columns[len(keep)]):
                 w = Words(data, offs)
                 n, own, bucket = len(w.count), w.rows(), buckets_of(w)
                 s = voc.symbols(w.hash, bucket)

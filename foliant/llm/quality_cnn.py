@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import crc_mod, small_batches, table
-from foliant.llm.textkit import column, slices
+from foliant.llm.textkit import slices
 
 CHUNK, STRIDE, WIDTH, FILTERS = 512, 448, 6, 16
 SAMPLE, TRAIN_CHUNKS, EPOCHS, BATCH, RATE = 4_000, 24, 18, 32, 0.02
@@ -187,7 +187,7 @@ def classify(docs: DataFrame, network: Network, keep: tuple[str, ...] = ("doc_id
         net.table, net.bias, net.out, net.shift = spread.value
         net.ready()
         for batch in batches:
-            for a, b, data, offs in slices(column(batch, "_text"), 200_000):
+            for a, b, data, offs in slices(batch.columns[len(keep)], 200_000):
                 p = net.score(data, offs)
                 kept = [batch.columns[i].slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(p), pa.array((p >= cut).astype(np.int32))], [*keep, "score", "predicted"])

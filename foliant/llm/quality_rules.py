@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import durable, small_batches, table
-from foliant.llm.textkit import Words, column, slices
+from foliant.llm.textkit import Words, slices
 
 MIN_WORDS = 10
 REPEAT_SHARE = 20
@@ -48,7 +48,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "sour
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offs in slices(column(batch, "_text")):
+            for a, b, data, offs in slices(batch.columns[len(keep)]):
                 w = Words(data, offs, lower=False)
                 chars = np.concatenate([[0], np.cumsum(w.solid & ((data & 0xC0) != 0x80))])
                 marks = np.concatenate([[0], np.cumsum(symbol[data])])

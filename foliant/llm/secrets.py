@@ -60,14 +60,14 @@ def _none() -> Column:
 
 
 def scan_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns s0, s1, s2 of base spans."""
+    """``docs`` with the columns _scan0, _scan1, _scan2 of base spans."""
     t = F.col(text)
     long_ = F.transform(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= MIN_VALUE)
     return docs.withColumns(
         {
-            "s0": F.when((t.contains("=") | t.contains(":")) & t.rlike(ASSIGN), _spans(t, ASSIGN, 0, long_)).otherwise(_none()),
-            "s1": F.when(t.contains("AKIA") & t.rlike(ACCESS), _spans(t, ACCESS, 1)).otherwise(_none()),
-            "s2": F.when(t.rlike(HEX), _spans(t, HEX, 2)).otherwise(_none()),
+            "_scan0": F.when((t.contains("=") | t.contains(":")) & t.rlike(ASSIGN), _spans(t, ASSIGN, 0, long_)).otherwise(_none()),
+            "_scan1": F.when(t.contains("AKIA") & t.rlike(ACCESS), _spans(t, ACCESS, 1)).otherwise(_none()),
+            "_scan2": F.when(t.rlike(HEX), _spans(t, HEX, 2)).otherwise(_none()),
         }
     )
 
@@ -97,7 +97,9 @@ def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios, random to ordinary, of each pair of characters of
     ALPHABET in row order.  At most 2 * len(ALPHABET)^2 counts reach the driver."""
     n = len(ALPHABET)
-    pairs = samples.where(F.length("token") > 1).select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.col("token").substr(i, F.lit(2)))).alias("p"))
+    chars = F.split("token", "")
+    two = F.zip_with(F.slice(chars, 1, F.length("token") - 1), F.slice(chars, 2, F.length("token") - 1), lambda a, b: F.concat(a, b))
+    pairs = samples.where(F.length("token") > 1).select("random", F.explode(two).alias("p"))
     got = {(r["random"], r["p"]): r["c"] for r in pairs.groupBy("random", "p").agg(F.count("*").alias("c")).collect()}
     out = []
     for a in ALPHABET:
@@ -111,26 +113,26 @@ def train(samples: DataFrame) -> list[float]:
 def _ratio(token: Column, table_: Column) -> Column:
     """Mean log-likelihood ratio of a token's transitions."""
     n = len(ALPHABET)
-    code = lambda i: F.instr(F.lit(ALPHABET), token.substr(i, F.lit(1)))
-    total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table_, (code(i) - 1) * n + code(i + 1) - 1))
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    steps = F.zip_with(F.slice(codes, 1, F.length(token) - 1), F.slice(codes, 2, F.length(token) - 1), lambda a, b: F.get(table_, a * n + b))
+    total = F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x)
     return total / (F.length(token) - 1)
 
 
-def scan(docs: DataFrame, ratios: list[float], text: str = "text", margin: float = MARGIN) -> DataFrame:
-    """``docs`` with ``spans``: array of (start, kind, end) by start, then kind;
-    positions in code points, kind an index into KINDS.
+def scan(docs: DataFrame, ratios: list[float], text: str = "text", margin: float = MARGIN, out: str = "spans") -> DataFrame:
+    """``docs`` with the column ``out``: array of (start, kind, end) by start,
+    then kind; positions in code points, kind an index into KINDS.
 
     A null or empty text has no spans; repeated rows stay; the columns of
-    ``docs`` stay, spans replaces one of its own name.
+    ``docs`` stay, ``out`` replaces one of its own name.
     """
     table_ = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
     t = F.col(text)
-    base = scan_base(docs, text).withColumn("base", F.concat("s0", "s1", "s2")).drop("s0", "s1", "s2")
-    held = F.when(t.rlike(RUN), _spans(t, RUN, 3)).otherwise(_none())
-    runs = base.withColumn("runs", held)
-    clear = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    base = scan_base(docs, text).withColumn("_scan", F.concat("_scan0", "_scan1", "_scan2")).drop("_scan0", "_scan1", "_scan2")
+    runs = base.withColumn("_runs", F.when(t.rlike(RUN), _spans(t, RUN, 3)).otherwise(_none()))
+    clear = F.filter("_runs", lambda r: ~F.exists("_scan", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     odd = F.filter(clear, lambda r: _ratio(t.substr(r["start"] + 1, r["end"] - r["start"]), table_) > margin)
-    return runs.withColumn("spans", F.array_sort(F.concat("base", odd))).drop("base", "runs")
+    return runs.withColumn(out, F.array_sort(F.concat("_scan", odd))).drop("_scan", "_runs")
 
 
 def join_spans(spans: Column) -> Column:
@@ -157,15 +159,15 @@ def redact(docs: DataFrame, ratios: list[float], mask: str = "[secret]") -> Data
     """``docs`` with every span of the text replaced by ``mask``, overlapping
     spans by one; null stays null."""
     columns = docs.columns
-    found = scan(docs, ratios)
+    found = scan(docs, ratios, out="_spans")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         new = F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], mask).otherwise(""))
         return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), new.alias("out"))
 
-    done = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text"))).select(*columns)
+    done = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
+    return found.withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text"))).select(*columns)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
