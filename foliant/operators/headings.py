@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from foliant.functions.text import WS, numbered_cost, padded_id, solid_chars, trim
 from foliant.operators.segment import OPENING, WHOLE
@@ -31,7 +32,7 @@ MAX_HEADING = 160
 ROLES = ("front_matter", "volume", "chapter", "section", "back_matter", "toc")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(col: pd.Series) -> pd.Series:
     """Compatibility normalisation has no built-in."""
     return col.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))

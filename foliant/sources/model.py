@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from foliant.functions.text import trim
 
@@ -37,7 +38,7 @@ def live(requests: DataFrame, call: Callable[[str], str], workers: int) -> DataF
     return requests.select("request_id", "message").repartition(workers).mapInPandas(task, f"request_id {kind}, raw string, error string")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _balanced(col: pd.Series) -> pd.Series:
     """K-02: from the first brace to the one that closes it; braces in strings
     don't count."""
