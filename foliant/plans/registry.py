@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliant.plans import documents, novels, tables
+from foliant.plans import documents, knowledge, novels, tables
 
-MODULES = (documents, tables, novels)
+MODULES = (documents, tables, novels, knowledge)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
