@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,33 +39,64 @@ def nfkc(col: pd.Series) -> pd.Series:
     return col.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
-def unwrap(text: Column) -> dict[str, Column]:
-    """X-13: the display form and whether it was Markdown or in brackets."""
-    plain = trim(text)
-    t = F.when(plain.rlike(r"[^\x00-\x7f]"), nfkc(plain)).otherwise(plain)
-    markdown = t.rlike(rf"^#{{1,6}}(?:{WS}|$)")
-    t = F.when(markdown, F.regexp_replace(t, rf"^#{{1,6}}{WS}*", "")).otherwise(t)
-    t = trim(F.regexp_replace(t, r"^(?:\*\*|__)(.+)(?:\*\*|__)$", "$1"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often it is used:
+    column aliases are inlined when a filter is pushed through a projection."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def unwrap(text: Column) -> Column:
+    """X-13: struct(display, markdown, bracketed) of a normalised text."""
     pair = rf"^[【\[]{WS}*([^】\]]+){WS}*[】\]]{WS}*(.*)$"
-    bracketed = t.rlike(pair)
-    t = F.when(bracketed, trim(F.regexp_replace(t, pair, "$1 $2"))).otherwise(t)
-    return {"display": F.regexp_replace(t, f"{WS}+", " "), "markdown": markdown, "bracketed": bracketed}
+
+    def shown(markdown: Column, t: Column) -> Column:
+        return let(
+            t.rlike(pair),
+            lambda b: F.struct(
+                F.regexp_replace(F.when(b, trim(F.regexp_replace(t, pair, "$1 $2"))).otherwise(t), f"{WS}+", " ").alias("display"),
+                markdown.alias("markdown"),
+                b.alias("bracketed"),
+            ),
+        )
+
+    def bare(t: Column, markdown: Column) -> Column:
+        cut = F.when(markdown, F.regexp_replace(t, rf"^#{{1,6}}{WS}*", "")).otherwise(t)
+        return trim(F.regexp_replace(cut, r"^(?:\*\*|__)(.+)(?:\*\*|__)$", "$1"))
+
+    return let(text, lambda t: let(t.rlike(rf"^#{{1,6}}(?:{WS}|$)"), lambda m: let(bare(t, m), lambda u: shown(m, u))))
+
+
+def _classified(form: Column) -> Column:
+    """struct(level, normalized, signals, fits) of an unwrapped heading."""
+
+    def kinds(shown: Column, compact: Column) -> Column:
+        level = (
+            F.when(compact.rlike(HAN_VOLUME) | shown.rlike(ENGLISH_VOLUME), "volume")
+            .when(compact.rlike(HAN_CHAPTER) | shown.rlike(ENGLISH_CHAPTER), "chapter")
+            .when(compact.rlike(HAN_SECTION) | shown.rlike(ENGLISH_SECTION), "section")
+            .otherwise("unknown")
+        )
+        other = F.when(shown.rlike(SPECIAL), "special_heading").when(compact.rlike(HAN_NUMBERED) | shown.rlike(ARABIC_NUMBERED), "numbered_short_line")
+        of = lambda v: F.when(v == "unknown", other).otherwise(F.concat(F.lit("explicit_"), v))
+        signals = lambda v: F.array_compact(F.array(F.when(form["markdown"], "markdown"), F.when(form["bracketed"], "bracketed"), of(v)))
+        return let(level, lambda v: let(signals(v), lambda x: F.struct(v.alias("level"), F.lower(compact).alias("normalized"), x.alias("signals"), ((F.size(x) > 0) & (F.length(compact) <= MAX_HEADING)).alias("fits"))))
+
+    return let(form["display"], lambda shown: let(F.regexp_replace(shown, WS, ""), lambda compact: kinds(shown, compact)))
 
 
 def classify(paragraphs: DataFrame, text: str = "text") -> DataFrame:
     """P-02: the rows of ``paragraphs`` that may be headings, with normalized,
-    level and signals."""
-    rows = paragraphs.withColumns({f"_{k}": v for k, v in unwrap(F.col(text)).items()})
-    shown, compact = F.col("_display"), F.regexp_replace("_display", WS, "")
-    volume = compact.rlike(HAN_VOLUME) | shown.rlike(ENGLISH_VOLUME)
-    chapter = compact.rlike(HAN_CHAPTER) | shown.rlike(ENGLISH_CHAPTER)
-    section = compact.rlike(HAN_SECTION) | shown.rlike(ENGLISH_SECTION)
-    numbered = compact.rlike(HAN_NUMBERED) | shown.rlike(ARABIC_NUMBERED)
-    level = F.when(volume, "volume").when(chapter, "chapter").when(section, "section").otherwise("unknown")
-    kind = F.when(volume, "explicit_volume").when(chapter, "explicit_chapter").when(section, "explicit_section").when(shown.rlike(SPECIAL), "special_heading").when(numbered, "numbered_short_line")
-    signals = F.array_compact(F.array(F.when(F.col("_markdown"), "markdown"), F.when(F.col("_bracketed"), "bracketed"), kind))
-    rows = rows.withColumns({"normalized": F.lower(compact), "level": level, "signals": signals})
-    return rows.where((F.size("signals") > 0) & (solid_chars(shown) <= MAX_HEADING)).drop("_display", "_markdown", "_bracketed")
+    level and signals.
+
+    Normalisation joins at most three characters to one, so texts of over three
+    times MAX_HEADING and some marks can't qualify and are dropped first.  Only
+    texts with other than ASCII characters are normalised; the others cross to
+    Python as nulls.
+    """
+    rows = paragraphs.where(solid_chars(F.col(text)) <= 3 * MAX_HEADING + 32).withColumn("_t", trim(F.col(text)))
+    rows = rows.withColumn("_u", nfkc(F.when(F.col("_t").rlike(r"[^\x00-\x7f]"), F.col("_t"))))
+    rows = rows.withColumn("_h", let(unwrap(F.coalesce("_u", "_t")), _classified)).where("_h.fits")
+    return rows.select(*paragraphs.columns, "_h.normalized", "_h.level", "_h.signals")
 
 
 def is_strong(signals: Column) -> Column:
