@@ -215,3 +215,40 @@ def cost_of_range(paragraphs: DataFrame, ranges: DataFrame) -> DataFrame:
     got = ranges.join(run.select("novel_id", F.col("n").alias("start"), (F.col("upto") - F.col("own")).alias("a")), ["novel_id", "start"])
     got = got.join(run.select("novel_id", F.col("n").alias("end"), F.col("upto").alias("b")), ["novel_id", "end"])
     return got.withColumn("cost", F.col("b") - F.col("a") - 1).drop("a", "b")
+
+
+def evidence_rows(candidates: DataFrame, context: bool = True) -> DataFrame:
+    """H-08: (novel_id, n, row, size): each candidate as one JSON array, with
+    its neighbours' text or, where that is too much, without."""
+    c = [F.col("n"), F.col("text"), F.col("level"), mask(F.col("signals"))]
+    extra = [F.col("before"), F.col("after")] if context else []
+    row = F.to_json(F.array(*(x.cast("string") for x in (*c, *extra))))
+    return candidates.select("novel_id", "n", row.alias("row"), F.length(row).alias("size"))
+
+
+def evidence_pages(rows: DataFrame, budget: int = 300_000) -> DataFrame:
+    """H-09: (novel_id, n, page): rows in order, pages filled up to ``budget``
+    characters with one between rows; each row on one page."""
+    from foliant.operators.segment import greedy_bins
+
+    by = rows.groupBy("novel_id").agg(F.array_sort(F.collect_list(F.struct("n", "size"))).alias("x"))
+    bins = greedy_bins(F.transform("x", lambda r: r["size"]), budget, 1)
+    got = by.select("novel_id", F.explode(F.arrays_zip("x", bins.alias("page"))).alias("z"))
+    return got.select("novel_id", F.col("z.x.n").alias("n"), F.col("z.page").alias("page"))
+
+
+def input_mode(novels: DataFrame, short: int = 30_000) -> DataFrame:
+    """H-10: full_text for short novels, candidate_evidence for the others;
+    ``novels``: (novel_id, text)."""
+    return novels.select("novel_id", F.when(solid_chars(F.col("text")) <= short, "full_text").otherwise("candidate_evidence").alias("mode"))
+
+
+def cross_page_picks(picks: DataFrame, pages: DataFrame) -> DataFrame:
+    """H-16: picks (novel_id, page, n) that aren't on the page they came from."""
+    return picks.join(pages, ["novel_id", "page", "n"], "left_anti")
+
+
+def over_limit(found: DataFrame, strong: int = STRONG_CAP, weak: int = WEAK_CAP) -> DataFrame:
+    """H-17: (novel_id, fallback): more strong candidates than are kept mean the
+    plain fallback rather than a silent cut."""
+    return found.select("novel_id", ((F.col("strong") > strong) | (F.col("weak") > weak)).alias("fallback"))
