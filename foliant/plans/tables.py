@@ -9,6 +9,7 @@ from foliant.functions import text as T
 from foliant.operators import knowledge as K
 from foliant.operators import relations as R
 from foliant.operators import segment as S
+from foliant.operators.repair import changed_terms
 from foliant.operators.sequences import first_middle_last
 from foliant.plans.base import oracle, query, read
 
@@ -27,9 +28,9 @@ def scope_ids(spark, sf_dir):
     return c.select("c_custkey", T.scoped_id(scope, T.scoped_id(scope, F.col("c_name"))).alias("id"))
 
 
-@query("SELECT c_custkey, coalesce(n_name, c_nationkey::VARCHAR) AS nation FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON c_nationkey = n_nationkey")
+@query("SELECT c_custkey, coalesce(n_name, c_nationkey::VARCHAR) AS nation FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey")
 def lookup_default_join(spark, sf_dir):
-    n = read(spark, sf_dir, "nation").where("n_nationkey % 2 = 0")
+    n = read(spark, sf_dir, "nation").where("n_regionkey < 3")
     return read(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.coalesce("n_name", F.col("c_nationkey").cast("string")).alias("nation"))
 
 
@@ -84,30 +85,29 @@ def shared_name_sets(spark, sf_dir):
     return tag(a.intersect(b), "shared").union(tag(a.subtract(b), "left")).union(tag(b.subtract(a), "right"))
 
 
-@query("""WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type) FILTER (event_id % 2 = 0))) AS a, list_sort(list_distinct(list(event_type) FILTER (event_id % 2 = 1))) AS b FROM events WHERE event_id % 50 < 2 GROUP BY user_id)
+@query("""WITH t AS (SELECT user_id, event_id, event_type || ':' || (floor(value / 10)::BIGINT)::VARCHAR AS term FROM events), s AS (SELECT user_id, list(DISTINCT term) FILTER (event_id % 2 = 0) AS a, list(DISTINCT term) FILTER (event_id % 2 = 1) AS b FROM t GROUP BY user_id)
 SELECT user_id, array_to_string(list_sort(list_concat(list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x)), list_filter(coalesce(b, []), lambda x: NOT list_contains(coalesce(a, []), x)))), ',') AS changed FROM s""")
 def symmetric_difference(spark, sf_dir):
-    e = read(spark, sf_dir, "events", "user_id", "event_id", "event_type").where("event_id % 50 < 2")
-    s = e.groupBy("user_id").agg(*(F.collect_set(F.when(F.col("event_id") % 2 == i, F.col("event_type"))).alias(c) for i, c in ((0, "a"), (1, "b"))))
-    return s.select("user_id", F.array_join(F.array_sort(F.array_union(F.array_except("a", "b"), F.array_except("b", "a"))), ",").alias("changed"))
+    """U-05: terms of a user's even events and not the odd ones, or the reverse."""
+    term = F.concat("event_type", F.lit(":"), F.floor(F.col("value") / 10).cast("string"))
+    s = read(spark, sf_dir, "events").groupBy("user_id").agg(*(F.collect_set(F.when(F.col("event_id") % 2 == i, term)).alias(c) for i, c in ((0, "a"), (1, "b"))))
+    return s.select("user_id", F.array_join(changed_terms(F.col("a"), F.col("b")), ",").alias("changed"))
 
 
-@query("""WITH m AS (SELECT doc_id % 700 AS doc_id FROM labels), e AS (SELECT doc_id FROM documents WHERE doc_id < 600)
-SELECT doc_id, 'duplicate' AS rule FROM m GROUP BY doc_id HAVING count(*) > 1
-UNION ALL SELECT doc_id, 'missing' FROM e WHERE doc_id NOT IN (SELECT doc_id FROM m)
-UNION ALL SELECT DISTINCT doc_id, 'unknown' FROM m WHERE doc_id NOT IN (SELECT doc_id FROM e)""")
+@query("""SELECT o_custkey AS id, 'duplicate' AS rule FROM orders GROUP BY 1 HAVING count(*) > 1
+UNION ALL SELECT c_custkey, 'missing' FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)
+UNION ALL SELECT DISTINCT o_custkey, 'unknown' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
 def partition_exactness(spark, sf_dir):
-    m = read(spark, sf_dir, "labels", (F.col("doc_id") % 700).alias("doc_id"))
-    return K.partition_errors(m, read(spark, sf_dir, "documents", "doc_id").where("doc_id < 600"), "doc_id")
+    expected = read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    return K.partition_errors(read(spark, sf_dir, "orders", F.col("o_custkey").alias("id")), expected, "id")
 
 
-@query("""WITH a AS (SELECT user_id, event_type, max(event_id) AS v FROM events WHERE event_id % 3 = 0 GROUP BY ALL), b AS (SELECT user_id, event_type, min(event_id) AS v FROM events WHERE event_id % 3 = 1 GROUP BY ALL)
-SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, coalesce(b.v, a.v) AS v FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type""")
+@query("""WITH a AS (SELECT c_nationkey AS k, max(c_custkey) AS v FROM customer WHERE c_acctbal > 9500 GROUP BY 1), b AS (SELECT s_nationkey AS k, max(s_suppkey) AS v FROM supplier GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS k, coalesce(b.v, a.v) AS v FROM a FULL JOIN b ON a.k = b.k""")
 def priority_union_distinct(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    a = e.where("event_id % 3 = 0").groupBy("user_id", "event_type").agg(F.max("event_id").alias("v"))
-    b = e.where("event_id % 3 = 1").groupBy("user_id", "event_type").agg(F.min("event_id").alias("v"))
-    return K.priority_union(a, b, ["user_id", "event_type"], "v")
+    a = read(spark, sf_dir, "customer").where("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("k")).agg(F.max("c_custkey").alias("v"))
+    b = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.max("s_suppkey").alias("v"))
+    return K.priority_union(a, b, ["k"], "v")
 
 
 FACTS = """f AS (SELECT event_id AS id, user_id, event_type, ts, (floor(value)::BIGINT % 3) AS v, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prev FROM events),
@@ -283,11 +283,11 @@ def json_props(spark, sf_dir):
     return read(spark, sf_dir, "events", "event_id", "props").select("event_id", L(F.get_json_object("props", "$.k"), "k"))
 
 
-@query("SELECT 'orders' AS what, count(*)::BIGINT AS n, count_if(o_orderstatus = 'O')::BIGINT AS n_open, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) FILTER (o_orderkey <= 12) AS firsts, bit_or((1 << (ascii(o_orderstatus) % 8)))::BIGINT AS mask FROM orders")
+@query("SELECT 'orders' AS what, count(*)::BIGINT AS n, count_if(o_orderstatus = 'O')::BIGINT AS n_open, min(o_orderpriority) AS first_priority, bit_or((1 << (ascii(o_orderstatus) % 8)))::BIGINT AS mask FROM orders")
 def summary_counts(spark, sf_dir):
     """A-10, A-11, A-16."""
-    few = F.array_sort(F.collect_list(F.when(F.col("o_orderkey") <= 12, F.col("o_orderpriority"))))
-    return read(spark, sf_dir, "orders").agg(F.lit("orders").alias("what"), F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"), F.array_join(few, ",").alias("firsts"), L(F.expr("bit_or(shiftleft(1L, ascii(o_orderstatus) % 8))"), "mask"))
+    mask = F.expr("bit_or(shiftleft(1L, ascii(o_orderstatus) % 8))")
+    return read(spark, sf_dir, "orders").agg(F.lit("orders").alias("what"), F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"), F.min("o_orderpriority").alias("first_priority"), L(mask, "mask"))
 
 
 QUERIES, ORACLES = oracle(__name__)
