@@ -43,7 +43,19 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._durable_path = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes durable tables that no later read depends on: what was made from
+    them has been written itself.  Other DataFrames are left alone."""
+    for df in tables:
+        if path := getattr(df, "_durable_path", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def word_count(text: Column) -> Column:
@@ -64,7 +76,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     its component.  Alternates the large-star and small-star contractions until
     the edges stop changing; both are a grouped minimum and an equi-join, so a
     hub vertex is pre-aggregated and its join can be split by AQE.  Each round
-    is written to the shared folder.
+    is written to the shared folder and the one before deleted.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = durable(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -78,7 +90,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u")
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        old = e
         e = durable(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        release(old, large)
         now = mark(e)
         if now == last:
             break

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import crc_mod, durable, merged, small_batches, table
+from foliant.llm.common import crc_mod, durable, merged, release, small_batches, table
 from foliant.llm.textkit import Words, column, mix, slices
 
 STATES = 8
@@ -37,7 +37,7 @@ BUCKETS = 512
 TIER = 500_000
 ROUNDS = 4
 WINDOW = 256
-FLUSH = 6_000_000
+FLUSH = 3_000_000
 ALPHA = 0.05
 END = np.uint64(0x1234567887654321)
 SEED = 7
@@ -72,7 +72,7 @@ def counts(docs: DataFrame, chosen: Column) -> DataFrame:
                 u, first, c = np.unique(w.hash, return_index=True, return_counts=True)
                 held.append((u, buckets_of(w)[first], c))
                 waiting += len(u)
-                if waiting > 2_000_000:
+                if waiting > 1_000_000:
                     held = [summed()]
                     waiting = 0
         if ends:
@@ -334,7 +334,9 @@ def score(docs: DataFrame, chosen: Column, keep: tuple[str, ...] = ("doc_id",),
     small_batches(docs.sparkSession)
     counted = durable(counts(docs, chosen))
     vocabulary = Vocabulary(counted)
-    model, _ = train(durable(symbol_table(docs, chosen, vocabulary)), vocabulary, rounds)
+    symbols = durable(symbol_table(docs, chosen, vocabulary))
+    model, _ = train(symbols, vocabulary, rounds)
+    release(symbols)
     rows = durable(_score(docs, vocabulary, model, keep))
     tail = rows.select("row", F.explode(F.arrays_zip("h", "k")).alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.k").alias("k"))
     tail = tail.join(counted.select("h", "c"), "h", "left").groupBy("row")

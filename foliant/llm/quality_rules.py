@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import durable, small_batches, table
+from foliant.llm.common import durable, release, small_batches, table
 from foliant.llm.textkit import Words, slices
 
 MIN_WORDS = 10
@@ -179,7 +179,8 @@ def estimates(rows: DataFrame, steps: int = STEPS, h: float = H) -> DataFrame:
         far = _distance(rows, now)
         cut = far.groupBy("lang", "source").agg(F.percentile_approx("d2", h, 1000).alias("cut")).withColumnsRenamed({"lang": "c_lang", "source": "c_source"})
         near = far.join(cut, F.col("lang").eqNullSafe(F.col("c_lang")) & F.col("source").eqNullSafe(F.col("c_source"))).drop("c_lang", "c_source")
-        now = durable(_invert(_moments(near, F.col("d2") <= F.col("cut")), 1.0))
+        old, now = now, durable(_invert(_moments(near, F.col("d2") <= F.col("cut")), 1.0))
+        release(old)
     # consistency: the median distance of a group becomes that of the chi-squared distribution
     mid = _distance(rows, now).groupBy("lang", "source").agg(F.percentile_approx("d2", 0.5, 1000).alias("mid")).withColumnsRenamed({"lang": "c_lang", "source": "c_source"})
     now = now.join(mid, F.col("lang").eqNullSafe(F.col("c_lang")) & F.col("source").eqNullSafe(F.col("c_source")))
