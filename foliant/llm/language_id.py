@@ -118,7 +118,7 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
                 view = kept.view([w for c in counts for w in c], lambda ws: [score_word(m, w) for w in ws])
                 names, scores = [], []
                 for c in counts:
-                    if not c or not langs:
+                    if not langs or not any(ch.isalpha() for w in c for ch in w):
                         names.append("und")
                         scores.append(0.0)
                         continue

@@ -38,6 +38,14 @@ def chunk_spans(size: int) -> list[tuple[int, int]]:
     return [(a, min(size, a + CHUNK)) for a in starts]
 
 
+def training_chunks(text: bytes) -> list[bytes]:
+    """At most TRAIN_CHUNKS chunks of a text, spread evenly from first to last."""
+    spans = chunk_spans(len(text))
+    if len(spans) > TRAIN_CHUNKS:
+        spans = [spans[round(i * (len(spans) - 1) / (TRAIN_CHUNKS - 1))] for i in range(TRAIN_CHUNKS)]
+    return [text[a:b] for a, b in spans]
+
+
 class Network:
     """Weights: byte table WIDTH x 256 x FILTERS, biases, logistic unit."""
 
@@ -101,8 +109,8 @@ class Network:
         return self.probability(self.features(self.pooled(wide, np.array(spans)), np.array(first)))
 
 
-def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Stochastic gradient training (Adam) of the log loss; good texts weigh
+def fit(chunks: list[list[bytes]], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Network:
+    """Fits on documents given as their training chunks: stochastic gradient training (Adam) of the log loss; good texts weigh
     PRIOR in all.  Without examples of both the network says 0.5 or their label."""
     net, rng = Network(seed), np.random.default_rng(seed)
     y = np.array(labels, np.float32)
@@ -111,15 +119,12 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
         return net.ready()
     weight = np.where(y == 1, PRIOR / y.mean(), (1 - PRIOR) / (1 - y.mean())).astype(np.float32)
     docs = []
-    for t in texts:
-        spans = chunk_spans(len(t))
-        if len(spans) > TRAIN_CHUNKS:
-            spans = [spans[round(i * (len(spans) - 1) / (TRAIN_CHUNKS - 1))] for i in range(TRAIN_CHUNKS)]
-        raw = np.zeros((max(1, len(spans)), CHUNK + WIDTH), np.uint8)
-        size = np.zeros(max(1, len(spans)), np.int64)
-        for i, (a, b) in enumerate(spans):
-            raw[i, : b - a] = np.frombuffer(t, np.uint8)[a:b]
-            size[i] = b - a
+    for parts in chunks:
+        raw = np.zeros((max(1, len(parts)), CHUNK + WIDTH), np.uint8)
+        size = np.zeros(max(1, len(parts)), np.int64)
+        for i, part in enumerate(parts):
+            raw[i, : len(part)] = np.frombuffer(part, np.uint8)
+            size[i] = len(part)
         docs.append((raw, size))
     mean = [np.zeros_like(w) for w in net.weights()]
     square = [np.zeros_like(w) for w in net.weights()]
@@ -170,9 +175,16 @@ def train(docs: DataFrame, labels: DataFrame, chosen: Column, sample: int = SAMP
     order = F.xxhash64("doc_id")
     ids = [good.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample // 2) for q in (0, 1)]
     few = ids[0].union(ids[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    got = sorted({(r["doc_id"], r["text"] or "", r["quality"]) for r in rows.toLocalIterator()})
-    return fit([t.encode() for _, t, _ in got], [q for _, _, q in got])
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "quality", "text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = pa.array([training_chunks((t or "").encode()) for t in batch.column(2).to_pylist()], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), parts], ["doc_id", "quality", "chunks"])
+
+    small_batches(docs.sparkSession)
+    got = sorted({(r["doc_id"], r["quality"], tuple(map(bytes, r["chunks"]))) for r in rows.mapInArrow(task, "doc_id string, quality int, chunks array<binary>").collect()})
+    return fit([list(c) for _, _, c in got], [q for _, q, _ in got])
 
 
 def classify(docs: DataFrame, network: Network, keep: tuple[str, ...] = ("doc_id",), cut: float = CUT) -> DataFrame:

@@ -180,7 +180,7 @@ def test_forward_recursion_sums_paths():
 def test_quality_network_on_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
     held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in d.doc_id])
-    net = quality_cnn.fit([t.encode() for t in d.text[~held]], d.quality[~held].tolist())
+    net = quality_cnn.fit([quality_cnn.training_chunks(t.encode()) for t in d.text[~held]], d.quality[~held].tolist())
     b = [t.encode() for t in d.text[held]]
     p = net.score(np.frombuffer(b"".join(b), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, b)))]))
     q = d.quality[held].to_numpy()
