@@ -11,7 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import jaccard_join, mixing, quality_cnn, secrets, sentencepieces
-from foliant.llm.common import durable, table
+from foliant.llm.common import durable, release, table
+
+
+#: Ids of removed documents are broadcast up to this number (8 bytes each);
+#: beyond it the documents are shuffled by id.
+MAX_BROADCAST = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,6 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     link with nothing and stay, as does one without an id."""
     classes = durable(jaccard_join.join(docs))
     gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    if gone.count() <= MAX_BROADCAST:
+        gone = F.broadcast(gone)
     kept = docs.join(gone, "doc_id", "left_anti")
     twice = classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
     if twice.isEmpty():
@@ -69,5 +76,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        before, docs = docs, durable(stage(spark, docs, sf_dir))
+        release(before)
     return durable(STAGES[-1][1](spark, docs, sf_dir))
