@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import bitset
-from foliant.llm.common import components, durable, small_batches, table
+from foliant.llm.common import components, durable, release, small_batches, table
 from foliant.llm.textkit import SHINGLE, Words, column, mix, shingle_sets, slices
 
 NUM = 75
@@ -66,17 +66,6 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list,
             yield ids.slice(a, b - a), shingle_sets(Words(data, offs), width)
 
 
-def sketch(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, set_key) of every row."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches, width):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "set_key"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, n_shingles long, set_key long")
-
-
 def _hashes(docs: DataFrame, width: int) -> DataFrame:
     """Every distinct shingle of every text; equal sets of one task once."""
 
@@ -95,42 +84,44 @@ def _hashes(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(task, "h long")
 
 
-def _shared(docs: DataFrame, shared: bitset.Filter, width: int, num: int) -> DataFrame:
-    """(set_key, n, need, h) rows: the shingles in ``shared`` of each text that
-    has enough of them to link; need is how many of its unique ones are missing
-    from its n - T + 1 first."""
+def sketch(docs: DataFrame, shared: bitset.Filter, width: int = SHINGLE, num: int = NUM) -> DataFrame:
+    """(doc_id, n_shingles, set_key, hits) of every row: hits are the shingles
+    in ``shared`` of a text that has enough of them to link, given once for
+    equal sets of one task and else empty."""
     spread = docs.sparkSession.sparkContext.broadcast((shared.blocks, shared.bits))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, seen = bitset.Filter(*spread.value), set()
-        for _, sets in _sets(batches, width):
-            keys, sizes, hits = [], [], []
+        found, seen, none = bitset.Filter(*spread.value), set(), np.zeros(0, np.uint64)
+        for ids, sets in _sets(batches, width):
+            keys, hits = [], []
             for s in sets:
-                k = set_key(s)
+                k, hit = set_key(s), none
                 if k and k not in seen:
                     seen.add(k)
                     hit = s[found.has(s)]
-                    if len(s) - len(hit) < len(s) - required(len(s), num) + 1:
-                        keys.append(k)
-                        sizes.append(len(s))
-                        hits.append(hit)
-            if keys:
-                m = [len(x) for x in hits]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array(keys, np.int64), m)), pa.array(np.repeat(np.array(sizes, np.int32), m)), pa.array(np.concatenate(hits).view(np.int64))], ["set_key", "n", "h"]
-                )
+                    if len(s) - len(hit) >= len(s) - required(len(s), num) + 1:
+                        hit = none
+                keys.append(k)
+                hits.append(hit)
+            offs = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in hits])]).astype(np.int32))
+            flat = pa.array(np.concatenate([*hits, none]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offs, flat)], ["doc_id", "n_shingles", "set_key", "hits"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, n_shingles long, set_key long, hits array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(task, "set_key long, n int, h long")
+def shared_shingles(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """(h, df) of the shingles of two texts or more."""
+    return _hashes(docs, width).repartition("h").groupBy("h").agg(F.count("*").cast("int").alias("df")).where("df > 1")
 
 
-def candidate_lists(docs: DataFrame, width: int = SHINGLE, num: int = NUM) -> DataFrame:
+def candidate_lists(sets: DataFrame, counts: DataFrame, num: int = NUM) -> DataFrame:
     """(h, set_key): the inverted-list entries that can witness a link."""
-    counts = _hashes(docs, width).repartition("h").groupBy("h").agg(F.count("*").cast("int").alias("df")).where("df > 1")
-    counts = durable(counts)
-    spread = bitset.build(counts, "h", counts.count())
-    rows = _shared(docs, spread, width, num).dropDuplicates(["set_key", "h"]).join(counts, "h")
+    rows = sets.where(F.size("hits") > 0).select("set_key", F.col("n_shingles").alias("n"), F.explode("hits").alias("h"))
+    rows = rows.dropDuplicates(["set_key", "h"]).join(counts, "h")
     per = rows.groupBy("set_key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
-    missing = F.col("n") - F.ceil(F.col("n") * num / 100).cast("int") + 1 - (F.col("n") - F.size("shared"))
+    missing = (F.col("n") - F.ceil(F.col("n") * num / 100) + 1 - (F.col("n") - F.size("shared"))).cast("int")
     per = per.where(missing > 0).select("set_key", F.explode(F.slice("shared", 1, missing)).alias("s"))
     return per.select(F.col("s.h").alias("h"), "set_key")
 
@@ -226,20 +217,21 @@ def _search(groups: DataFrame, by: list[str], width: int, num: int) -> DataFrame
     return groups.groupBy(*by).applyInPandas(one, "a long, b long")
 
 
-def links(docs: DataFrame, sets: DataFrame, width: int = SHINGLE, num: int = NUM, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, counts: DataFrame, width: int = SHINGLE, num: int = NUM, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between set keys that span every component of the links."""
-    lists = candidate_lists(docs, width, num)
-    lists = durable(lists)
+    lists = durable(candidate_lists(sets, counts, num))
     low = lists.groupBy("h").agg(F.min("set_key").alias("low"))
-    near = components(lists.join(low, "h").where("set_key <> low").select(F.col("low").alias("a"), F.col("set_key").alias("b")))
+    chains = components(lists.join(low, "h").where("set_key <> low").select(F.col("low").alias("a"), F.col("set_key").alias("b")))
     one = sets.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    near = durable(near.withColumnRenamed("id", "set_key").join(one, "set_key"))
+    near = durable(chains.withColumnRenamed("id", "set_key").join(one, "set_key"))
+    release(lists)
     load = near.groupBy("comp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     near = near.join(load, "comp").select("set_key", "doc_id", F.col("comp").alias("cluster"), "blocks", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int").alias("block"))
     rows = durable(_texts(docs, near))
     alone = rows.select("cluster", "block", "set_key", F.col("set_key").alias("comp"), F.lit(True).alias("ask"), "text")
     found = durable(_search(alone, ["cluster", "block"], width, num))
     if rows.where("blocks > 1").isEmpty():
+        release(rows)
         return found
     return _across(rows.where("blocks > 1"), found, width, num)
 
@@ -302,8 +294,10 @@ def join(docs: DataFrame, width: int = SHINGLE, num: int = NUM, block: int = BLO
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    sets = durable(sketch(docs, width))
-    edges = links(docs, sets.where("n_shingles > 0"), width, num, block)
+    counts = durable(shared_shingles(docs, width))
+    sets = durable(sketch(docs, bitset.build(counts, "h", counts.count()), width, num))
+    edges = links(docs, sets.where("n_shingles > 0"), counts, width, num, block)
+    release(counts)
     comp = components(edges).select(F.col("id").alias("set_key"), "comp")
     classes = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("low"))
     classes = classes.join(comp, "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
