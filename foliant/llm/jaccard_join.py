@@ -19,9 +19,9 @@ common order.  The order here is rarest first:
    connected are passed over.  A cluster of over BLOCK shingles is cut into
    blocks: blocks are searched alone, then each block's texts outside its main
    component, with one text of the main component, against all other blocks,
-   then whole blocks against each other only where their main components are
-   still apart.  So no task holds a cluster of unbounded size and no link
-   between components is lost.
+   then these main components against each other wherever they are still apart.
+   So no task holds a cluster of unbounded size and no link between components
+   is lost.
 
 Texts with equal sets are one vertex throughout: sets are identified by a
 64-bit hash of their sorted shingle hashes.
@@ -258,23 +258,25 @@ def _texts(docs: DataFrame, near: DataFrame) -> DataFrame:
 def _across(rows: DataFrame, found: DataFrame, width: int, num: int) -> DataFrame:
     """Links between the blocks of the clusters that were cut."""
 
-    def labelled(edges: DataFrame) -> DataFrame:
+    def labelled(of: DataFrame, edges: DataFrame) -> DataFrame:
         comp = components(edges).withColumnRenamed("id", "set_key")
-        return rows.join(comp, "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
+        return of.join(comp, "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
 
     def mains(of: DataFrame) -> DataFrame:
         n = of.groupBy("cluster", "block", "comp").agg(F.count("*").alias("c"), F.min("set_key").alias("pivot"))
         return n.groupBy("cluster", "block").agg(F.max_by(F.struct("comp", "pivot"), F.struct("c", "comp")).alias("main")).select("cluster", "block", "main.comp", "main.pivot")
 
-    now = durable(labelled(found))
-    main = mains(now.drop("text")).select("cluster", "block", F.col("comp").alias("main"), "pivot")
+    now = durable(labelled(rows, found))
+    main = durable(mains(now.drop("text")).select("cluster", "block", F.col("comp").alias("main"), "pivot"))
     rest = now.join(main, ["cluster", "block"]).where("comp <> main or set_key = pivot").select("cluster", "blocks", F.col("block").alias("of"), "set_key", "comp", "text")
     asked = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> of").withColumn("ask", F.lit(True))
     there = now.join(rest.select("cluster", "of").distinct(), "cluster").where("of <> block").select("cluster", "of", "set_key", "comp", "text", "block", F.lit(False).alias("ask"))
     more = durable(_search(asked.select(there.columns).union(there), ["cluster", "of", "block"], width, num))
     found = durable(found.union(more))
-    now = durable(labelled(found))
-    main = mains(now.drop("text")).select("cluster", "block", "comp")
+    # All but the texts of two such main components have been compared by now.
+    now = labelled(now.withColumnRenamed("comp", "first"), found)
+    now = durable(now.join(main, ["cluster", "block"]).where("first = main").select("cluster", "block", "set_key", "comp", "text", "pivot"))
+    main = now.where("set_key = pivot").select("cluster", "block", "comp")
     apart = main.alias("x").join(main.alias("y"), (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") < F.col("y.block")) & (F.col("x.comp") != F.col("y.comp")))
     apart = apart.select("x.cluster", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     left = apart.join(now.withColumnRenamed("block", "i"), ["cluster", "i"]).select("cluster", "i", "j", "set_key", "comp", "text", F.lit(True).alias("ask"))
