@@ -29,7 +29,7 @@ def label(code: Column, names: dict[str, str]) -> Column:
     return F.coalesce(F.create_map(*map(F.lit, chain.from_iterable(names.items())))[code], code)
 
 
-def renumber(rows: DataFrame, group: str, within: list[str]) -> DataFrame:
+def renumber(rows: DataFrame, group: str, within: list[str | Column]) -> DataFrame:
     """G-03, W-01: ``number`` from 1 over groups in order, then within them.
 
     Only group sizes go through the global running sum; rows are numbered inside

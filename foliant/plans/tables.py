@@ -197,6 +197,18 @@ def project_list(spark, sf_dir):
     return o.select("o_orderkey", L(pos, "pos"), F.when(F.col("o_orderstatus") == "F", "12 scenes").otherwise("未生成").alias("state"), F.round(F.col("o_totalprice") / 1000, 1).alias("k"))
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey)::BIGINT AS pos, CASE WHEN o_orderstatus = 'F' THEN '12 scenes' ELSE '未生成' END AS state, round(o_totalprice / 1000, 1) AS k FROM orders")
+def project_list_all(spark, sf_dir):
+    """O-01, I-01 over all projects; only counts by day are summed in one task.
+    Rows without a date come last."""
+    from foliant.operators.screenplay import renumber
+
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice")
+    o = o.withColumn("age", F.coalesce(-F.unix_date(F.col("o_orderdate").cast("date")), F.lit(2**31 - 1)))
+    state = F.when(F.col("o_orderstatus") == "F", "12 scenes").otherwise("未生成")
+    return renumber(o, "age", [F.desc("o_orderdate"), "o_orderkey"]).select("o_orderkey", L("number", "pos"), state.alias("state"), F.round(F.col("o_totalprice") / 1000, 1).alias("k"))
+
+
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey")
 def project_latest_upsert(spark, sf_dir):
     from foliant.sources.projects import latest

@@ -40,6 +40,13 @@ def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+def test_project_list_all_has_every_project(spark, duck):
+    got = registry.QUERIES["project_list_all"](spark, SF).collect()
+    want = duck.execute("SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey").fetchall()
+    assert len(want) > 100
+    assert [(r["pos"], r["o_orderkey"]) for r in sorted(got, key=lambda r: r["pos"])] == [(i, k) for i, (k,) in enumerate(want, 1)]
+
+
 def test_pieces_keep_the_text(spark):
     got = registry.QUERIES["text_split_budget"](spark, SF)
     assert got.where("longest > 1000").count() == 0
