@@ -1,7 +1,9 @@
 """Every query with oracle SQL against DuckDB on the smallest tables, and the
 registry's shape."""
 
+import hashlib
 import os
+import unicodedata
 
 import duckdb
 import pytest
@@ -47,6 +49,14 @@ def test_project_list_all_has_every_project(spark, duck):
     assert [(r["pos"], r["o_orderkey"]) for r in sorted(got, key=lambda r: r["pos"])] == [(i, k) for i, (k,) in enumerate(want, 1)]
 
 
+def test_nfkc_heading_digests_whole_texts(spark, tmp_path):
+    texts = ["x" * 80 + "\n第１２章　ﬁn", "a" * 100, "第１章\n" + "é" * 200 + "Ⅷ", "e\u0301" * 60, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["digest"] for r in registry.QUERIES["nfkc_heading"](spark, str(tmp_path)).collect()}
+    digest = lambda t: hashlib.md5(unicodedata.normalize("NFKC", t).encode()).hexdigest()
+    assert got == {i: t if t is None else digest(t) for i, t in enumerate(texts)}
+
+
 def test_pieces_keep_the_text(spark):
     got = registry.QUERIES["text_split_budget"](spark, SF)
     assert got.where("longest > 1000").count() == 0
