@@ -85,6 +85,18 @@ def shared_name_sets(spark, sf_dir):
     return tag(a.intersect(b), "shared").union(tag(a.subtract(b), "left")).union(tag(b.subtract(a), "right"))
 
 
+@query("""SELECT k::BIGINT AS k, side FROM (
+  SELECT k, 'shared' AS side FROM (SELECT c_custkey AS k FROM customer INTERSECT SELECT s_suppkey * 20 FROM supplier)
+  UNION ALL SELECT k, 'left' FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey * 20 FROM supplier)
+  UNION ALL SELECT k, 'right' FROM (SELECT s_suppkey * 20 AS k FROM supplier EXCEPT SELECT c_custkey FROM customer))""")
+def shared_key_sets(spark, sf_dir):
+    """Sets over all customers; no side is empty."""
+    a = read(spark, sf_dir, "customer").select(L("c_custkey", "k"))
+    b = read(spark, sf_dir, "supplier").select(L(F.col("s_suppkey") * 20, "k"))
+    tag = lambda d, s: d.select("k", F.lit(s).alias("side"))
+    return tag(a.intersect(b), "shared").union(tag(a.subtract(b), "left")).union(tag(b.subtract(a), "right"))
+
+
 @query("""WITH t AS (SELECT user_id, event_id, event_type || ':' || (floor(value / 10)::BIGINT)::VARCHAR AS term FROM events), s AS (SELECT user_id, list(DISTINCT term) FILTER (event_id % 2 = 0) AS a, list(DISTINCT term) FILTER (event_id % 2 = 1) AS b FROM t GROUP BY user_id)
 SELECT user_id, array_to_string(list_sort(list_concat(list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x)), list_filter(coalesce(b, []), lambda x: NOT list_contains(coalesce(a, []), x)))), ',') AS changed FROM s""")
 def symmetric_difference(spark, sf_dir):
@@ -110,6 +122,15 @@ def priority_union_distinct(spark, sf_dir):
     return K.priority_union(a, b, ["k"], "v")
 
 
+@query("""WITH a AS (SELECT c_custkey AS k, max(c_nationkey) AS v FROM customer GROUP BY 1), b AS (SELECT s_suppkey * 20 AS k, max(s_nationkey) AS v FROM supplier GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS k, coalesce(b.v, a.v) AS v FROM a FULL JOIN b ON a.k = b.k""")
+def priority_union_keys(spark, sf_dir):
+    """The union over all customers."""
+    a = read(spark, sf_dir, "customer").groupBy(F.col("c_custkey").alias("k")).agg(F.max("c_nationkey").alias("v"))
+    b = read(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") * 20).alias("k")).agg(F.max("s_nationkey").alias("v"))
+    return K.priority_union(a, b, ["k"], "v")
+
+
 FACTS = """f AS (SELECT event_id AS id, user_id, event_type, ts, (floor(value)::BIGINT % 3) AS v, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prev FROM events),
 i AS (SELECT *, CASE WHEN row_number() OVER k = 1 OR lag(v) OVER k IS DISTINCT FROM v THEN 1 ELSE 0 END AS head FROM f WINDOW k AS (PARTITION BY user_id, event_type ORDER BY ts, id)),
 n AS (SELECT *, sum(head) OVER (PARTITION BY user_id, event_type ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS island FROM i),
@@ -273,6 +294,12 @@ def duplicate_ids(spark, sf_dir):
     return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 12").select(F.lit("duplicate").alias("rule"), F.col("o_custkey").cast("string").alias("k"))
 
 
+@query("SELECT 'duplicate' AS rule, o_custkey::VARCHAR AS k FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    """A-12: every key in more than one row."""
+    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate").alias("rule"), F.col("o_custkey").cast("string").alias("k"))
+
+
 @query("SELECT o_orderpriority AS value, count(*)::BIGINT AS n FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') GROUP BY 1")
 def enum_violations(spark, sf_dir):
     return read(spark, sf_dir, "orders").where(~F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).groupBy(F.col("o_orderpriority").alias("value")).agg(F.count("*").alias("n"))

@@ -49,6 +49,17 @@ def test_project_list_all_has_every_project(spark, duck):
     assert [(r["pos"], r["o_orderkey"]) for r in sorted(got, key=lambda r: r["pos"])] == [(i, k) for i, (k,) in enumerate(want, 1)]
 
 
+def test_duplicate_keys_and_sets_of_all_customers(spark, duck):
+    column = lambda sql: {r[0] for r in duck.execute(sql).fetchall()}
+    keys = {int(r["k"]) for r in registry.QUERIES["duplicate_keys"](spark, SF).collect()}
+    few = column("SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) BETWEEN 2 AND 12")
+    assert few and few <= keys and not keys & column("SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) = 1")
+    customers = column("SELECT c_custkey FROM customer")
+    sides = registry.QUERIES["shared_key_sets"](spark, SF).collect()
+    assert {r["side"] for r in sides} == {"shared", "left", "right"} and customers <= {r["k"] for r in sides}
+    assert customers <= {r["k"] for r in registry.QUERIES["priority_union_keys"](spark, SF).collect()}
+
+
 def test_nfkc_heading_digests_whole_texts(spark, tmp_path):
     texts = ["x" * 80 + "\n第１２章　ﬁn", "a" * 100, "第１章\n" + "é" * 200 + "Ⅷ", "e\u0301" * 60, "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
