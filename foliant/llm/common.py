@@ -3,7 +3,6 @@ intermediate tables, connected components and tree-merged task summaries."""
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Callable
 
@@ -22,19 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own
-    only where the session names none, as in local tests."""
+    """The folder all executors share (spark.checkpoint.dir).  Where the session
+    names none, a local one in local mode, which has one machine, and an error on
+    a cluster, whose executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else "/tmp/checkpoints/foliant"
+        found = held.get() if held.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "/tmp/checkpoints/foliant"
     return found.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what an Arrow batch of whole texts can hold in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Bounds what an Arrow batch of whole texts can hold in a Python worker.
+    These two settings of the session are lowered, never raised."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -76,7 +83,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     its component.  Alternates the large-star and small-star contractions until
     the edges stop changing; both are a grouped minimum and an equi-join, so a
     hub vertex is pre-aggregated and its join can be split by AQE.  Each round
-    is written to the shared folder and the one before deleted.
+    is written to the shared folder and the one before deleted; ``release`` of the
+    result deletes the last.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = durable(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -98,29 +106,41 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         last = now
     stars = e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-    return stars.union(e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
+    out = stars.union(e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
+    out._durable_path = e._durable_path
+    return out
 
 
-def merged(parts: DataFrame, merge: Callable[[list[bytes]], bytes]) -> bytes | None:
-    """Reduces one ``blob`` row per task to a single blob in two levels.
+def merged(parts: DataFrame, merge: Callable[[list[bytes]], bytes], width: int = 16) -> bytes | None:
+    """Reduces one ``blob`` row per task to a single blob in a tree.
 
     ``parts`` has (part int, blob binary), one row a task, each of bounded size.
-    About sqrt(P) groups of sqrt(P) blobs are merged by executors, so neither a
-    task nor the driver holds more than sqrt(P) of them.
+    ``width`` blobs at a time are merged by executors until no more than that
+    are left, so neither a task nor the driver ever holds more.
     """
-    width = max(1, math.isqrt(parts.rdd.getNumPartitions()))
+    left = parts.rdd.getNumPartitions()
 
     def level(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"blob": [merge(list(pdf["blob"]))]})
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // width], "blob": [merge(list(pdf["blob"]))]})
 
-    got = parts.groupBy((F.col("part") % width).alias("g")).applyInPandas(level, "blob binary").collect()
+    while left > width:
+        parts = parts.groupBy(F.floor(F.col("part") / width).alias("g")).applyInPandas(level, "part int, blob binary")
+        left = -(-left // width)
+    got = parts.select("blob").collect()
     return merge([bytes(r[0]) for r in got]) if got else None
 
 
-def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """The about ``n`` rows with the lowest hash of ``keys``: a bounded sample to
-    fit on, the same in every run.  Only hashes are ordered; the rows are then
-    filtered by the highest one taken."""
-    k = F.xxhash64(*keys)
-    top = df.select(k.alias("k")).orderBy("k").limit(n).agg(F.max("k")).first()[0]
-    return df.where(F.lit(False) if top is None else k <= top)
+def hash_sample(df: DataFrame, n: int, key: str, by: str | None = None) -> DataFrame:
+    """About ``n`` rows of different ``key``, of each value of ``by`` if given,
+    those of lowest hash: a bounded sample to fit on, the same in every run.  Of
+    several rows with one key the least is taken."""
+    top = float(1 << 63)
+    h = F.xxhash64(key)
+    share = F.lit(2.0 * n * top) / F.greatest(F.approx_count_distinct(h), F.lit(1)) - top
+    if by is None:
+        rows = df.where(h <= F.lit(df.agg(share).first()[0]))
+    else:
+        cuts = df.groupBy(F.col(by).alias("_by")).agg(share.alias("_cut"))
+        rows = df.join(cuts, F.col(by).eqNullSafe(F.col("_by"))).where(h <= F.col("_cut")).select(df.columns)
+    rest = [c for c in df.columns if c != key]
+    return rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*").select(df.columns)

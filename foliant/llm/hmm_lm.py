@@ -344,7 +344,7 @@ def score(docs: DataFrame, chosen: Column, keep: tuple[str, ...] = ("doc_id",),
     got = rows.drop("h", "k").join(tail, "row", "left")
     below = float(np.log10(vocabulary.n + 0.5 * (vocabulary.v + 1)))
     more = F.coalesce("more", F.lit(0.0))
-    return got.select(
+    out = got.select(
         *keep,
         "n_tokens",
         (F.col("n_known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"),
@@ -352,9 +352,14 @@ def score(docs: DataFrame, chosen: Column, keep: tuple[str, ...] = ("doc_id",),
         (F.col("sum_known") + more - F.col("n_tokens") * below).alias("base_score"),
         (F.col("model") + more).alias("score"),
     )
+    out = durable(out)
+    release(counted, rows)
+    return out
 
 
 def op6_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of
+    every document."""
     out = crc_mod(F.col("doc_id"), 5) == 1
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return score(docs, ~out).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

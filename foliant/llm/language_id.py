@@ -3,7 +3,7 @@
 A known word scores its log frequency in each language.  A word the model has
 not kept falls back to its character n-grams of the longest length at which any
 of them is known, then to shorter ones.  Both tables are fitted on a sample of
-at most SAMPLE training documents and keep the WORDS and GRAMS most frequent
+about SAMPLE training documents of each language and keep the WORDS and GRAMS most frequent
 entries of each language, so the broadcast model is bounded.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import crc_mod, hash_sample, small_batches, table
 from foliant.llm.pieces import Kept
 
-SAMPLE = 8_000
+SAMPLE = 2_000
 WORDS = 20_000
 GRAMS = 4_000
 LONGEST = 5
@@ -44,11 +44,13 @@ def grams(word: str, n: int) -> list[str]:
 
 def train(docs: DataFrame, chosen: Column, sample: int = SAMPLE) -> dict:
     """Fits on the rows of ``docs`` (doc_id, text, lang) where ``chosen`` holds
-    and lang is not null: the ``sample`` of them with the lowest hash of id.
+    and lang is not null: of each language the about ``sample`` with the lowest
+    hash of id, so that a rare language is learned from all it has.  Empty, blank
+    and repeated texts are as good as others; without rows nothing is learned.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(chosen & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    few = hash_sample(rows, sample, "doc_id").select("lang", "text")
+    few = hash_sample(rows.select("doc_id", "lang", "text"), sample, "doc_id", "lang").select("lang", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
@@ -136,6 +138,7 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     out = crc_mod(F.col("doc_id"), 3) == 1
     model = train(docs, ~out)

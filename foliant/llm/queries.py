@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from foliant.llm import hmm_lm, jaccard_join, language_id, mixing, near_vectors, quality_cnn, quality_rules, secrets, sentencepieces, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,7 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_near_vectors": near_vectors.op9_near_vectors,
     "op10_mixing": mixing.op10_mixing,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

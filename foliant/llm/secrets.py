@@ -75,7 +75,7 @@ def scan_base(docs: DataFrame, text: str = "text") -> DataFrame:
 def labelled(docs: DataFrame, text: str = "text", sample: int = SAMPLE, randoms: int = RANDOMS) -> DataFrame:
     """(random boolean, token string): the training samples."""
     spark = docs.sparkSession
-    few = hash_sample(docs.where(F.col(text).isNotNull()), sample, "doc_id")
+    few = hash_sample(docs.where(F.col(text).isNotNull()).select("doc_id", text), sample, "doc_id")
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(text), ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = few.select(F.regexp_extract_all(bare, F.lit("[A-Za-z0-9+/_=-]+"), F.lit(0)).alias("w"))
     marks = F.array(F.lit("_"), F.lit("-"), F.lit("/"), F.lit(""))

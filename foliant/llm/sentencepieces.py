@@ -88,4 +88,5 @@ def decode(encoded: DataFrame, tokenizer: str = MODEL, pieces: str = "pieces", k
 
 
 def op1_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids_sha256 and round_trip of every document."""
     return encode(table(spark, sf_dir, "documents", "doc_id", "text"), digest=True)

@@ -1,15 +1,16 @@
 """Operator 3: token counts by a map-side two-tier lookup.
 
 Tier one is a compact table of the frequent pre-tokens' lengths, broadcast once;
-tier two is each worker's bounded cache of the others, filled by encoding the
-misses of a batch with the library.  The frequent pre-tokens come from every
+tier two is each worker's bounded cache of the others, kept from task to task and
+filled by encoding the misses of a batch with the library.  The frequent pre-tokens come from every
 task's own bounded summary of its texts (counters that are thinned when full),
-merged in two levels: summaries move, pre-tokens don't, and an inexact summary
+merged in a tree: summaries move, pre-tokens don't, and an inexact summary
 costs time only, since both tiers hold exact lengths.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,6 +32,12 @@ LIMIT = 4096
 ROWS = 512
 
 
+@functools.lru_cache(2)
+def cache(path: str) -> Kept:
+    """Tier two of a worker process, which serves all its tasks."""
+    return Kept()
+
+
 def pack(words: list[str], numbers: list[int]) -> bytes:
     """Strings and their numbers as one compressed blob: lengths, numbers, then
     the UTF-8 of all strings."""
@@ -98,7 +105,7 @@ def count(docs: DataFrame, tokenizer: str = MODEL, text: str = "text", limit: in
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tier1, tier2 = unpack(spread.value), Kept()
+        tier1, tier2 = unpack(spread.value), cache(path)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
@@ -115,4 +122,5 @@ def count(docs: DataFrame, tokenizer: str = MODEL, text: str = "text", limit: in
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit of every document."""
     return count(table(spark, sf_dir, "documents", "doc_id", "text"))
