@@ -14,27 +14,31 @@ common order.  The order here is rarest first:
 3. Texts that meet in a list form candidate clusters (connected components of
    one edge for each list entry, never of all pairs in a list).
 4. Within a cluster the search is local: inverted lists over the cluster's
-   texts, the short ones merged, the long ones only probed by binary search for
-   candidates that can still reach the overlap (DivideSkip).  Candidates already
-   connected are passed over.  A cluster of over BLOCK shingles is cut into
+   texts, the short ones merged by a heap that skips what can't reach the
+   overlap, the long ones only probed by binary search (DivideSkip).  Candidates
+   already connected are passed over.  A cluster of over BLOCK shingles is cut into
    blocks: blocks are searched alone, then each block's texts outside its main
    component, with one text of the main component, against all other blocks,
    then these main components against each other wherever they are still apart.
    So no task holds a cluster of unbounded size and no link between components
    is lost.
 
-Texts with equal sets are one vertex throughout: sets are identified by a
-64-bit hash of their sorted shingle hashes.
+Texts with equal sets are one vertex throughout.  Shingles are identified by a
+64-bit hash of their words and sets by one of their sorted shingle hashes; two
+that agree are taken as equal.  Rows are told apart by doc_id and text, so one id
+may stand on several texts, and rows without an id are linked like any other.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import bitset
@@ -58,12 +62,15 @@ def required(n: np.ndarray | int, num: int = NUM):
     return -(-n * num // 100)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
-        texts = column(batch, "text")
-        ids = column(batch, "doc_id")
-        for a, b, data, offs in slices(texts):
-            yield ids.slice(a, b - a), shingle_sets(Words(data, offs), width)
+        for a, b, data, offs in slices(column(batch, "text")):
+            yield batch.slice(a, b - a), shingle_sets(Words(data, offs), width)
+
+
+def text_key(text: str = "text") -> Column:
+    """64-bit identity of a text, with doc_id that of a row."""
+    return F.xxhash64(text)
 
 
 def _hashes(docs: DataFrame, width: int) -> DataFrame:
@@ -81,18 +88,18 @@ def _hashes(docs: DataFrame, width: int) -> DataFrame:
             if new:
                 yield pa.RecordBatch.from_arrays([pa.array(np.sort(np.concatenate(new)).view(np.int64))], ["h"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "h long")
+    return docs.select("text").mapInArrow(task, "h long")
 
 
 def sketch(docs: DataFrame, shared: bitset.Filter, width: int = SHINGLE, num: int = NUM) -> DataFrame:
-    """(doc_id, n_shingles, set_key, hits) of every row: hits are the shingles
+    """(doc_id, text_key, n_shingles, set_key, hits) of every row: hits are the shingles
     in ``shared`` of a text that has enough of them to link, given once for
     equal sets of one task and else empty."""
     spread = docs.sparkSession.sparkContext.broadcast((shared.blocks, shared.bits))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, seen, none = bitset.Filter(*spread.value), set(), np.zeros(0, np.uint64)
-        for ids, sets in _sets(batches, width):
+        for rows, sets in _sets(batches, width):
             keys, hits = [], []
             for s in sets:
                 k, hit = set_key(s), none
@@ -105,10 +112,12 @@ def sketch(docs: DataFrame, shared: bitset.Filter, width: int = SHINGLE, num: in
                 hits.append(hit)
             offs = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in hits])]).astype(np.int32))
             flat = pa.array(np.concatenate([*hits, none]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offs, flat)], ["doc_id", "n_shingles", "set_key", "hits"])
+            made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offs, flat)]
+            yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), column(rows, "text_key"), *made], ["doc_id", "text_key", "n_shingles", "set_key", "hits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, n_shingles long, set_key long, hits array<long>")
+    keyed = docs.select("doc_id", "text", text_key().alias("text_key"))
+    return keyed.mapInArrow(task, f"doc_id {kind}, text_key long, n_shingles long, set_key long, hits array<long>")
 
 
 def shared_shingles(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -126,32 +135,62 @@ def candidate_lists(sets: DataFrame, counts: DataFrame, num: int = NUM) -> DataF
     return per.select(F.col("s.h").alias("h"), "set_key")
 
 
-class Forest:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+class Parts:
+    """Disjoint sets of 0 .. n - 1; ``label`` says which set each is in.  The
+    smaller set is relabelled, so n joins relabel n log n entries at most."""
 
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+    def __init__(self, comp: np.ndarray) -> None:
+        _, self.label = np.unique(comp, return_inverse=True)
+        order = np.argsort(self.label, kind="stable")
+        cuts = np.cumsum(np.bincount(self.label))[:-1] if len(order) else []
+        self.members = dict(enumerate(np.split(order, cuts)))
 
     def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-        return i != j
+        a, b = int(self.label[i]), int(self.label[j])
+        if a == b:
+            return False
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        self.label[self.members[b]] = a
+        self.members[a] = np.concatenate([self.members[a], self.members.pop(b)])
+        return True
+
+
+def merge_skip(lists: list[list[int]], t: int) -> Iterator[tuple[int, int]]:
+    """(entry, count) of the entries that stand in at least ``t`` of the sorted
+    ``lists``.  A heap holds the head of every list.  Heads below the t-th are
+    too few to make up ``t``: their lists jump by binary search to that head."""
+    heap = [(x[0], k) for k, x in enumerate(lists) if x]
+    heapq.heapify(heap)
+    at = [0] * len(lists)
+    while len(heap) >= t:
+        low, out = heap[0][0], []
+        while heap and heap[0][0] == low:
+            out.append(heapq.heappop(heap)[1])
+        if len(out) >= t:
+            yield low, len(out)
+            for k in out:
+                at[k] += 1
+        else:
+            while heap and len(out) < t - 1:
+                out.append(heapq.heappop(heap)[1])
+            if not heap:
+                return
+            for k in out:
+                at[k] = bisect.bisect_left(lists[k], heap[0][0], at[k])
+        for k in out:
+            if at[k] < len(lists[k]):
+                heapq.heappush(heap, (lists[k][at[k]], k))
 
 
 def t_occurrence(sets: list[np.ndarray], comp: np.ndarray, ask: np.ndarray, num: int = NUM) -> list[tuple[int, int]]:
     """Links that connect ``comp``'s components, found for the texts in ``ask``.
 
-    For each such text the lists of its shingles are split: up to T - 1 of those
-    longer than SHORT are long.  The short lists are merged by a sort of their
-    entries; with L long lists a candidate needs T - L occurrences there, and
-    the rest is made up by binary search of the long lists' shingles in the
-    candidate's own set.
+    For each such text up to T - 1 of its shingles' inverted lists, the longest
+    of those over SHORT, are long.  With L of them a candidate needs T - L
+    occurrences in the short ones, which are merged by a heap; the rest is made
+    up by binary search of the long lists.  Entries of the text's own component
+    are left out of the merge.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
@@ -160,43 +199,41 @@ def t_occurrence(sets: list[np.ndarray], comp: np.ndarray, ask: np.ndarray, num:
     order = np.argsort(h, kind="stable")
     h, own = h[order], own[order]
     ids, first, much = np.unique(h, return_index=True, return_counts=True)
-    forest = Forest(n)
-    lead: dict[int, int] = {}
-    for i, c in enumerate(comp.tolist()):
-        forest.join(i, lead.setdefault(c, i))
-    root = np.array([forest.root(i) for i in range(n)])
+    # list k's entry c is k * n + c: the lists lie end to end in order, and a
+    # search for k * n + c is one for c in list k
+    posted = np.repeat(np.arange(len(ids)), much) * n + own
+    parts = Parts(comp)
     links = []
     for q in np.flatnonzero(ask).tolist():
         s, m = sets[q], int(size[q])
         t = int(required(m, num))
         at = np.searchsorted(ids, s)
         length = much[at]
-        by = np.argsort(length, kind="stable")
+        by = at[np.argsort(length, kind="stable")]
         n_long = min(int((length > SHORT).sum()), t - 1)
-        short, long_ = at[by[: m - n_long]], s[by[m - n_long :]]
-        if not (much[short] > 1).any():
+        short, long_ = by[: m - n_long], by[m - n_long :]
+        short = short[much[short] > 1]
+        if not len(short):
             continue
-        entries = np.concatenate([own[first[k] : first[k] + much[k]] for k in short.tolist()])
-        entries = entries[root[entries] != root[q]]
+        run = np.repeat(first[short] - np.concatenate([[0], np.cumsum(much[short])[:-1]]), much[short]) + np.arange(much[short].sum())
+        entries, of = own[run], np.repeat(np.arange(len(short)), much[short])
+        other = parts.label[entries] != parts.label[q]
+        entries, of = entries[other], of[other]
         if not len(entries):
             continue
-        cand, seen = np.unique(entries, return_counts=True)
-        other = size[cand]
-        # overlap o gives 100 * o >= num * (m + other - o)
-        need = -(-num * (m + other) // (100 + num))
-        ok = (seen + n_long >= need) & (np.minimum(m, other) >= need)
-        for c, o, want in sorted(zip(cand[ok].tolist(), seen[ok].tolist(), need[ok].tolist(), strict=True), key=lambda x: -x[1]):
-            if forest.root(c) == forest.root(q):
+        cuts = np.searchsorted(of, np.arange(len(short) + 1)).tolist()
+        entries = entries.tolist()
+        for c, o in merge_skip([entries[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], t - n_long):
+            # overlap o gives 100 * o >= num * (m + other - o)
+            want = -(-num * (m + int(size[c])) // (100 + num))
+            if min(m, size[c]) < want or o + n_long < want or parts.label[c] == parts.label[q]:
                 continue
-            if o < want and n_long:
-                mine = sets[c]
-                k = np.searchsorted(mine, long_)
-                o += int((mine[np.minimum(k, len(mine) - 1)] == long_).sum())
+            if o < want:
+                k = np.searchsorted(posted, long_ * n + c)
+                o += int((posted[np.minimum(k, len(posted) - 1)] == long_ * n + c).sum())
             if o >= want:
-                forest.join(c, q)
+                parts.join(c, q)
                 links.append((c, q))
-        if links and links[-1][1] == q:
-            root = np.array([forest.root(i) for i in range(n)])
     return links
 
 
@@ -222,37 +259,41 @@ def links(docs: DataFrame, sets: DataFrame, counts: DataFrame, width: int = SHIN
     lists = durable(candidate_lists(sets, counts, num))
     low = lists.groupBy("h").agg(F.min("set_key").alias("low"))
     chains = components(lists.join(low, "h").where("set_key <> low").select(F.col("low").alias("a"), F.col("set_key").alias("b")))
-    one = sets.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    near = durable(chains.withColumnRenamed("id", "set_key").join(one, "set_key"))
-    release(lists)
-    load = near.groupBy("comp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    near = near.join(load, "comp").select("set_key", "doc_id", F.col("comp").alias("cluster"), "blocks", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int").alias("block"))
+    one = sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n_shingles").alias("n"))
+    held = durable(chains.withColumnRenamed("id", "set_key").join(one, "set_key").select("set_key", "comp", "n", "row.*"))
+    release(lists, chains)
+    load = held.groupBy("comp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    near = held.join(load, "comp").select("set_key", "doc_id", "text_key", F.col("comp").alias("cluster"), "blocks", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int").alias("block"))
     rows = durable(_texts(docs, near))
     alone = rows.select("cluster", "block", "set_key", F.col("set_key").alias("comp"), F.lit(True).alias("ask"), "text")
     found = durable(_search(alone, ["cluster", "block"], width, num))
-    if rows.where("blocks > 1").isEmpty():
-        release(rows)
-        return found
-    return _across(rows.where("blocks > 1"), found, width, num)
+    release(held)
+    if not rows.where("blocks > 1").isEmpty():
+        found = _across(rows.where("blocks > 1"), found, width, num)
+    release(rows)
+    return found
 
 
 def _texts(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """``near`` with the texts of its documents; a Bloom filter of the ids keeps
-    the others out of the shuffle."""
-    keys = near.select(F.xxhash64("doc_id").alias("k"))
-    held = bitset.build(keys, "k", near.count())
+    """``near`` with the texts of its rows, one of each set; a Bloom filter of
+    the rows keeps the others out of the shuffle, as are repeated rows of a task."""
+    held = bitset.build(near.select(F.xxhash64("doc_id", "text_key").alias("k")), "k", near.count())
     spread = docs.sparkSession.sparkContext.broadcast((held.blocks, held.bits))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = bitset.Filter(*spread.value)
+        found, seen = bitset.Filter(*spread.value), set()
         for batch in batches:
-            k = column(batch, "k").to_numpy().view(np.uint64)
-            yield batch.filter(pa.array(found.has(k)))
+            k = column(batch, "k").to_numpy()
+            new = found.has(k.view(np.uint64))
+            for i in np.flatnonzero(new).tolist():
+                new[i] = k[i] not in seen
+                seen.add(k[i])
+            yield batch.filter(pa.array(new))
 
-    few = docs.select("doc_id", "text").withColumn("k", F.xxhash64("doc_id"))
-    kept = few.mapInArrow(task, few.schema).drop("k")
-    rows = kept.join(near, "doc_id").select("cluster", "blocks", "block", "set_key", "text")
-    return rows.dropDuplicates(["set_key"])
+    few = docs.select("doc_id", "text", text_key().alias("text_key")).withColumn("k", F.xxhash64("doc_id", "text_key"))
+    kept = few.mapInArrow(task, few.schema).drop("k").alias("t")
+    rows = kept.join(near.alias("n"), F.col("t.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("t.text_key") == F.col("n.text_key")))
+    return rows.select("cluster", "blocks", "block", "set_key", "text").dropDuplicates(["set_key"])
 
 
 def _across(rows: DataFrame, found: DataFrame, width: int, num: int) -> DataFrame:
@@ -272,7 +313,8 @@ def _across(rows: DataFrame, found: DataFrame, width: int, num: int) -> DataFram
     asked = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> of").withColumn("ask", F.lit(True))
     there = now.join(rest.select("cluster", "of").distinct(), "cluster").where("of <> block").select("cluster", "of", "set_key", "comp", "text", "block", F.lit(False).alias("ask"))
     more = durable(_search(asked.select(there.columns).union(there), ["cluster", "of", "block"], width, num))
-    found = durable(found.union(more))
+    found, old = durable(found.union(more)), (found, more, now)
+    release(*old[:2])
     # All but the texts of two such main components have been compared by now.
     now = labelled(now.withColumnRenamed("comp", "first"), found)
     now = durable(now.join(main, ["cluster", "block"]).where("first = main").select("cluster", "block", "set_key", "comp", "text", "pivot"))
@@ -281,33 +323,42 @@ def _across(rows: DataFrame, found: DataFrame, width: int, num: int) -> DataFram
     apart = apart.select("x.cluster", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     left = apart.join(now.withColumnRenamed("block", "i"), ["cluster", "i"]).select("cluster", "i", "j", "set_key", "comp", "text", F.lit(True).alias("ask"))
     right = apart.join(now.withColumnRenamed("block", "j"), ["cluster", "j"]).select("cluster", "i", "j", "set_key", "comp", "text", F.lit(False).alias("ask"))
-    return found.union(durable(_search(left.union(right), ["cluster", "i", "j"], width, num)))
+    last = durable(found.union(_search(left.union(right), ["cluster", "i", "j"], width, num)))
+    release(found, now, old[2])
+    return last
 
 
 def join(docs: DataFrame, width: int = SHINGLE, num: int = NUM, block: int = BLOCK) -> DataFrame:
     """Similarity classes of ``docs`` (doc_id, text).
 
     Returns doc_id, n_shingles and component_id, the smallest doc_id reachable
-    by links, one row for each row of ``docs``.  A document's set holds its
-    distinct ``width``-word shingles, or its whole word sequence when it has
-    fewer words; null, empty and blank texts have no set and link with nothing.
-    Equal sets always link.  Repeated rows stay; other columns are ignored; an
-    empty table gives no rows.
+    by links, one row for each row of ``docs``; further text_key, with doc_id the
+    row's identity, and class_id, the same number for all rows of a class.  A
+    document's set holds its distinct ``width``-word shingles, or its whole word
+    sequence when it has fewer words; null, empty and blank texts have no set,
+    link with nothing and have no class_id.  Equal sets always link.  Rows
+    without an id link too: their component_id is the class's smallest id that
+    is not null.  Repeated rows stay, as do several texts of one id; other
+    columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     counts = durable(shared_shingles(docs, width))
     sets = durable(sketch(docs, bitset.build(counts, "h", counts.count()), width, num))
     edges = links(docs, sets.where("n_shingles > 0"), counts, width, num, block)
-    release(counts)
-    comp = components(edges).select(F.col("id").alias("set_key"), "comp")
+    chains = components(edges)
+    comp = chains.select(F.col("id").alias("set_key"), "comp")
+    release(counts, edges)
     classes = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("low"))
-    classes = classes.join(comp, "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
-    classes = durable(classes)
+    classes = durable(classes.join(comp, "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key")))
     least = classes.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = classes.join(least, "comp").select("set_key", "component_id")
-    return sets.join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = classes.join(least, "comp").select("set_key", "component_id", F.col("comp").alias("class_id"))
+    out = sets.join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_key", "class_id")
+    out = durable(out)
+    release(sets, classes, chains)
+    return out
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, text_key and class_id of every document."""
     return join(table(spark, sf_dir, "documents", "doc_id", "text"))
