@@ -7,16 +7,16 @@ columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import jaccard_join, mixing, quality_cnn, secrets, sentencepieces
 from foliant.llm.common import durable, release, table
 
 
-#: Ids of removed documents are broadcast up to this number (8 bytes each);
-#: beyond it the documents are shuffled by id.
-MAX_BROADCAST = 1_000_000
+#: Ids and text keys of removed rows are broadcast up to this number (about 100
+#: bytes each); beyond it the documents are shuffled by them.
+MAX_BROADCAST = 500_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,19 +28,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by the n-gram Jaccard join the one with
-    the smallest doc_id stays; of repeated rows one.  Documents without words
-    link with nothing and stay, as does one without an id."""
-    classes = durable(jaccard_join.join(docs))
-    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    if gone.count() <= MAX_BROADCAST:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    """Of each group of documents linked by the n-gram Jaccard join one row stays:
+    that of the smallest doc_id, rows without an id coming last, and of several
+    rows with that id that of the smallest hash of the text; of repeated rows one.
+    Rows are told apart by id and text.  Documents without words link with
+    nothing and stay."""
+    classes = jaccard_join.join(docs).where("class_id is not null").withColumn("row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key"))
+    stays = classes.groupBy("class_id").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    others = durable(classes.join(stays, "class_id").select("doc_id", "text_key", (F.col("row") == F.col("first")).alias("first")))
+    gone = others.where("not first").distinct()
+    twice = others.where("first").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if others.count() <= MAX_BROADCAST:
+        gone, twice = F.broadcast(gone), F.broadcast(twice)
+
+    def same(r: DataFrame) -> Column:
+        return F.col("d.doc_id").eqNullSafe(r["doc_id"]) & (F.col("d._text_key") == r["text_key"])
+
+    kept = docs.withColumn("_text_key", jaccard_join.text_key()).alias("d").join(gone, same(gone), "left_anti")
     if twice.isEmpty():
         return kept.select(*docs.columns)
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+    again = kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    return kept.join(twice, same(twice), "left_anti").unionByName(again).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
