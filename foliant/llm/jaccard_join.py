@@ -14,9 +14,9 @@ common order.  The order here is rarest first:
 3. Texts that meet in a list form candidate clusters (connected components of
    one edge for each list entry, never of all pairs in a list).
 4. Within a cluster the search is local: inverted lists over the cluster's
-   texts, the short ones merged by a heap that skips what can't reach the
-   overlap, the long ones only probed by binary search (DivideSkip).  Candidates
-   already connected are passed over.  A cluster of over BLOCK shingles is cut into
+   texts, the short ones merged by a heap, the long ones only probed by binary
+   search for what the merge has found (DivideSkip).  Candidates already
+   connected are passed over.  A cluster of over BLOCK shingles is cut into
    blocks: blocks are searched alone, then each block's texts outside its main
    component, with one text of the main component, against all other blocks,
    then these main components against each other wherever they are still apart.
@@ -47,7 +47,6 @@ from foliant.llm.textkit import SHINGLE, Words, column, mix, shingle_sets, slice
 
 NUM = 75
 BLOCK = 2_000_000
-SHORT = 32
 
 
 def set_key(h: np.ndarray) -> int:
@@ -186,54 +185,58 @@ def merge_skip(lists: list[list[int]], t: int) -> Iterator[tuple[int, int]]:
 def t_occurrence(sets: list[np.ndarray], comp: np.ndarray, ask: np.ndarray, num: int = NUM) -> list[tuple[int, int]]:
     """Links that connect ``comp``'s components, found for the texts in ``ask``.
 
-    For each such text up to T - 1 of its shingles' inverted lists, the longest
-    of those over SHORT, are long.  With L of them a candidate needs T - L
-    occurrences in the short ones, which are merged by a heap; the rest is made
-    up by binary search of the long lists.  Entries of the text's own component
-    are left out of the merge.
+    Of two texts that ask the smaller one does.  A text of m shingles then needs
+    T = 2 * num / (100 + num) * m of them in a partner, or num / 100 * m where
+    texts are searched that don't ask.  Of its m inverted lists the T - 1 longest
+    are long.  The others are merged by a heap, which finds every text that can
+    still reach T; the long lists are only searched, by bisection, for these, the
+    shortest first, until they can't reach what they need.  Texts of the own
+    component and texts that are too large or too small are left out.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    h = np.concatenate(sets)
+    by_size = np.argsort(size, kind="stable")
+    sets, size, comp, ask = [sets[i] for i in by_size.tolist()], size[by_size], comp[by_size], ask[by_size]
     own = np.repeat(np.arange(n), size)
+    h = np.concatenate(sets)
     order = np.argsort(h, kind="stable")
-    h, own = h[order], own[order]
-    ids, first, much = np.unique(h, return_index=True, return_counts=True)
-    # list k's entry c is k * n + c: the lists lie end to end in order, and a
-    # search for k * n + c is one for c in list k
-    posted = np.repeat(np.arange(len(ids)), much) * n + own
-    parts = Parts(comp)
+    ids, first, much = np.unique(h[order], return_index=True, return_counts=True)
+    own = own[order]
+    parts, all_ask = Parts(comp), bool(ask.all())
     links = []
     for q in np.flatnonzero(ask).tolist():
-        s, m = sets[q], int(size[q])
-        t = int(required(m, num))
-        at = np.searchsorted(ids, s)
-        length = much[at]
-        by = at[np.argsort(length, kind="stable")]
-        n_long = min(int((length > SHORT).sum()), t - 1)
-        short, long_ = by[: m - n_long], by[m - n_long :]
-        short = short[much[short] > 1]
-        if not len(short):
-            continue
-        run = np.repeat(first[short] - np.concatenate([[0], np.cumsum(much[short])[:-1]]), much[short]) + np.arange(much[short].sum())
-        entries, of = own[run], np.repeat(np.arange(len(short)), much[short])
-        other = parts.label[entries] != parts.label[q]
-        entries, of = entries[other], of[other]
-        if not len(entries):
+        m = int(size[q])
+        need = int(required(m, num)) if not all_ask else -(-2 * num * m // (100 + num))
+        at = np.searchsorted(ids, sets[q])
+        at = at[np.argsort(much[at], kind="stable")]
+        short, long_ = at[: m - need + 1], at[m - need + 1 :].tolist()
+        low = q + 1 if all_ask else int(np.searchsorted(size, -(-num * m // 100)))
+        high = int(np.searchsorted(size, 100 * m // num, "right"))
+        lists = []
+        for k in short[much[short] > 1].tolist():
+            x = own[first[k] : first[k] + much[k]]
+            x = x[np.searchsorted(x, low) : np.searchsorted(x, high)]
+            x = x[parts.label[x] != parts.label[q]]
+            lists.append((x if all_ask else x[(x > q) | ~ask[x]]).tolist())
+        found = list(merge_skip(lists, 1))
+        if not found:
             continue
-        cuts = np.searchsorted(of, np.arange(len(short) + 1)).tolist()
-        entries = entries.tolist()
-        for c, o in merge_skip([entries[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], t - n_long):
-            # overlap o gives 100 * o >= num * (m + other - o)
-            want = -(-num * (m + int(size[c])) // (100 + num))
-            if min(m, size[c]) < want or o + n_long < want or parts.label[c] == parts.label[q]:
-                continue
-            if o < want:
-                k = np.searchsorted(posted, long_ * n + c)
-                o += int((posted[np.minimum(k, len(posted) - 1)] == long_ * n + c).sum())
-            if o >= want:
-                parts.join(c, q)
-                links.append((c, q))
+        c, o = np.array(found).T
+        # overlap o gives 100 * o >= num * (m + other - o)
+        want = -(-num * (m + size[c]) // (100 + num))
+        left = len(long_)
+        for k in long_:
+            near = o + left >= want
+            if not near.all():
+                c, o, want = c[near], o[near], want[near]
+                if not len(c):
+                    break
+            x = own[first[k] : first[k] + much[k]]
+            o = o + (x[np.minimum(np.searchsorted(x, c), len(x) - 1)] == c)
+            left -= 1
+        for x in c[o >= want].tolist():
+            if parts.join(x, q):
+                links.append((int(by_size[x]), int(by_size[q])))
     return links
 
 
