@@ -7,8 +7,11 @@ chunks go through one logistic unit to the probability that a reader would mark
 the text as good.  A filter's response is a sum of one table entry per byte
 pair, so a chunk costs WIDTH / 2 look-ups a byte.
 
-The network is fitted on a sample of at most SAMPLE labelled documents and at
-most TRAIN_CHUNKS chunks of each, spread over the document; it is of fixed size.
+The network is fitted on a sample of at most SAMPLE labelled documents, on all
+chunks of each, as it scores.  Texts stay on executors: the sample is dealt to
+at most SHARDS shards of SHARD_ROWS or more, each of which makes one pass of stochastic gradient steps a round
+from the common weights, and the shards' weights are averaged.  A document's
+chunks are seen some at a time, so no text is too long.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import crc_mod, small_batches, table
+from foliant.llm.common import crc_mod, durable, release, small_batches, table
 from foliant.llm.textkit import slices
 
 CHUNK, STRIDE, WIDTH, FILTERS = 512, 448, 6, 16
-SAMPLE, TRAIN_CHUNKS, EPOCHS, BATCH, RATE = 4_000, 24, 18, 32, 0.02
+SAMPLE, SHARDS, ROUNDS, BATCH, RATE = 4_000, 6, 10, 8, 0.03
+SHARD_ROWS, SLICE = 400, 256
+BATCH_BYTES = 4 << 20
 SEED = 11
 CUT = 0.3
 PRIOR = 0.7
@@ -38,12 +43,19 @@ def chunk_spans(size: int) -> list[tuple[int, int]]:
     return [(a, min(size, a + CHUNK)) for a in starts]
 
 
-def training_chunks(text: bytes) -> list[bytes]:
-    """At most TRAIN_CHUNKS chunks of a text, spread evenly from first to last."""
-    spans = chunk_spans(len(text))
-    if len(spans) > TRAIN_CHUNKS:
-        spans = [spans[round(i * (len(spans) - 1) / (TRAIN_CHUNKS - 1))] for i in range(TRAIN_CHUNKS)]
-    return [text[a:b] for a, b in spans]
+def laid_out(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts end to end with a gap of zero bytes after each, so that no
+    window reaches into the next; the spans of their chunks in that; the bounds
+    of each text's chunks."""
+    sizes, gap = np.diff(offs), WIDTH
+    base = offs[:-1] + gap * np.arange(len(sizes))
+    wide = np.zeros(len(data) + gap * len(sizes) + CHUNK + WIDTH, np.uint8)
+    wide[np.arange(len(data)) + np.repeat(gap * np.arange(len(sizes)), sizes)] = data
+    spans, first = [], [0]
+    for b, s in zip(base.tolist(), sizes.tolist(), strict=True):
+        spans += [(b + x, b + y) for x, y in chunk_spans(s)]
+        first.append(len(spans))
+    return wide, np.array(spans, np.int64).reshape(-1, 2), np.array(first)
 
 
 class Network:
@@ -66,17 +78,22 @@ class Network:
         self.pairs = np.ascontiguousarray((t[0::2, :, None, :] + t[1::2, None, :, :]).reshape(WIDTH // 2, 65536, FILTERS))
         return self
 
-    def pooled(self, data: np.ndarray, spans: np.ndarray) -> np.ndarray:
-        """Max-pooled responses of each chunk; ``data`` is followed by at least
-        WIDTH - 1 bytes of 0, and a chunk's windows start inside it."""
-        pair = data[:-1].astype(np.int32) * 256 + data[1:]
-        n = len(data) - WIDTH + 1
-        r = self.pairs[0][pair[:n]]
-        for k in range(1, WIDTH // 2):
-            r += self.pairs[k][pair[2 * k : 2 * k + n]]
-        last = np.maximum(spans[:, 1] - (WIDTH - 1), spans[:, 0] + 1)
-        edges = np.stack([spans[:, 0], last], 1).ravel()
-        return np.maximum(np.maximum.reduceat(r, edges, axis=0)[::2] + self.bias, 0) if len(spans) else np.zeros((0, FILTERS), np.float32)
+    def pooled(self, wide: np.ndarray, spans: np.ndarray) -> np.ndarray:
+        """Max-pooled responses of each chunk; a chunk's windows start inside it
+        and may end in the gap after its text."""
+        out = [np.zeros((0, FILTERS), np.float32)]
+        for a in range(0, len(spans), SLICE):
+            some = spans[a : a + SLICE]
+            data = wide[some[0, 0] : some[-1, 1] + WIDTH]
+            pair = data[:-1].astype(np.int32) * 256 + data[1:]
+            n = len(data) - WIDTH + 1
+            r = self.pairs[0][pair[:n]]
+            for k in range(1, WIDTH // 2):
+                r += self.pairs[k][pair[2 * k : 2 * k + n]]
+            last = np.maximum(some[:, 1] - (WIDTH - 1), some[:, 0] + 1)
+            edges = np.stack([some[:, 0], last], 1).ravel() - some[0, 0]
+            out.append(np.maximum(np.maximum.reduceat(r, edges, axis=0)[::2] + self.bias, 0))
+        return np.concatenate(out)
 
     def features(self, pooled: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Mean and maximum over each document's chunks; ``first`` has the
@@ -93,98 +110,147 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(features.astype(np.float64) @ self.out + float(self.shift[0]), -30, 30)))
 
     def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Probabilities of a run of texts, laid end to end with a gap of zero
-        bytes after each so that no window reaches into the next text."""
-        sizes = np.diff(offs)
-        gap = WIDTH
-        base = offs[:-1] + gap * np.arange(len(sizes))
-        wide = np.zeros(len(data) + gap * len(sizes) + WIDTH, np.uint8)
-        wide[np.arange(len(data)) + np.repeat(gap * np.arange(len(sizes)), sizes)] = data
-        spans, first = [], [0]
-        for b, s in zip(base.tolist(), sizes.tolist(), strict=True):
-            spans += [(b + x, b + y) for x, y in chunk_spans(s)]
-            first.append(len(spans))
-        if not spans:
-            return self.probability(np.zeros((len(sizes), 2 * FILTERS), np.float32))
-        return self.probability(self.features(self.pooled(wide, np.array(spans)), np.array(first)))
-
-
-def fit(chunks: list[list[bytes]], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Fits on documents given as their training chunks: stochastic gradient training (Adam) of the log loss; good texts weigh
-    PRIOR in all.  Without examples of both the network says 0.5 or their label."""
-    net, rng = Network(seed), np.random.default_rng(seed)
-    y = np.array(labels, np.float32)
-    if not len(y) or y.min() == y.max():
-        net.shift[0] = 0 if not len(y) else (4 if y[0] else -4)
-        return net.ready()
-    weight = np.where(y == 1, PRIOR / y.mean(), (1 - PRIOR) / (1 - y.mean())).astype(np.float32)
-    docs = []
-    for parts in chunks:
-        raw = np.zeros((max(1, len(parts)), CHUNK + WIDTH), np.uint8)
-        size = np.zeros(max(1, len(parts)), np.int64)
-        for i, part in enumerate(parts):
-            raw[i, : len(part)] = np.frombuffer(part, np.uint8)
-            size[i] = len(part)
-        docs.append((raw, size))
-    mean = [np.zeros_like(w) for w in net.weights()]
-    square = [np.zeros_like(w) for w in net.weights()]
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(docs))
-        rate = RATE * 0.5 ** (4 * epoch / epochs)
-        for at in range(0, len(order), BATCH):
-            pick = order[at : at + BATCH]
-            raw, size = np.concatenate([docs[i][0] for i in pick]), np.concatenate([docs[i][1] for i in pick])
-            counts = np.array([len(docs[i][1]) for i in pick])
-            first = np.concatenate([[0], np.cumsum(counts)])
-            r = net.table[0][raw[:, :CHUNK]]
+        """Probabilities of a run of texts."""
+        wide, spans, first = laid_out(data, offs)
+        return self.probability(self.features(self.pooled(wide, spans), first))
+
+    def peaks(self, wide: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Max-pooled responses of each chunk and where each filter's is, from
+        the byte table itself."""
+        pooled, top = [], []
+        for a in range(0, len(spans), SLICE):
+            at, end = spans[a : a + SLICE].T
+            raw = wide[at[:, None] + np.arange(CHUNK + WIDTH - 1)]
+            r = self.table[0][raw[:, :CHUNK]]
             for k in range(1, WIDTH):
-                r += net.table[k][raw[:, k : k + CHUNK]]
-            windows = np.maximum(size - (WIDTH - 1), 1)
+                r += self.table[k][raw[:, k : k + CHUNK]]
+            windows = np.maximum(end - at - (WIDTH - 1), 1)
             r[np.arange(CHUNK)[None, :] >= windows[:, None]] = -1e9
-            top = r.argmax(1)  # chunks x filters
-            pooled = np.maximum(np.take_along_axis(r, top[:, None, :], 1)[:, 0] + net.bias, 0)
-            f = net.features(pooled, first)
-            p = net.probability(f)
-            g = ((p - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
-            d_f = g[:, None] * net.out
-            own = np.repeat(np.arange(len(pick)), counts)
-            d_pool = d_f[own, :FILTERS] / counts[own, None]
-            best = f[own, FILTERS:] == pooled
-            d_pool = (d_pool + np.where(best, d_f[own, FILTERS:], 0)) * (pooled > 0)
-            d_table = np.zeros_like(net.table)
-            c, j = np.nonzero(d_pool)
-            for k in range(WIDTH):
-                np.add.at(d_table[k], (raw[c, top[c, j] + k], j), d_pool[c, j])
-            grads = [d_table + 1e-4 * net.table, d_pool.sum(0), f.T @ g + 1e-4 * net.out, np.array([g.sum()], np.float32)]
-            if step == 0:  # the logistic unit starts at 0: let it move first
-                net.out += rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32)
-            step += 1
-            for w, d, m, v in zip(net.weights(), grads, mean, square, strict=True):
-                m += 0.1 * (d - m)
-                v += 0.01 * (d * d - v)
-                w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+            best = r.argmax(1)
+            pooled.append(np.maximum(np.take_along_axis(r, best[:, None, :], 1)[:, 0] + self.bias, 0))
+            top.append(best + at[:, None])
+        if not pooled:
+            return np.zeros((0, FILTERS), np.float32), np.zeros((0, FILTERS), np.int64)
+        return np.concatenate(pooled), np.concatenate(top)
+
+    def gradient(self, data: np.ndarray, offs: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        """Of the weighted mean log loss of a run of texts, by ``weights``."""
+        wide, spans, first = laid_out(data, offs)
+        pooled, top = self.peaks(wide, spans)
+        f = self.features(pooled, first)
+        g = ((self.probability(f) - y) * weight / len(y)).astype(np.float32)
+        d_f, counts = g[:, None] * self.out, np.diff(first)
+        own = np.repeat(np.arange(len(y)), counts)
+        d_pool = d_f[own, :FILTERS] / np.maximum(counts, 1)[own, None]
+        best = f[own, FILTERS:] == pooled
+        d_pool = (d_pool + np.where(best, d_f[own, FILTERS:], 0)) * (pooled > 0)
+        d_table = np.zeros_like(self.table)
+        c, j = np.nonzero(d_pool)
+        for k in range(WIDTH):
+            np.add.at(d_table[k], (wide[top[c, j] + k], j), d_pool[c, j])
+        return [d_table, d_pool.sum(0), f.T @ g, np.array([g.sum()], np.float32)]
+
+
+class State:
+    """A network with the moments of its gradients (Adam), as one vector that
+    can be averaged."""
+
+    def __init__(self, net: Network, seed: int = SEED) -> None:
+        # the logistic unit starts off 0, so that the filters learn at once
+        net.out += np.random.default_rng(seed + 1).normal(0, 0.1, 2 * FILTERS).astype(np.float32)
+        self.net, self.step = net, 0
+        self.mean = [np.zeros_like(w) for w in net.weights()]
+        self.square = [np.zeros_like(w) for w in net.weights()]
+
+    def vector(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (*self.net.weights(), *self.mean, *self.square)])
+
+    def load(self, v: np.ndarray, step: int) -> None:
+        at = 0
+        for x in (*self.net.weights(), *self.mean, *self.square):
+            x[...] = v[at : at + x.size].reshape(x.shape)
+            at += x.size
+        self.step = step
+
+    def learn(self, data: np.ndarray, offs: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> None:
+        grads = self.net.gradient(data, offs, y, weight)
+        self.step += 1
+        for i, (w, d, m, v) in enumerate(zip(self.net.weights(), grads, self.mean, self.square, strict=True)):
+            d = d + 1e-4 * w if i in (0, 2) else d
+            m += 0.1 * (d - m)
+            v += 0.01 * (d * d - v)
+            w -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-7)
+
+
+def fit(rows: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> Network:
+    """Fits on the rows (doc_id, quality, text) of a bounded table: the log
+    loss, in which good texts weigh PRIOR in all.  Without examples of both the
+    network says 0.5 or their label.  The result doesn't depend on how the rows
+    are stored."""
+    net = Network(seed)
+    n = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        net.shift[0] = 0 if not n else (4 if 1 in n else -4)
+        return net.ready()
+    weigh = {1: PRIOR * (n[0] + n[1]) / n[1], 0: (1 - PRIOR) * (n[0] + n[1]) / n[0]}
+    state, many = State(net, seed), max(1, min(SHARDS, sum(n.values()) // SHARD_ROWS))
+    shards = rows.select("quality", "text", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(many)).alias("shard"), F.xxhash64("doc_id", "quality", "text").alias("order"))
+    for k in range(rounds):
+        dealt = shards.select("shard", "quality", "text", F.xxhash64("order", F.lit(k)).alias("order")).repartitionByRange(many, "shard").sortWithinPartitions("shard", "order")
+        spread = rows.sparkSession.sparkContext.broadcast((state.vector(), state.step))
+        rate = RATE * 0.5 ** (4 * k / rounds)
+
+        def task(batches: Iterator[pa.RecordBatch], spread=spread, rate=rate) -> Iterator[pa.RecordBatch]:
+            own, now, held, done = State(Network()), None, [], 0
+
+            def learn() -> None:
+                nonlocal held
+                if held:
+                    data = np.frombuffer(b"".join(t for _, t in held), np.uint8)
+                    y = np.array([q for q, _ in held], np.float32)
+                    own.learn(data, np.concatenate([[0], np.cumsum([len(t) for _, t in held])]), y, np.array([weigh[q] for q, _ in held], np.float32), rate)
+                held = []
+
+            def result() -> pa.RecordBatch:
+                return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int64()), "n": pa.array([done], pa.int64()), "blob": pa.array([own.vector().tobytes()], pa.binary())})
+
+            for batch in batches:
+                for shard, quality, text in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+                    if shard != now:
+                        if now is not None:
+                            learn()
+                            yield result()
+                        own.load(*spread.value)
+                        now, done = shard, 0
+                    held.append((quality, (text or "").encode()))
+                    done += 1
+                    if len(held) == BATCH or sum(len(t) for _, t in held) > BATCH_BYTES:
+                        learn()
+            if now is not None:
+                learn()
+                yield result()
+
+        got = sorted((r["shard"], r["n"], bytes(r["blob"])) for r in dealt.mapInArrow(task, "shard long, n long, blob binary").collect())
+        share = np.array([x[1] for x in got]) / sum(x[1] for x in got)
+        state.load((share[:, None] * np.stack([np.frombuffer(x[2], np.float32) for x in got])).sum(0), state.step + -(-max(x[1] for x in got) // BATCH))
+        spread.unpersist()
     return net.ready()
 
 
 def train(docs: DataFrame, labels: DataFrame, chosen: Column, sample: int = SAMPLE) -> Network:
     """Fits on the labelled rows where ``chosen`` (on doc_id) holds: the at most
     ``sample`` of them with the lowest hash of doc_id, half of each label where
-    there are as many.  Rows with a null label or id are not used."""
-    good = labels.where(F.col("quality").isin(0, 1) & chosen & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    there are as many, and of several texts of one id the least.  Rows with a
+    null label or id are not used."""
+    good = labels.where(F.col("quality").isin(0, 1) & chosen & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     order = F.xxhash64("doc_id")
     ids = [good.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample // 2) for q in (0, 1)]
-    few = ids[0].union(ids[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "quality", "text")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = pa.array([training_chunks((t or "").encode()) for t in batch.column(2).to_pylist()], pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), parts], ["doc_id", "quality", "chunks"])
-
+    few = F.broadcast(ids[0].union(ids[1]))
     small_batches(docs.sparkSession)
-    got = sorted({(r["doc_id"], r["quality"], tuple(map(bytes, r["chunks"]))) for r in rows.mapInArrow(task, "doc_id string, quality int, chunks array<binary>").collect()})
-    return fit([list(c) for _, _, c in got], [q for _, q, _ in got])
+    rows = durable(docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")))
+    net = fit(rows)
+    release(rows)
+    return net
 
 
 def classify(docs: DataFrame, network: Network, keep: tuple[str, ...] = ("doc_id",), cut: float = CUT) -> DataFrame:
@@ -209,6 +275,7 @@ def classify(docs: DataFrame, network: Network, keep: tuple[str, ...] = ("doc_id
 
 
 def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     out = crc_mod(F.col("doc_id"), 5) == 0
     network = train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), ~out)
