@@ -3,14 +3,21 @@
 The base rule looks at one document: too few words, or too many words in
 repeated five-word windows.  The method adds a test of the whole vector of
 transformed statistics against the documents of the same language and source:
-the minimum-covariance-determinant estimate of mean and covariance, found by
-concentration steps, and the squared Mahalanobis distance from it.
-
-A concentration step keeps, in every group, the share H of documents nearest to
-the present estimate and re-estimates from them.  Both halves are grouped
-aggregates: the distance quantile and the sums of products, so a group of any
-size is pre-aggregated map-side and only moments move.  Estimates are one short
-row a group and are joined back by group.
+the minimum-covariance-determinant estimate of mean and covariance, and the
+squared Mahalanobis distance from it.  A language and source of under LEAST
+documents is judged by the estimate of its language, a language of under LEAST
+by that of all documents.
+
+The estimate is that of the H share of a group's documents whose covariance has
+the smallest determinant.  It is sought from four different robust scatters; a
+concentration step keeps the share H of documents nearest to the present
+estimate and re-estimates from them, which never raises the determinant, and
+steps are made until no determinant falls any more or STEPS are done.  The start
+that ends with the smallest determinant gives the group's estimate.
+
+A step is two grouped aggregates by group and start, a distance quantile and
+sums of products, so a group of any size is pre-aggregated map-side and only
+moments move.  Estimates are short rows and are joined back by group.
 """
 
 from __future__ import annotations
@@ -30,7 +37,8 @@ from foliant.llm.textkit import Words, slices
 MIN_WORDS = 10
 REPEAT_SHARE = 20
 H = 0.75
-STEPS = 4
+STEPS = 8
+FALL = 1e-3
 LEAST = 50
 #: Quantiles of the chi-squared distribution with 5 degrees of freedom, at 0.5 and at one in 10^6 from the top.
 CHI_MEDIAN, CHI_CUT = 4.351, 35.89
@@ -121,88 +129,155 @@ def vectors(stats: DataFrame) -> DataFrame:
     return stats.withColumns(dict(zip(VECTOR, made, strict=True)))
 
 
-def _pairs() -> list[tuple[int, int]]:
-    return [(i, j) for i in range(len(VECTOR)) for j in range(i, len(VECTOR))]
+P = len(VECTOR)
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+
+
+def grouped(rows: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``own``, the number of the estimate that judges a row (null
+    where there are under ``least`` rows in all), and ``gids``, the numbers of
+    the estimates it contributes to: 3k for a language and source, 3k + 1 for a
+    language, 2 for all.  Also the table of groups, to be released."""
+    n = rows.groupBy("lang", "source").agg(F.sum((~F.col("base_failed")).cast("long")).alias("n"))
+    groups = durable(n.withColumn("k", F.monotonically_increasing_id()))
+    by_lang = groups.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("n_lang"), F.min("n").alias("smallest"), F.min("k").alias("first"))
+    all_ = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] >= least
+    last = all_ and not by_lang.where(F.col("n_lang") < least).isEmpty()
+    by_pair = F.when(F.col("n") >= least, F.col("k") * 3)
+    by_name = F.when(F.col("n_lang") >= least, F.col("first") * 3 + 1)
+    named = groups.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang"))).select(
+        F.col("lang").alias("_lang"),
+        F.col("source").alias("_source"),
+        F.coalesce(by_pair, by_name, F.lit(2 if all_ else None).cast("long")).alias("own"),
+        F.array_compact(F.array(by_pair, F.when(F.col("smallest") < least, by_name), F.lit(2 if last else None).cast("long"))).alias("gids"),
+    )
+    return rows.join(named, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_lang", "_source"), groups
+
+
+def _moments(rows: DataFrame, values: list[Column], by: list[str], chosen: Column | None = None) -> DataFrame:
+    """Number, sums and sums of products of ``values`` by group."""
+    on = (lambda x: x) if chosen is None else (lambda x: F.when(chosen, x))
+    sums = [F.sum(on(v)).alias(f"s{i}") for i, v in enumerate(values)] + [F.sum(on(values[i] * values[j])).alias(f"p{i}_{j}") for i, j in PAIRS]
+    return rows.groupBy(*by).agg(F.sum(on(F.lit(1))).alias("m"), *sums)
+
+
+def regular(c: np.ndarray) -> np.ndarray:
+    """A covariance whose standard deviations are no less than FLOORS."""
+    return c + np.diag(np.maximum(np.array(FLOORS) ** 2 - np.diag(c), 0) + 1e-9)
+
+
+def _covariance(r: dict, p: int = P) -> tuple[np.ndarray, np.ndarray]:
+    mean = np.array([r[f"s{i}"] for i in range(p)]) / r["m"]
+    c = np.zeros((p, p))
+    for i, j in PAIRS:
+        c[i, j] = c[j, i] = r[f"p{i}_{j}"] / r["m"] - mean[i] * mean[j]
+    return mean, c
+
+
+ESTIMATE = "gid long, start int, mean array<double>, inv array<double>, det double"
 
 
-def _moments(rows: DataFrame, weight: Column) -> DataFrame:
-    sums = [F.sum(F.when(weight, F.col(v))).alias(f"s{i}") for i, v in enumerate(VECTOR)]
-    sums += [F.sum(F.when(weight, F.col(VECTOR[i]) * F.col(VECTOR[j]))).alias(f"p{i}_{j}") for i, j in _pairs()]
-    return rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum(weight.cast("long")).alias("m"), *sums)
+def _row(gid: int, start: int, mean: np.ndarray, c: np.ndarray) -> tuple:
+    c = regular(c)
+    return gid, start, mean.tolist(), np.linalg.inv(c).ravel().tolist(), float(np.linalg.slogdet(c)[1])
 
 
-def _invert(moments: DataFrame, scale: float) -> DataFrame:
-    """A group's mean and inverse covariance from its moments; a group of under
-    LEAST documents has neither and rejects nothing."""
-    p = len(VECTOR)
+def _invert(moments: DataFrame) -> DataFrame:
+    """Mean, inverse covariance and log determinant from a group's moments."""
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame([_row(r["gid"], r["start"], *_covariance(r)) for r in pdf.to_dict("records")], columns=["gid", "start", "mean", "inv", "det"])
+
+    return moments.where("m > 0").mapInPandas(task, ESTIMATE)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Four estimates a group.  Means are medians.  Covariances have the spread
+    between quartiles, and as correlations none, those of tanh z, of z / |z| and
+    of the half nearest to the medians, z being the standardised statistics."""
+    q = [F.percentile_approx(v, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, v in enumerate(VECTOR)]
+    quart = rows.groupBy("gid").agg(*q)
+    width = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(P)]
+    quart = durable(quart.select("gid", F.array(*(F.col(f"q{i}")[1] for i in range(P))).alias("mid"), F.array(*width).alias("width")))
+    z = [(F.col(v) - F.col("mid")[i]) / F.col("width")[i] for i, v in enumerate(VECTOR)]
+    scored = rows.join(quart, "gid").withColumns({f"z{i}": x for i, x in enumerate(z)})
+    norm = F.sqrt(reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)]))
+    scored = scored.withColumn("far", norm)
+    half = scored.groupBy("gid").agg(F.percentile_approx("far", 0.5, 1000).alias("half"))
+    scored = scored.join(half, "gid")
+    forms = [(F.tanh(F.col(f"z{i}")), F.col(f"z{i}") / F.greatest("far", F.lit(1e-9)), F.when(F.col("far") <= F.col("half"), F.col(f"z{i}"))) for i in range(P)]
+    long_ = scored.select("gid", F.explode(F.array(*(F.struct(F.lit(k + 1).alias("start"), *(forms[i][k].alias(f"z{i}") for i in range(P))) for k in range(3)))).alias("x")).select("gid", "x.*").where("z0 is not null")
+    made = _moments(long_, [F.col(f"z{i}") for i in range(P)], ["gid", "start"]).join(quart, "gid")
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
             for r in pdf.to_dict("records"):
-                mean = inv = None
-                if r["n"] >= LEAST and r["m"] > p:
-                    m = np.array([r[f"s{i}"] for i in range(p)]) / r["m"]
-                    c = np.zeros((p, p))
-                    for i, j in _pairs():
-                        c[i, j] = c[j, i] = r[f"p{i}_{j}"] / r["m"] - m[i] * m[j]
-                    c *= scale
-                    sd = np.sqrt(np.clip(np.diag(c), 0, None))
-                    up = np.maximum(np.array(FLOORS) ** 2 - sd**2, 0)
-                    mean, inv = m.tolist(), np.linalg.inv(c + np.diag(up + 1e-9)).ravel().tolist()
-                out.append((r["lang"], r["source"], mean, inv))
-            yield pd.DataFrame(out, columns=["lang", "source", "mean", "inv"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in moments.schema}
-    return moments.mapInPandas(task, f"lang {kinds['lang']}, source {kinds['source']}, mean array<double>, inv array<double>")
-
-
-def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    p = len(VECTOR)
-    e = estimate.withColumnsRenamed({"lang": "e_lang", "source": "e_source"})
-    got = rows.join(e, F.col("lang").eqNullSafe(F.col("e_lang")) & F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_lang", "e_source")
-    d = [F.col(VECTOR[i]) - F.col("mean")[i] for i in range(p)]
-    terms = [d[i] * d[j] * F.col("inv")[i * p + j] * (1 if i == j else 2) for i, j in _pairs()]
-    return got.withColumn("d2", reduce(lambda a, b: a + b, terms)).drop("mean", "inv")
+                mid, wide = np.array(r["mid"]), np.array(r["width"])
+                _, c = _covariance(r)
+                sd = np.sqrt(np.maximum(np.diag(c), 1e-12))
+                out.append(_row(r["gid"], r["start"], mid, (c / np.outer(sd, sd)) * np.outer(wide, wide)))
+                if r["start"] == 1:
+                    out.append(_row(r["gid"], 0, mid, np.diag(wide**2)))
+            yield pd.DataFrame(out, columns=["gid", "start", "mean", "inv", "det"])
+
+    out = durable(made.mapInPandas(task, ESTIMATE))
+    release(quart)
+    return out
+
+
+def _distance(rows: DataFrame, estimate: DataFrame, key: str = "gid", how: str = "inner") -> DataFrame:
+    got = rows.join(estimate.withColumnRenamed("gid", "_gid"), F.col(key) == F.col("_gid"), how).drop("_gid")
+    d = [F.col(VECTOR[i]) - F.col("mean")[i] for i in range(P)]
+    terms = [d[i] * d[j] * F.col("inv")[i * P + j] * (1 if i == j else 2) for i, j in PAIRS]
+    return got.withColumn("d2", reduce(lambda a, b: a + b, terms)).drop("mean", "inv", "det")
 
 
 def estimates(rows: DataFrame, steps: int = STEPS, h: float = H) -> DataFrame:
-    """(lang, source, mean, inv) by concentration: from each group's medians
-    and spread between quartiles, ``steps`` times the ``h`` nearest."""
-    q = [F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, v in enumerate(VECTOR)]
-    start = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *q)
-    p = len(VECTOR)
-    width = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(p)]
-    inv = F.array(*(F.lit(1.0) / (width[i] * width[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(p)))
-    now = durable(start.select("lang", "source", F.array(*(F.col(f"q{i}")[1] for i in range(p))).alias("mean"), inv.alias("inv")))
+    """(gid, mean, inv, det) of each number in ``gids``: the concentrated start of
+    least determinant; quantiles are exact to a thousandth of a group."""
+    rows = durable(rows.select(F.explode("gids").alias("gid"), *VECTOR))
+    now = _starts(rows)
     for k in range(steps):
         far = _distance(rows, now)
-        cut = far.groupBy("lang", "source").agg(F.percentile_approx("d2", h, 1000).alias("cut")).withColumnsRenamed({"lang": "c_lang", "source": "c_source"})
-        near = far.join(cut, F.col("lang").eqNullSafe(F.col("c_lang")) & F.col("source").eqNullSafe(F.col("c_source"))).drop("c_lang", "c_source")
-        old, now = now, durable(_invert(_moments(near, F.col("d2") <= F.col("cut")), 1.0))
+        cut = far.groupBy("gid", "start").agg(F.percentile_approx("d2", h, 1000).alias("cut"))
+        near = far.join(cut, ["gid", "start"])
+        old, now = now, durable(_invert(_moments(near, [F.col(v) for v in VECTOR], ["gid", "start"], F.col("d2") <= F.col("cut"))))
+        fell = now.alias("a").join(old.alias("b"), ["gid", "start"]).where(F.col("a.det") < F.col("b.det") - FALL)
+        done = k > 0 and fell.isEmpty()
         release(old)
+        if done:
+            break
+    best = now.groupBy("gid").agg(F.min_by(F.struct("mean", "inv", "det"), F.struct("det", "start")).alias("e")).select("gid", "e.*")
     # consistency: the median distance of a group becomes that of the chi-squared distribution
-    mid = _distance(rows, now).groupBy("lang", "source").agg(F.percentile_approx("d2", 0.5, 1000).alias("mid")).withColumnsRenamed({"lang": "c_lang", "source": "c_source"})
-    now = now.join(mid, F.col("lang").eqNullSafe(F.col("c_lang")) & F.col("source").eqNullSafe(F.col("c_source")))
+    mid = _distance(rows, best).groupBy("gid").agg(F.percentile_approx("d2", 0.5, 1000).alias("mid"))
     scale = F.least(F.lit(1.0), F.lit(CHI_MEDIAN) / F.greatest(F.col("mid"), F.lit(1e-9)))
-    return now.select("lang", "source", "mean", F.transform("inv", lambda x: x * scale).alias("inv"))
+    out = durable(best.join(mid, "gid").select("gid", "mean", F.transform("inv", lambda x: x * scale).alias("inv"), "det"))
+    release(now, rows)
+    return out
 
 
-def rules(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def rules(docs: DataFrame, keep: tuple[str, ...] = (), least: int = LEAST) -> DataFrame:
     """Verdicts on ``docs`` (doc_id, text, lang, source).
 
     Returns doc_id, the statistics, base_failed, kept, distance (squared
-    Mahalanobis distance, null where the group is too small to estimate) and the
-    columns of ``keep``.  Null text has no words and fails the base rule; null
-    lang or source is a group of its own; repeated rows each count; an empty
-    table gives no rows; columns beyond those named are ignored.
+    Mahalanobis distance, null only where the whole table has under ``least``
+    documents past the base rule, which then decides alone) and the columns of
+    ``keep``.  Null text has no words and fails the base rule; null lang or
+    source is a value of its own; repeated rows each count; an empty table gives
+    no rows; columns beyond those named are ignored.
     """
     stats = durable(statistics(docs, ("doc_id", "lang", "source", *keep)).withColumn("base_failed", base_failed()))
-    rows = vectors(stats)
-    far = _distance(rows, estimates(rows.where("not base_failed")))
+    rows, groups = grouped(vectors(stats), least)
+    found = estimates(rows.where("not base_failed"))
+    far = _distance(rows, found, "own", "left")
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= CHI_CUT)
-    return far.select("doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance"))
+    out = durable(far.select("doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance")))
+    release(stats, groups, found)
+    return out
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the statistics, base_failed, kept and distance of every document."""
     return rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
