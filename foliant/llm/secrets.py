@@ -1,9 +1,11 @@
 """Operator 4: secret scans, DataFrame functions only.
 
 Base patterns give spans of assignments, access keys and long hexadecimal runs.
-The method adds spans of kind ``markov``: a run of identifier characters, clear
-of base spans, whose likelihood under a character Markov model of random strings
-exceeds that under one of ordinary identifiers.  Both first-order models are
+The method adds spans of kind ``markov``: a run of at least 16 identifier
+characters, of what is left of the text beside the base spans, whose likelihood
+under a character Markov model of random strings exceeds that under one of
+ordinary identifiers.  ``=`` ends a run (but for padding), so a key behind a long
+plain name is judged by itself.  Both first-order models are
 trained from labelled samples: RANDOMS strings made from digests (hexadecimal,
 base64, base62 and upper-case alphabets) and the identifiers of about SAMPLE
 documents, clear of base spans, with compounds of them in three cases.  Their ratio is one
@@ -11,7 +13,9 @@ table of an entry per character pair, a constant in the plan.
 
 Spans come from ``split`` and ``regexp_extract_all`` of the same pattern: the
 texts between the matches and the matches alternate, so lengths add up to code
-point positions.  Everything is one pass over the texts without a shuffle.
+point positions.  Running sums and maxima over a text's m matches are taken in
+blocks of sqrt(m), and texts are put together from pieces, so long texts full of
+matches stay cheap.  Everything is one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-RUN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
+RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
 KINDS = ("assign", "access", "hex", "markov")
 MIN_VALUE = 8
 RANDOMS = 8_000
@@ -37,32 +41,93 @@ MARGIN = 0.5
 SMOOTH = 0.5
 
 
-def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
-    """array<struct(start, kind, end)> of the matches; ``keep`` is an array of
-    booleans that says which stay."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    both = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("match"), *([keep.alias("keep")] if keep is not None else []))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+SPAN = "array<struct<start:int,kind:int,end:int>>"
+FEW = 64
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        out = F.concat(acc["out"], one) if keep is None else F.when(x["keep"], F.concat(acc["out"], one)).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
 
-    return F.aggregate(both, zero, step, lambda acc: acc["out"])
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also for lambdas in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, merge, zero: int = 0) -> Column:
+    """array<int> of the running ``merge`` of an array<int>.  Blocks of sqrt(n)
+    are folded, then their last results, then each block is merged with the
+    result before it: no array is copied once for each entry."""
+
+    def fold(xs: Column) -> Column:
+        start = F.struct(F.lit(zero).cast("int").alias("last"), F.array().cast("array<int>").alias("all"))
+
+        def step(acc: Column, x: Column) -> Column:
+            new = merge(acc["last"], x)
+            return F.struct(new.alias("last"), F.concat(acc["all"], F.array(new)).alias("all"))
+
+        return F.aggregate(xs, start, step, lambda acc: acc["all"])
+
+    def joined(blocks: Column) -> Column:
+        before = F.concat(F.array(F.lit(zero).cast("int")), fold(F.transform(blocks, lambda b: F.element_at(b, -1))))
+        return F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda b, at: F.transform(b, lambda x: merge(at, x))))
+
+    def run(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return _let(width, lambda w: _let(F.transform(F.sequence(F.lit(1), F.size(v), w), lambda a: fold(F.slice(v, a, w))), joined))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, run(v)).otherwise(F.array().cast("array<int>")))
+
+
+def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
+    """array<struct(start, kind, end)> of the matches; ``keep`` gives an array of
+    booleans, which of an array of matches stay."""
+
+    def made(p: Column) -> Column:
+        found = p["found"]
+        steps = F.zip_with(F.slice(p["between"], 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+        stay = keep(found) if keep is not None else F.transform(found, lambda m: F.lit(True))
+        parts = F.arrays_zip(_running(steps, lambda x, y: x + y).alias("end"), found.alias("match"), stay.alias("stay"))
+        return F.transform(F.filter(parts, lambda x: x["stay"]), lambda x: F.struct((x["end"] - F.length(x["match"])).alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
+
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between")), made)
 
 
 def _none() -> Column:
-    return F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return F.array().cast(SPAN)
+
+
+def _stretches(spans: Column) -> Column:
+    """array<struct(start, end)> of what sorted spans cover; spans that overlap
+    are one stretch, spans that only touch are two."""
+
+    def made(x: Column) -> Column:
+        marks = F.zip_with(x["spans"], F.slice(F.concat(F.array(F.lit(0)), x["ends"]), 1, F.size(x["spans"])), lambda s, before: F.struct(s["start"].alias("start"), (s["start"] >= before).alias("new")))
+        opens = F.filter(F.transform(marks, lambda m, i: F.struct(m["start"].alias("start"), m["new"].alias("new"), i.alias("i"))), lambda m: m["new"])
+        last = lambda o, k: F.get(x["ends"], F.coalesce(F.get(o, k + 1)["i"], F.size(x["ends"])) - 1)
+        return _let(opens, lambda o: F.transform(o, lambda m, k: F.struct(m["start"].alias("start"), last(o, k).alias("end"))))
+
+    ends = lambda s: _running(F.transform(s, lambda v: v["end"]), lambda a, b: F.greatest(a, b))
+    return _let(_let(spans, lambda s: F.struct(s.alias("spans"), ends(s).alias("ends"))), made)
+
+
+def _replaced(text: Column, spans: Column, by) -> Column:
+    """``text`` with every stretch of the sorted ``spans`` replaced by ``by`` of
+    its length.  Up to FEW pieces are cut out of the text, more out of the array
+    of its characters."""
+
+    def put(st: Column, cut, end: Column) -> Column:
+        kept = F.transform(st, lambda x, k: F.concat(cut(F.when(k > 0, F.get(st, k - 1)["end"]).otherwise(0), x["start"]), by(x["end"] - x["start"])))
+        return F.concat(F.array_join(kept, ""), cut(F.element_at(st, -1)["end"], end))
+
+    def made(x: Column) -> Column:
+        few = put(x["st"], lambda a, b: x["text"].substr(a + 1, b - a), F.length(x["text"]))
+        many = _let(F.split(x["text"], ""), lambda c: put(x["st"], lambda a, b: F.array_join(F.slice(c, a + 1, b - a), ""), F.size(c)))
+        return F.when(F.size(x["st"]) == 0, x["text"]).when(F.size(x["st"]) <= FEW, few).otherwise(many)
+
+    return _let(F.struct(text.alias("text"), _stretches(spans).alias("st")), made)
 
 
 def scan_base(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns _scan0, _scan1, _scan2 of base spans."""
     t = F.col(text)
-    long_ = F.transform(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= MIN_VALUE)
+    long_ = lambda _: F.transform(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= MIN_VALUE)
     return docs.withColumns(
         {
             "_scan0": F.when((t.contains("=") | t.contains(":")) & t.rlike(ASSIGN), _spans(t, ASSIGN, 0, long_)).otherwise(_none()),
@@ -129,10 +194,10 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", margin: float
     table_ = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
     t = F.col(text)
     base = scan_base(docs, text).withColumn("_scan", F.concat("_scan0", "_scan1", "_scan2")).drop("_scan0", "_scan1", "_scan2")
-    runs = base.withColumn("_runs", F.when(t.rlike(RUN), _spans(t, RUN, 3)).otherwise(_none()))
-    clear = F.filter("_runs", lambda r: ~F.exists("_scan", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    odd = F.filter(clear, lambda r: _ratio(t.substr(r["start"] + 1, r["end"] - r["start"]), table_) > margin)
-    return runs.withColumn(out, F.array_sort(F.concat("_scan", odd))).drop("_scan", "_runs")
+    clear = F.when(F.size("_scan") > 0, _replaced(t, F.array_sort("_scan"), lambda n: F.repeat(F.lit(" "), n))).otherwise(t)
+    odd = lambda found: F.transform(found, lambda m: _ratio(m, table_) > margin)
+    runs = _let(clear, lambda c: F.when(c.rlike(RUN), _spans(c, RUN, 3, odd)).otherwise(_none()))
+    return base.withColumn(out, F.array_sort(F.concat("_scan", runs))).drop("_scan")
 
 
 def join_spans(spans: Column) -> Column:
@@ -160,16 +225,11 @@ def redact(docs: DataFrame, ratios: list[float], mask: str = "[secret]") -> Data
     spans by one; null stays null."""
     columns = docs.columns
     found = scan(docs, ratios, out="_spans")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], mask).otherwise(""))
-        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), new.alias("out"))
-
-    done = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
+    done = _replaced(F.col("text"), F.col("_spans"), lambda _: F.lit(mask))
     return found.withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text"))).select(*columns)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return report(docs, train(labelled(docs)))
