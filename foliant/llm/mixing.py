@@ -4,9 +4,11 @@ Every document gets the exponential key -ln(u) / w, with u a uniform number
 derived from its id and w its quality weight; taking the smallest keys first is
 weighted sampling without replacement.  A source's token budget is met with
 complete epochs, then with the documents of smallest key whose sizes fill the
-rest.  Everything is JVM-side: keys are cut into fixed buckets, bucket totals
-give the prefix sum up to a bucket, and rows are only ordered inside a bucket,
-so a source that holds a third of all rows never meets in one task.
+rest.  Everything is JVM-side: the keys are written once, cut into buckets at
+their own quantiles, bucket totals give the prefix sum up to a bucket, and rows
+are only ordered inside a bucket, so a source that holds a third of all rows
+never meets in one task.  Rows that are equal in all that orders them are counted
+before they are ordered, so repeated rows don't meet either.
 """
 
 from __future__ import annotations
@@ -15,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.llm.common import durable, table, word_count
+from foliant.llm.common import durable, release, table, word_count
 
-BUCKETS = 4096
+BUCKETS = 1024
 CAP = 3
 SEED = "mix"
 MAX_SOURCES = 100_000
@@ -66,18 +68,49 @@ def sort_key(quality: Column | None, seed: str = SEED) -> Column:
     return -F.log(uniform(F.col("doc_id"), seed)) / F.greatest(q, F.lit(1e-6))
 
 
-def planned(docs: DataFrame, quality: Column | None = None, cap: int = CAP, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, key, size, source_size, target, upto) of every row: upto
-    is the prefix sum of the sizes in key order within its source."""
-    keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), sort_key(quality, seed).alias("key"))
-    keyed = keyed.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets)).cast("int"))
+def planned(keyed: DataFrame, cap: int = CAP, buckets: int = BUCKETS) -> DataFrame:
+    """The plan of ``keyed`` rows (doc_id, source, size, key): each distinct row
+    once, with ``n``, how often it stands there, source_size, target, ``epochs``,
+    whole passes over its source, and ``more``, how many of the n are taken once
+    more.  The order within a source is that of key, doc_id and size.
+    """
     goal = targets(keyed.select("source", "size"), cap)
-    ahead = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("here"))
+    edges = keyed.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
+    alike = keyed.groupBy("source", "key", "doc_id", "size").agg(F.count("*").alias("n")).withColumn("bucket", below(F.col("key"), edges))
+    ahead = alike.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("n")).alias("here"))
     ahead = ahead.select("source", "bucket", (F.sum("here").over(W.partitionBy("source").orderBy("bucket")) - F.col("here")).alias("ahead"))
     plan = ahead.alias("a").join(goal.alias("g"), F.col("a.source").eqNullSafe(F.col("g.source"))).select("a.source", "bucket", "ahead", "source_size", "target")
-    rows = keyed.withColumn("upto", F.sum("size").over(W.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0)))
+    order = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    rows = alike.withColumn("upto", F.sum(F.col("size") * F.col("n")).over(order))
     rows = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bucket") == F.col("p.bucket")))
-    return rows.select("r.doc_id", "r.source", "r.key", "r.size", "p.source_size", "p.target", (F.col("upto") + F.col("ahead")).alias("upto"))
+    rows = rows.select("r.doc_id", "r.source", "r.key", "r.size", "r.n", "p.source_size", "p.target", (F.col("upto") + F.col("ahead") - F.col("size") * F.col("n")).alias("before"))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("long")
+    # copy i of n ends at before + i * size: taken if that is within what is left, or overshoots by less than it is short without
+    left = F.col("target") - epochs * F.col("source_size") - F.col("before")
+    whole = F.floor(left / F.greatest(F.col("size"), F.lit(1)))
+    rest = left - whole * F.col("size")
+    more = F.least(F.greatest(whole + F.when((left > 0) & (rest > 0) & (F.col("size") - rest < rest), 1).otherwise(0), F.lit(0)), F.col("n"))
+    return rows.select("doc_id", "source", "key", "size", "n", "source_size", "target", epochs.alias("epochs"), F.when(F.col("size") > 0, more).otherwise(0).cast("long").alias("more"))
+
+
+def below(key: Column, edges: list[float]) -> Column:
+    """How many of the sorted ``edges`` are smaller than ``key``, by bisection."""
+    if not edges:
+        return F.lit(0)
+    held = F.split(F.lit(",".join(map(repr, edges))), ",").cast("array<double>")
+    zero = F.struct(F.lit(0).alias("lo"), F.lit(len(edges)).alias("hi"))
+
+    def halve(x: Column, _: Column) -> Column:
+        mid = F.shiftright(x["lo"] + x["hi"], 1)
+        right = (x["lo"] < x["hi"]) & (F.get(held, mid) < key)
+        return F.struct(F.when(right, mid + 1).otherwise(x["lo"]).alias("lo"), F.when(right, x["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(edges).bit_length())), zero, halve, lambda x: x["lo"])
+
+
+def keyed(docs: DataFrame, quality: Column | None = None, seed: str = SEED) -> DataFrame:
+    """(doc_id, source, size, key) of every row, written once."""
+    return durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), sort_key(quality, seed).alias("key")))
 
 
 def mix(docs: DataFrame, quality: Column | None = None, cap: int = CAP, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
@@ -89,40 +122,49 @@ def mix(docs: DataFrame, quality: Column | None = None, cap: int = CAP, buckets:
     its own; repeated rows are mixed one by one; an empty table gives no rows;
     columns beyond those named are ignored.
     """
-    return planned(docs, quality, cap, buckets, seed).select("doc_id", "size", "source_size", "target", (epochs() * F.col("size") + F.when(once(), F.col("size")).otherwise(0)).cast("long").alias("taken"))
+    rows = keyed(docs, quality, seed)
+    plan = planned(rows, cap, buckets).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    times = F.col("epochs") + (F.col("i") <= F.col("more")).cast("long")
+    out = durable(plan.select("doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken")))
+    release(rows)
+    return out
 
 
 def take(docs: DataFrame, quality: Column | None = None, cap: int = CAP, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
-    """The mixed rows of ``docs`` themselves, each as often as it is taken;
+    """The mixed rows of ``docs`` themselves, each as often as ``mix`` takes it;
     documents without words are in no mix.
 
     Only ids and numbers are shuffled: a source's fractional selection ends at
-    one key, so the texts are filtered where they are read.
+    one row of the order, so the texts are filtered where they are read.  Of
+    rows that are equal in that order where the selection ends, those of smallest
+    hash go first; equal ones among them are counted, not ordered.
     """
     columns = docs.columns
-    cuts = planned(docs, quality, cap, buckets, seed).groupBy("source").agg(F.max(epochs()).alias("_epochs"), F.max(F.when(once(), F.struct("key", "doc_id"))).alias("_cut"))
-    cuts = durable(cuts.withColumnRenamed("source", "_source"))
+    rows = keyed(docs, quality, seed)
+    last = F.struct("key", "doc_id", "size")
+    taken = F.when(F.col("more") > 0, F.struct(last.alias("at"), "n", "more"))
+    cuts = durable(planned(rows, cap, buckets).groupBy(F.col("source").alias("_source")).agg(F.max("epochs").alias("_epochs"), F.max(taken).alias("_cut")))
+    release(rows)
+    partial = not cuts.where("_cut.n > _cut.more").isEmpty()
     if cuts.count() <= MAX_SOURCES:
         cuts = F.broadcast(cuts)
-    rows = docs.withColumn("_key", F.struct(sort_key(quality, seed).alias("key"), F.col("doc_id"))).join(cuts, F.col("source").eqNullSafe(F.col("_source")))
-    times = F.col("_epochs") + F.coalesce((F.col("_key") <= F.col("_cut")).cast("int"), F.lit(0))
-    rows = rows.where((times > 0) & (word_count(F.col("text")) > 0)).withColumn("_n", F.explode(F.sequence(F.lit(1), times.cast("int"))))
-    return rows.select(*columns)
-
-
-def epochs() -> Column:
-    """Whole passes over a row's source."""
-    return F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("long")
-
-
-def once() -> Column:
-    """Whether a row is in its source's fractional selection."""
-    left = F.col("target") - epochs() * F.col("source_size")
-    before = F.col("upto") - F.col("size")
-    return (F.col("upto") <= left) | ((before < left) & (F.col("upto") - left < left - before))
+    size = word_count(F.col("text"))
+    key = F.struct(sort_key(quality, seed).alias("key"), F.col("doc_id"), size.alias("size"))
+    rows = docs.withColumn("_key", key).where(F.col("_key.size") > 0).join(cuts, F.col("source").eqNullSafe(F.col("_source")))
+    tied = F.coalesce((F.col("_key") == F.col("_cut.at")) & (F.col("_cut.n") > F.col("_cut.more")), F.lit(False))
+    times = F.col("_epochs") + F.coalesce((F.col("_key") <= F.col("_cut.at")).cast("long"), F.lit(0))
+    whole = (rows.where(~tied) if partial else rows).select(*columns, times.alias("_times"))
+    if partial:
+        counted = rows.where(tied).groupBy(*columns, "_epochs", F.col("_cut.more").alias("_more")).agg(F.count("*").alias("_n"))
+        before = F.sum("_n").over(W.partitionBy("source").orderBy(F.xxhash64(*columns)).rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+        once = F.least(F.greatest(F.col("_more") - before, F.lit(0)), F.col("_n"))
+        whole = whole.unionByName(counted.select(*columns, (F.col("_epochs") * F.col("_n") + once).alias("_times")))
+    whole = whole.where("_times > 0")
+    return whole.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_i")).select(*columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document."""
     return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
