@@ -39,7 +39,7 @@ def operators():
     yield "redact", lambda d: secrets.redact(d, secrets.train(secrets.labelled(d))), True
     yield "language", lambda d: language_id.predict(d, language_id.train(d, F.lit(True))), True
     yield "lm", lambda d: hmm_lm.score(d, F.lit(True), rounds=1), True
-    yield "cnn", lambda d: quality_cnn.classify(d, quality_cnn.fit([], [])), True
+    yield "cnn", lambda d: quality_cnn.classify(d, quality_cnn.Network().ready()), True
     yield "rules", lambda d: quality_rules.rules(d), True
     yield "mix", lambda d: mixing.mix(d), True
     yield "take", lambda d: mixing.take(d), False
