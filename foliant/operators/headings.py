@@ -1,4 +1,5 @@
-"""Heading evidence and chapter structure (P-02, P-03, H-01 .. H-17)."""
+"""Heading evidence and chapter structure (P-02, P-03, H-01 .. H-07, H-09, H-10,
+H-13 .. H-15, H-17); what is made of answers is in ``structure``."""
 
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ ARABIC_NUMBERED = rf"^\d{{1,4}}[.．、]{WS}*\S"
 ENGLISH_VOLUME = rf"(?i)^(?:part|book|volume){WS}+{ENGLISH_NUMBER}\b"
 ENGLISH_CHAPTER = rf"(?i)^chapter{WS}+{ENGLISH_NUMBER}\b"
 ENGLISH_SECTION = rf"(?i)^section{WS}+{ENGLISH_NUMBER}\b"
-SIGNALS = ("markdown", "bracketed", "explicit_volume", "explicit_chapter", "explicit_section", "special_heading", "numbered_short_line", "repeated_later", "likely_toc")
+SIGNALS = ("explicit_volume", "explicit_chapter", "explicit_section", "markdown", "bracketed", "special_heading", "numbered_short_line", "repeated_later", "likely_toc")
 STRONG_CAP, WEAK_CAP = 5_000, 1_200
 MAX_HEADING = 160
 ROLES = ("front_matter", "volume", "chapter", "section", "back_matter", "toc")
@@ -39,6 +40,10 @@ def nfkc(col: pd.Series) -> pd.Series:
     return col.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
+#: Marked so that no filter is computed by a second run of it.
+nfkc = nfkc.asNondeterministic()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once however often it is used:
     column aliases are inlined when a filter is pushed through a projection."""
@@ -84,18 +89,26 @@ def _classified(form: Column) -> Column:
     return let(form["display"], lambda shown: let(F.regexp_replace(shown, WS, ""), lambda compact: kinds(shown, compact)))
 
 
+#: What a heading of ASCII characters starts with, whatever its form.
+ASCII_START = r"(?i)^(?:[#\[*_]|\d{1,4}\.|part|book|volume|chapter|section|prologue|epilogue|preface|foreword|afterword)"
+
+
 def classify(paragraphs: DataFrame, text: str = "text") -> DataFrame:
     """P-02: the rows of ``paragraphs`` that may be headings, with normalized,
     level and signals.
 
     Normalisation joins at most three characters to one, so texts of over three
-    times MAX_HEADING and some marks can't qualify and are dropped first.  Only
-    texts with other than ASCII characters are normalised; the others cross to
-    Python as nulls.
+    times MAX_HEADING and some marks can't qualify and are dropped first, as are
+    texts in ASCII that start like no heading.  Only texts with other characters
+    are normalised; the others cross to Python as nulls.  A generator gives one
+    row to what fits and none to the rest, so nothing is computed a second time
+    for a filter.
     """
     rows = paragraphs.where(solid_chars(F.col(text)) <= 3 * MAX_HEADING + 32).withColumn("_t", trim(F.col(text)))
+    rows = rows.where(F.col("_t").rlike(r"[^\x00-\x7f]") | F.col("_t").rlike(ASCII_START))
     rows = rows.withColumn("_u", nfkc(F.when(F.col("_t").rlike(r"[^\x00-\x7f]"), F.col("_t"))))
-    rows = rows.withColumn("_h", let(unwrap(F.coalesce("_u", "_t")), _classified)).where("_h.fits")
+    fits = F.filter(F.array(let(unwrap(F.coalesce("_u", "_t")), _classified)), lambda x: x["fits"])
+    rows = rows.select(*paragraphs.columns, F.explode(fits).alias("_h"))
     return rows.select(*paragraphs.columns, "_h.normalized", "_h.level", "_h.signals")
 
 
@@ -165,17 +178,6 @@ def mask(signals: Column) -> Column:
     return F.aggregate(signals, F.lit(0), lambda a, s: a.bitwiseOR(bits[s]))
 
 
-def structure_issue(picks: DataFrame, candidates: DataFrame) -> DataFrame:
-    """H-12: (novel_id, issue) of the first rule that a novel's picks break:
-    duplicate, unknown, uncertain; null where none."""
-    n = picks.groupBy("novel_id", "n").agg(F.count("*").alias("c"))
-    known = n.join(candidates.select("novel_id", "n").withColumn("known", F.lit(True)), ["novel_id", "n"], "left")
-    by = known.groupBy("novel_id").agg(F.bool_or(F.col("c") > 1).alias("twice"), F.bool_or(F.col("known").isNull()).alias("unknown"))
-    unsure = picks.groupBy("novel_id").agg(F.bool_or(F.col("decision") == "uncertain").alias("unsure"))
-    issue = F.when(F.col("twice"), "duplicate_heading").when(F.col("unknown"), "unknown_candidate").when(F.col("unsure"), "uncertain_heading")
-    return by.join(unsure, "novel_id").select("novel_id", issue.alias("issue"))
-
-
 def parents(picks: DataFrame) -> DataFrame:
     """H-13: parent of each pick: the current volume of a chapter, the current
     chapter (else volume) of a section; a volume ends the chapter before it."""
@@ -217,15 +219,6 @@ def cost_of_range(paragraphs: DataFrame, ranges: DataFrame) -> DataFrame:
     return got.withColumn("cost", F.col("b") - F.col("a") - 1).drop("a", "b")
 
 
-def evidence_rows(candidates: DataFrame, context: bool = True) -> DataFrame:
-    """H-08: (novel_id, n, row, size): each candidate as one JSON array, with
-    its neighbours' text or, where that is too much, without."""
-    c = [F.col("n"), F.col("text"), F.col("level"), mask(F.col("signals"))]
-    extra = [F.col("before"), F.col("after")] if context else []
-    row = F.to_json(F.array(*(x.cast("string") for x in (*c, *extra))))
-    return candidates.select("novel_id", "n", row.alias("row"), F.length(row).alias("size"))
-
-
 def evidence_pages(rows: DataFrame, budget: int = 300_000) -> DataFrame:
     """H-09: (novel_id, n, page): rows in order, pages filled up to ``budget``
     characters with one between rows; each row on one page."""
@@ -243,11 +236,6 @@ def input_mode(novels: DataFrame, short: int = 30_000) -> DataFrame:
     return novels.select("novel_id", F.when(solid_chars(F.col("text")) <= short, "full_text").otherwise("candidate_evidence").alias("mode"))
 
 
-def cross_page_picks(picks: DataFrame, pages: DataFrame) -> DataFrame:
-    """H-16: picks (novel_id, page, n) that aren't on the page they came from."""
-    return picks.join(pages, ["novel_id", "page", "n"], "left_anti")
-
-
 def over_limit(found: DataFrame, strong: int = STRONG_CAP, weak: int = WEAK_CAP) -> DataFrame:
     """H-17: (novel_id, fallback): more strong candidates than are kept mean the
     plain fallback rather than a silent cut."""

@@ -1,17 +1,30 @@
-"""Scoping, identity candidates and canonical rewrites (F-01, F-02, F-04, F-07,
-F-09 .. F-12)."""
+"""Scoping, identity candidates, plans and canonical rewrites (F-01 .. F-04,
+F-07, F-09 .. F-12, O-08).
+
+Tables have a column novel_id unless a function says otherwise; every order and
+numbering is within a novel.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.functions.text import norm_text, scoped_id
+from foliant.functions.text import PILCROW, norm_text, scoped_id
+from foliant.sources.model import extract_json
 
-#: Pronouns that are nobody's name.
+#: Pronouns that are nobody's name, and the kinds of identity with their lists, name fields and ids.
 PRONOUNS = ("他", "她", "它", "他们", "她们", "其", "此人")
+PLAN_LISTS = {"char": ("groups", "canonicalName"), "object": ("objectGroups", "canonicalName"), "thread": ("threadGroups", "canonicalSummary")}
 PAGE, PAGE_CHARS = 100, 120_000
+SNIPPET_CHARS = 600
+NO_PARAGRAPH = (1 << 53) - 1
+_GROUP = "array<struct<memberIds:array<string>,canonicalName:string,canonicalSummary:string,aliases:array<string>,decision:string>>"
+PLAN = f"struct<groups:{_GROUP},objectGroups:{_GROUP},threadGroups:{_GROUP}>"
 
 
 def scope(rows: DataFrame, columns: list[str], chunk: str = "chunk_id") -> DataFrame:
@@ -21,31 +34,142 @@ def scope(rows: DataFrame, columns: list[str], chunk: str = "chunk_id") -> DataF
     return rows.withColumns(made)
 
 
+def first_paragraph(refs: Column) -> Column:
+    """A-05: the first paragraph that an array of references speaks of; one
+    beyond all where there is none."""
+    return F.coalesce(F.array_min(F.transform(refs, lambda r: r["start"].cast("long"))), F.lit(NO_PARAGRAPH))
+
+
+def last_paragraph(refs: Column) -> Column:
+    return F.array_max(F.transform(refs, lambda r: r["end"].cast("long")))
+
+
 def object_candidates(boundary: DataFrame, facts: DataFrame) -> DataFrame:
-    """F-02, A-15: (id, holders, locations, states) of each object, from its
-    boundary fields and its facts, routed by what their predicate speaks of."""
-    route = lambda c: F.when(c.rlike("hold|own|持有"), "holders").when(c.rlike("locat|位"), "locations").otherwise("states")
-    a = boundary.where("entity_type = 'object'").select(F.col("entity_id").alias("id"), route(F.lower("field")).alias("what"), "value")
-    b = facts.where("kind = 'object'").select(F.col("subject_id").alias("id"), route(F.lower("predicate")).alias("what"), "value")
-    rows = a.unionByName(b).where("value <> ''")
+    """A-15: (novel_id, id, holders, locations, states, first) of each object
+    from its boundary fields and its facts; a fact goes by what its predicate
+    speaks of, location before holder, and any other is a state predicate:value.
+
+    boundary (novel_id, entity_type, entity_id, field, value, first), facts
+    (novel_id, kind, subject_id, predicate, value, first).
+    """
+    said = norm_text(F.col("predicate"))
+    at = said.contains("location") | said.contains("位置")
+    held = said.contains("holder") | said.contains("持有")
+    what = F.when(F.col("field") == "holderCharacterId", "holders").when(F.col("field") == "location", "locations").when(F.col("field") == "state", "states")
+    a = boundary.where("entity_type = 'object'").select("novel_id", F.col("entity_id").alias("id"), what.alias("what"), F.nullif(F.col("value"), F.lit("")).alias("value"), "first")
+    b = facts.where("kind = 'object'").select(
+        "novel_id",
+        F.col("subject_id").alias("id"),
+        F.when(at, "locations").when(held, "holders").otherwise("states").alias("what"),
+        F.when(at | held, F.col("value")).otherwise(F.concat("predicate", F.lit(":"), "value")).alias("value"),
+        "first",
+    )
     of = lambda w: F.array_sort(F.collect_set(F.when(F.col("what") == w, F.col("value")))).alias(w)
-    return rows.groupBy("id").agg(of("holders"), of("locations"), of("states"))
+    return a.unionByName(b).groupBy("novel_id", "id").agg(of("holders"), of("locations"), of("states"), F.min("first").alias("first"))
+
+
+def identity_candidates(characters: DataFrame, objects: DataFrame, threads: DataFrame) -> DataFrame:
+    """F-02: (novel_id, entity, id, name, first, ord): characters, then objects,
+    then threads, each in the order given.  characters (novel_id, ord, id, name,
+    first), objects (novel_id, id, first), threads (novel_id, ord, id, summary,
+    first); objects are in order of first paragraph."""
+    o = objects.withColumn("ord", F.row_number().over(W.partitionBy("novel_id").orderBy("first", "id")))
+    parts = [("char", 0, characters, "name"), ("object", 1, o, "id"), ("thread", 2, threads, "summary")]
+    rows = [d.select("novel_id", F.lit(e).alias("entity"), F.lit(k).alias("_k"), F.col("ord").cast("long").alias("_o"), "id", F.col(n).alias("name"), F.col("first").cast("long").alias("first")) for e, k, d, n in parts]
+    all_ = reduce(DataFrame.unionByName, rows)
+    return all_.withColumn("ord", F.row_number().over(W.partitionBy("novel_id").orderBy("_k", "_o", "id"))).drop("_k", "_o")
+
+
+def evidence_snippets(refs: DataFrame, paragraphs: DataFrame, most: int = SNIPPET_CHARS) -> DataFrame:
+    """O-06, O-08: (novel_id, id, pos, start, end, snippet): the first, middle
+    and last reference of an id with their numbered paragraphs, together at most
+    ``most`` characters.  refs (novel_id, id, pos, start, end), paragraphs
+    (novel_id, n, text)."""
+    w = W.partitionBy("novel_id", "id")
+    r = refs.withColumn("k", F.row_number().over(w.orderBy("pos")) - 1).withColumn("total", F.count("*").over(w))
+    r = r.where((F.col("k") == 0) | (F.col("k") == F.floor((F.col("total") - 1) / 2)) | (F.col("k") == F.col("total") - 1)).select("novel_id", "id", "pos", "start", "end")
+    line = F.concat(F.lit(PILCROW), F.col("n").cast("string"), F.lit(" "), "text")
+    met = r.join(paragraphs, "novel_id").where("n between start and end").groupBy("novel_id", "id", "pos").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("t")))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: x["t"]), "\n")
+    whole = r.join(met, ["novel_id", "id", "pos"], "left").groupBy("novel_id", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", F.coalesce(text, F.lit("")).alias("t")))).alias("x"))
+    # what the snippets before have left over
+    left = lambda i: F.greatest(F.lit(most) - F.aggregate(F.slice(F.col("x"), 1, i), F.lit(0), lambda a, v: a + F.length(v["t"])), F.lit(0))
+    cut = F.transform("x", lambda v, i: F.struct(v["pos"].alias("pos"), v["start"].alias("start"), v["end"].alias("end"), F.substring(v["t"], F.lit(1), left(i)).alias("snippet")))
+    return whole.select("novel_id", "id", F.explode(cut).alias("v")).select("novel_id", "id", "v.*")
 
 
-def candidate_pages(candidates: DataFrame, entity: str = "entity", order: str = "id", size: str = "size") -> DataFrame:
-    """O-09, F-03: ``candidates`` with page: at most PAGE of them and PAGE_CHARS
-    characters on one, in order within an entity."""
-    from foliant.operators.repair import repair_batches
+def candidate_pages(candidates: DataFrame, order: str = "ord", size: str = "size", most: int = PAGE, chars: int = PAGE_CHARS) -> DataFrame:
+    """O-09, F-03: ``candidates`` with page, from 0 within a novel: blocks of
+    ``most`` in order, and a block of over ``chars`` characters is halved until
+    its parts fit."""
+    from foliant.operators.sequences import halved_blocks
 
-    rows = candidates.select(F.col(entity).alias("chunk_pair"), F.col(order).alias("issue_id"), F.col(size).alias("size"))
-    return repair_batches(rows, PAGE, PAGE_CHARS).select(F.col("chunk_pair").alias(entity), F.col("issue_id").alias(order), F.col("batch").alias("page"))
+    return halved_blocks(candidates, ["novel_id"], order, size, most, chars, "page")
 
 
-def merge_pages(groups: DataFrame) -> DataFrame:
-    """F-04, T12: the plans of all pages as one; with more than one page every
-    assignment of that entity is uncertain."""
-    many = F.max("page").over(W.partitionBy("entity")) != F.min("page").over(W.partitionBy("entity"))
-    return groups.withColumn("decision", F.when(many, "uncertain").otherwise(F.col("decision"))).withColumn("grp", F.concat_ws("/", F.col("page").cast("string"), "grp"))
+def parse_plan(answers: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """F-03: (plan, errors) of the answers (novel_id, page, raw) about candidates
+    (novel_id, page, entity, id).
+
+    plan: (novel_id, page, entity, grp, pos, member_id, name, decision).  errors:
+    (novel_id, page, entity, rule, at) for answers that are no JSON, lists that
+    are missing, groups without members, name or decision, and candidates that a
+    plan has twice, lacks or doesn't know.
+    """
+    got = answers.withColumn("_a", F.from_json(extract_json(F.col("raw")), PLAN)).withColumn("_ok", F.try_parse_json(extract_json(F.col("raw"))).isNotNull())
+    say = lambda df, rule, at: df.select("novel_id", "page", "entity", F.lit(rule).alias("rule"), at.cast("string").alias("at"))
+    errors = [say(got.where("not _ok").withColumn("entity", F.lit("")), "invalid_json", F.lit(""))]
+    groups = []
+    for entity, (key, name) in PLAN_LISTS.items():
+        asked = candidates.where(F.col("entity") == entity).select("novel_id", "page").distinct()
+        rows = got.where("_ok").withColumn("entity", F.lit(entity))
+        absent = rows.where(F.col("_a")[key].isNull())
+        errors.append(say(absent if entity == "char" else absent.join(asked, ["novel_id", "page"], "left_semi"), "missing_list", F.lit(key)))
+        groups.append(rows.select("novel_id", "page", "entity", F.posexplode(F.col("_a")[key]).alias("g", "v")).select("novel_id", "page", "entity", "g", F.col("v.memberIds").alias("members"), F.col(f"v.{name}").alias("name"), F.col("v.aliases").alias("aliases"), F.col("v.decision").alias("decision")))
+    g = reduce(DataFrame.unionByName, groups)
+    bad = F.coalesce(F.size("members"), F.lit(0)) < 1
+    errors.append(say(g.where(bad | F.coalesce(F.exists("members", lambda x: x.isNull()), F.lit(False))), "members_empty", F.col("g")))
+    errors.append(say(g.where(F.coalesce(norm_text(F.col("name")) == "", F.lit(True))), "name_empty", F.col("g")))
+    errors.append(say(g.where((F.col("entity") == "char") & (F.col("aliases").isNull() | F.exists("aliases", lambda x: x.isNull()))), "aliases", F.col("g")))
+    errors.append(say(g.where(~F.coalesce(F.col("decision").isin("same", "uncertain"), F.lit(False))), "decision", F.col("g")))
+    plan = g.select("novel_id", "page", "entity", F.concat_ws("/", F.col("page").cast("string"), F.col("g").cast("string")).alias("grp"), F.posexplode("members").alias("pos", "member_id"), "name", "decision")
+    of = ["novel_id", "page", "entity", "member_id"]
+    there = candidates.select("novel_id", "page", "entity", F.col("id").alias("member_id")).distinct()
+    errors.append(say(plan.groupBy(*of).agg(F.count("*").alias("n")).where("n > 1"), "duplicate_member", F.col("member_id")))
+    errors.append(say(plan.join(there, of, "left_anti").select(*of).distinct(), "unknown_member", F.col("member_id")))
+    # only where there is a list is a candidate that isn't in it missing
+    listed = reduce(DataFrame.unionByName, [got.where("_ok").where(F.col("_a")[k].isNotNull()).select("novel_id", "page", F.lit(e).alias("entity")) for e, (k, _) in PLAN_LISTS.items()])
+    errors.append(say(there.join(listed.distinct(), ["novel_id", "page", "entity"], "left_semi").join(plan, of, "left_anti"), "missing_member", F.col("member_id")))
+    return plan, reduce(DataFrame.unionByName, errors)
+
+
+def assign(plan: DataFrame, candidates: DataFrame) -> DataFrame:
+    """F-03, F-04, T11, T12: (novel_id, entity, canonical_id, name, decision,
+    member_ids, first): the groups of all pages, numbered by earliest evidence,
+    then by first member.  Uncertain groups fall apart into their members, which
+    keep their own names; in a novel of more than one page every decision is
+    uncertain, but what a page has joined stays joined."""
+    rows = plan.join(candidates.select("novel_id", "entity", F.col("id").alias("member_id"), F.col("name").alias("_own"), "first"), ["novel_id", "entity", "member_id"])
+    alone = F.col("decision") == "uncertain"
+    rows = rows.withColumns({"_u": F.when(alone, F.concat("grp", F.lit("/"), "member_id")).otherwise(F.col("grp")), "name": F.when(alone, F.col("_own")).otherwise(F.col("name"))})
+    by = rows.groupBy("novel_id", "entity", "_u").agg(
+        F.min_by("name", "pos").alias("name"), F.min("decision").alias("decision"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "member_id"))), lambda x: x["member_id"]).alias("member_ids"), F.min("first").alias("first")
+    )
+    pages = plan.groupBy("novel_id").agg(F.count_distinct("page").alias("_pages"))
+    n = F.row_number().over(W.partitionBy("novel_id", "entity").orderBy("first", F.col("member_ids")[0]))
+    by = by.withColumn("canonical_id", F.format_string("%s_%04d", F.col("entity"), n)).join(pages, "novel_id")
+    return by.select("novel_id", "entity", "canonical_id", "name", F.when(F.col("_pages") > 1, "uncertain").otherwise(F.col("decision")).alias("decision"), "member_ids", "first")
+
+
+def identity_conflicts(plan: DataFrame) -> DataFrame:
+    """F-04, T11, T12: (novel_id, id, members): one for each uncertain group of
+    more than one member, and one for a novel of more than one page."""
+    g = plan.where("decision = 'uncertain'").groupBy("novel_id", "entity", "page", "grp").agg(F.array_sort(F.collect_list("member_id")).alias("members")).where(F.size("members") > 1)
+    kind = F.when(F.col("entity") == "char", "conflict_identity_").otherwise(F.concat(F.lit("conflict_"), "entity", F.lit("_identity_")))
+    n = F.row_number().over(W.partitionBy("novel_id", "entity").orderBy("page", "grp"))
+    rows = g.select("novel_id", F.concat(kind, F.format_string("%03d", n)).alias("id"), "members")
+    paged = plan.groupBy("novel_id").agg(F.count_distinct("page").alias("p")).where("p > 1")
+    return rows.unionByName(paged.select("novel_id", F.lit("conflict_identity_pagination_001").alias("id"), F.array().cast("array<string>").alias("members")))
 
 
 def build_characters(members: DataFrame) -> DataFrame:
@@ -78,32 +202,65 @@ def merge_scalars(rows: DataFrame, key: list[str], value: str) -> DataFrame:
 
 
 def match_characters(incoming: DataFrame, known: DataFrame) -> DataFrame:
-    """F-07, P-08: (id, outcome): same if the id is known under that name or an
-    alias, conflict if it is known otherwise, provisional if a name but a pronoun
-    is somebody else's, new if not.  Both tables: (id, names array)."""
-    flat = lambda d: d.select("id", F.explode("names").alias("n")).select("id", norm_text(F.col("n")).alias("n")).where((F.col("n") != "") & ~F.col("n").isin(*PRONOUNS)).distinct()
-    a, b = flat(incoming), flat(known)
-    own = a.join(b, ["id", "n"], "left_semi").select("id").distinct().withColumn("own", F.lit(True))
-    other = a.join(b.select(F.col("id").alias("_o"), "n"), "n").where("id <> _o").select("id").distinct().withColumn("other", F.lit(True))
-    got = incoming.select("id").join(known.select("id").withColumn("there", F.lit(True)), "id", "left").join(own, "id", "left").join(other, "id", "left")
-    outcome = F.when(F.col("there") & F.col("own"), "same").when(F.col("there"), "conflict").when(F.col("other"), "provisional").otherwise("new")
-    return got.select("id", outcome.alias("outcome"))
-
-
-def merge_threads(state: DataFrame, opened: DataFrame, resolved: DataFrame) -> DataFrame:
-    """F-09: (id, summary, status) after a delta: opened threads join, resolved
-    ones close; a thread opened again keeps its first summary."""
-    rows = state.select("id", "summary", "status", F.lit(0).alias("_p")).unionByName(opened.select("id", "summary", F.lit("open").alias("status"), F.lit(1).alias("_p")))
-    by = rows.groupBy("id").agg(F.min_by("summary", "_p").alias("summary"), F.max_by("status", "_p").alias("status"))
-    done = resolved.select("id", F.lit(True).alias("_d")).distinct()
-    return by.join(done, "id", "left").select("id", "summary", F.when(F.col("_d"), "resolved").otherwise(F.col("status")).alias("status"))
+    """F-07, P-08: (novel_id, ord, id, outcome) of characters arriving in order.
+
+    Under a known id: conflict if the name differs or a name is also somebody
+    else's, else same, and its names join.  Under a new id: provisional if a name
+    is somebody else's, else new; either way it is known to those after it.
+    Pronouns are nobody's name, but two characters called alike collide.  Both
+    tables: (novel_id, ord, id, name, aliases); the state of a novel is a fold.
+    """
+    tidy = lambda c: norm_text(F.col(c))
+    names = F.array_distinct(F.filter(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), norm_text), lambda x: (x != "") & ~x.isin(*PRONOUNS)))
+    part = lambda d, new: d.select("novel_id", F.lit(new).alias("new"), F.col("ord").cast("long").alias("ord"), "id", tidy("name").alias("name"), names.alias("names"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        name_of: dict[str, str] = {}
+        owners: dict[str, set[str]] = {}  # of a meaningful name
+        called: dict[str, set[str]] = {}  # of a primary name
+        out = []
+        for r in pdf.sort_values(["new", "ord"]).itertuples(index=False):
+            own = list(r.names)
+            others = set().union(*(owners.get(n, set()) for n in own), called.get(r.name, set())) - {r.id}
+            there = r.id in name_of
+            if r.new:
+                outcome = ("conflict" if others or name_of[r.id] != r.name else "same") if there else ("provisional" if others else "new")
+                out.append((r.novel_id, r.ord, r.id, outcome))
+                if outcome == "conflict":
+                    continue
+            if not there:
+                name_of[r.id] = r.name
+                called.setdefault(r.name, set()).add(r.id)
+            for n in own:
+                owners.setdefault(n, set()).add(r.id)
+        return pd.DataFrame(out, columns=["novel_id", "ord", "id", "outcome"])
+
+    kinds = dict(incoming.dtypes)
+    return part(known, False).unionByName(part(incoming, True)).groupBy("novel_id").applyInPandas(fold, f"novel_id {kinds['novel_id']}, ord long, id {kinds['id']}, outcome string")
+
+
+def merge_threads(state: DataFrame, opened: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """F-09, T15: ((novel_id, id, summary, status), (novel_id, id, rule)) after a
+    delta: opened threads that are new join as open, resolved ones close.  A
+    thread opened again stays as it is, and is a conflict if its summary differs;
+    so is closing one that isn't there.  state (novel_id, id, summary, status),
+    opened (novel_id, ord, id, summary), resolved (novel_id, id)."""
+    w = W.partitionBy("novel_id", "id").orderBy("_p", "ord")
+    rows = state.select("novel_id", "id", "summary", "status", F.lit(0).alias("_p"), F.lit(0).cast("long").alias("ord")).unionByName(opened.select("novel_id", "id", "summary", F.lit("open").alias("status"), F.lit(1).alias("_p"), F.col("ord").cast("long").alias("ord")))
+    rows = rows.withColumn("_first", F.first("summary").over(w)).withColumn("_k", F.row_number().over(w))
+    done = resolved.select("novel_id", "id", F.lit(True).alias("_d")).distinct()
+    after = rows.where("_k = 1").join(done, ["novel_id", "id"], "left").select("novel_id", "id", "summary", F.when(F.col("_d"), "resolved").otherwise(F.col("status")).alias("status"))
+    other = rows.where((F.col("_k") > 1) & (norm_text(F.col("summary")) != norm_text(F.col("_first")))).select("novel_id", "id", F.lit("thread_differs").alias("rule"))
+    gone = resolved.join(rows.select("novel_id", "id"), ["novel_id", "id"], "left_anti").select("novel_id", "id", F.lit("thread_missing").alias("rule"))
+    return after, other.unionByName(gone)
 
 
 def merge_conflicts(state: DataFrame, raised: DataFrame, closed: DataFrame, version: Column) -> DataFrame:
-    """F-10: (id, type, description, status) after a delta: raised conflicts get
-    ids conflict_v<version>_<seq> in order; closed ones are resolved."""
-    seq = F.row_number().over(W.orderBy("ord"))
-    new = raised.select(F.format_string("conflict_v%d_%d", version, seq).alias("id"), "type", "description", F.lit("open").alias("status"))
-    done = closed.select("id", F.lit(True).alias("_d")).distinct()
-    rows = state.select("id", "type", "description", "status").unionByName(new).join(done, "id", "left")
+    """F-10: (novel_id, id, type, description, status) after a delta: raised
+    conflicts get ids conflict_v<version>_<seq> in order, from 001; closed ones
+    are resolved.  raised: (novel_id, ord, type, description)."""
+    seq = F.row_number().over(W.partitionBy("novel_id").orderBy("ord"))
+    new = raised.select("novel_id", F.format_string("conflict_v%d_%03d", version, seq).alias("id"), "type", "description", F.lit("open").alias("status"))
+    done = closed.select("novel_id", "id", F.lit(True).alias("_d")).distinct()
+    rows = state.select("novel_id", "id", "type", "description", "status").unionByName(new).join(done, ["novel_id", "id"], "left")
     return rows.withColumn("status", F.when(F.col("_d"), "resolved").otherwise(F.col("status"))).drop("_d")

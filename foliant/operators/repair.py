@@ -1,13 +1,18 @@
-"""Boundary repair (F-16 .. F-19) and the relevance snapshot (F-22, P-06)."""
+"""Boundary repair (F-16 .. F-21) and the relevance snapshot (F-22, P-05 .. P-07)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.functions import text as T
 from foliant.functions.text import canonical_predicate, fact_key, norm_text
+from foliant.operators.knowledge import conflict_ids
+from foliant.operators.sequences import budget_pick, halved_blocks
 
 BATCH_ISSUES, BATCH_CHARS = 40, 120_000
 #: Entity and boundary field, and the predicate of the facts that speak of it.
@@ -54,25 +59,9 @@ def changed_terms(left: Column, right: Column) -> Column:
 
 def repair_batches(issues: DataFrame, most: int = BATCH_ISSUES, chars: int = BATCH_CHARS) -> DataFrame:
     """F-17, O-09: ``issues`` (chunk_pair, issue_id, size) with batch: per pair of
-    chunks, at most ``most`` issues and ``chars`` characters; an issue that is
-    too large stands alone."""
-
-    @F.pandas_udf("array<int>")
-    def deal(col: pd.Series) -> pd.Series:
-        def one(v) -> list[int]:
-            out, b, n, used = [], 0, 0, 0
-            for x in v:
-                if n and (n >= most or used + x > chars):
-                    b, n, used = b + 1, 0, 0
-                n, used = n + 1, used + x
-                out.append(b)
-            return out
-
-        return col.map(one)
-
-    by = issues.groupBy("chunk_pair").agg(F.array_sort(F.collect_list(F.struct("issue_id", "size"))).alias("x"))
-    got = by.select("chunk_pair", F.explode(F.arrays_zip("x", deal(F.transform("x", lambda r: r["size"])).alias("b"))).alias("z"))
-    return got.select("chunk_pair", F.col("z.x.issue_id").alias("issue_id"), F.col("z.b").alias("batch"))
+    chunks ``most`` issues at a time, halved until they have at most ``chars``
+    characters; an issue that is too large stands alone."""
+    return halved_blocks(issues.select("chunk_pair", "issue_id", "size"), ["chunk_pair"], "issue_id", "size", most, chars, "batch").select("chunk_pair", "issue_id", "batch")
 
 
 def apply_answers(issues: DataFrame, answers: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -107,23 +96,153 @@ def apply_transitions(conflicts: DataFrame, transitions: DataFrame) -> DataFrame
     return rows.groupBy("key").applyInPandas(fold, "key string, ord long, conflict_id string, closed boolean, active string")
 
 
+def apply_state_changes(facts: DataFrame, conflicts: DataFrame, transitions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """F-19: (facts, conflicts) after the issues' state changes, in their order.
+
+    A change applies to an open conflict of its two facts if the existing fact is
+    still in force and the incoming one isn't a fact yet.  Then the incoming fact
+    is added, superseding the other, and the conflict is resolved; that may enable
+    the next change.  facts (novel_id, id, key, value, superseded_by), conflicts
+    (novel_id, conflict_id, existing_id, incoming_id, key, value), transitions
+    (novel_id, ord, existing_id, incoming_id).  Results: (novel_id, id, key,
+    value, supersedes, superseded_by, reason) and (novel_id, conflict_id, status,
+    resolved_by).
+    """
+    rows = facts.select("novel_id", F.lit("fact").alias("what"), F.lit(0).cast("long").alias("ord"), "id", F.lit(None).cast("string").alias("other"), "key", "value", F.col("superseded_by").alias("extra"))
+    rows = rows.unionByName(conflicts.select("novel_id", F.lit("conflict").alias("what"), F.lit(0).cast("long").alias("ord"), F.col("incoming_id").alias("id"), F.col("existing_id").alias("other"), "key", "value", F.col("conflict_id").alias("extra")))
+    rows = rows.unionByName(transitions.select("novel_id", F.lit("change").alias("what"), F.col("ord").cast("long").alias("ord"), F.col("incoming_id").alias("id"), F.col("existing_id").alias("other"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("extra")))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        novel = pdf["novel_id"].iloc[0]
+        of = lambda w: pdf[pdf["what"] == w].sort_values(["ord", "id"]).itertuples(index=False)
+        # id: [key, value, supersedes, superseded_by, reason]
+        held = {r.id: [r.key, r.value, None, r.extra, None] for r in of("fact")}
+        open_ = {(r.other, r.id): r for r in of("conflict")}
+        status = {r.extra: ("open", None) for r in open_.values()}
+        for t in of("change"):
+            c, old = open_.get((t.other, t.id)), held.get(t.other)
+            if c is None or old is None or old[3] is not None or t.id in held or old[0] != c.key:
+                continue
+            old[3] = t.id
+            held[t.id] = [c.key, c.value, t.other, None, "state_change"]
+            status[c.extra] = ("resolved", t.id)
+        out = [(novel, "fact", i, *v) for i, v in held.items()] + [(novel, "conflict", i, None, None, s, by, None) for i, (s, by) in status.items()]
+        return pd.DataFrame(out, columns=["novel_id", "what", "id", "key", "value", "a", "b", "reason"])
+
+    got = rows.groupBy("novel_id").applyInPandas(fold, "novel_id string, what string, id string, key string, value string, a string, b string, reason string")
+    after = got.where("what = 'fact'").select("novel_id", "id", "key", "value", F.col("a").alias("supersedes"), F.col("b").alias("superseded_by"), "reason")
+    return after, got.where("what = 'conflict'").select("novel_id", F.col("id").alias("conflict_id"), F.col("a").alias("status"), F.col("b").alias("resolved_by"))
+
+
 def residual_conflicts(decisions: DataFrame, issues: DataFrame) -> DataFrame:
-    """F-20, F-21: what stays unresolved, numbered in issue order."""
-    left = decisions.where("decision = 'unresolved'").join(issues, "issue_id")
-    return left.withColumn("conflict_id", F.format_string("conflict_%04d", F.row_number().over(W.orderBy("issue_id"))))
+    """F-20: the issues of a novel that stay unresolved, as conflicts numbered in
+    their order; decisions (issue_id, decision), issues (novel_id, ord,
+    issue_id, ...)."""
+    left = issues.join(decisions.where("decision = 'unresolved'").select("issue_id"), "issue_id", "left_semi")
+    return conflict_ids(left, "boundary", ["novel_id"], ["ord", "issue_id"])
+
+
+#: F-21: the order in which the kinds of conflicts are listed.
+CONFLICT_ORDER = ("identity_pagination", "identity", "object_identity", "thread_identity", "fact", "timeline", "thread", "boundary", "open_reference")
 
 
-def relevant_facts(facts: DataFrame, characters: DataFrame, text: DataFrame) -> DataFrame:
-    """P-05, P-06: active facts that are constraints or whose subject or
-    perspective is named in the chunk's text, or is the value of such a fact.
+def conflict_list(parts: dict[str, DataFrame]) -> DataFrame:
+    """F-21: (novel_id, ord, kind, conflict_id): all conflicts of a novel in fixed
+    order of their kinds; each part has (novel_id, conflict_id)."""
+    rows = [d.select("novel_id", F.lit(CONFLICT_ORDER.index(k)).alias("_k"), F.lit(k).alias("kind"), "conflict_id") for k, d in parts.items()]
+    n = F.row_number().over(W.partitionBy("novel_id").orderBy("_k", "conflict_id"))
+    return reduce(DataFrame.unionByName, rows).withColumn("ord", n).select("novel_id", "ord", "kind", "conflict_id")
 
-    facts (novel_id, id, kind, subject_id, perspective_id, value, superseded_by),
-    characters (novel_id, id, name), text (novel_id, chunk_id, text).
+
+def active(facts: DataFrame) -> DataFrame:
+    """P-05: facts that no other supersedes."""
+    return facts.where("superseded_by is null")
+
+
+def still_open(rows: DataFrame) -> DataFrame:
+    """P-07: threads or conflicts that are open."""
+    return rows.where("status = 'open'")
+
+
+def mentioned(characters: DataFrame, boundary: DataFrame, facts: DataFrame, text: DataFrame) -> DataFrame:
+    """P-06: (novel_id, chunk_id, id) of the characters that matter to a chunk:
+    those of whom a name or alias is in its text, those of the boundary state
+    before it, and, in order of the active facts, each character that is the
+    value of a fact about one of them.
+
+    characters (novel_id, ord, id, name, aliases), boundary (novel_id, chunk_id,
+    id), facts (novel_id, ord, subject_id, value, superseded_by), text (novel_id,
+    chunk_id, text).
     """
-    named = text.join(characters, "novel_id").where(F.contains("text", "name")).select("novel_id", "chunk_id", "id").distinct()
-    live = facts.where("superseded_by is null")
-    one = live.join(named.withColumnRenamed("id", "subject_id"), ["novel_id", "subject_id"]).select("novel_id", "chunk_id", F.col("value").alias("id"))
-    people = named.union(one.join(characters.select("novel_id", "id"), ["novel_id", "id"], "left_semi").select("novel_id", "chunk_id", "id")).distinct()
-    by = lambda c: live.join(people.withColumnRenamed("id", c), ["novel_id", c]).select("novel_id", "chunk_id", "id")
+    names = characters.select("novel_id", "id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n")).select("novel_id", "id", norm_text(F.col("n")).alias("n")).where("n <> ''").distinct()
+    told = text.select("novel_id", "chunk_id", norm_text(F.col("text")).alias("t"))
+    by_novel = names.groupBy("novel_id").agg(F.collect_list(F.struct("id", "n")).alias("names"))
+    named = told.join(by_novel, "novel_id").select("novel_id", "chunk_id", F.explode(F.array_distinct(F.transform(F.filter("names", lambda x: F.contains(F.col("t"), x["n"])), lambda x: x["id"]))).alias("id"))
+    start = named.unionByName(boundary.select("novel_id", "chunk_id", "id")).distinct()
+    links = active(facts).join(characters.select("novel_id", F.col("id").alias("value")).distinct(), ["novel_id", "value"], "left_semi")
+    links = links.groupBy("novel_id").agg(F.array_sort(F.collect_list(F.struct("ord", "subject_id", "value"))).alias("links"))
+    by = start.groupBy("novel_id", "chunk_id").agg(F.collect_set("id").alias("ids")).join(links, "novel_id", "left")
+    more = F.aggregate(F.coalesce("links", F.array().cast(links.schema["links"].dataType)), F.col("ids"), lambda a, x: F.when(F.array_contains(a, x["subject_id"]), F.array_union(a, F.array(x["value"]))).otherwise(a))
+    return by.select("novel_id", "chunk_id", F.explode(more).alias("id"))
+
+
+def relevant_facts(facts: DataFrame, who: DataFrame, text: DataFrame) -> DataFrame:
+    """P-06: (novel_id, chunk_id, id) of active facts that are constraints or whose
+    subject or perspective is among a chunk's characters ``who``."""
+    live = active(facts)
+    by = lambda c: live.join(who.withColumnRenamed("id", c), ["novel_id", c]).select("novel_id", "chunk_id", "id")
     always = live.where("kind = 'constraint'").join(text.select("novel_id", "chunk_id"), "novel_id").select("novel_id", "chunk_id", "id")
     return by("subject_id").union(by("perspective_id")).union(always).distinct()
+
+
+#: The characters that each section of a snapshot may take.
+SECTIONS = {"characterIndex": 7_000, "relevantCharacters": 10_000, "activeFactIndex": 11_000, "relevantFacts": 24_000, "timelineIndex": 7_000, "recentTimeline": 10_000, "openThreads": 8_000, "openConflicts": 16_000}
+RECENT = 40
+
+
+def snapshot(characters: DataFrame, facts: DataFrame, timeline: DataFrame, threads: DataFrame, conflicts: DataFrame, boundary: DataFrame, text: DataFrame, sections: dict[str, int] | None = None) -> DataFrame:
+    """F-22, O-03 .. O-05, U-02: (novel_id, chunk_id, section, pos, id, item,
+    taken): what a novel's knowledge base shows a chunk, item by item as JSON in
+    order, and whether the item still fits its section's budget.
+
+    Characters that matter come first, then all from the last; facts likewise,
+    both from the last; events, open threads and open conflicts from the last,
+    of events also the RECENT last in full.  Tables have novel_id, ord and id;
+    their columns are what is shown.  See ``mentioned`` for the others.
+    """
+    most = sections or SECTIONS
+    chunks = text.select("novel_id", "chunk_id").distinct()
+    who = mentioned(characters, boundary, facts, text)
+    of_chunk = ["novel_id", "chunk_id", "id"]
+    hit = who.withColumn("_hit", F.lit(True)).distinct()
+    people = characters.withColumn("identity_status", F.coalesce("identity_status", F.lit("confirmed"))).join(chunks, "novel_id").join(hit, of_chunk, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    live = active(facts).drop("superseded_by").join(chunks, "novel_id")
+    live = live.join(relevant_facts(facts, who, text).withColumn("_hit", F.lit(True)), of_chunk, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    late = lambda d: d.join(chunks, "novel_id")
+
+    def section(rows: DataFrame, name: str, order: list[Column], columns: list[str] | None = None, head: int | None = None) -> DataFrame:
+        shown = columns or [c for c in rows.columns if c not in ("novel_id", "chunk_id", "ord", "_hit")]
+        pos = F.row_number().over(W.partitionBy("novel_id", "chunk_id").orderBy(*order))
+        made = rows.withColumn("pos", pos).select("novel_id", "chunk_id", F.lit(name).alias("section"), "pos", F.col("id").cast("string").alias("id"), F.to_json(F.struct(*shown)).alias("item"))
+        return made if head is None else made.where(F.col("pos") <= head)
+
+    first = F.when(F.col("_hit"), F.col("ord")).otherwise(-F.col("ord"))
+    last = F.col("ord").desc()
+    rows = [
+        section(people, "characterIndex", [F.col("_hit").desc(), first], ["id", "name", "aliases", "identity_status"]),
+        section(people.where("_hit"), "relevantCharacters", [F.col("ord")], ["id", "name", "aliases", "description", "identity_status"]),
+        section(live, "activeFactIndex", [F.col("_hit").desc(), last], ["id", "kind", "subject_id", "predicate", "value", "status", "perspective_id"]),
+        section(live, "relevantFacts", [F.col("_hit").desc(), last]),
+        section(late(timeline), "timelineIndex", [last], ["id", "summary", "ord", "character_ids"]),
+        section(late(timeline), "recentTimeline", [last], None, RECENT),
+        section(late(still_open(threads)), "openThreads", [last]),
+        section(late(still_open(conflicts)), "openConflicts", [last]),
+    ]
+    items = reduce(DataFrame.unionByName, rows).withColumn("size", T.utf16_units(F.col("item")) + 1)
+    budget = F.create_map(*(F.lit(x) for p in most.items() for x in p))[F.col("section")] - 1
+    return budget_pick(items, ["novel_id", "chunk_id", "section"], "pos", "size", budget).drop("size")
+
+
+def snapshot_counts(shown: DataFrame) -> DataFrame:
+    """F-22: (novel_id, chunk_id, section, taken, omitted)."""
+    return shown.groupBy("novel_id", "chunk_id", "section").agg(F.count_if("taken").alias("taken"), F.count_if(~F.col("taken")).alias("omitted"))

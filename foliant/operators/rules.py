@@ -13,8 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import fact_key, norm_text
+from foliant.functions.text import fact_key, norm_text, scoped_id, utf16_units
 from foliant.operators.screenplay import blank
+from foliant.sources.model import extract_json
 
 #: The vocabularies of the model.
 FACT_KINDS = ("character", "relationship", "timeline", "location", "object", "knowledge", "constraint")
@@ -24,6 +25,10 @@ REASONS = ("state_change", "correction", "reveal")
 SIDES = ("entry", "exit")
 CHARACTER_KINDS = ("character", "relationship", "timeline", "location", "knowledge")
 STORY_SUBJECTS = ("global:story", "story", "novel", "全书", "故事", "小说")
+RESOLUTIONS = ("confirmed_existing", "confirmed_incoming", "state_change", "correction")
+DELTA_LISTS = ("characters", "newFacts", "timelineEvents", "openedThreads", "resolvedThreads", "reportedConflicts", "resolvedConflicts")
+LOCAL_LISTS = ("characters", "facts", "timelineEvents", "threadObservations")
+DELTA_CHARS, BOUNDARY_CHARS = 200_000, 25_000
 
 
 def _rows(df: DataFrame, when: Column, rule: str, path: Column) -> DataFrame:
@@ -139,7 +144,7 @@ def boundary_rules(boundary: DataFrame, chunks: DataFrame, characters: DataFrame
     ids = characters.select("chunk_id", F.col("id").alias("_c")).distinct()
     who = boundary.where("entity_type = 'character'").withColumn("_c", F.col("id"))
     out.append(_rows(who.join(ids, ["chunk_id", "_c"], "left_anti"), F.lit(True), "boundary_character", _at("boundary")))
-    holder = boundary.where("entity_type = 'object' and field = 'holder' and value <> ''").withColumn("_c", F.col("value"))
+    holder = boundary.where("entity_type = 'object' and field = 'holderCharacterId' and value <> ''").withColumn("_c", F.col("value"))
     out.append(_rows(holder.join(ids, ["chunk_id", "_c"], "left_anti"), F.lit(True), "boundary_holder", _at("boundary")))
     twice = boundary.groupBy("chunk_id", "side", "entity_type", "id", "field").agg(F.count("*").alias("n"))
     out.append(_rows(twice, F.col("n") > 1, "boundary_twice", _at("boundary")))
@@ -159,3 +164,135 @@ def conflict_rules(closed: DataFrame, opened: DataFrame, facts: DataFrame) -> Da
         _rows(cited.join(facts.select(F.col("id").alias("fact_id")).distinct(), "fact_id", "left_anti"), F.lit(True), "conflict_fact", _at("conflicts")),
         _rows(twice, F.col("n") > 1, "conflict_twice", _at("conflicts")),
     ])
+
+
+def closing_rules(closed: DataFrame, conflicts: DataFrame, facts: DataFrame) -> DataFrame:
+    """D-27, D-28: a conflict is closed by a fact, with a known resolution, and
+    only if it has both sides; the fact must have the existing one's key, and its
+    value (confirmed_existing), the incoming one's value and supersede the
+    existing one (confirmed_incoming), or supersede it (other resolutions).
+
+    closed (chunk_id, id, resolution, fact_id), conflicts (id, status,
+    existing_id, incoming_value), facts (id, key, value, supersedes).
+    """
+    open_ = conflicts.where("status = 'open'").select("id", "existing_id", F.col("incoming_value").alias("_in"))
+    old = facts.select(F.col("id").alias("existing_id"), F.col("key").alias("_k"), F.col("value").alias("_v"))
+    new = facts.select(F.col("id").alias("fact_id"), F.col("key").alias("_nk"), F.col("value").alias("_nv"), F.col("supersedes").alias("_s"))
+    got = closed.join(open_, "id", "left").join(old, "existing_id", "left").join(new, "fact_id", "left")
+    same = lambda a, b: norm_text(F.col(a)) == norm_text(F.col(b))
+    after = F.coalesce(F.col("_s") == F.col("existing_id"), F.lit(False))
+    kind = F.col("resolution")
+    fits = same("_nk", "_k") & F.when(kind == "confirmed_existing", same("_nv", "_v")).when(kind == "confirmed_incoming", same("_nv", "_in") & after).when(kind.isin("state_change", "correction"), after).otherwise(True)
+    sided = F.col("_in").isNotNull() & F.col("_k").isNotNull()
+    return _report([
+        _rows(closed, ~F.coalesce(kind.isin(*RESOLUTIONS), F.lit(False)), "conflict_resolution", _at("conflicts")),
+        _rows(closed, blank(F.col("fact_id")), "conflict_fact_missing", _at("conflicts")),
+        _rows(got, ~sided, "conflict_unstructured", _at("conflicts")),
+        _rows(got, sided & F.col("_nk").isNotNull() & ~fits, "conflict_fact_unrelated", _at("conflicts")),
+    ])
+
+
+def _kind(path: str) -> Column:
+    name = F.schema_of_variant(F.variant_get("v", path, "variant"))
+    return F.coalesce(F.lower(F.regexp_extract(name, "^[A-Z]+", 0)), F.lit("missing"))
+
+
+def _strings(path: str) -> Column:
+    """Whether there is an array of nothing but strings at ``path``."""
+    return F.coalesce(F.schema_of_variant(F.variant_get("v", path, "variant")).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
+
+
+def _text(path: str) -> Column:
+    return F.when(_kind(path) == "string", F.try_variant_get("v", path, "string"))
+
+
+def _items(df: DataFrame, path: str) -> DataFrame:
+    """(chunk_id, i, v) of the objects of a list."""
+    got = df.where(_kind(path) == "array").select("chunk_id", F.posexplode(F.variant_get("v", path, "array<variant>")).alias("i", "v"))
+    return got.where(_kind("$") == "object")
+
+
+def _path(kind: str, *columns: str) -> Column:
+    return F.concat_ws("/", F.lit("raw"), "chunk_id", F.format_string(kind, *(F.col(c) for c in columns)) if columns else F.lit(kind))
+
+
+def _answers(raw: DataFrame, most: int | None, lists: tuple[str, ...], span: str, chunks: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The answers that are objects, and what is wrong with all as a whole."""
+    rows = raw.select("chunk_id", "raw", F.try_parse_json(extract_json(F.col("raw"))).alias("v")).join(chunks.select("chunk_id", "start", "end"), "chunk_id")
+    whole = rows.where(F.col("v").isNotNull() & (_kind("$") == "object"))
+    edge = lambda name: F.try_variant_get("v", f"$.{span}.{name}", "double")
+    exact = F.coalesce((edge("start") == F.col("start")) & (edge("end") == F.col("end")), F.lit(False))
+    out = [_rows(rows, F.col("v").isNull(), "invalid_json", _path("")), _rows(rows, F.col("v").isNotNull() & (_kind("$") != "object"), "root", _path(""))]
+    if most is not None:
+        out.append(_rows(rows, utf16_units(F.col("raw")) > most, "too_long", _path("")))
+    out.append(_rows(whole, ~F.coalesce(_text("$.chunkId") == F.col("chunk_id"), F.lit(False)), "chunk_id", _path("chunkId")))
+    out.append(_rows(whole, ~exact, "range", _path(span)))
+    out += [_rows(whole, _kind(f"$.{k}") != "array", "list_missing", _path(k)) for k in lists]
+    return whole, out
+
+
+def _character_shapes(whole: DataFrame) -> list[DataFrame]:
+    people = _items(whole, "$.characters")
+    return [
+        _rows(people, blank(_text("$.name")), "character_name", _path("characters[%d].name", "i")),
+        _rows(people, ~_strings("$.aliases"), "character_aliases", _path("characters[%d].aliases", "i")),
+        _rows(people, ~_kind("$.description").isin("string", "missing"), "character_description", _path("characters[%d].description", "i")),
+    ]
+
+
+def delta_shapes(raw: DataFrame, chunks: DataFrame, known: DataFrame) -> DataFrame:
+    """D-01 .. D-04, D-06 .. D-10, D-20, D-26, D-29, D-32 .. D-35 on the texts of
+    deltas: raw (chunk_id, raw), chunks (chunk_id, start, end, done: the last
+    paragraph processed before), known (id, name): the characters so far."""
+    whole, out = _answers(raw, DELTA_CHARS, DELTA_LISTS, "processedRange", chunks)
+    asked = raw.select("chunk_id").join(chunks, "chunk_id")
+    out.append(_rows(asked, F.col("start") != F.coalesce("done", F.lit(0)) + 1, "continuity", _path("processedRange")))
+    out += _character_shapes(whole)
+    people = _items(whole, "$.characters")
+    named = people.select("chunk_id", "i", _text("$.id").alias("id"), _text("$.name").alias("_n")).join(known.select("id", "name"), "id")
+    out.append(_rows(named, F.coalesce(norm_text(F.col("_n")) != "", F.lit(False)) & (norm_text(F.col("_n")) != norm_text(F.col("name"))), "character_renamed", _path("characters[%d].name", "i")))
+    out.append(_rows(people, _kind("$.identityStatus") != "missing", "server_field", _path("characters[%d].identityStatus", "i")))
+    out.append(_rows(_items(whole, "$.newFacts"), _kind("$.supersededByFactId") != "missing", "server_field", _path("newFacts[%d].supersededByFactId", "i")))
+    out.append(_rows(_items(whole, "$.reportedConflicts"), blank(_text("$.description")), "conflict_description", _path("reportedConflicts[%d].description", "i")))
+    state = whole.select("chunk_id", F.variant_get("v", "$.boundaryState", "variant").alias("v"))
+    out.append(_rows(state, F.coalesce(_kind("$") != "object", F.lit(True)), "boundary_missing", _path("boundaryState")))
+    state = state.where(F.coalesce(_kind("$") == "object", F.lit(False)))
+    out.append(_rows(state, utf16_units(F.to_json("v")) > BOUNDARY_CHARS, "boundary_size", _path("boundaryState")))
+    out += [_rows(state, _kind(f"$.{k}") != "array", "list_missing", _path(f"boundaryState.{k}")) for k in ("characters", "objects", "openReferences")]
+    out += [_rows(state, ~_kind(f"$.{k}").isin("string", "missing"), "boundary_label", _path(f"boundaryState.{k}")) for k in ("timeLabel", "location")]
+    loose = _items(state, "$.openReferences")
+    out.append(_rows(loose, blank(_text("$.text")), "reference_text", _path("boundaryState.openReferences[%d].text", "i")))
+    out.append(_rows(loose, ~_strings("$.candidateCharacterIds"), "reference_candidates", _path("boundaryState.openReferences[%d].candidateCharacterIds", "i")))
+    each = loose.where(_strings("$.candidateCharacterIds")).select("chunk_id", "i", F.explode(F.variant_get("v", "$.candidateCharacterIds", "array<string>")).alias("id"))
+    own = people.select("chunk_id", _text("$.id").alias("id"))
+    strange = each.join(known.select("id"), "id", "left_anti").join(own, ["chunk_id", "id"], "left_anti")
+    out.append(_rows(strange, F.lit(True), "reference_unknown", _path("boundaryState.openReferences[%d].candidateCharacterIds", "i")))
+    return _report(out)
+
+
+def local_shapes(raw: DataFrame, chunks: DataFrame) -> DataFrame:
+    """L-01, L-02, L-04, L-11 on the texts of local results: raw (chunk_id, raw),
+    chunks (chunk_id, start, end)."""
+    whole, out = _answers(raw, None, LOCAL_LISTS, "coreRange", chunks)
+    out += _character_shapes(whole)
+    out.append(_rows(_items(whole, "$.facts"), _kind("$.supersededByFactId") != "missing", "server_field", _path("facts[%d].supersededByFactId", "i")))
+    return _report(out)
+
+
+def scoped_rules(characters: DataFrame, facts: DataFrame, objects: DataFrame) -> DataFrame:
+    """L-18, L-19: ids that are the same once they have their chunk in front, and
+    fact values that are a character's id and an object's.  characters and
+    objects (chunk_id, id), facts (chunk_id, id, value)."""
+    out = []
+    for table, df in (("characters", characters), ("facts", facts), ("objects", objects.distinct())):
+        by = df.select("chunk_id", "id").distinct() if table != "objects" else df.select("chunk_id", "id")
+        by = by.groupBy("chunk_id", scoped_id(F.col("chunk_id"), F.col("id")).alias("id")).agg(F.count("*").alias("n"))
+        out.append(_rows(by, F.col("n") > 1, "scoped_twice", _at(table)))
+    both = characters.select("chunk_id", F.col("id").alias("value")).distinct().join(objects.select("chunk_id", F.col("id").alias("value")).distinct(), ["chunk_id", "value"])
+    out.append(_rows(facts.join(both, ["chunk_id", "value"], "left_semi"), F.lit(True), "value_ambiguous", _at("facts")))
+    return _report(out)
+
+
+def global_subject(kind: Column, subject: Column) -> Column:
+    """P-11: the one id of the story itself, however a constraint spells it."""
+    return F.when((kind == "constraint") & norm_text(subject).isin(*STORY_SUBJECTS), "global:story").otherwise(subject)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.functions.text import trim
+from foliant.functions.text import padded_id, trim
 from foliant.operators.relations import cooccurrence
+from foliant.sources.model import extract_json
+from foliant.sources.stage import staged
 
 #: Codes and their labels.
 SETTINGS = {"INT": "内", "EXT": "外", "INT/EXT": "内/外"}
@@ -41,84 +44,214 @@ def renumber(rows: DataFrame, group: str, within: list[str | Column]) -> DataFra
     return rows.withColumn("_k", k).join(sizes, group).withColumn("number", F.col("_before") + F.col("_k")).drop("_k", "_before")
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with a column project; a table without one is one project."""
+    return rows if "project" in rows.columns else rows.withColumn("project", F.lit(""))
+
+
 def names(characters: DataFrame) -> DataFrame:
-    """(name, id): names and aliases; the last character to use one owns it."""
-    rows = characters.select("ord", "id", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("p", "name"))
-    return rows.where("name is not null").groupBy("name").agg(F.max_by("id", F.struct("ord", "p")).alias("id"))
+    """(project, name, id): names and aliases; the last character of a project to
+    use one owns it (T14)."""
+    rows = keyed(characters).select("project", "ord", "id", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("p", "name"))
+    return rows.where("name is not null").groupBy("project", "name").agg(F.max_by("id", F.struct("ord", "p")).alias("id"))
+
+
+def named_in(texts: DataFrame, owned: DataFrame) -> DataFrame:
+    """(project, scene, id) of the names that occur in a scene's texts: each text
+    is tried against the names of its own project, which travel as one array."""
+    by = owned.groupBy("project").agg(F.collect_list(F.struct("name", "id")).alias("owned"))
+    found = F.transform(F.filter("owned", lambda x: F.contains(F.col("text"), x["name"])), lambda x: x["id"])
+    return texts.join(by, "project").select("project", "scene", F.explode(F.array_distinct(found)).alias("id")).distinct()
+
+
+def speakers(elements: DataFrame) -> DataFrame:
+    """G-08: (project, scene, id) of who speaks in a scene."""
+    said = keyed(elements).where("type in ('dialogue', 'dual_dialogue') and character is not null and character <> ''")
+    return said.select("project", "scene", F.col("character").alias("id")).distinct()
+
+
+def acted(elements: DataFrame) -> DataFrame:
+    return keyed(elements).where("type = 'action' and text is not null").select("project", "scene", "text")
 
 
 def appearances(elements: DataFrame, characters: DataFrame) -> DataFrame:
-    """(scene, id) of speakers and of characters named in action texts."""
-    speak = elements.where("type in ('dialogue', 'dual_dialogue') and character is not null and character <> ''").select("scene", F.col("character").alias("id"))
-    acts = elements.where("type = 'action'").select("scene", "text")
-    named = acts.join(F.broadcast(names(characters)), F.contains(F.col("text"), F.col("name"))).select("scene", "id")
-    return speak.union(named).distinct()
+    """(project, scene, id) of speakers and of characters named in action texts."""
+    return speakers(elements).union(named_in(acted(elements), names(characters))).distinct()
 
 
 def relations(elements: DataFrame, characters: DataFrame) -> DataFrame:
-    """G-06: (source, target, weight, label)."""
-    e = cooccurrence(appearances(elements, characters), "scene", "id")
+    """G-06, X-21: (project, source, target, weight, label)."""
+    one = appearances(elements, characters).withColumn("place", F.struct("project", "scene"))
+    e = cooccurrence(one.select("place", F.struct("project", "id").alias("who")), "place", "who")
+    e = e.select(F.col("source.project").alias("project"), F.col("source.id").alias("source"), F.col("target.id").alias("target"), "weight")
     return e.withColumn("label", F.concat(F.col("weight").cast("string"), F.lit(" 场同框")))
 
 
+def relation_nodes(elements: DataFrame, characters: DataFrame) -> DataFrame:
+    """G-06, I-04: (project, id, degree): all characters of the table and all who
+    appear, also those without an edge."""
+    e = relations(elements, characters)
+    both = e.select("project", F.col("source").alias("id"), F.col("target").alias("o")).union(e.select("project", F.col("target").alias("id"), F.col("source").alias("o")))
+    nodes = keyed(characters).select("project", "id").union(appearances(elements, characters).select("project", "id")).distinct()
+    return nodes.join(both.groupBy("project", "id").agg(F.count_distinct("o").alias("degree")), ["project", "id"], "left").select("project", "id", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
 def first_appearance(elements: DataFrame, characters: DataFrame) -> DataFrame:
-    """G-07: (id, first): the first scene whose action texts name a character."""
-    needles = characters.select("id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("needle")).where(F.length(trim(F.col("needle"))) > 0)
-    acts = elements.where("type = 'action'").select("scene", "text")
-    return acts.join(F.broadcast(needles), F.contains(F.col("text"), F.col("needle"))).groupBy("id").agg(F.min("scene").alias("first"))
+    """G-07, W-08: (project, id, first): the first scene whose action texts name a
+    character; a blank name is nobody's."""
+    needles = keyed(characters).select("project", "id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where(F.length(trim(F.col("name"))) > 0)
+    return named_in(acted(elements), needles).groupBy("project", "id").agg(F.min("scene").alias("first"))
 
 
 def speaks_early(elements: DataFrame, characters: DataFrame) -> DataFrame:
-    """Q-27: (scene, id) of speakers not named in an action text up to then."""
-    speak = elements.where("type in ('dialogue', 'dual_dialogue') and character is not null and character <> ''").select("scene", F.col("character").alias("id")).distinct()
-    got = speak.join(first_appearance(elements, characters), "id", "left")
-    return got.where(F.col("first").isNull() | (F.col("first") > F.col("scene"))).select("scene", "id")
+    """Q-27: (project, scene, id) of speakers not named in an action text up to
+    then."""
+    got = speakers(elements).join(first_appearance(elements, characters), ["project", "id"], "left")
+    return got.where(F.col("first").isNull() | (F.col("first") > F.col("scene"))).select("project", "scene", "id")
 
 
 def blank(c: Column) -> Column:
     return F.coalesce(F.length(trim(c)) == 0, F.lit(True))
 
 
+def scene_of_paragraph(scenes: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """I-02, J-05: (project, scene, n) of the paragraphs that a scene was made
+    from; scenes (project, scene, first, last), paragraphs (project, n)."""
+    return scenes.join(paragraphs, "project").where("n between first and last").select("project", "scene", "n")
+
+
 def violations(project: DataFrame, characters: DataFrame, scenes: DataFrame, elements: DataFrame, structure: DataFrame) -> DataFrame:
-    """Q-02 .. Q-28 as rows (rule, severity, path).
+    """Q-02 .. Q-28 as rows (project, rule, severity, path).
 
-    project (title), characters (ord, id, name, aliases), scenes (scene, id,
-    number, setting, location, time, has_source), elements (scene, pos, type,
-    text, character, line, mode), structure (pos, scene_id).
+    project (project, title), characters (project, ord, id, name, aliases), scenes
+    (project, scene, id, number, setting, location, time, has_source), elements
+    (project, scene, pos, type, text, character, line, mode; line_pos too for
+    lines spoken together, null where such an element has none), structure
+    (project, pos, scene_id).  A table without the column project is one project.
     """
-    bad = lambda df, when, rule, path, level="error": df.where(when).select(F.lit(rule).alias("rule"), F.lit(level).alias("severity"), path.alias("path"))
-    none = lambda df, rule, path: df.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(rule).alias("rule"), F.lit("error").alias("severity"), F.lit(path).alias("path"))
+    project, characters, scenes, elements, structure = map(keyed, (project, characters, scenes, elements, structure))
+    if "line_pos" not in elements.columns:
+        elements = elements.withColumn("line_pos", F.lit(0))
+    bad = lambda df, when, rule, path, level="error": df.where(when).select("project", F.lit(rule).alias("rule"), F.lit(level).alias("severity"), path.alias("path"))
+    none = lambda df, rule: bad(project.join(df.select("project").distinct(), "project", "left_anti"), F.lit(True), rule, F.lit(rule))
     at = lambda kind, *cols: F.format_string(kind, *(F.col(c) for c in cols))
+    both = F.col("type") == "dual_dialogue"
+    part = lambda field: F.when(both, F.format_string(f"scenes[%d].elements[%d].lines[%d].{field}", "scene", "pos", "line_pos")).otherwise(at(f"scenes[%d].elements[%d].{field}", "scene", "pos"))
+    spoken = F.col("type").isin("dialogue", "dual_dialogue") & ~(both & F.col("line_pos").isNull())
     out = [
         bad(project, blank(F.col("title")), "title", F.lit("meta.title")),
-        none(characters, "characters", "characters"),
+        none(characters, "characters"),
         bad(characters, blank(F.col("id")), "character_id", at("characters[%d].id", "ord")),
         bad(characters, blank(F.col("name")), "character_name", at("characters[%d].name", "ord")),
-        none(scenes, "scenes", "scenes"),
+        none(scenes, "scenes"),
         bad(scenes, blank(F.col("id")), "scene_id", at("scenes[%d].id", "scene")),
         bad(scenes, F.col("number").isNull(), "scene_number", at("scenes[%d].number", "scene")),
         bad(scenes, ~F.coalesce(F.col("setting").isin(*SETTINGS), F.lit(False)), "setting", at("scenes[%d].heading.setting", "scene")),
         bad(scenes, blank(F.col("location")), "location", at("scenes[%d].heading.location", "scene")),
         bad(scenes, ~F.coalesce(F.col("time").isin(*TIMES), F.lit(False)), "time", at("scenes[%d].heading.time", "scene")),
-        bad(scenes.join(elements.select("scene").distinct(), "scene", "left_anti"), F.lit(True), "empty_scene", at("scenes[%d].elements", "scene"), "warning"),
+        bad(scenes.join(elements.select("project", "scene").distinct(), ["project", "scene"], "left_anti"), F.lit(True), "empty_scene", at("scenes[%d].elements", "scene"), "warning"),
         bad(scenes, ~F.coalesce("has_source", F.lit(False)), "source", at("scenes[%d].source", "scene"), "warning"),
         bad(elements, ~F.coalesce(F.col("type").isin(*ELEMENTS), F.lit(False)), "type", at("scenes[%d].elements[%d].type", "scene", "pos")),
         bad(elements, F.col("type").isin("action", "transition") & blank(F.col("text")), "text", at("scenes[%d].elements[%d].text", "scene", "pos")),
-        bad(elements, F.col("type").isin("dialogue", "dual_dialogue") & blank(F.col("character")), "speaker", at("scenes[%d].elements[%d].character", "scene", "pos")),
-        bad(elements, F.col("type").isin("dialogue", "dual_dialogue") & blank(F.col("line")), "line", at("scenes[%d].elements[%d].line", "scene", "pos")),
+        bad(elements, both & F.col("line_pos").isNull(), "lines", at("scenes[%d].elements[%d].lines", "scene", "pos")),
+        bad(elements, spoken & blank(F.col("character")), "speaker", part("character")),
+        bad(elements, spoken & blank(F.col("line")), "line", part("line")),
         bad(elements, (F.col("type") == "dialogue") & F.col("mode").isNotNull() & ~F.col("mode").isin(*MODES), "mode", at("scenes[%d].elements[%d].mode", "scene", "pos")),
     ]
-    w = W.partitionBy("id").orderBy("ord")
+    w = W.partitionBy("project", "id").orderBy("ord")
     again = characters.where(~blank(F.col("id"))).withColumn("k", F.row_number().over(w))
     out.append(bad(again, F.col("k") > 1, "character_duplicate", at("characters[%d].id", "ord")))
-    speak = elements.where(F.col("type").isin("dialogue", "dual_dialogue") & ~blank(F.col("character")))
-    out.append(bad(speak.join(characters.select(F.col("id").alias("character")), "character", "left_anti"), F.lit(True), "speaker_unknown", at("scenes[%d].elements[%d].character", "scene", "pos")))
-    out.append(bad(structure.join(scenes.select(F.col("id").alias("scene_id")), "scene_id", "left_anti"), F.lit(True), "structure", at("structure[%d].scene_ids", "pos")))
+    speak = elements.where(spoken & ~blank(F.col("character")))
+    out.append(bad(speak.join(characters.select("project", F.col("id").alias("character")), ["project", "character"], "left_anti"), F.lit(True), "speaker_unknown", part("character")))
+    out.append(bad(structure.join(scenes.select("project", F.col("id").alias("scene_id")), ["project", "scene_id"], "left_anti"), F.lit(True), "structure", at("structure[%d].scene_ids", "pos")))
     out.append(bad(speaks_early(elements, characters), F.lit(True), "speaks_early", F.concat(F.lit("scenes["), F.col("scene").cast("string"), F.lit("] "), F.col("id")), "warning"))
-    all_ = out[0]
-    for x in out[1:]:
-        all_ = all_.union(x)
-    return all_
+    return reduce(DataFrame.unionByName, out)
+
+
+def _kind(v: Column, path: str) -> Column:
+    """The type of a value in a JSON text, as object, array, string, number and
+    so on; null where there is none."""
+    name = F.schema_of_variant(F.variant_get(v, path, "variant"))
+    return F.lower(F.regexp_extract(name, "^[A-Z]+", 0))
+
+
+def shape_violations(raw: DataFrame) -> DataFrame:
+    """Q-01, Q-04, Q-09, Q-12, Q-16, Q-18: (project, rule, path) for what isn't of
+    the right kind in a screenplay's JSON text; raw (project, json)."""
+    v = raw.select("project", F.try_parse_json("json").alias("v"))
+    is_ = lambda kind, path: F.coalesce(_kind(F.col("v"), path) == kind, F.lit(False))
+    say = lambda df, rule, path: df.select("project", F.lit(rule).alias("rule"), path.alias("path"))
+    items = lambda df, path, *keep: df.select("project", *keep, F.posexplode(F.variant_get("v", path, "array<variant>")).alias("i", "v"))
+    root = v.where(is_("object", "$"))
+    people = items(root.where(is_("array", "$.characters")), "$.characters")
+    scenes = items(root.where(is_("array", "$.scenes")), "$.scenes").withColumnRenamed("i", "s")
+    whole = scenes.where(is_("object", "$"))
+    lists = whole.where(is_("array", "$.elements"))
+    return reduce(
+        DataFrame.unionByName,
+        [
+            say(v.where(~is_("object", "$")), "root", F.lit("(root)")),
+            say(people.where(~is_("object", "$")), "character", F.format_string("characters[%d]", "i")),
+            say(scenes.where(~is_("object", "$")), "scene", F.format_string("scenes[%d]", "s")),
+            say(whole.where(~is_("object", "$.heading")), "heading", F.format_string("scenes[%d].heading", "s")),
+            say(whole.where(~is_("array", "$.elements")), "elements", F.format_string("scenes[%d].elements", "s")),
+            say(items(lists, "$.elements", "s").where(~is_("object", "$")), "element", F.format_string("scenes[%d].elements[%d]", "s", "i")),
+        ],
+    )
+
+
+#: What a screenplay's JSON text holds, for ``flatten``.
+SCENE = "struct<id:string,number:double,heading:struct<setting:string,location:string,time:string>,source:string,elements:array<struct<type:string,text:string,character:string,parenthetical:string,line:string,mode:string,lines:array<struct<character:string,line:string>>>>>"
+
+
+def flatten(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """G-04: (scenes, elements) of scene texts: raw (project, ord, json), one JSON
+    object {scenes: [...]} a batch.  Scenes of all batches are numbered anew in
+    order; lines spoken together are one row each.  A text that can't be read
+    gives no scenes."""
+    got = raw.select("project", "ord", F.from_json(extract_json(F.col("json")), f"struct<scenes:array<{SCENE}>>")["scenes"].alias("x"))
+    one = got.select("project", "ord", F.posexplode("x").alias("p", "v"))
+    one = one.withColumn("scene", F.row_number().over(W.partitionBy("project").orderBy("ord", "p")))
+    scenes = one.select("project", "scene", padded_id("scene_", F.col("scene")).alias("id"), F.col("scene").alias("number"), "v.heading.setting", "v.heading.location", "v.heading.time", F.coalesce(F.col("v.source").startswith("{"), F.lit(False)).alias("has_source"))
+    e = one.select("project", "scene", F.posexplode("v.elements").alias("pos", "e"))
+    lone = F.array(F.struct(F.lit(0).alias("line_pos"), F.col("e.character").alias("character"), F.col("e.line").alias("line")))
+    many = F.transform("e.lines", lambda x, i: F.struct(i.alias("line_pos"), x["character"].alias("character"), x["line"].alias("line")))
+    e = e.select("project", "scene", "pos", F.col("e.type").alias("type"), F.col("e.text").alias("text"), F.col("e.mode").alias("mode"), F.col("e.parenthetical").alias("parenthetical"), F.explode_outer(F.when(F.col("e.type") == "dual_dialogue", many).otherwise(lone)).alias("l"))
+    return scenes, e.select("project", "scene", "pos", "type", "text", "mode", "parenthetical", "l.line_pos", "l.character", "l.line")
+
+
+def generate(project: DataFrame, characters: DataFrame, batches: DataFrame, repair) -> dict[str, DataFrame]:
+    """G-04, G-05: assembles the scenes of all batches (project, ord, json), checks
+    them, has those with errors repaired once by ``repair`` (rows (project, rule,
+    path) of errors to rows (project, json) of new scenes) and checks again.
+
+    What remains is returned with its violations rather than lost: status
+    (project, errors, warnings, repaired, scenes), scenes, elements, violations.
+    A repair that can't be read leaves the scenes as they were.
+    """
+    none = project.select("project", F.lit(0).alias("pos"), F.lit("").alias("scene_id")).where("false")
+    scenes, elements = map(staged, flatten(batches))
+    errors = staged(violations(project, characters, scenes, elements, none).where("severity = 'error'"))
+    fixed = repair(errors).select("project", F.lit(0).alias("ord"), "json")
+    readable = F.from_json(extract_json(F.col("json")), f"struct<scenes:array<{SCENE}>>")["scenes"].isNotNull()
+    fixed = fixed.join(errors.select("project").distinct(), "project", "left_semi").where(readable)
+    again = batches.select("project", "ord", "json").join(fixed.select("project"), "project", "left_anti").unionByName(fixed)
+    scenes, elements = map(staged, flatten(again))
+    left = staged(violations(project, characters, scenes, elements, none))
+    by = left.groupBy("project").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    tried = errors.select("project").distinct().withColumn("repaired", F.lit(True))
+    size = scenes.groupBy("project").agg(F.count("*").alias("scenes"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    status = project.select("project").join(by, "project", "left").join(tried, "project", "left").join(size, "project", "left")
+    status = status.select("project", zero("errors"), zero("warnings"), F.coalesce("repaired", F.lit(False)).alias("repaired"), zero("scenes"))
+    return {"status": status, "scenes": scenes, "elements": elements, "violations": left}
+
+
+def report_lines(found: DataFrame, most: int = 5) -> DataFrame:
+    """A-16: (project, severity, n, first, more): the number of violations, the
+    first ``most`` as texts and how many there are besides."""
+    by = found.groupBy("project", "severity").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.concat_ws(": ", "path", "rule"))).alias("x"))
+    return by.select("project", "severity", "n", F.slice("x", 1, most).alias("first"), F.greatest(F.col("n") - most, F.lit(0)).alias("more"))
 
 
 def render(project: DataFrame, characters: DataFrame, scenes: DataFrame, elements: DataFrame) -> DataFrame:

@@ -112,9 +112,10 @@ def overlaps(costs: np.ndarray, a: int, b: int, overlap: int, total: np.ndarray)
     return min(lo, a), max(hi, b)
 
 
-def chunks(novels: DataFrame, target: int = TARGET, overlap: int = OVERLAP, novel_id: str = "novel_id", paras: str = "paras", starts: str | None = None, hints: str | None = None) -> DataFrame:
+def chunks(novels: DataFrame, target: int = TARGET, overlap: int = OVERLAP, novel_id: str = "novel_id", paras: str = "paras", starts: str | None = None, hints: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """C-09: (novel_id, idx, start, end, core_chars, before, after,
-    context_chars), one row a chunk; before and after are null without overlap.
+    context_chars) and the columns of ``keep``, one row a chunk; before and after
+    are null without overlap.
 
     ``paras`` is the array of paragraph texts; ``starts`` and ``hints`` arrays of
     paragraph numbers that open chapters and sections.
@@ -139,8 +140,8 @@ def chunks(novels: DataFrame, target: int = TARGET, overlap: int = OVERLAP, nove
 
     costs = F.transform(F.col(paras), lambda x, i: T.numbered_cost(x, i + 1))
     none = F.array().cast("array<int>")
-    got = novels.select(F.col(novel_id).alias("novel_id"), F.explode(pack(costs, F.col(starts) if starts else none, F.col(hints) if hints else none)).alias("c"))
-    return got.select("novel_id", "c.*")
+    got = novels.select(F.col(novel_id).alias("novel_id"), *keep, F.explode(pack(costs, F.col(starts) if starts else none, F.col(hints) if hints else none)).alias("c"))
+    return got.select("novel_id", *keep, "c.*")
 
 
 def coverage_violations(chunked: DataFrame, counts: DataFrame, target: int) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,11 +33,60 @@ def budget_take(items: DataFrame, key: str, order: str, size: str, budget: int)
     return got.select(key, "t.taken", (F.col("n") - F.col("t.taken")).alias("omitted"), "t.used")
 
 
+def budget_pick(items: DataFrame, key: list[str], order: str, size: str, budget: Column) -> DataFrame:
+    """O-05: ``items`` with taken, whether they are among what still fits, in
+    order, into a key's ``budget``."""
+
+    @F.pandas_udf("array<boolean>")
+    def fold(col: pd.Series, most: pd.Series) -> pd.Series:
+        def one(sizes, top) -> list[bool]:
+            used, out = 0, []
+            for x in sizes:
+                out.append(used + x <= top)
+                used += x if out[-1] else 0
+            return out
+
+        return pd.Series([one(a, b) for a, b in zip(col, most, strict=True)])
+
+    by = items.groupBy(*key).agg(F.max(budget).alias("_top"), F.array_sort(F.collect_list(F.struct(order, size))).alias("_x"))
+    got = by.withColumn("_t", fold(F.transform("_x", lambda v: v[size]), F.col("_top")))
+    flags = got.select(*key, F.explode(F.arrays_zip("_x", "_t")).alias("z")).select(*key, F.col(f"z._x.{order}").alias(order), F.col("z._t").alias("taken"))
+    return items.join(flags, [*key, order])
+
+
+def halved_blocks(items: DataFrame, key: list[str], order: str, size: str, most: int, chars: int, name: str) -> DataFrame:
+    """O-09: ``items`` with the number of their block within a key, from 0:
+    ``most`` at a time in order, and a block of over ``chars`` characters is
+    halved, the first half the longer one, until its parts fit or stand alone."""
+
+    @F.pandas_udf("array<int>")
+    def deal(col: pd.Series) -> pd.Series:
+        def one(sizes) -> list[int]:
+            out, number = [], 0
+            todo = [(a, min(a + most, len(sizes))) for a in range(0, len(sizes), most)][::-1]
+            while todo:
+                a, b = todo.pop()
+                if b - a > 1 and sum(sizes[a:b]) > chars:
+                    middle = a + -(-(b - a) // 2)
+                    todo += [(middle, b), (a, middle)]
+                    continue
+                out += [number] * (b - a)
+                number += 1
+            return out
+
+        return col.map(one)
+
+    by = items.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("_x"))
+    got = by.select(*key, F.explode(F.arrays_zip("_x", deal(F.transform("_x", lambda v: v[size])).alias("_b"))).alias("z"))
+    return items.join(got.select(*key, F.col(f"z._x.{order}").alias(order), F.col("z._b").alias(name)), [*key, order])
+
+
 def even_sample(rows: DataFrame, key: str, order: str, count: int) -> DataFrame:
-    """O-07, H-02: the ``count`` evenly spaced rows of each key; (key, order, k)."""
+    """O-07, H-02: the ``count`` evenly spaced rows of each key, the first for a
+    count of 1; (key, order, k)."""
     w = W.partitionBy(key)
     r = rows.withColumn("k", (F.row_number().over(w.orderBy(order)) - 1).cast("long")).withColumn("total", F.count("*").over(w))
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor(i * (F.col("total") - 1) / F.lit(float(count - 1)) + 0.5))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor(i * (F.col("total") - 1) / F.lit(float(max(count - 1, 1))) + 0.5))
     return r.where(F.array_contains(wanted, F.col("k"))).select(key, order, "k")
 
 

@@ -127,8 +127,7 @@ def chunk_coverage_violations(spark, sf_dir):
 SELECT doc_id, idx::BIGINT AS idx, md5(concat_ws(chr(10), CASE WHEN any_value(before) IS NOT NULL THEN '{S.BEFORE}' END, string_agg(t, chr(10) ORDER BY n) FILTER (n < s), '{S.CORE}', string_agg(t, chr(10) ORDER BY n) FILTER (n BETWEEN s AND e),
   CASE WHEN any_value(after) IS NOT NULL THEN '{S.AFTER}' END, string_agg(t, chr(10) ORDER BY n) FILTER (n > e))) AS digest FROM part GROUP BY doc_id, idx""")
 def chunk_render_len(spark, sf_dir):
-    rows = novels(spark, sf_dir)
-    c = S.chunks(rows, TARGET, OVERLAP).join(rows, "novel_id")
+    c = S.chunks(novels(spark, sf_dir), TARGET, OVERLAP, keep=("paras",))
     text = S.render_chunk(F.col("paras"), {k: F.col(k) for k in ("start", "end", "before", "after")})
     return c.select(F.col("novel_id").alias("doc_id"), F.col("idx").cast("long").alias("idx"), F.md5(text.cast("binary")).alias("digest"))
 
@@ -140,12 +139,16 @@ def text_split_budget(spark, sf_dir):
     return cut.select(F.col("novel_id").alias("doc_id"), F.size("paras").cast("long").alias("pieces"), F.md5(F.array_join("paras", "").cast("binary")).alias("digest"), F.array_max(F.transform("paras", lambda x: F.length(x))).cast("long").alias("longest"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {PACK}, c AS (SELECT doc_id, string_agg(idx || ':' || s || ':' || e || ':' || core_chars, '|' ORDER BY idx) AS c FROM cores GROUP BY doc_id)
+SELECT d.doc_id, sha256('chunks-2|' || sha256(d.text) || '|' || coalesce(c, '')) AS fingerprint FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id""")
 def fingerprint(spark, sf_dir):
-    """X-20: digest of a novel's chunks, to tell whether a checkpoint still fits."""
-    c = chunked(spark, sf_dir)
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "start", "end", "core_chars"))), lambda x: F.to_json(x)), "|")
-    return c.groupBy(F.col("novel_id").alias("doc_id")).agg(F.sha2(F.concat(F.lit("chunks-1|"), parts), 256).alias("fingerprint"))
+    """X-20: digest of a novel's text and its chunks, to tell whether a checkpoint
+    still fits: an edit that keeps all lengths changes it too."""
+    rows = read(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("novel_id"), F.sha2("text", 256).alias("digest"))
+    c = chunked(spark, sf_dir).groupBy("novel_id").agg(F.array_sort(F.collect_list(F.struct("idx", "start", "end", "core_chars"))).alias("x"))
+    parts = F.array_join(F.transform("x", lambda x: F.concat_ws(":", *(x[k].cast("string") for k in ("idx", "start", "end", "core_chars")))), "|")
+    got = rows.join(c, "novel_id", "left")
+    return got.select(F.col("novel_id").alias("doc_id"), F.sha2(F.concat(F.lit("chunks-2|"), "digest", F.lit("|"), F.coalesce(parts, F.lit(""))), 256).alias("fingerprint"))
 
 
 @query(r"""WITH RECURSIVE s AS (SELECT doc_id, lang, length(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, source FROM documents),

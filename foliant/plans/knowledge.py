@@ -47,7 +47,7 @@ def local_violations(spark, sf_dir):
 ('conflict_not_open', 'conflicts/c1/x2'), ('conflict_explanation', 'conflicts/c1/x2'), ('conflict_fact', 'conflicts/c1/x1')) t(rule, path)""")
 def delta_violations(spark, sf_dir):
     resolved = values(spark, "('c1', 't1'), ('c1', 't1'), ('c1', 't2'), ('c1', 't9')", "chunk_id, id")
-    boundary = values(spark, "('c1', 'middle', 1, 'a', 'character', 'location', 'x'), ('c1', 'entry', 3, 'b', 'character', 'location', 'x'), ('c1', 'exit', 10, 'z', 'character', 'location', 'x'), ('c1', 'exit', 10, 'o', 'object', 'holder', 'ghost')", "chunk_id, side, as_of, id, entity_type, field, value")
+    boundary = values(spark, "('c1', 'middle', 1, 'a', 'character', 'location', 'x'), ('c1', 'entry', 3, 'b', 'character', 'location', 'x'), ('c1', 'exit', 10, 'z', 'character', 'location', 'x'), ('c1', 'exit', 10, 'o', 'object', 'holderCharacterId', 'ghost')", "chunk_id, side, as_of, id, entity_type, field, value")
     closed = values(spark, "('c1', 'x1', 'correction', 'why', 'f99'), ('c1', 'x2', 'correction', ' ', 'f1')", "chunk_id, id, resolution, explanation, fact_id")
     parts = [
         R.thread_resolution_rules(resolved, values(spark, "('t1', 'open'), ('t2', 'resolved')", "id, status")),
@@ -92,13 +92,6 @@ def repair_batches(spark, sf_dir):
     return P.repair_batches(rows).groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('c1', 'f1'), ('c1', 'f3'), ('c1', 'f4'), ('c2', 'f3')) t(chunk_id, id)")
-def relevance_snapshot(spark, sf_dir):
-    f = values(spark, "('n', 'f1', 'relationship', 'lin', NULL, 'wang', NULL), ('n', 'f2', 'location', 'lin', NULL, 'x', 'f1'), ('n', 'f3', 'constraint', 'story', NULL, 'x', NULL), ('n', 'f4', 'location', 'wang', NULL, 'y', NULL), ('n', 'f5', 'location', 'zhao', NULL, 'y', NULL)", "novel_id, id, kind, subject_id, perspective_id, value, superseded_by")
-    c = values(spark, "('n', 'lin', '林夏'), ('n', 'wang', '老王'), ('n', 'zhao', '赵')", "novel_id, id, name")
-    return P.relevant_facts(f, c, values(spark, "('n', 'c1', '林夏来了'), ('n', 'c2', '无人')", "novel_id, chunk_id, text")).select("chunk_id", "id")
-
-
 @query("SELECT * FROM (VALUES ('a', 2::BIGINT, 1::BIGINT, 10::BIGINT)) t(k, taken, omitted, used)")
 def budget_skip(spark, sf_dir):
     """An item that doesn't fit is passed over, a later one still taken."""

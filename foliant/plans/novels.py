@@ -27,14 +27,16 @@ h AS (SELECT *, regexp_matches(text, '^(Chapter|Part) \d+$') AS opens FROM novel
 
 def novel(spark, sf_dir):
     """(novel_id, n, text): texts are numbered by language, lines inside their
-    text; only line counts go through the running sum."""
-    d = read(spark, sf_dir, "documents", "doc_id", "lang", "text")
-    d = d.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("doc_id")))
-    part = F.when(F.col("k") % 5 == 1, F.array(F.concat(F.lit("Part "), ((F.col("k") - 1) / 5 + 1).cast("int").cast("string")))).otherwise(F.array().cast("array<string>"))
-    paras = F.concat(part, F.array(F.concat(F.lit("Chapter "), F.col("k").cast("string"))), T.lines(F.col("text")))
-    d = d.select("lang", "k", paras.alias("paras"))
-    before = F.sum(F.size("paras")).over(W.partitionBy("lang").orderBy("k")) - F.size("paras")
-    return d.withColumn("b", before).select(F.col("lang").alias("novel_id"), "b", F.posexplode("paras").alias("i", "text")).select("novel_id", (F.col("b") + F.col("i") + 1).alias("n"), "text")
+    text.  Only ids and line counts are ordered; the offsets come back to the
+    texts by id, so no text moves with its language."""
+    d = read(spark, sf_dir, "documents", "doc_id", "lang", "text").withColumn("paras", T.lines(F.col("text")))
+    w = W.partitionBy("lang").orderBy("doc_id")
+    at = d.select("lang", "doc_id", F.size("paras").alias("own")).withColumn("k", F.row_number().over(w))
+    at = at.withColumn("opens", (F.col("k") % 5 == 1).cast("int"))
+    at = at.withColumn("b", F.sum(F.col("own") + 1 + F.col("opens")).over(w) - F.col("own") - 1 - F.col("opens")).select("doc_id", "k", "opens", "b")
+    part = F.when(F.col("opens") == 1, F.array(F.concat(F.lit("Part "), ((F.col("k") - 1) / 5 + 1).cast("int").cast("string")))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(part, F.array(F.concat(F.lit("Chapter "), F.col("k").cast("string"))), F.col("paras"))
+    return d.join(at, "doc_id").select(F.col("lang").alias("novel_id"), "b", F.posexplode(lines).alias("i", "text")).select("novel_id", (F.col("b") + F.col("i") + 1).alias("n"), "text")
 
 
 @query(f"""WITH {NOVEL}, g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY novel_id ORDER BY n) AS g FROM h)
@@ -56,7 +58,7 @@ def chapter_chunk_overlap_join(spark, sf_dir):
     return b.join(c, ["novel_id", "block"]).select("novel_id", L("block"), L(F.greatest("s", "cs"), "first_n"), L(F.least("e", "ce"), "last_n"))
 
 
-@query(f"WITH {NOVEL} SELECT novel_id, count_if(opens)::BIGINT AS strong, 0::BIGINT AS weak, count_if(opens)::BIGINT AS total FROM h GROUP BY novel_id HAVING count_if(opens) > 0")
+@query(f"WITH {NOVEL} SELECT novel_id, count_if(opens)::BIGINT AS strong, count_if(weak)::BIGINT AS weak, count_if(opens OR weak)::BIGINT AS total FROM (SELECT *, NOT opens AND regexp_matches(text, '^\d{{1,4}}[.．、]') AND length(text) <= 160 AS weak FROM h) GROUP BY novel_id HAVING count_if(opens OR weak) > 0")
 def heading_counts(spark, sf_dir):
     return H.counts(H.classify(novel(spark, sf_dir)))
 
@@ -90,9 +92,9 @@ def heading_classify(spark, sf_dir):
     return c.select("n", "level", F.array_join("signals", ",").alias("signals"), H.is_strong(F.col("signals")).alias("strong"), "normalized")
 
 
-@query("SELECT * FROM (VALUES ('第十二章 雨夜', true), ('第3回', true), ('一、歇洛克·福尔摩斯先生', true), ('序章', true), ('番外：旧事', true), ('Chapter 7 Return', true), ('1．文学知识——无。', false), ('12. 关于英国法律方面，他具有充分实用的知识。', false)) t(text, strict)")
+@query("SELECT * FROM (VALUES ('第十二章 雨夜', true), ('第3回', true), ('一、渡口的船夫', true), ('序章', true), ('番外：旧事', true), ('Chapter 7 Return', true), ('1．行李：两件。', false), ('12. 他对河道的深浅十分熟悉。', false)) t(text, strict)")
 def heading_strict(spark, sf_dir):
-    t = values(spark, "('第十二章 雨夜'), ('第3回'), ('一、歇洛克·福尔摩斯先生'), ('序章'), ('番外：旧事'), ('Chapter 7 Return'), ('1．文学知识——无。'), ('12. 关于英国法律方面，他具有充分实用的知识。')", "text")
+    t = values(spark, "('第十二章 雨夜'), ('第3回'), ('一、渡口的船夫'), ('序章'), ('番外：旧事'), ('Chapter 7 Return'), ('1．行李：两件。'), ('12. 他对河道的深浅十分熟悉。')", "text")
     return t.select("text", S.is_chapter(F.col("text")).alias("strict"))
 
 
@@ -115,9 +117,9 @@ def likely_toc(spark, sf_dir):
     return toc(spark).select("n", "repeated_later", "likely_toc")
 
 
-@query("SELECT * FROM (VALUES (1, 9), (2, 64), (3, 258)) t(k, mask)")
+@query("SELECT k, sum(b)::INT AS mask FROM (VALUES (1, 8), (1, 2), (2, 64), (3, 16), (3, 256), (4, 1), (4, 128), (4, 32), (4, 4)) t(k, b) GROUP BY k")
 def signal_mask(spark, sf_dir):
-    rows = values(spark, "(1, array('markdown', 'explicit_chapter')), (2, array('numbered_short_line')), (3, array('bracketed', 'likely_toc'))", "k, signals")
+    rows = values(spark, "(1, array('markdown', 'explicit_chapter')), (2, array('numbered_short_line')), (3, array('bracketed', 'likely_toc')), (4, array('explicit_volume', 'repeated_later', 'special_heading', 'explicit_section'))", "k, signals")
     return rows.select("k", H.mask(F.col("signals")).alias("mask"))
 
 
@@ -145,12 +147,6 @@ def materialize_chapters(spark, sf_dir):
     return H.materialize(b, p).select("novel_id", "idx", "id", "title", F.col("start").alias("first_n"), F.col("end").alias("last_n"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'ok'), ('b', 'unknown_candidate'), ('c', 'duplicate_heading'), ('d', 'uncertain_heading')) t(novel_id, issue)")
-def structure_issues(spark, sf_dir):
-    p = values(spark, "('a', 1, 'certain'), ('b', 999, 'certain'), ('c', 1, 'certain'), ('c', 1, 'certain'), ('c', 99, 'certain'), ('d', 1, 'uncertain')", "novel_id, n, decision")
-    return H.structure_issue(p, values(spark, "('a', 1), ('b', 1), ('c', 1), ('d', 1)", "novel_id, n")).select("novel_id", F.coalesce("issue", F.lit("ok")).alias("issue"))
-
-
 @query("SELECT * FROM (VALUES ('fact:a:current_location:', 1), ('fact:a:holder:b', 2), ('state:李 四:life_status:', 3)) t(k, i) WHERE i < 3 UNION ALL SELECT 'state:李四:life_status:', 3")
 def fact_key(spark, sf_dir):
     f = values(spark, "(1, 'Fact', ' A ', 'currently-at', NULL), (2, 'fact', 'a', 'Held By', 'B'), (3, 'state', '李 四', '生死', NULL)", "i, kind, subject, predicate, perspective")
@@ -168,32 +164,25 @@ def uncertain_upgrade(spark, sf_dir):
     return values(spark, "('a', 'uncertain'), ('a', 'source_fact'), ('b', 'uncertain')", "k, s").groupBy("k").agg(K.upgrade_status(F.col("s")).alias("status"))
 
 
-PLAN = "('char', 'g1', 'chunk_001::a', 'same', 3), ('char', 'g1', 'chunk_002::a', 'same', 9), ('char', 'g2', 'chunk_001::b', 'uncertain', 1), ('char', 'g2', 'chunk_003::b', 'uncertain', 12), ('thread', 'g3', 'chunk_002::t', 'same', 5)"
-
-
-@query("SELECT * FROM (VALUES ('char', 'char_0001', 'chunk_001::b'), ('char', 'char_0002', 'chunk_001::a,chunk_002::a'), ('char', 'char_0003', 'chunk_003::b'), ('thread', 'thread_0001', 'chunk_002::t')) t(entity, canonical_id, member_ids)")
-def identity_assign(spark, sf_dir):
-    return K.assign_identities(values(spark, PLAN, "entity, grp, member_id, decision, first_paragraph"))
-
-
-@query("SELECT 'char' AS entity, 'g2' AS grp, 2::BIGINT AS members")
-def identity_uncertain(spark, sf_dir):
-    return K.uncertain_groups(values(spark, PLAN, "entity, grp, member_id, decision, first_paragraph"))
-
-
 @query("SELECT '小夏' AS name, 'char_lin,char_wu' AS ids")
 def alias_collision(spark, sf_dir):
     return K.alias_collisions(values(spark, "('char_lin', '林夏'), ('char_lin', '小 夏'), ('char_wu', '小夏'), ('char_wang', '老王'), ('char_wang', '老王')", "id, name"))
 
 
-@query("SELECT * FROM (VALUES ('conflict_0001', '那封信', 1::BIGINT), ('conflict_0002', '钥匙', 2)) t(id, text, n)")
+LOOSE = "('n', '钥匙', 'a', 8), ('n', '钥 匙', 'a', 5), ('n', '钥匙', 'a,b', 6), ('n', '那封信', '', 2), ('m', '他', '', 4)"
+
+
+@query(f"""WITH r AS (SELECT *, replace(text, ' ', '') AS k FROM (VALUES {LOOSE}) t(novel_id, text, who, first)), g AS (SELECT novel_id, k, who, count(*)::BIGINT AS n, min(first) AS first FROM r GROUP BY ALL)
+SELECT novel_id, 'conflict_open_reference_' || lpad((row_number() OVER (PARTITION BY novel_id ORDER BY first, k))::VARCHAR, 3, '0') AS id, k AS text, who AS candidates, n FROM g""")
 def open_reference_conflicts(spark, sf_dir):
-    return K.open_references(values(spark, "('钥匙', 8), ('钥 匙', 5), ('那封信', 2)", "text, first_paragraph"))
+    """F-20: grouped by text and candidates, numbered within each novel."""
+    r = values(spark, LOOSE, "novel_id, text, who, first").withColumn("candidates", F.filter(F.split("who", ","), lambda x: x != ""))
+    return K.open_references(r).withColumn("text", T.norm_text(F.col("text")))
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, 'f1', 'new', 'f1'), (2, 'f2', 'replace', 'f2'), (3, 'f3', 'conflict', 'f2'), (4, 'f4', 'merge', 'f2'), (5, 'f1', 'conflict', 'f2'), (6, 'g1', 'new', 'g1')) t(ord, id, outcome, active)""")
+@query("""SELECT * FROM (VALUES (1::BIGINT, 'f1', 'new', 'f1'), (2, 'f2', 'replace', 'f2'), (3, 'f3', 'conflict', 'f2'), (4, 'f4', 'merge', 'f2'), (5, 'f1', 'conflict', 'f2'), (6, 'g1', 'new', 'g1'), (7, 'g2', 'merge', 'g1')) t(ord, id, outcome, active)""")
 def rolling_merge(spark, sf_dir):
-    d = values(spark, "('n', 1L, 'loc', 'f1', '贝克街', NULL), ('n', 2L, 'loc', 'f2', '命案现场', 'f1'), ('n', 3L, 'loc', 'f3', '苏格兰场', NULL), ('n', 4L, 'loc', 'f4', '命案现场', NULL), ('n', 5L, 'loc', 'f1', '苏格兰场', NULL), ('n', 6L, 'hold', 'g1', 'x', NULL)", "novel_id, ord, key, id, value, supersedes")
+    d = values(spark, "('n', 1L, 'loc', 'f1', '东街', NULL), ('n', 2L, 'loc', 'f2', '旧码头', 'f1'), ('n', 3L, 'loc', 'f3', '北站', NULL), ('n', 4L, 'loc', 'f4', '旧码头', NULL), ('n', 5L, 'loc', 'f1', '北站', NULL), ('n', 6L, 'hold', 'g1', 'x', NULL), ('n', 7L, 'Hold', 'g2', ' X', NULL)", "novel_id, ord, key, id, value, supersedes")
     return K.roll_facts(d).select("ord", "id", "outcome", "active")
 
 
@@ -211,19 +200,19 @@ def acts(spark):
 
 @query("SELECT * FROM (VALUES ('char_lin', 'char_wang', 1::BIGINT, '1 场同框'), ('char_lin', 'ghost', 1, '1 场同框')) t(source, target, weight, label)")
 def screenplay_relations(spark, sf_dir):
-    return P.relations(acts(spark), cast(spark))
+    return P.relations(acts(spark), cast(spark)).drop("project")
 
 
 @query("SELECT 2 AS scene, 'ghost' AS id")
 def speaks_before_appearance(spark, sf_dir):
-    return P.speaks_early(acts(spark), cast(spark))
+    return P.speaks_early(acts(spark), cast(spark)).drop("project")
 
 
 @query("""SELECT * FROM (VALUES ('title', 'error', 'meta.title'), ('setting', 'error', 'scenes[2].heading.setting'), ('time', 'error', 'scenes[2].heading.time'), ('location', 'error', 'scenes[3].heading.location'), ('empty_scene', 'warning', 'scenes[4].elements'), ('source', 'warning', 'scenes[4].source'),
 ('scene_number', 'error', 'scenes[4].number'), ('text', 'error', 'scenes[3].elements[0].text'), ('mode', 'error', 'scenes[2].elements[1].mode'), ('speaker_unknown', 'error', 'scenes[2].elements[1].character'), ('structure', 'error', 'structure[1].scene_ids'), ('speaks_early', 'warning', 'scenes[2] ghost')) t(rule, severity, path)""")
 def screenplay_violations(spark, sf_dir):
     scenes = values(spark, "(1, 's1', 1, 'INT', '屋', 'DAY', true), (2, 's2', 2, '室内', '街', 'NOON', true), (3, 's3', 3, 'INT/EXT', '', 'NIGHT', true), (4, 's4', NULL, 'EXT', '河', 'DAWN', NULL)", "scene, id, number, setting, location, time, has_source")
-    return P.violations(values(spark, "('  ')", "title"), cast(spark), scenes, acts(spark), values(spark, "(0, 's1'), (1, 's9')", "pos, scene_id"))
+    return P.violations(values(spark, "('  ')", "title"), cast(spark), scenes, acts(spark), values(spark, "(0, 's1'), (1, 's9')", "pos, scene_id")).drop("project")
 
 
 @query("SELECT 'p' AS project, '重逢' || chr(10) || chr(10) || '第1场　日　内　屋' || chr(10) || '△ 林夏推门。' || chr(10) || '林夏（迟疑地）：好久不见。' || chr(10) || chr(10) || '第2场　正午　外　街' || chr(10) || '林夏（画外）：有些话。' || chr(10) || '林夏（同时）：你' || chr(10) || 'x（同时）：我' || chr(10) || '切至' || chr(10) AS text")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliant.plans import documents, identities, knowledge, novels, tables
+from foliant.plans import bible, documents, identities, knowledge, novels, structure, tables
 
-MODULES = (documents, tables, novels, knowledge, identities)
+MODULES = (documents, tables, novels, structure, knowledge, identities, bible)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

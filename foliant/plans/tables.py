@@ -75,11 +75,11 @@ def adjacent_compare(spark, sf_dir):
 
 
 @query("""SELECT k::BIGINT AS k, side FROM (
-  SELECT k, 'shared' AS side FROM (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier)
-  UNION ALL SELECT k, 'left' FROM (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 EXCEPT SELECT s_nationkey FROM supplier)
-  UNION ALL SELECT k, 'right' FROM (SELECT s_nationkey AS k FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000))""")
+  SELECT k, 'shared' AS side FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier)
+  UNION ALL SELECT k, 'left' FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier)
+  UNION ALL SELECT k, 'right' FROM (SELECT s_nationkey AS k FROM supplier EXCEPT SELECT c_nationkey FROM customer))""")
 def shared_name_sets(spark, sf_dir):
-    a = read(spark, sf_dir, "customer").where("c_acctbal > 9000").select(L("c_nationkey", "k"))
+    a = read(spark, sf_dir, "customer").select(L("c_nationkey", "k"))
     b = read(spark, sf_dir, "supplier").select(L("s_nationkey", "k"))
     tag = lambda d, s: d.select("k", F.lit(s).alias("side"))
     return tag(a.intersect(b), "shared").union(tag(a.subtract(b), "left")).union(tag(b.subtract(a), "right"))
@@ -114,10 +114,10 @@ def partition_exactness(spark, sf_dir):
     return K.partition_errors(read(spark, sf_dir, "orders", F.col("o_custkey").alias("id")), expected, "id")
 
 
-@query("""WITH a AS (SELECT c_nationkey AS k, max(c_custkey) AS v FROM customer WHERE c_acctbal > 9500 GROUP BY 1), b AS (SELECT s_nationkey AS k, max(s_suppkey) AS v FROM supplier GROUP BY 1)
+@query("""WITH a AS (SELECT c_nationkey AS k, max(c_custkey) AS v FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, max(s_suppkey) AS v FROM supplier GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, coalesce(b.v, a.v) AS v FROM a FULL JOIN b ON a.k = b.k""")
 def priority_union_distinct(spark, sf_dir):
-    a = read(spark, sf_dir, "customer").where("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("k")).agg(F.max("c_custkey").alias("v"))
+    a = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.max("c_custkey").alias("v"))
     b = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.max("s_suppkey").alias("v"))
     return K.priority_union(a, b, ["k"], "v")
 
@@ -210,12 +210,19 @@ def evidence_sample3(spark, sf_dir):
     return first_middle_last(read(spark, sf_dir, "events", "user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], "event_id")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey)::BIGINT AS pos, CASE WHEN o_orderstatus = 'F' THEN '12 scenes' ELSE '未生成' END AS state, round(o_totalprice / 1000, 1) AS k FROM orders QUALIFY pos <= 100")
+@query("""WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
+SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey)::BIGINT AS pos, coalesce(n || ' scenes', '未生成') AS state, round(o_totalprice / 1000, 1) || 'k' AS chars, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders LEFT JOIN n ON l_orderkey = o_orderkey""")
 def project_list(spark, sf_dir):
-    """O-01, I-01: newest first; the head is taken before rows are numbered."""
-    o = read(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100)
-    pos = F.row_number().over(W.orderBy(F.desc("o_orderdate"), "o_orderkey"))
-    return o.select("o_orderkey", L(pos, "pos"), F.when(F.col("o_orderstatus") == "F", "12 scenes").otherwise("未生成").alias("state"), F.round(F.col("o_totalprice") / 1000, 1).alias("k"))
+    """O-01, I-01, X-21, K-10: the cards of all projects, newest first; only
+    counts by day are summed in one task."""
+    from foliant.operators.screenplay import renumber
+
+    n = read(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_totalprice").join(n, "o_orderkey", "left")
+    o = o.withColumn("age", F.coalesce(-F.unix_date(F.col("o_orderdate").cast("date")), F.lit(2**31 - 1)))
+    state = F.coalesce(F.concat(F.col("n").cast("string"), F.lit(" scenes")), F.lit("未生成"))
+    chars = F.concat(F.round(F.col("o_totalprice") / 1000, 1).cast("string"), F.lit("k"))
+    return renumber(o, "age", [F.desc("o_orderdate"), "o_orderkey"]).select("o_orderkey", L("number", "pos"), state.alias("state"), chars.alias("chars"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey)::BIGINT AS pos, CASE WHEN o_orderstatus = 'F' THEN '12 scenes' ELSE '未生成' END AS state, round(o_totalprice / 1000, 1) AS k FROM orders")
@@ -289,9 +296,11 @@ def progress_pct(spark, sf_dir):
     return c.select("conv_id", "turn", L(F.lit(15) + F.floor(F.col("turn") * 75.0 / F.col("m") + 0.5), "pct"))
 
 
-@query("""SELECT 'duplicate' AS rule, o_custkey::VARCHAR AS k FROM orders GROUP BY o_custkey HAVING count(*) > 12""")
+@query("""SELECT 'duplicate' AS rule, l_orderkey || '/' || l_suppkey AS k FROM lineitem GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1""")
 def duplicate_ids(spark, sf_dir):
-    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 12").select(F.lit("duplicate").alias("rule"), F.col("o_custkey").cast("string").alias("k"))
+    """A-12: every pair of keys in more than one row."""
+    by = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n")).where("n > 1")
+    return by.select(F.lit("duplicate").alias("rule"), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")).alias("k"))
 
 
 @query("SELECT 'duplicate' AS rule, o_custkey::VARCHAR AS k FROM orders GROUP BY o_custkey HAVING count(*) > 1")
@@ -311,10 +320,10 @@ def fk_violations(spark, sf_dir):
     return read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey").join(s, "l_suppkey", "left_anti").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT event_type AS route, count(*)::BIGINT AS calls, sum(floor(value))::BIGINT AS tokens, ((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000)::BIGINT AS wall_s, count_if(value > 50)::BIGINT AS errors FROM events GROUP BY 1")
+@query("SELECT event_type AS route, count(*)::BIGINT AS calls, sum(floor(value))::BIGINT AS tokens, ((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000)::BIGINT AS wall_s, count_if(value > 50)::BIGINT AS errors, ((epoch_us(min(ts) FILTER (value <= 50)) - epoch_us(min(ts))) // 1000000)::BIGINT AS first_s FROM events GROUP BY 1")
 def call_metrics(spark, sf_dir):
     e = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("route"))
-    return e.agg(F.count("*").alias("calls"), L(F.sum(F.floor("value")), "tokens"), L(F.floor((F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1000000), "wall_s"), F.count_if(F.col("value") > 50).alias("errors"))
+    return e.agg(F.count("*").alias("calls"), L(F.sum(F.floor("value")), "tokens"), L(F.floor((F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1000000), "wall_s"), F.count_if(F.col("value") > 50).alias("errors"), L(F.floor((F.unix_micros(F.min(F.when(F.col("value") <= 50, F.col("ts")).cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1000000), "first_s"))
 
 
 @query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")

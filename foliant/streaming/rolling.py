@@ -10,26 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from foliant.operators.knowledge import normal, step
+
 STATE = "ids array<string>, id_keys array<string>, id_values array<string>, keys array<string>, active_ids array<string>, active_values array<string>"
 OUTCOME = "novel_id string, ord long, key string, id string, outcome string, active string"
 
 
-def step(r, by_id: dict, active: dict) -> str:
-    """What one fact does to the state (F-06)."""
-    now = active.get(r.key)
-    if r.id in by_id:
-        return "merge" if by_id[r.id] == (r.key, r.value) else "conflict"
-    if now is None or (now[1] != r.value and r.supersedes is not None and r.supersedes == now[0]):
-        by_id[r.id] = (r.key, r.value)
-        active[r.key] = (r.id, r.value)
-        return "new" if now is None else "replace"
-    return "merge" if now[1] == r.value else "conflict"
-
-
 def rolling_facts(deltas: DataFrame) -> DataFrame:
     """M-01: outcomes of a stream of facts (novel_id, ord, key, id, value,
     supersedes) under a state per novel that Spark checkpoints.  Facts of one
-    trigger are taken in order of ord."""
+    trigger are taken in order of ord; keys and values are compared in normal
+    form, as in ``knowledge.roll_facts``."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         by_id: dict = {}
@@ -45,7 +36,7 @@ def rolling_facts(deltas: DataFrame) -> DataFrame:
         state.update((list(by_id), [k for k, _ in by_id.values()], [v for _, v in by_id.values()], list(active), [i for i, _ in active.values()], [v for _, v in active.values()]))
         yield pd.DataFrame(out, columns=["novel_id", "ord", "key", "id", "outcome", "active"])
 
-    return deltas.groupBy("novel_id").applyInPandasWithState(fold, OUTCOME, STATE, "append", GroupStateTimeout.NoTimeout)
+    return normal(deltas).groupBy("novel_id").applyInPandasWithState(fold, OUTCOME, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def pending(chunks: DataFrame, done: DataFrame) -> DataFrame:
