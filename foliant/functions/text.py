@@ -84,6 +84,16 @@ def fact_key(kind: Column, subject: Column, predicate: Column, perspective: Colu
     return F.concat_ws(":", norm_text(kind), norm_text(subject), canonical_predicate(predicate), norm_text(perspective))
 
 
+def same_value(a: Column, b: Column) -> Column:
+    """X-12: equal in normal form; null is equal to ''."""
+    return norm_text(a) == norm_text(b)
+
+
+def ref_key(chapter: Column, chunk: Column, start: Column, end: Column) -> Column:
+    """X-18: the key by which references are the same."""
+    return F.format_string("%s:%s:%d-%d", chapter, chunk, start, end)
+
+
 def clip(text: Column, size: int) -> Column:
     """X-14: white space collapsed, cut to ``size`` with an ellipsis."""
     flat = trim(F.regexp_replace(text, f"{WS}+", " "))

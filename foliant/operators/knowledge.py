@@ -224,3 +224,13 @@ def roll_facts(deltas: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["novel_id", "ord", "key", "id", "outcome", "active"])
 
     return normal(deltas).groupBy("novel_id").applyInPandas(fold, "novel_id string, ord long, key string, id string, outcome string, active string")
+
+
+def chapter_of_refs(refs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """K-06, J-05: ``refs`` (chunk_id, start, end, ...) with chapter_id, that of the
+    range (chunk_id, chapter_id, start, end) which holds the whole reference; null
+    where it crosses ranges or lies outside."""
+    r = ranges.select("chunk_id", "chapter_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    fits = (F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e"))
+    met = refs.select("chunk_id", "start", "end").distinct().join(r, "chunk_id").where(fits).groupBy("chunk_id", "start", "end").agg(F.min_by("chapter_id", "_s").alias("chapter_id"))
+    return refs.join(met, ["chunk_id", "start", "end"], "left")

@@ -276,3 +276,18 @@ def render(project: DataFrame, characters: DataFrame, scenes: DataFrame, element
     parts = scenes.join(body, ["project", "scene"], "left").select("project", F.struct("scene", F.concat_ws("\n", F.array(head), F.transform("xs", lambda x: x["t"])).alias("t")).alias("x"))
     whole = parts.groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n\n").alias("body"))
     return project.join(whole, "project", "left").select("project", F.concat(F.regexp_replace(F.concat_ws("\n\n", "title", "body"), r"\s+$", ""), F.lit("\n")).alias("text"))
+
+
+def cast_section(characters: DataFrame) -> DataFrame:
+    """G-09, P-14: (project, cast): a project's characters as JSON, in order;
+    what a character lacks is left out."""
+    one = F.struct("id", "name", F.when(F.size("aliases") > 0, F.col("aliases")).alias("aliases"), F.nullif(F.col("description"), F.lit("")).alias("description"))
+    return keyed(characters).groupBy("project").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("c")))), lambda x: x["c"])).alias("cast"))
+
+
+def scene_section(scenes: DataFrame) -> DataFrame:
+    """G-09: (project, batch, section): the texts of a batch's scenes, each under
+    its number; scenes (project, batch, number, text)."""
+    line = F.concat(F.format_string("【%d】", F.col("number")), F.lit("\n"), "text")
+    by = scenes.groupBy("project", "batch").agg(F.array_sort(F.collect_list(F.struct("number", line.alias("t")))).alias("x"))
+    return by.select("project", "batch", F.array_join(F.transform("x", lambda v: v["t"]), "\n\n").alias("section"))

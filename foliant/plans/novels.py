@@ -58,7 +58,7 @@ def chapter_chunk_overlap_join(spark, sf_dir):
     return b.join(c, ["novel_id", "block"]).select("novel_id", L("block"), L(F.greatest("s", "cs"), "first_n"), L(F.least("e", "ce"), "last_n"))
 
 
-@query(f"WITH {NOVEL} SELECT novel_id, count_if(opens)::BIGINT AS strong, count_if(weak)::BIGINT AS weak, count_if(opens OR weak)::BIGINT AS total FROM (SELECT *, NOT opens AND regexp_matches(text, '^\d{{1,4}}[.．、]') AND length(text) <= 160 AS weak FROM h) GROUP BY novel_id HAVING count_if(opens OR weak) > 0")
+@query(rf"WITH {NOVEL} SELECT novel_id, count_if(opens)::BIGINT AS strong, count_if(weak)::BIGINT AS weak, count_if(opens OR weak)::BIGINT AS total FROM (SELECT *, NOT opens AND regexp_matches(text, '^\d{{1,4}}[.．、]') AND length(text) <= 160 AS weak FROM h) GROUP BY novel_id HAVING count_if(opens OR weak) > 0")
 def heading_counts(spark, sf_dir):
     return H.counts(H.classify(novel(spark, sf_dir)))
 

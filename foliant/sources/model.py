@@ -110,7 +110,33 @@ def sse_events(rows: DataFrame, body: str) -> DataFrame:
     return got.where(F.try_parse_json("event").isNotNull())
 
 
+def reassembled(reads: DataFrame) -> DataFrame:
+    """S-11: (stream, line_no, event) of the well-formed data lines of streams
+    that came in pieces: reads (stream, seq, piece).  A line may go on from one
+    piece to the next; one without its end is not read yet."""
+    whole = reads.groupBy("stream").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "").alias("body"))
+    done = whole.select("stream", F.substring_index("body", "\n", -1).alias("rest"), "body")
+    done = done.select("stream", F.expr("left(body, length(body) - length(rest))").alias("body"))
+    return sse_events(done, "body").select("stream", F.col("pos").alias("line_no"), "event")
+
+
+def overlaid(user: DataFrame, defaults: dict[str, str], key: str = "user") -> DataFrame:
+    """S-06: a row of settings for each user, each setting that is null or absent
+    from its default."""
+    have = [c for c in defaults if c in user.columns]
+    return user.select(key, *(F.coalesce(F.col(c), F.lit(v)).alias(c) if c in have else F.lit(v).alias(c) for c, v in defaults.items()))
+
+
+def done_stats(events: DataFrame) -> DataFrame:
+    """I-07: (stream, scenes, characters, repaired, errors) of the last event of a
+    stream that says it is done."""
+    n = lambda path: F.coalesce(F.json_array_length(F.get_json_object("event", path)), F.lit(0))
+    done = events.where(F.get_json_object("event", "$.done") == "true")
+    last = done.groupBy("stream").agg(F.max_by("event", "line_no").alias("event"))
+    return last.select("stream", F.coalesce(F.get_json_object("event", "$.scenes").cast("long"), F.lit(0)).alias("scenes"), n("$.screenplay.characters").cast("long").alias("characters"), F.coalesce(F.get_json_object("event", "$.repaired") == "true", F.lit(False)).alias("repaired"), n("$.validation.errors").cast("long").alias("errors"))
+
+
 def with_default(keys: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
-    """S-06, S-16: values by key, the table's last row's where there is none."""
+    """S-16: values by key, the table's last row's where there is none."""
     last = table.agg(F.max_by(value, "ord").alias("_last"))
     return keys.join(table.select(key, value), key, "left").join(F.broadcast(last)).select(key, F.coalesce(value, "_last").alias(value))

@@ -1,10 +1,15 @@
-"""The project store (S-05): a Parquet table of versions by id."""
+"""The project store (S-05): a Parquet table of versions by id; edits of its
+rows (P-15, P-16)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.text import trim
+
+UNTITLED = "未命名改编"
+
 
 def latest(versions: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     """The latest version of each key: a grouped maximum, so it is pre-aggregated."""
@@ -13,6 +18,26 @@ def latest(versions: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     return best.select(key, "v.*")
 
 
+def renamed(projects: DataFrame, titles: DataFrame, now: Column) -> DataFrame:
+    """P-16: ``projects`` (id, title, updated_at, ...) under their new titles (id,
+    title): trimmed, cut to 40 characters, the default where nothing is left.  A
+    project whose title stays the same stays as it is."""
+    new = titles.select("id", F.coalesce(F.nullif(F.substring(trim(F.col("title")), 1, 40), F.lit("")), F.lit(UNTITLED)).alias("_new"))
+    differs = F.coalesce(F.col("_new") != F.col("title"), F.lit(False))
+    rows = projects.join(new, "id", "left")
+    return rows.withColumns({"updated_at": F.when(differs, now).otherwise(F.col("updated_at")), "title": F.when(differs, F.col("_new")).otherwise(F.col("title"))}).drop("_new")
+
+
+def edited(rows: DataFrame, patch: DataFrame, key: list[str], columns: list[str], status: str = "status") -> DataFrame:
+    """P-15: ``rows`` with the values of their patches, which are marked edited;
+    a null in a patch leaves the value as it is, and other columns stay.  Of
+    several patches of one key the largest value counts."""
+    p = patch.groupBy(*key).agg(F.lit(True).alias("_hit"), *(F.max(c).alias(f"_{c}") for c in columns))
+    got = rows.join(p, key, "left")
+    made = {c: F.coalesce(f"_{c}", c) for c in columns} | {status: F.when(F.col("_hit"), "edited").otherwise(F.col(status))}
+    return got.withColumns(made).select(*rows.columns)
+
+
 class ProjectStore:
     """Append-only versions; a deletion is a version without content."""
 

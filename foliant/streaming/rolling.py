@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliant.operators.knowledge import normal, step
+from foliant.sources.model import sse
 
 STATE = "ids array<string>, id_keys array<string>, id_values array<string>, keys array<string>, active_ids array<string>, active_values array<string>"
 OUTCOME = "novel_id string, ord long, key string, id string, outcome string, active string"
@@ -60,9 +61,31 @@ def progress(stage: str, done: int, total: int) -> dict:
 
 
 def progress_events(done: DataFrame) -> DataFrame:
-    """M-07: (pos, event) texts of a table (pos, stage, completed, total)."""
+    """M-07, S-10: (pos, event) texts of a table (pos, stage, completed, total)."""
     pct = F.lit(15) + F.floor(F.col("completed") / F.greatest("total", F.lit(1)) * 75 + 0.5)
-    return done.select("pos", F.concat(F.lit("data: "), F.to_json(F.struct("stage", "completed", "total", pct.alias("percent"))), F.lit("\n\n")).alias("event"))
+    return done.select("pos", sse(F.to_json(F.struct("stage", "completed", "total", pct.alias("percent")))).alias("event"))
+
+
+class Listener(StreamingQueryListener):
+    """E-02, M-07: calls ``on_progress`` with the query's name, its trigger and the
+    rows so far after every trigger, and ``on_end`` with its error or None."""
+
+    def __init__(self, on_progress: Callable[[dict], None], on_end: Callable[[str | None], None] = lambda error: None) -> None:
+        self.on_progress, self.on_end, self.rows = on_progress, on_end, {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows[str(event.id)] = 0
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows[str(p.id)] = self.rows.get(str(p.id), 0) + p.numInputRows
+        self.on_progress({"stage": p.name, "completed": p.batchId + 1, "rows": self.rows[str(p.id)]})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.on_end(event.exception)
 
 
 def cancel(spark, group: str) -> None:

@@ -37,8 +37,8 @@ def test_modes_and_limits(spark):
 
 @pytest.mark.parametrize("count,want", [(1, [1]), (2, [1, 9]), (3, [1, 5, 9]), (9, list(range(1, 10)))])
 def test_even_sample(spark, count, want):
-    rows = spark.createDataFrame([("a", i) for i in range(1, 10)], "k string, i int")
-    assert sorted(r["i"] for r in Q.even_sample(rows, "k", "i", count).collect()) == want
+    rows = spark.createDataFrame([("a", i) for i in range(1, 10)], "g string, i int")
+    assert sorted(r["i"] for r in Q.even_sample(rows, "g", "i", count).collect()) == want
 
 
 def test_sample_at_a_cap_of_one(spark):
