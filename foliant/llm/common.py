@@ -16,8 +16,13 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table; texts that lie in fewer pieces than there are cores are dealt out,
+    so that a small file of one row group doesn't keep all but one idle.  On
+    inputs of any size there are more pieces than cores, and nothing moves."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if "text" in df.columns and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
