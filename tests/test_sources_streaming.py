@@ -1,4 +1,5 @@
 import io
+import time
 import zipfile
 
 from pyspark.sql import functions as F
@@ -95,3 +96,21 @@ def test_model_client(spark):
     assert {r["request_id"]: r["raw"] for r in model.recorded(req, spark.createDataFrame([(1, "x")], "request_id long, raw string")).collect()} == {1: "x", 2: None}
     got = spark.createDataFrame([('say {"a": 2} ok',), ("none",)], "t string").select(model.safe_parse(F.col("t"), "a int", F.struct(F.lit(0).alias("a"))).alias("v")).collect()
     assert [r["v"]["a"] for r in got] == [2, 0]
+
+
+def test_listener_reports_every_trigger(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    seen, ended = [], []
+    listener = rolling.Listener(seen.append, ended.append)
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        q = stream.writeStream.queryName("map").format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(50):
+            if ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert seen and seen[-1]["stage"] == "map" and seen[-1]["rows"] == 3 and ended == [None]
