@@ -16,17 +16,17 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A table; texts that lie in fewer pieces than there are cores are dealt out,
-    so that a small file of one row group doesn't keep all but one idle.  On
-    inputs of any size there are more pieces than cores, and nothing moves.  The
-    pieces with rows are counted without reading a column."""
+    """A table; texts that lie in so few pieces that three of four cores would be
+    idle are dealt out, as those of a small file of one row group.  Larger inputs
+    have more pieces and don't move.  The pieces with rows are counted without
+    reading a column."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     df = df.select(*columns) if columns else df
     if "text" not in df.columns:
         return df
     cores = spark.sparkContext.defaultParallelism
     pieces = df.select(F.spark_partition_id().alias("p")).distinct().limit(cores).count()
-    return df.repartition(cores) if pieces < cores else df
+    return df.repartition(cores) if pieces * 4 <= cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
