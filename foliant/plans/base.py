@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _found: dict[str, dict[str, tuple]] = {}
 
@@ -26,13 +27,16 @@ def oracle(module: str) -> tuple[dict, dict]:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns) -> DataFrame:
-    """A table; texts that lie in fewer pieces than there are cores are dealt out,
-    so that a small file of one row group doesn't keep all but one idle.  On
-    inputs of any size there are more pieces than cores, and nothing moves."""
+    """A table; texts that lie in so few pieces that three of four cores would be
+    idle are dealt out, as those of a small file of one row group.  Larger inputs
+    have more pieces and don't move."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     df = df.select(*columns) if columns else df
+    if name != "documents" or "text" not in df.columns:
+        return df
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name == "documents" and "text" in df.columns and df.rdd.getNumPartitions() < cores else df
+    pieces = df.select(F.spark_partition_id().alias("p")).distinct().limit(cores).count()
+    return df.repartition(cores) if pieces * 4 <= cores else df
 
 
 def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
