@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_NEEDLES = 10_000
+#: Characters of needles that one search holds at once.
+SHARD_CHARS = 2_000_000
+
+
+def _finder(held):
+    """A function of a column of texts to the needles that each contains, by one
+    pass over a text with all needles at once; ``held`` is their broadcast."""
+
+    @F.pandas_udf("array<string>")
+    def find(col: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        search = ahocorasick.Automaton()
+        always = [n for n in held.value if not n]  # '' is in every text
+        for n in held.value:
+            if n:
+                search.add_word(n, n)
+        if not len(search):
+            return col.map(lambda t: None if t is None else always)
+        search.make_automaton()
+        return col.map(lambda t: None if t is None else [*always, *sorted({n for _, n in search.iter(t)})])
+
+    return find
 
 
 def contains_join(texts: DataFrame, needles: DataFrame, text: str, needle: str) -> DataFrame:
     """J-07: pairs where a text contains a needle.
 
-    Up to MAX_NEEDLES needles are broadcast; more are paired through their first
-    eight characters, at every position of the texts, which is an equi-join.
+    The distinct needles, SHARD_CHARS characters at a time, are searched for all
+    at once in every text where it is read; only what is found is joined back to
+    the needles' rows.
     """
     few = needles.where(F.col(needle).isNotNull())
-    hit = F.contains(F.col(text), F.col(needle))
-    if few.count() <= MAX_NEEDLES:
-        return texts.join(F.broadcast(few), hit)
-    at = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.col(text).substr(i, F.lit(8))))
-    short = F.length(needle) < 8
-    keyed = texts.withColumn("_k", F.explode(at)).join(few.where(~short).withColumn("_k", F.substring(needle, 1, 8)), "_k").drop("_k")
-    return keyed.where(hit).unionByName(texts.join(few.where(short), hit))
+    distinct = few.select(F.col(needle).alias("_n")).distinct()
+    size = distinct.agg(F.coalesce(F.sum(F.length("_n")), F.lit(0))).first()[0]
+    shards = max(1, -(-size // SHARD_CHARS))
+    parts = []
+    for k in range(shards):
+        some = [r[0] for r in distinct.where(F.pmod(F.xxhash64("_n"), F.lit(shards)) == k).collect()]
+        find = _finder(texts.sparkSession.sparkContext.broadcast(some))
+        parts.append(texts.withColumn("_n", F.explode(find(F.col(text)))))
+    return reduce(DataFrame.unionByName, parts).join(few, F.col("_n") == F.col(needle)).drop("_n")
 
 
 def cooccurrence(members: DataFrame, group: str, member: str) -> DataFrame:

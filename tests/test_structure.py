@@ -14,11 +14,12 @@ from foliant.sources import files
 
 def test_contains_join_for_many_needles(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "the harbour wall at dawn"), (2, "a wall"), (3, ""), (4, None)], "id int, text string")
-    needles = spark.createDataFrame([("harbour wall",), ("wall",), ("dawn",), ("missing one",), (None,)], "needle string")
+    needles = spark.createDataFrame([("harbour wall",), ("wall",), ("dawn",), ("missing one",), (None,), ("wal",), ("wal",), ("",)], "needle string")
     few = {(r["id"], r["needle"]) for r in R.contains_join(texts, needles, "text", "needle").collect()}
-    monkeypatch.setattr(R, "MAX_NEEDLES", 1)
+    monkeypatch.setattr(R, "SHARD_CHARS", 8)
     many = [(r["id"], r["needle"]) for r in R.contains_join(texts, needles, "text", "needle").collect()]
-    assert set(many) == few == {(1, "harbour wall"), (1, "wall"), (1, "dawn"), (2, "wall")} and len(many) == len(few)
+    want = {(1, "harbour wall"), (1, "wall"), (1, "dawn"), (2, "wall"), (1, "wal"), (2, "wal"), (1, ""), (2, ""), (3, "")}
+    assert set(many) == few == want and len(many) == len(want) + 2  # one needle has two rows
 
 
 def test_cost_of_range(spark):
