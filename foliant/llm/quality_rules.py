@@ -129,6 +129,8 @@ def vectors(stats: DataFrame) -> DataFrame:
     return stats.withColumns(dict(zip(VECTOR, made, strict=True)))
 
 
+#: Tables of so many groups are broadcast (four rows of some 400 bytes a group); larger ones are joined by shuffles that Spark splits where they are skewed.
+FEW_GROUPS = 20_000
 P = len(VECTOR)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
@@ -151,6 +153,7 @@ def grouped(rows: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
         F.coalesce(by_pair, by_name, F.lit(2 if all_ else None).cast("long")).alias("own"),
         F.array_compact(F.array(by_pair, F.when(F.col("smallest") < least, by_name), F.lit(2 if last else None).cast("long"))).alias("gids"),
     )
+    named = F.broadcast(named) if groups.count() <= FEW_GROUPS else named
     return rows.join(named, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_lang", "_source"), groups
 
 
@@ -174,6 +177,11 @@ def _covariance(r: dict, p: int = P) -> tuple[np.ndarray, np.ndarray]:
     return mean, c
 
 
+def _hint(groups: DataFrame):
+    """What marks a table of one row or a few a group for its joins."""
+    return F.broadcast if groups.count() <= FEW_GROUPS else lambda df: df
+
+
 ESTIMATE = "gid long, start int, mean array<double>, inv array<double>, det double"
 
 
@@ -192,7 +200,7 @@ def _invert(moments: DataFrame) -> DataFrame:
     return moments.where("m > 0").mapInPandas(task, ESTIMATE)
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, hint) -> DataFrame:
     """Four estimates a group.  Means are medians.  Covariances have the spread
     between quartiles, and as correlations none, those of tanh z, of z / |z| and
     of the half nearest to the medians, z being the standardised statistics."""
@@ -201,11 +209,11 @@ def _starts(rows: DataFrame) -> DataFrame:
     width = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(P)]
     quart = durable(quart.select("gid", F.array(*(F.col(f"q{i}")[1] for i in range(P))).alias("mid"), F.array(*width).alias("width")))
     z = [(F.col(v) - F.col("mid")[i]) / F.col("width")[i] for i, v in enumerate(VECTOR)]
-    scored = rows.join(quart, "gid").withColumns({f"z{i}": x for i, x in enumerate(z)})
+    scored = rows.join(hint(quart), "gid").withColumns({f"z{i}": x for i, x in enumerate(z)})
     norm = F.sqrt(reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)]))
     scored = scored.withColumn("far", norm)
     half = scored.groupBy("gid").agg(F.percentile_approx("far", 0.5, 1000).alias("half"))
-    scored = scored.join(half, "gid")
+    scored = scored.join(hint(half), "gid")
     forms = [(F.tanh(F.col(f"z{i}")), F.col(f"z{i}") / F.greatest("far", F.lit(1e-9)), F.when(F.col("far") <= F.col("half"), F.col(f"z{i}"))) for i in range(P)]
     long_ = scored.select("gid", F.explode(F.array(*(F.struct(F.lit(k + 1).alias("start"), *(forms[i][k].alias(f"z{i}") for i in range(P))) for k in range(3)))).alias("x")).select("gid", "x.*").where("z0 is not null")
     made = _moments(long_, [F.col(f"z{i}") for i in range(P)], ["gid", "start"]).join(quart, "gid")
@@ -227,8 +235,8 @@ def _starts(rows: DataFrame) -> DataFrame:
     return out
 
 
-def _distance(rows: DataFrame, estimate: DataFrame, key: str = "gid", how: str = "inner") -> DataFrame:
-    got = rows.join(estimate.withColumnRenamed("gid", "_gid"), F.col(key) == F.col("_gid"), how).drop("_gid")
+def _distance(rows: DataFrame, estimate: DataFrame, hint, key: str = "gid", how: str = "inner") -> DataFrame:
+    got = rows.join(hint(estimate.withColumnRenamed("gid", "_gid")), F.col(key) == F.col("_gid"), how).drop("_gid")
     d = [F.col(VECTOR[i]) - F.col("mean")[i] for i in range(P)]
     terms = [d[i] * d[j] * F.col("inv")[i * P + j] * (1 if i == j else 2) for i, j in PAIRS]
     return got.withColumn("d2", reduce(lambda a, b: a + b, terms)).drop("mean", "inv", "det")
@@ -238,11 +246,12 @@ def estimates(rows: DataFrame, steps: int = STEPS, h: float = H) -> DataFrame:
     """(gid, mean, inv, det) of each number in ``gids``: the concentrated start of
     least determinant; quantiles are exact to a thousandth of a group."""
     rows = durable(rows.select(F.explode("gids").alias("gid"), *VECTOR))
-    now = _starts(rows)
+    hint = _hint(rows.select("gid").distinct())
+    now = _starts(rows, hint)
     for k in range(steps):
-        far = _distance(rows, now)
+        far = _distance(rows, now, hint)
         cut = far.groupBy("gid", "start").agg(F.percentile_approx("d2", h, 1000).alias("cut"))
-        near = far.join(cut, ["gid", "start"])
+        near = far.join(hint(cut), ["gid", "start"])
         old, now = now, durable(_invert(_moments(near, [F.col(v) for v in VECTOR], ["gid", "start"], F.col("d2") <= F.col("cut"))))
         fell = now.alias("a").join(old.alias("b"), ["gid", "start"]).where(F.col("a.det") < F.col("b.det") - FALL)
         done = k > 0 and fell.isEmpty()
@@ -251,7 +260,7 @@ def estimates(rows: DataFrame, steps: int = STEPS, h: float = H) -> DataFrame:
             break
     best = now.groupBy("gid").agg(F.min_by(F.struct("mean", "inv", "det"), F.struct("det", "start")).alias("e")).select("gid", "e.*")
     # consistency: the median distance of a group becomes that of the chi-squared distribution
-    mid = _distance(rows, best).groupBy("gid").agg(F.percentile_approx("d2", 0.5, 1000).alias("mid"))
+    mid = _distance(rows, best, hint).groupBy("gid").agg(F.percentile_approx("d2", 0.5, 1000).alias("mid"))
     scale = F.least(F.lit(1.0), F.lit(CHI_MEDIAN) / F.greatest(F.col("mid"), F.lit(1e-9)))
     out = durable(best.join(mid, "gid").select("gid", "mean", F.transform("inv", lambda x: x * scale).alias("inv"), "det"))
     release(now, rows)
@@ -271,7 +280,7 @@ def rules(docs: DataFrame, keep: tuple[str, ...] = (), least: int = LEAST) -> Da
     stats = durable(statistics(docs, ("doc_id", "lang", "source", *keep)).withColumn("base_failed", base_failed()))
     rows, groups = grouped(vectors(stats), least)
     found = estimates(rows.where("not base_failed"))
-    far = _distance(rows, found, "own", "left")
+    far = _distance(rows, found, _hint(found), "own", "left")
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= CHI_CUT)
     out = durable(far.select("doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance")))
     release(stats, groups, found)
