@@ -99,11 +99,11 @@ def resolve(answers: DataFrame, candidates: DataFrame, page_of: DataFrame | None
     a table of contents are set apart, and a novel without any boundary falls
     back with a warning.  candidates: (novel_id, n, text).
     """
-    parsed = parse(answers)
+    parsed = staged(parse(answers))
     each = parsed.select("novel_id", "page", F.posexplode("picks").alias("i", "p")).select("novel_id", "page", "i", "p.*")
     first = W.partitionBy("novel_id", "n").orderBy("page", "i")
     known = candidates.select("novel_id", "n", F.col("text").alias("title"))
-    rows = each.withColumn("again", F.row_number().over(first) > 1).join(known.withColumn("known", F.lit(True)), ["novel_id", "n"], "left")
+    rows = staged(each.withColumn("again", F.row_number().over(first) > 1).join(known.withColumn("known", F.lit(True)), ["novel_id", "n"], "left"))
     earliest = lambda df, code: _issue(df.groupBy("novel_id").agg(F.min_by("n", F.struct("page", "i")).alias("n")), code, "error", F.col("n"))
     fatal = [(0, _issue(limited, "candidate_limit_exceeded", "warning"))] if limited is not None else []
     fatal.append((1, _issue(parsed.where("picks is null").select("novel_id").distinct(), "invalid_model_output", "error")))
@@ -111,7 +111,7 @@ def resolve(answers: DataFrame, candidates: DataFrame, page_of: DataFrame | None
         fatal.append((2, earliest(each.join(page_of.select("novel_id", "n", "page"), ["novel_id", "n", "page"], "left_anti"), "unknown_candidate")))
     fatal += [(3, earliest(rows.where("again"), "duplicate_heading")), (4, earliest(rows.where("known is null"), "unknown_candidate"))]
     stops = reduce(DataFrame.unionByName, [d.withColumn("_o", F.lit(o)) for o, d in fatal])
-    stops = stops.groupBy("novel_id").agg(F.min_by(F.struct("code", "severity", "n"), "_o").alias("x")).select("novel_id", "x.*")
+    stops = staged(stops.groupBy("novel_id").agg(F.min_by(F.struct("code", "severity", "n"), "_o").alias("x")).select("novel_id", "x.*"))
 
     live = rows.join(stops, "novel_id", "left_anti")
     unsure = live.where("decision = 'uncertain'")
