@@ -62,9 +62,9 @@ def targets(sized: DataFrame, cap: int = CAP) -> DataFrame:
     return by.select("source", "source_size", F.least(F.col("w") * F.col("at"), (F.col("source_size") * cap).cast("double")).alias("target"))
 
 
-def sort_key(quality: Column | None, seed: str = SEED) -> Column:
+def sort_key(quality: Column | None, seed: str = SEED, size: Column | None = None) -> Column:
     """The exponential key of a row with doc_id and text."""
-    q = quality if quality is not None else default_quality(F.coalesce(F.col("text"), F.lit("")), word_count(F.col("text")))
+    q = quality if quality is not None else default_quality(F.coalesce(F.col("text"), F.lit("")), word_count(F.col("text")) if size is None else size)
     return -F.log(uniform(F.col("doc_id"), seed)) / F.greatest(q, F.lit(1e-6))
 
 
@@ -148,9 +148,10 @@ def take(docs: DataFrame, quality: Column | None = None, cap: int = CAP, buckets
     partial = not cuts.where("_cut.n > _cut.more").isEmpty()
     if cuts.count() <= MAX_SOURCES:
         cuts = F.broadcast(cuts)
-    size = word_count(F.col("text"))
-    key = F.struct(sort_key(quality, seed).alias("key"), F.col("doc_id"), size.alias("size"))
-    rows = docs.withColumn("_key", key).where(F.col("_key.size") > 0).join(cuts, F.col("source").eqNullSafe(F.col("_source")))
+    # a generator's output is computed once, however often it is used below
+    sized = docs.select("*", F.explode(F.array(word_count(F.col("text")))).alias("_size")).where("_size > 0")
+    key = F.struct(sort_key(quality, seed, F.col("_size")).alias("key"), F.col("doc_id"), F.col("_size").alias("size"))
+    rows = sized.select("*", F.explode(F.array(key)).alias("_key")).join(cuts, F.col("source").eqNullSafe(F.col("_source")))
     tied = F.coalesce((F.col("_key") == F.col("_cut.at")) & (F.col("_cut.n") > F.col("_cut.more")), F.lit(False))
     times = F.col("_epochs") + F.coalesce((F.col("_key") <= F.col("_cut.at")).cast("long"), F.lit(0))
     whole = (rows.where(~tied) if partial else rows).select(*columns, times.alias("_times"))
