@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import fill_middle, hmm_lm, jaccard_join, language_id, mixing, near_vectors, quality_cnn, quality_rules, secrets, sentencepieces, token_counts
+from foliant.llm import alignment, fill_middle, hmm_lm, jaccard_join, language_id, licenses, mixing, near_vectors, quality_cnn, quality_rules, secrets, sentencepieces, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepieces": sentencepieces.op1_sentencepieces,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_vectors": near_vectors.op9_near_vectors,
     "op10_mixing": mixing.op10_mixing,
     "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_licenses": licenses.op12_licenses,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLES: dict[str, str] = {

@@ -75,15 +75,16 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 
 class Words:
-    """The words of a run of texts: byte spans, owning row, hash.
+    """The words of a run of texts: byte spans, owning row, hash.  ``space`` tells
+    of each byte whether it parts words.
 
     ``first[i]:first[i+1]`` are the words of row i.
     """
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = True, hashed: bool = True) -> None:
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = True, hashed: bool = True, space: np.ndarray = _SPACE) -> None:
         self.data, self.offs = data, offs
         n = len(data)
-        solid = ~_SPACE[data]
+        solid = ~space[data]
         edge = np.zeros(n + 1, bool)
         edge[offs] = True
         before = np.ones(n, bool)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from foliant.llm import hmm_lm, jaccard_join, language_id, mixing, near_vectors, quality_cnn, quality_rules, secrets, sentencepieces, token_counts
+from foliant.llm import alignment, fill_middle, hmm_lm, jaccard_join, language_id, licenses, mixing, near_vectors, quality_cnn, quality_rules, secrets, sentencepieces, token_counts
 from foliant.llm.common import durable
 
 CLASH = ("_text", "text_", "h", "k", "n", "size", "score", "spans", "base", "bucket", "comp", "set_key", "row", "key", "mean")
@@ -43,6 +43,11 @@ def operators():
     yield "rules", lambda d: quality_rules.rules(d), True
     yield "mix", lambda d: mixing.mix(d), True
     yield "take", lambda d: mixing.take(d), False
+    yield "fill", lambda d: fill_middle.report(d), True
+    yield "filled", lambda d: fill_middle.restore(fill_middle.transform(d)), True
+    yield "licenses", lambda d: licenses.report(d), True
+    yield "notices", lambda d: licenses.find(d), False
+    yield "alignment", lambda d: alignment.report(d), True
 
 
 @pytest.mark.parametrize("which", ["full", "empty"])
