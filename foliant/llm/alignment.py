@@ -18,6 +18,7 @@ import functools
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ TIER = 1 << 20
 PART = 1 << 16
 RUN = 1 << 21
 ROWS = 256
+#: Pre-tokens of each side that a worker keeps.
+KEPT = 500_000
 #: A pair of ids (a, b) is the number a * BASE + b.
 BASE = 1 << 31
 
@@ -49,6 +52,17 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+@functools.lru_cache(1)
+def latin() -> tuple[re.Pattern, re.Pattern]:
+    """(texts of code points below U+0250 only, the byte-level pattern for these):
+    there the classes of letters, numbers and white space are the same in every
+    library, so pre-tokens that a worker has met before aren't encoded again.
+    Other texts are encoded whole."""
+    kind = lambda k: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == k)
+    letter, number, space = kind("L"), kind("N"), "\\t-\\r \\x85\\xa0"
+    return re.compile("[\0-\u024f]*"), re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
 @functools.lru_cache(2)
 def side_a(path: str):
     """(encode a list of texts to ids, bytes of each id) of a byte-level model."""
@@ -67,11 +81,26 @@ def side_a(path: str):
     for token, i in made.get_vocab().items():
         raw[i] = token.encode() if i in special else bytes(letters[c] for c in token)
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
+    kept = Kept(KEPT)
+
+    def library_ids(texts: list[str]) -> list[np.ndarray]:
         cut = [_parts(t) for t in texts]
         ids = iter(made.encode_batch_fast([p for x in cut for p in x], add_special_tokens=False))
-        return [np.concatenate([np.array(next(ids).ids, np.int64) for _ in x]) if len(x) > 1 else np.array(next(ids).ids, np.int64) for x in cut]
+        return [np.concatenate([np.array(next(ids).ids, np.int64) for _ in x]) for x in cut]
+
+    def make(keys: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<i4").tobytes() for x in made.encode_batch_fast(keys, add_special_tokens=False)]
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        near = [i for i, t in enumerate(texts) if plain.fullmatch(t)]
+        keys = [split.findall(texts[i]) for i in near]
+        view = kept.view([k for x in keys for k in x], make)
+        out: dict[int, np.ndarray] = {i: np.frombuffer(b"".join(map(view.__getitem__, x)), "<i4").astype(np.int64) for i, x in zip(near, keys, strict=True)}
+        far = [i for i in range(len(texts)) if i not in out]
+        out |= zip(far, library_ids([texts[i] for i in far]), strict=True) if far else ()
+        return [out[i] for i in range(len(texts))]
 
+    plain, split = latin()
     return encode, raw
 
 
@@ -93,7 +122,7 @@ def _parts(text: str) -> list[str]:
 def side_b(path: str):
     """(encode a list of texts to ids, bytes of each id) of a SentencePiece model;
     pre-tokens that a worker has met before aren't encoded again."""
-    m, kept = model(path), Kept()
+    m, kept = model(path), Kept(KEPT)
     raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, k in zip(m.pieces, m.kinds, strict=True)]
 
     def make(keys: list[str]) -> list[bytes]:

@@ -201,3 +201,7 @@ def test_parts_of_long_texts_encode_alike():
     whole = Tokenizer.from_file(file_of(alignment.A_MODEL))
     whole.encode_special_tokens = True
     assert encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+    rng = random.Random(1)
+    for _ in range(3000):  # every code point below U+0250 among others of its kind
+        t = "".join(chr(rng.choice([rng.randrange(0x250), 32, 39, 10, 97, 115])) for _ in range(rng.randint(1, 30)))
+        assert encode([t])[0].tolist() == whole.encode(t, add_special_tokens=False).ids, t
