@@ -17,8 +17,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 import re
-import unicodedata
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,20 +29,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import durable, release, small_batches, table
-from foliant.llm.pieces import BYTE, CONTROL, MARK, UNKNOWN, Kept, file_of, library, library_input, marked, model, pre_tokens
+from foliant.llm.pieces import BYTE, CONTROL, MARK, UNKNOWN, Kept, file_of, library, model
 
 A_MODEL, B_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 TIER = 1 << 20
-PART = 1 << 16
-RUN = 1 << 21
-ROWS = 256
-#: Pre-tokens of each side that a worker keeps.
-KEPT = 500_000
+#: Chunks that a library is given at once, rows that a task takes at once, and chunks that a worker keeps.
+PART, ROWS, KEPT = 4096, 128, 500_000
 #: A pair of ids (a, b) is the number a * BASE + b.
 BASE = 1 << 31
 
-# A place where no pre-token of the byte-level pattern can go on: white space behind anything else.
-_SAFE = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \n])")
+# Chunks of a text: cut before each space or line feed behind anything that isn't
+# white space.
+_CHUNK = re.compile(r"[ \n]*[^ \n]+(?:(?<=\s)[ \n]+[^ \n]*)*|[ \n]+")
 
 
 @functools.lru_cache(1)
@@ -52,22 +52,9 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-@functools.lru_cache(1)
-def latin() -> tuple[re.Pattern, re.Pattern]:
-    """(texts of code points below U+0250 only, the byte-level pattern for these):
-    there the classes of letters, numbers and white space are the same in every
-    library, so pre-tokens that a worker has met before aren't encoded again.
-    Other texts are encoded whole."""
-    kind = lambda k: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == k)
-    letter, number, space = kind("L"), kind("N"), "\\t-\\r \\x85\\xa0"
-    return re.compile("[\0-\u024f]*"), re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
-
-
 @functools.lru_cache(2)
 def side_a(path: str):
     """(encode a list of texts to ids, bytes of each id) of a byte-level model."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -77,121 +64,100 @@ def side_a(path: str):
     made.no_padding()
     letters = byte_of_letter()
     raw: list[bytes] = [b""] * made.get_vocab_size()
-    special = {x["id"] for x in json.load(open(path, encoding="utf-8")).get("added_tokens", ())}
+    with open(path, encoding="utf-8") as f:
+        special = {x["id"] for x in json.load(f).get("added_tokens", ())}
     for token, i in made.get_vocab().items():
         raw[i] = token.encode() if i in special else bytes(letters[c] for c in token)
+    size = np.array(list(map(len, raw)), np.int64)
+
+    def encode(chunks: list[str]) -> list[list[int]]:
+        """Chunks are given to the library as one text; a chunk that ends in white
+        space, as a text's last may, is given alone."""
+        alone = [k for k, c in enumerate(chunks) if c[-1].isspace()]
+        apart = set(alone)
+        rest = [c for k, c in enumerate(chunks) if k not in apart] if alone else chunks
+        both = made.encode_batch_fast(["".join(rest), *(chunks[k] for k in alone)], add_special_tokens=False)
+        ids = both[0].ids
+        ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(c.encode()) for c in rest])) + 1 if rest else np.zeros(0, int)
+        parts = iter([ids[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if rest else ())
+        own = dict(zip(alone, both[1:], strict=True))
+        return [own[k].ids if k in own else next(parts) for k in range(len(chunks))]
 
-    kept = Kept(KEPT)
+    return encode, raw
 
-    def library_ids(texts: list[str]) -> list[np.ndarray]:
-        cut = [_parts(t) for t in texts]
-        ids = iter(made.encode_batch_fast([p for x in cut for p in x], add_special_tokens=False))
-        return [np.concatenate([np.array(next(ids).ids, np.int64) for _ in x]) for x in cut]
 
-    def make(keys: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<i4").tobytes() for x in made.encode_batch_fast(keys, add_special_tokens=False)]
+@functools.lru_cache(2)
+def side_b(path: str):
+    """(encode a list of chunks to ids, bytes of each id) of a SentencePiece model,
+    which puts a space before what it is given: a chunk's own, or one that is
+    taken off again before a line feed.  A space alone is asked for before one."""
+    m, sp = model(path), library(path)
+    raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, k in zip(m.pieces, m.kinds, strict=True)]
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        near = [i for i, t in enumerate(texts) if plain.fullmatch(t)]
-        keys = [split.findall(texts[i]) for i in near]
-        view = kept.view([k for x in keys for k in x], make)
-        out: dict[int, np.ndarray] = {i: np.frombuffer(b"".join(map(view.__getitem__, x)), "<i4").astype(np.int64) for i, x in zip(near, keys, strict=True)}
-        far = [i for i in range(len(texts)) if i not in out]
-        out |= zip(far, library_ids([texts[i] for i in far]), strict=True) if far else ()
-        return [out[i] for i in range(len(texts))]
+    def encode(chunks: list[str]) -> list[list[int]]:
+        ids = sp.encode(["\n" if c == " " else c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        return [x[:1] if c == " " else x if c[0] == " " else x[1:] for x, c in zip(ids, chunks, strict=True)]
 
-    plain, split = latin()
     return encode, raw
 
 
-def _parts(text: str) -> list[str]:
-    """A text cut into parts of about PART characters where the pattern never
-    joins what stands on both sides, so that a long text's tokens don't all
-    become objects at once."""
-    out, at = [], 0
-    while len(text) - at > PART:
-        m = _SAFE.search(text, at + PART)
-        if not m:
-            break
-        out.append(text[at : m.start()])
-        at = m.start()
-    return [*out, text[at:]]
+def groups(ids_a: list[int], ids_b: list[int], raw_a: list[bytes], raw_b: list[bytes], text: bytes) -> tuple[bytes, int, int, bytes] | None:
+    """(``a1,a2|b1;a3|b2,b3``, n_a, n_b, pairs as int64) of a chunk; None if either
+    side's bytes aren't the text.  Each group has one link, of its last tokens."""
+    parts_a, parts_b = [raw_a[i] for i in ids_a], [raw_b[i] for i in ids_b]
+    if b"".join(parts_a) != text or b"".join(parts_b) != text:
+        return None
+    if len(ids_a) == len(ids_b) == 1:
+        return b"%d|%d" % (ids_a[0], ids_b[0]), 1, 1, (ids_a[0] * BASE + ids_b[0]).to_bytes(8, sys.byteorder)
+    found, pairs = [], array("q")
+    at_a = at_b = i = j = i0 = j0 = 0
+    for part in parts_a:
+        at_a += len(part)
+        i += 1
+        while at_b < at_a:
+            at_b += len(parts_b[j])
+            j += 1
+        if at_a == at_b:
+            found.append(f"{','.join(map(str, ids_a[i0:i]))}|{','.join(map(str, ids_b[j0:j]))}")
+            pairs.append(ids_a[i - 1] * BASE + ids_b[j - 1])
+            i0, j0 = i, j
+    return ";".join(found).encode(), len(ids_a), len(ids_b), pairs.tobytes()
 
 
 @functools.lru_cache(2)
-def side_b(path: str):
-    """(encode a list of texts to ids, bytes of each id) of a SentencePiece model;
-    pre-tokens that a worker has met before aren't encoded again."""
-    m, kept = model(path), Kept(KEPT)
-    raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, k in zip(m.pieces, m.kinds, strict=True)]
-
-    def make(keys: list[str]) -> list[bytes]:
-        asked = [library_input(k) for k in keys]
-        ids = library(path).encode([t for t, _ in asked], num_threads=1)  # a mark alone is asked for with a line feed behind it
-        return [np.array(x[:1] if marked(k) == MARK else x[extra:], "<i4").tobytes() for k, x, (_, extra) in zip(keys, ids, asked, strict=True)]
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        keys = [pre_tokens(t) for t in texts]
-        view = kept.view([k for x in keys for k in x], make)
-        return [np.frombuffer(b"".join(map(view.__getitem__, x)), "<i4").astype(np.int64) for x in keys]
+def aligner(path_a: str, path_b: str):
+    """A function from a list of texts to (n_a, n_b, n_groups, n_links,
+    groups_sha256, pairs, times) of each: zeros, '' and no pairs if either side's
+    bytes aren't the text behind a space.
+
+    No token of either side goes on from one chunk to the next, so a chunk is
+    encoded and aligned by itself and kept by the worker: the byte-level pattern
+    never takes white space behind anything else into one pre-token, and no
+    piece holds a mark or a line feed behind another character.
+    """
+    (encode_a, raw_a), (encode_b, raw_b) = side_a(path_a), side_b(path_b)
+    kept = Kept(KEPT)
 
-    return encode, raw
+    def make(chunks: list[str]) -> list[tuple | None]:
+        out: list[tuple | None] = []
+        for at in range(0, len(chunks), PART):
+            some = chunks[at : at + PART]
+            out += [groups(a, b, raw_a, raw_b, c.encode()) for a, b, c in zip(encode_a(some), encode_b(some), some, strict=True)]
+        return out
 
+    def run(texts: list[str]) -> Iterator[tuple]:
+        cut = [_CHUNK.findall(" " + t) if t else [] for t in texts]
+        view = kept.view([c for x in cut for c in x], make)
+        for x in cut:
+            got = list(map(view.__getitem__, x))
+            if not got or None in got:
+                yield 0, 0, 0, 0, "", (), ()
+                continue
+            said, n_a, n_b, pairs = zip(*got, strict=True)
+            links = np.frombuffer(b"".join(pairs), np.int64)
+            yield sum(n_a), sum(n_b), len(links), len(links), hashlib.sha256(b";".join(said)).hexdigest(), *np.unique(links, return_counts=True)
 
-class Side:
-    """Lengths, decimal digits and bytes of a vocabulary's ids."""
-
-    def __init__(self, raw: list[bytes]) -> None:
-        self.raw = raw
-        self.size = np.array(list(map(len, raw)), np.int64)
-        text = [str(i).encode() for i in range(len(raw))]
-        self.digits = np.zeros((len(raw), len(text[-1]) + 1), np.uint8)
-        for i, t in enumerate(text):
-            self.digits[i, -1 - len(t) : -1] = np.frombuffer(t, np.uint8)
-
-    def spells(self, ids: np.ndarray, text: bytes) -> bool:
-        return int(self.size[ids].sum()) == len(text) and b"".join(map(self.raw.__getitem__, ids.tolist())) == text
-
-
-def groups_text(a: Side, b: Side, ids_a: np.ndarray, ids_b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> bytes:
-    """``a1,a2|b1;a3|b2,b3`` of one text: last_a and last_b are the places of the
-    last token of each group on both sides."""
-    group_a = np.searchsorted(last_a, np.arange(len(ids_a)))
-    group_b = np.searchsorted(last_b, np.arange(len(ids_b)))
-    at_a = np.arange(len(ids_a)) + np.concatenate([[0], last_b[:-1] + 1])[group_a]
-    at_b = np.arange(len(ids_b)) + last_a[group_b] + 1
-    width = max(a.digits.shape[1], b.digits.shape[1])
-    cells = np.zeros((len(ids_a) + len(ids_b), width), np.uint8)
-    cells[at_a, width - a.digits.shape[1] :] = a.digits[ids_a]
-    cells[at_b, width - b.digits.shape[1] :] = b.digits[ids_b]
-    cells[:, -1] = ord(",")
-    cells[at_a[last_a], -1] = ord("|")
-    cells[at_b[last_b], -1] = ord(";")
-    flat = cells.ravel()
-    return flat[flat != 0].tobytes()[:-1]
-
-
-def align(texts: list[str], a, b) -> Iterator[tuple]:
-    """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of each text;
-    zeros, '' and no pairs if either side's bytes aren't the text behind a space.
-    A link joins two tokens that end together, so each group has the one of its
-    last tokens."""
-    (encode_a, side_a_), (encode_b, side_b_) = a, b
-    for t, ids_a, ids_b in zip(texts, encode_a([" " + t for t in texts]), encode_b(texts), strict=True):
-        raw = b" " + t.encode()
-        if not t or not side_a_.spells(ids_a, raw) or not side_b_.spells(ids_b, raw):
-            yield 0, 0, 0, 0, "", (), ()
-            continue
-        end_a, end_b = np.cumsum(side_a_.size[ids_a]), np.cumsum(side_b_.size[ids_b])
-        mark = np.zeros(len(raw) + 1, bool)
-        mark[end_b] = True
-        last_a = np.flatnonzero(mark[end_a])
-        mark[end_b] = False
-        mark[end_a] = True
-        last_b = np.flatnonzero(mark[end_b])
-        pairs, times = np.unique(ids_a[last_a] * BASE + ids_b[last_b], return_counts=True)
-        digest = hashlib.sha256(groups_text(side_a_, side_b_, ids_a, ids_b, last_a, last_b)).hexdigest()
-        yield len(ids_a), len(ids_b), len(last_a), len(last_a), digest, pairs, times
+    return run
 
 
 def distinct(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -217,20 +183,11 @@ def aligned(texts: DataFrame, tokenizer_a: str = A_MODEL, tokenizer_b: str = B_M
         return pa.ListArray.from_arrays(pa.array(offs), pa.array(flat, kind))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides(path_a, path_b)
+        run = aligner(path_a, path_b)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                texts = batch.column(1).to_pylist()
-                todo, runs, size = [], [], 0
-                for t in texts:
-                    todo.append(t)
-                    size += len(t)
-                    if size > RUN:
-                        runs.append(todo)
-                        todo, size = [], 0
-                found = [x for r in [*runs, todo] if r for x in align(r, a, b)]
-                cols = list(zip(*found, strict=True))
+                cols = list(zip(*run(batch.column(1).to_pylist()), strict=True))
                 out = [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), lists(cols[5], pa.int64()), lists(cols[6], pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *out], names)
 
@@ -238,12 +195,6 @@ def aligned(texts: DataFrame, tokenizer_a: str = A_MODEL, tokenizer_b: str = B_M
     return given.mapInArrow(task, "_key binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>")
 
 
-@functools.lru_cache(2)
-def sides(path_a: str, path_b: str):
-    (encode_a, raw_a), (encode_b, raw_b) = side_a(path_a), side_b(path_b)
-    return (encode_a, Side(raw_a)), (encode_b, Side(raw_b))
-
-
 def pair_counts(found: DataFrame) -> DataFrame:
     """(pair, n, best): links of each pair over all rows, and whether no pair of
     the same B id has more.  The highest counts by B id are as many rows as the

@@ -222,13 +222,12 @@ class Kept:
         """A mapping that has all of ``keys``; ``make`` gives the values of a
         list of keys that aren't kept."""
         new, old = self.new, self.old
-        short: dict = {}
+        missing = []
         for k in set(keys).difference(new):
             if k in old:
                 new[k] = old[k]
             else:
-                short[k] = None
-        missing = list(short)
+                missing.append(k)
         if not missing:
             return new
         values = make(missing)
