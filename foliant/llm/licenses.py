@@ -65,8 +65,10 @@ UNKNOWN, RELIEVED = 0.9, 0.5
 #: Binding strength of the operators.
 OPERATORS = {"or": 1, "and": 2, "with": 3}
 
-_OUTSIDE = np.ones(256, bool)
-_OUTSIDE[48:58] = _OUTSIDE[65:91] = _OUTSIDE[97:123] = _OUTSIDE[128:] = False
+#: Bytes that part words here as spaces, others as they are.
+_PARTED = np.full(256, 32, np.uint8)
+for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
+    _PARTED[_a:_b] = np.arange(_a, _b)
 _TOKEN = re.compile(r"[ \t]*([A-Za-z0-9][A-Za-z0-9.+:-]*|[()])")
 _OPENING = re.compile("[ \t]*[\"']?[ \t]*[:=][ \t\"']*")
 
@@ -166,7 +168,7 @@ class Automaton:
                 self.back[t] = self.step(self.back[s], k)
                 todo.append(t)
         text = np.frombuffer(" ".join(self.words).encode(), np.uint8)
-        hashes = Words(text, np.array([0, len(text)]), space=_OUTSIDE).hash
+        hashes = Words(text, np.array([0, len(text)])).hash
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
 
@@ -198,9 +200,10 @@ def automaton() -> tuple[Automaton, list[tuple[str, str]]]:
     return Automaton([p for p, _, _ in what]), [(kind, label) for _, kind, label in what]
 
 
-def scan(words: Words) -> Iterator[tuple[int, str, str, int, int, float, bool]]:
+def scan(words: Words, data: np.ndarray) -> Iterator[tuple[int, str, str, int, int, float, bool]]:
     """(row, kind, labels, first word, words, level, well-formed) of everything
-    found in a run of texts; labels of an expression are comma-joined."""
+    found in a run of texts, of which ``data`` are the bytes; labels of an expression
+    are comma-joined."""
     search, what = automaton()
     for p, first in search.find(words):
         kind, label = what[p]
@@ -209,7 +212,7 @@ def scan(words: Words) -> Iterator[tuple[int, str, str, int, int, float, bool]]:
         if kind != "tag":
             yield row, kind, label, first - int(words.first[row]), n, level(label), True
             continue
-        if got := behind(words.data, int(words.end[first + n - 1]), int(words.offs[row + 1])):
+        if got := behind(data, int(words.end[first + n - 1]), int(words.offs[row + 1])):
             yield row, kind, ",".join(sorted(got[1])), first - int(words.first[row]), n, got[0], got[2]
 
 
@@ -227,10 +230,10 @@ def behind(data: np.ndarray, a: int, b: int) -> tuple[float, frozenset[str], boo
         size *= 4
 
 
-def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, Words]]:
-    """(number of the first row, words) of runs of a batch's texts."""
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, Words, np.ndarray]]:
+    """(number of the first row, words, bytes) of runs of a batch's texts."""
     for lo, _, data, offs in slices(column(batch, "_text")):
-        yield lo, Words(data, offs, space=_OUTSIDE)
+        yield lo, Words(_PARTED[data], offs), data
 
 
 def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -247,7 +250,7 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(lo + x[0], *x[1:]) for lo, words in runs(batch) for x in scan(words)]
+            got = [(lo + x[0], *x[1:]) for lo, words, data in runs(batch) for x in scan(words, data)]
             if got:
                 rows, *cols = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns[: len(keep)]), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*keep, *names])
@@ -280,9 +283,9 @@ def report(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for _, words in runs(batch):
+            for _, words, data in runs(batch):
                 by: dict[int, list] = {}
-                for x in scan(words):
+                for x in scan(words, data):
                     by.setdefault(x[0], []).append(x)
                 out += [one(n, by[i]) if i in by else (n, 0, None, None, "", "", 0.0) for i, n in enumerate(words.count.tolist())]
             cols = list(zip(*out, strict=True)) if out else [()] * len(names)

@@ -222,12 +222,13 @@ class Kept:
         """A mapping that has all of ``keys``; ``make`` gives the values of a
         list of keys that aren't kept."""
         new, old = self.new, self.old
-        missing = []
+        short: dict = {}
         for k in set(keys).difference(new):
             if k in old:
                 new[k] = old[k]
             else:
-                missing.append(k)
+                short[k] = None
+        missing = list(short)
         if not missing:
             return new
         values = make(missing)
