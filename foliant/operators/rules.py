@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from foliant.functions.text import fact_key, norm_text, scoped_id, utf16_units
 from foliant.operators.screenplay import blank
 from foliant.sources.model import extract_json
+from foliant.sources.stage import staged
 
 #: The vocabularies of the model.
 FACT_KINDS = ("character", "relationship", "timeline", "location", "object", "knowledge", "constraint")
@@ -35,6 +36,12 @@ def _rows(df: DataFrame, when: Column, rule: str, path: Column) -> DataFrame:
     return df.where(when).select(F.lit(rule).alias("rule"), path.alias("path"))
 
 
+def _rules(df: DataFrame, *rules: tuple[Column, str, Column]) -> DataFrame:
+    """The violations of several rules (when, rule, path) in one pass over rows."""
+    found = F.array(*(F.when(when, F.struct(F.lit(rule).alias("rule"), path.alias("path"))) for when, rule, path in rules))
+    return df.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("x.rule", "x.path")
+
+
 def _at(table: str, *more: str) -> Column:
     return F.concat_ws("/", F.lit(table), "chunk_id", F.coalesce("id", F.lit("")), *(F.lit(m) for m in more))
 
@@ -217,27 +224,29 @@ def _path(kind: str, *columns: str) -> Column:
 
 
 def _answers(raw: DataFrame, most: int | None, lists: tuple[str, ...], span: str, chunks: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """The answers that are objects, and what is wrong with all as a whole."""
-    rows = raw.select("chunk_id", "raw", F.try_parse_json(extract_json(F.col("raw"))).alias("v")).join(chunks.select("chunk_id", "start", "end"), "chunk_id")
+    """The answers that are objects, and what is wrong with all as a whole.  They
+    are parsed once for all rules."""
+    parsed = staged(raw.select("chunk_id", utf16_units(F.col("raw")).alias("size"), F.try_parse_json(extract_json(F.col("raw"))).alias("v")))
+    rows = parsed.join(chunks.select("chunk_id", "start", "end"), "chunk_id")
     whole = rows.where(F.col("v").isNotNull() & (_kind("$") == "object"))
     edge = lambda name: F.try_variant_get("v", f"$.{span}.{name}", "double")
     exact = F.coalesce((edge("start") == F.col("start")) & (edge("end") == F.col("end")), F.lit(False))
-    out = [_rows(rows, F.col("v").isNull(), "invalid_json", _path("")), _rows(rows, F.col("v").isNotNull() & (_kind("$") != "object"), "root", _path(""))]
+    broken = [(F.col("v").isNull(), "invalid_json", _path("")), (F.col("v").isNotNull() & (_kind("$") != "object"), "root", _path(""))]
     if most is not None:
-        out.append(_rows(rows, utf16_units(F.col("raw")) > most, "too_long", _path("")))
-    out.append(_rows(whole, ~F.coalesce(_text("$.chunkId") == F.col("chunk_id"), F.lit(False)), "chunk_id", _path("chunkId")))
-    out.append(_rows(whole, ~exact, "range", _path(span)))
-    out += [_rows(whole, _kind(f"$.{k}") != "array", "list_missing", _path(k)) for k in lists]
-    return whole, out
+        broken.append((F.col("size") > most, "too_long", _path("")))
+    chunk = (~F.coalesce(_text("$.chunkId") == F.col("chunk_id"), F.lit(False)), "chunk_id", _path("chunkId"))
+    missing = [(_kind(f"$.{k}") != "array", "list_missing", _path(k)) for k in lists]
+    return whole, [_rules(rows, *broken), _rules(whole, chunk, (~exact, "range", _path(span)), *missing)]
 
 
-def _character_shapes(whole: DataFrame) -> list[DataFrame]:
-    people = _items(whole, "$.characters")
-    return [
-        _rows(people, blank(_text("$.name")), "character_name", _path("characters[%d].name", "i")),
-        _rows(people, ~_strings("$.aliases"), "character_aliases", _path("characters[%d].aliases", "i")),
-        _rows(people, ~_kind("$.description").isin("string", "missing"), "character_description", _path("characters[%d].description", "i")),
-    ]
+def _character_shapes(people: DataFrame, *more: tuple[Column, str, Column]) -> DataFrame:
+    return _rules(
+        people,
+        (blank(_text("$.name")), "character_name", _path("characters[%d].name", "i")),
+        (~_strings("$.aliases"), "character_aliases", _path("characters[%d].aliases", "i")),
+        (~_kind("$.description").isin("string", "missing"), "character_description", _path("characters[%d].description", "i")),
+        *more,
+    )
 
 
 def delta_shapes(raw: DataFrame, chunks: DataFrame, known: DataFrame) -> DataFrame:
@@ -247,22 +256,27 @@ def delta_shapes(raw: DataFrame, chunks: DataFrame, known: DataFrame) -> DataFra
     whole, out = _answers(raw, DELTA_CHARS, DELTA_LISTS, "processedRange", chunks)
     asked = raw.select("chunk_id").join(chunks, "chunk_id")
     out.append(_rows(asked, F.col("start") != F.coalesce("done", F.lit(0)) + 1, "continuity", _path("processedRange")))
-    out += _character_shapes(whole)
     people = _items(whole, "$.characters")
+    out.append(_character_shapes(people, (_kind("$.identityStatus") != "missing", "server_field", _path("characters[%d].identityStatus", "i"))))
     named = people.select("chunk_id", "i", _text("$.id").alias("id"), _text("$.name").alias("_n")).join(known.select("id", "name"), "id")
     out.append(_rows(named, F.coalesce(norm_text(F.col("_n")) != "", F.lit(False)) & (norm_text(F.col("_n")) != norm_text(F.col("name"))), "character_renamed", _path("characters[%d].name", "i")))
-    out.append(_rows(people, _kind("$.identityStatus") != "missing", "server_field", _path("characters[%d].identityStatus", "i")))
     out.append(_rows(_items(whole, "$.newFacts"), _kind("$.supersededByFactId") != "missing", "server_field", _path("newFacts[%d].supersededByFactId", "i")))
     out.append(_rows(_items(whole, "$.reportedConflicts"), blank(_text("$.description")), "conflict_description", _path("reportedConflicts[%d].description", "i")))
     state = whole.select("chunk_id", F.variant_get("v", "$.boundaryState", "variant").alias("v"))
-    out.append(_rows(state, F.coalesce(_kind("$") != "object", F.lit(True)), "boundary_missing", _path("boundaryState")))
-    state = state.where(F.coalesce(_kind("$") == "object", F.lit(False)))
-    out.append(_rows(state, utf16_units(F.to_json("v")) > BOUNDARY_CHARS, "boundary_size", _path("boundaryState")))
-    out += [_rows(state, _kind(f"$.{k}") != "array", "list_missing", _path(f"boundaryState.{k}")) for k in ("characters", "objects", "openReferences")]
-    out += [_rows(state, ~_kind(f"$.{k}").isin("string", "missing"), "boundary_label", _path(f"boundaryState.{k}")) for k in ("timeLabel", "location")]
-    loose = _items(state, "$.openReferences")
-    out.append(_rows(loose, blank(_text("$.text")), "reference_text", _path("boundaryState.openReferences[%d].text", "i")))
-    out.append(_rows(loose, ~_strings("$.candidateCharacterIds"), "reference_candidates", _path("boundaryState.openReferences[%d].candidateCharacterIds", "i")))
+    is_object = F.coalesce(_kind("$") == "object", F.lit(False))
+    out.append(_rules(
+        state,
+        (~is_object, "boundary_missing", _path("boundaryState")),
+        (is_object & (utf16_units(F.to_json("v")) > BOUNDARY_CHARS), "boundary_size", _path("boundaryState")),
+        *((is_object & (_kind(f"$.{k}") != "array"), "list_missing", _path(f"boundaryState.{k}")) for k in ("characters", "objects", "openReferences")),
+        *((is_object & ~_kind(f"$.{k}").isin("string", "missing"), "boundary_label", _path(f"boundaryState.{k}")) for k in ("timeLabel", "location")),
+    ))
+    loose = _items(state.where(is_object), "$.openReferences")
+    out.append(_rules(
+        loose,
+        (blank(_text("$.text")), "reference_text", _path("boundaryState.openReferences[%d].text", "i")),
+        (~_strings("$.candidateCharacterIds"), "reference_candidates", _path("boundaryState.openReferences[%d].candidateCharacterIds", "i")),
+    ))
     each = loose.where(_strings("$.candidateCharacterIds")).select("chunk_id", "i", F.explode(F.variant_get("v", "$.candidateCharacterIds", "array<string>")).alias("id"))
     own = people.select("chunk_id", _text("$.id").alias("id"))
     strange = each.join(known.select("id"), "id", "left_anti").join(own, ["chunk_id", "id"], "left_anti")
@@ -274,7 +288,7 @@ def local_shapes(raw: DataFrame, chunks: DataFrame) -> DataFrame:
     """L-01, L-02, L-04, L-11 on the texts of local results: raw (chunk_id, raw),
     chunks (chunk_id, start, end)."""
     whole, out = _answers(raw, None, LOCAL_LISTS, "coreRange", chunks)
-    out += _character_shapes(whole)
+    out.append(_character_shapes(_items(whole, "$.characters")))
     out.append(_rows(_items(whole, "$.facts"), _kind("$.supersededByFactId") != "missing", "server_field", _path("facts[%d].supersededByFactId", "i")))
     return _report(out)
 

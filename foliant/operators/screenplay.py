@@ -178,7 +178,7 @@ def _kind(v: Column, path: str) -> Column:
 def shape_violations(raw: DataFrame) -> DataFrame:
     """Q-01, Q-04, Q-09, Q-12, Q-16, Q-18: (project, rule, path) for what isn't of
     the right kind in a screenplay's JSON text; raw (project, json)."""
-    v = raw.select("project", F.try_parse_json("json").alias("v"))
+    v = staged(raw.select("project", F.try_parse_json("json").alias("v")))
     is_ = lambda kind, path: F.coalesce(_kind(F.col("v"), path) == kind, F.lit(False))
     say = lambda df, rule, path: df.select("project", F.lit(rule).alias("rule"), path.alias("path"))
     items = lambda df, path, *keep: df.select("project", *keep, F.posexplode(F.variant_get("v", path, "array<variant>")).alias("i", "v"))

@@ -8,31 +8,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def budget_take(items: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
-    """O-05: per key, in order, take what still fits; (key, taken, omitted, used).
-
-    Items larger than the budget are never taken and are counted apart, so what
-    meets in one fold is numbers only.  The fold depends on all before it and
-    streams over a key's sorted sizes in Arrow batches.
-    """
-
-    @F.pandas_udf("struct<taken:long,used:long>")
-    def fold(col: pd.Series) -> pd.DataFrame:
-        out = []
-        for sizes in col:
-            used = n = 0
-            for x in sizes if sizes is not None else []:
-                if used + x <= budget:
-                    used, n = used + x, n + 1
-            out.append((n, used))
-        return pd.DataFrame(out, columns=["taken", "used"])
-
-    fit = F.when(F.col(size) <= budget, F.struct(F.col(order), F.col(size).alias("size")))
-    by = items.groupBy(key).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(fit)), lambda x: x["size"]).alias("sizes"))
-    got = by.withColumn("t", fold("sizes"))
-    return got.select(key, "t.taken", (F.col("n") - F.col("t.taken")).alias("omitted"), "t.used")
-
-
 def budget_pick(items: DataFrame, key: list[str], order: str, size: str, budget: Column) -> DataFrame:
     """O-05: ``items`` with taken, whether they are among what still fits, in
     order, into a key's ``budget``."""

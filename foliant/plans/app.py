@@ -8,7 +8,7 @@ from foliant.functions import text as T
 from foliant.operators import headings as H
 from foliant.operators import knowledge as K
 from foliant.operators import screenplay as S
-from foliant.plans.base import oracle, query, read, values
+from foliant.plans.base import fixture, oracle, query, read, values
 from foliant.plans.novels import NOVEL, novel
 from foliant.sources import model as M
 from foliant.sources import projects as P
@@ -44,20 +44,20 @@ def settings_overlay(spark, sf_dir):
 READS = """('a', 1, 'data: {"progress":{"pct"'), ('a', 2, concat(':5}}', chr(10), chr(10), 'da')), ('a', 3, concat('ta: {"done":true,"scenes":3,"screenplay":{"characters":[1,2]},"validation":{"errors":[]}}', chr(10), 'data: {bad}', chr(10), 'data: {"late":1}')), ('b', 1, concat(': hello', chr(10)))"""
 
 
-@query("SELECT * FROM (VALUES ('a', 0::BIGINT, '5'), ('a', 2, '')) t(stream, line_no, pct)")
+@fixture("SELECT * FROM (VALUES ('a', 0::BIGINT, '5'), ('a', 2, '')) t(stream, line_no, pct)")
 def sse_reassembly(spark, sf_dir):
     """S-11: lines go on from read to read; the last one has no end yet."""
     e = M.reassembled(values(spark, READS, "stream, seq, piece"))
     return e.select("stream", L("line_no"), F.coalesce(F.get_json_object("event", "$.progress.pct"), F.lit("")).alias("pct"))
 
 
-@query("SELECT 'a' AS stream, 3::BIGINT AS scenes, 2::BIGINT AS characters, false AS repaired, 0::BIGINT AS errors")
+@fixture("SELECT 'a' AS stream, 3::BIGINT AS scenes, 2::BIGINT AS characters, false AS repaired, 0::BIGINT AS errors")
 def done_stats(spark, sf_dir):
     """I-07."""
     return M.done_stats(M.reassembled(values(spark, READS, "stream, seq, piece")))
 
 
-@query("SELECT * FROM (VALUES (1, 'ok', 5), (2, 'fallback', 0), (3, 'fallback', 0), (4, 'ok', 7)) t(id, status, n)")
+@fixture("SELECT * FROM (VALUES (1, 'ok', 5), (2, 'fallback', 0), (3, 'fallback', 0), (4, 'ok', 7)) t(id, status, n)")
 def safe_parse(spark, sf_dir):
     """K-03: text without JSON gives the fallback."""
     r = values(spark, """(1, '{"status":"ok","n":5}'), (2, 'no'), (3, '{"status":'), (4, 'so {"status":"ok","n":7} it is')""", "id, raw")
@@ -91,7 +91,7 @@ def range_costs(spark, sf_dir):
     return H.cost_of_range(rows, b).select("novel_id", L("start", "first_n"), L("end", "last_n"), L("cost"))
 
 
-@query("""SELECT 'p' AS project, '[{"id":"a","name":"林夏","aliases":["小夏"],"description":"tall"},{"id":"b","name":"老王"}]' AS "cast" """)
+@fixture("""SELECT 'p' AS project, '[{"id":"a","name":"林夏","aliases":["小夏"],"description":"tall"},{"id":"b","name":"老王"}]' AS "cast" """)
 def prompt_cast(spark, sf_dir):
     """G-09, P-14."""
     return S.cast_section(values(spark, "('p', 2, 'b', '老王', array(), ''), ('p', 1, 'a', '林夏', array('小夏'), 'tall')", "project, ord, id, name, aliases, description"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _found: dict[str, dict[str, tuple]] = {}
+FIXTURES: dict[str, tuple] = {}
 
 
 def query(sql: str | None):
@@ -20,6 +22,17 @@ def query(sql: str | None):
     return put
 
 
+def fixture(sql: str):
+    """Keeps a function that reads an inline table and its answer for the tests
+    only: what is registered reads the given tables."""
+
+    def put(f):
+        FIXTURES[f.__name__] = (f, sql)
+        return f
+
+    return put
+
+
 def oracle(module: str) -> tuple[dict, dict]:
     """(queries, oracle SQL) of a module; a query without SQL has no entry."""
     got = _found.get(sys.modules[module].__name__, {})
@@ -39,6 +52,15 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns) -> DataFrame:
     return df.repartition(cores) if pieces * 4 <= cores else df
 
 
+#: The given tables.
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Rows of a statement over the given tables that the oracle reads as well."""
+    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", rf"\1 parquet.`{sf_dir}/\2.parquet` AS \2", sql))
+
+
 def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     """An inline table; ``rows`` is the text of the oracle's VALUES list too."""
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")

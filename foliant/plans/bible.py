@@ -11,7 +11,7 @@ from foliant.operators import knowledge as K
 from foliant.operators import repair as P
 from foliant.operators import rules as R
 from foliant.operators import screenplay as S
-from foliant.plans.base import oracle, query, read, values
+from foliant.plans.base import fixture, oracle, query, read, values
 
 L = lambda c, a=None: (F.col(c) if isinstance(c, str) else c).cast("long").alias(a or c)
 
@@ -34,14 +34,14 @@ def timelines(spark):
     return K.merge_timeline(values(spark, OLD, c), values(spark, NEW, c))
 
 
-@query(f"""WITH r AS (SELECT *, 0 AS p FROM (VALUES {OLD}) t(novel_id, id, summary, first, ord) UNION ALL SELECT *, 1 FROM (VALUES {NEW}) t(novel_id, id, summary, first, ord)), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, ord) AS k FROM r)
+@fixture(f"""WITH r AS (SELECT *, 0 AS p FROM (VALUES {OLD}) t(novel_id, id, summary, first, ord) UNION ALL SELECT *, 1 FROM (VALUES {NEW}) t(novel_id, id, summary, first, ord)), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, ord) AS k FROM r)
 SELECT id, summary, row_number() OVER (ORDER BY first, p, ord)::BIGINT AS ord FROM k WHERE k = 1""")
 def timeline_merge(spark, sf_dir):
     """F-08."""
     return timelines(spark)[0].select("id", "summary", L("ord"))
 
 
-@query("SELECT * FROM (VALUES ('e2', 'timeline_differs'), ('e3', 'timeline_differs')) t(id, rule)")
+@fixture("SELECT * FROM (VALUES ('e2', 'timeline_differs'), ('e3', 'timeline_differs')) t(id, rule)")
 def timeline_merge_conflicts(spark, sf_dir):
     """F-08."""
     return timelines(spark)[1].select("id", "rule")
@@ -50,7 +50,7 @@ def timeline_merge_conflicts(spark, sf_dir):
 ISLANDS = "('k', 1, 'f1', 'a', 's1', 'uncertain', 'r1'), ('k', 2, 'f2', 'A', 's2', 'source_fact', 'r2'), ('k', 3, 'f3', ' a', 's3', 'source_fact', 'r1'), ('k', 4, 'f4', 'b', 's4', 'uncertain', 'r3'), ('j', 1, 'f5', 'c', 's5', 'source_fact', 'r4')"
 
 
-@query(f"""WITH f AS (SELECT *, replace(lower(value), ' ', '') AS v FROM (VALUES {ISLANDS}) t(key, ord, id, value, statement, status, ref)), h AS (SELECT *, CASE WHEN lag(v) OVER w IS DISTINCT FROM v THEN 1 ELSE 0 END AS head FROM f WINDOW w AS (PARTITION BY key ORDER BY ord)),
+@fixture(f"""WITH f AS (SELECT *, replace(lower(value), ' ', '') AS v FROM (VALUES {ISLANDS}) t(key, ord, id, value, statement, status, ref)), h AS (SELECT *, CASE WHEN lag(v) OVER w IS DISTINCT FROM v THEN 1 ELSE 0 END AS head FROM f WINDOW w AS (PARTITION BY key ORDER BY ord)),
 n AS (SELECT *, sum(head) OVER (PARTITION BY key ORDER BY ord) AS island FROM h)
 SELECT key, island::BIGINT AS island, arg_min(id, ord) AS id, CASE WHEN arg_min(status, ord) = 'uncertain' AND bool_or(status = 'source_fact') THEN arg_min(statement, ord) FILTER (status = 'source_fact') ELSE arg_min(statement, ord) END AS statement,
   CASE WHEN bool_or(status = 'source_fact') THEN 'source_fact' ELSE 'uncertain' END AS status, count(DISTINCT ref)::BIGINT AS refs FROM n GROUP BY key, island""")
@@ -65,7 +65,7 @@ SIDES = """('n', 0, 'c1', 'entry', 'scene', 'scene', 'location', 'Yard', NULL),
 ('n', 0, 'c1', 'entry', 'character', 'lin', 'knowledge', NULL, ''), ('n', 0, 'c1', 'exit', 'character', 'lin', 'knowledge', NULL, 'key'), ('n', 1, 'c2', 'entry', 'character', 'lin', 'knowledge', NULL, 'key|key'), ('n', 1, 'c2', 'entry', 'character', 'wang', 'knowledge', NULL, 'x'), ('n', 0, 'c1', 'exit', 'object', 'key', 'holderCharacterId', 'lin', NULL), ('n', 1, 'c2', 'entry', 'object', 'key', 'holderCharacterId', 'wang', NULL)"""
 
 
-@query("""SELECT * FROM (VALUES ('boundary:c1:c2:scene:scene:location', 'y ard', 'street'), ('boundary:c1:c1:character:lin:knowledge', '[]', '["key"]'), ('boundary:c1:c2:object:key:holderCharacterId', 'lin', 'wang')) t(issue_id, left_value, right_value)""")
+@fixture("""SELECT * FROM (VALUES ('boundary:c1:c2:scene:scene:location', 'y ard', 'street'), ('boundary:c1:c1:character:lin:knowledge', '[]', '["key"]'), ('boundary:c1:c2:object:key:holderCharacterId', 'lin', 'wang')) t(issue_id, left_value, right_value)""")
 def boundary_issues(spark, sf_dir):
     """F-15, J-10, K-04, T9: an empty set differs from a set, an empty text from
     nothing; a repeated entry doesn't matter; an unmatched entity is passed over."""
@@ -74,7 +74,7 @@ def boundary_issues(spark, sf_dir):
     return K.boundary_issues(s).select("issue_id", "left_value", "right_value")
 
 
-@query("SELECT * FROM (VALUES ('f1', 'f2', ''), ('f2', 'f3', 'f1'), ('f3', '', 'f2'), ('g1', '', '')) t(id, superseded_by, supersedes)")
+@fixture("SELECT * FROM (VALUES ('f1', 'f2', ''), ('f2', 'f3', 'f1'), ('f3', '', 'f2'), ('g1', '', '')) t(id, superseded_by, supersedes)")
 def state_changes(spark, sf_dir):
     """F-19: a chain of changes in issue order; a change whose existing fact isn't
     in force, or of another key, does nothing."""
@@ -87,14 +87,14 @@ def state_changes(spark, sf_dir):
 DECIDED, ISSUES = "('i1', 'unresolved'), ('i2', 'continuous'), ('i3', 'unresolved'), ('i4', 'unresolved')", "('n', 2, 'i1'), ('n', 1, 'i3'), ('n', 3, 'i2'), ('m', 1, 'i4')"
 
 
-@query(f"""SELECT novel_id, issue_id, 'conflict_boundary_' || lpad((row_number() OVER (PARTITION BY novel_id ORDER BY ord))::VARCHAR, 3, '0') AS conflict_id
+@fixture(f"""SELECT novel_id, issue_id, 'conflict_boundary_' || lpad((row_number() OVER (PARTITION BY novel_id ORDER BY ord))::VARCHAR, 3, '0') AS conflict_id
 FROM (VALUES {ISSUES}) t(novel_id, ord, issue_id) JOIN (VALUES {DECIDED}) d(id, decision) ON id = issue_id WHERE decision = 'unresolved'""")
 def residual_conflicts(spark, sf_dir):
     """F-20: numbered within each novel."""
     return P.residual_conflicts(values(spark, DECIDED, "issue_id, decision"), values(spark, ISSUES, "novel_id, ord, issue_id")).select("novel_id", "issue_id", "conflict_id")
 
 
-@query("SELECT * FROM (VALUES ('n', 1::BIGINT, 'identity', 'a'), ('n', 2, 'fact', 'b'), ('n', 3, 'fact', 'c'), ('n', 4, 'boundary', 'd'), ('m', 1, 'fact', 'e')) t(novel_id, ord, kind, conflict_id)")
+@fixture("SELECT * FROM (VALUES ('n', 1::BIGINT, 'identity', 'a'), ('n', 2, 'fact', 'b'), ('n', 3, 'fact', 'c'), ('n', 4, 'boundary', 'd'), ('m', 1, 'fact', 'e')) t(novel_id, ord, kind, conflict_id)")
 def conflict_order(spark, sf_dir):
     """F-21."""
     part = lambda rows: values(spark, rows, "novel_id, conflict_id")
@@ -111,7 +111,7 @@ def bible(spark):
     return c, f, t, h, x, b, values(spark, "('n', 'c1', '小夏来了'), ('n', 'c2', '无人')", "novel_id, chunk_id, text")
 
 
-@query("SELECT * FROM (VALUES ('c1', 'f1'), ('c1', 'f3'), ('c1', 'f4'), ('c1', 'f6'), ('c1', 'f7'), ('c2', 'f3'), ('c2', 'f5'), ('c2', 'f7')) t(chunk_id, id)")
+@fixture("SELECT * FROM (VALUES ('c1', 'f1'), ('c1', 'f3'), ('c1', 'f4'), ('c1', 'f6'), ('c1', 'f7'), ('c2', 'f3'), ('c2', 'f5'), ('c2', 'f7')) t(chunk_id, id)")
 def relevance_snapshot(spark, sf_dir):
     """P-05, P-06: a character of the boundary state counts as named, and the
     values of facts carry on in their order: lin, wang, wu."""
@@ -122,7 +122,7 @@ def relevance_snapshot(spark, sf_dir):
 SMALL = {"characterIndex": 200, "relevantCharacters": 10_000, "activeFactIndex": 11_000, "relevantFacts": 24_000, "timelineIndex": 7_000, "recentTimeline": 10_000, "openThreads": 150, "openConflicts": 16_000}
 
 
-@query("""SELECT * FROM (VALUES ('c1', 'characterIndex', 'lin,wang', 2::BIGINT), ('c1', 'relevantCharacters', 'lin,wang,wu', 0), ('c1', 'activeFactIndex', 'f7,f6,f4,f3,f1,f5', 0), ('c1', 'relevantFacts', 'f7,f6,f4,f3,f1,f5', 0), ('c1', 'openThreads', 't4,t1', 1), ('c1', 'openConflicts', 'k1', 0),
+@fixture("""SELECT * FROM (VALUES ('c1', 'characterIndex', 'lin,wang', 2::BIGINT), ('c1', 'relevantCharacters', 'lin,wang,wu', 0), ('c1', 'activeFactIndex', 'f7,f6,f4,f3,f1,f5', 0), ('c1', 'relevantFacts', 'f7,f6,f4,f3,f1,f5', 0), ('c1', 'openThreads', 't4,t1', 1), ('c1', 'openConflicts', 'k1', 0),
 ('c2', 'characterIndex', 'zhao,wu', 2), ('c2', 'relevantCharacters', 'zhao', 0), ('c2', 'activeFactIndex', 'f7,f5,f3,f6,f4,f1', 0), ('c2', 'relevantFacts', 'f7,f5,f3,f6,f4,f1', 0), ('c2', 'openThreads', 't4,t1', 1), ('c2', 'openConflicts', 'k1', 0)) t(chunk_id, section, ids, omitted)""")
 def snapshot_sections(spark, sf_dir):
     """F-22, O-03 .. O-05, P-07, U-02: what matters first, then from the last; an
@@ -132,7 +132,7 @@ def snapshot_sections(spark, sf_dir):
     return shown.groupBy("chunk_id", "section").agg(ids.alias("ids"), F.count_if(~F.col("taken")).alias("omitted"))
 
 
-@query("SELECT chunk_id, section, n AS taken, 0::BIGINT AS omitted FROM (VALUES ('c1'), ('c2')) c(chunk_id), (VALUES ('timelineIndex', 50::BIGINT), ('recentTimeline', 40)) s(section, n)")
+@fixture("SELECT chunk_id, section, n AS taken, 0::BIGINT AS omitted FROM (VALUES ('c1'), ('c2')) c(chunk_id), (VALUES ('timelineIndex', 50::BIGINT), ('recentTimeline', 40)) s(section, n)")
 def snapshot_counts(spark, sf_dir):
     """F-22: of the events the last 40 in full, all in the index."""
     return P.snapshot_counts(P.snapshot(*bible(spark))).where("section in ('timelineIndex', 'recentTimeline')").select("chunk_id", "section", "taken", "omitted")
@@ -146,7 +146,7 @@ def spans(spark) -> DataFrame:
     return values(spark, "('c1', 1, 10, 0), ('c2', 11, 20, 9), ('c3', 21, 30, 20), ('c4', 31, 40, 30)", "chunk_id, start, end, done")
 
 
-@query("""SELECT * FROM (VALUES ('character_name', 'raw/c1/characters[2].name'), ('character_aliases', 'raw/c1/characters[1].aliases'), ('character_description', 'raw/c1/characters[1].description'), ('character_renamed', 'raw/c1/characters[1].name'), ('server_field', 'raw/c1/characters[1].identityStatus'), ('server_field', 'raw/c1/newFacts[0].supersededByFactId'),
+@fixture("""SELECT * FROM (VALUES ('character_name', 'raw/c1/characters[2].name'), ('character_aliases', 'raw/c1/characters[1].aliases'), ('character_description', 'raw/c1/characters[1].description'), ('character_renamed', 'raw/c1/characters[1].name'), ('server_field', 'raw/c1/characters[1].identityStatus'), ('server_field', 'raw/c1/newFacts[0].supersededByFactId'),
 ('conflict_description', 'raw/c1/reportedConflicts[0].description'), ('boundary_label', 'raw/c1/boundaryState.timeLabel'), ('reference_text', 'raw/c1/boundaryState.openReferences[0].text'), ('reference_candidates', 'raw/c1/boundaryState.openReferences[1].candidateCharacterIds'), ('reference_unknown', 'raw/c1/boundaryState.openReferences[0].candidateCharacterIds'),
 ('chunk_id', 'raw/c2/chunkId'), ('range', 'raw/c2/processedRange'), ('continuity', 'raw/c2/processedRange'), ('list_missing', 'raw/c2/newFacts'), ('boundary_missing', 'raw/c2/boundaryState'), ('root', 'raw/c3/'), ('invalid_json', 'raw/c4/')) t(rule, path)""")
 def delta_shapes(spark, sf_dir):
@@ -154,7 +154,7 @@ def delta_shapes(spark, sf_dir):
     return R.delta_shapes(values(spark, DELTA, "chunk_id, raw"), spans(spark), values(spark, "('lin', '林 夏'), ('wang', '老王')", "id, name"))
 
 
-@query("SELECT 'too_long' AS rule, 'raw/c1/' AS path UNION ALL SELECT 'boundary_size', 'raw/c1/boundaryState'")
+@fixture("SELECT 'too_long' AS rule, 'raw/c1/' AS path UNION ALL SELECT 'boundary_size', 'raw/c1/boundaryState'")
 def delta_sizes(spark, sf_dir):
     """D-29, D-34."""
     lists = ",".join(f'"{k}":[]' for k in R.DELTA_LISTS)
@@ -162,7 +162,7 @@ def delta_sizes(spark, sf_dir):
     return R.delta_shapes(values(spark, raw, "chunk_id, raw"), spans(spark), values(spark, "('lin', '林 夏')", "id, name"))
 
 
-@query("""SELECT * FROM (VALUES ('range', 'raw/c1/coreRange'), ('list_missing', 'raw/c1/facts'), ('character_name', 'raw/c1/characters[0].name'), ('server_field', 'raw/c2/facts[0].supersededByFactId'), ('scoped_twice', 'characters/c1/c1::a'), ('value_ambiguous', 'facts/c1/f1')) t(rule, path)""")
+@fixture("""SELECT * FROM (VALUES ('range', 'raw/c1/coreRange'), ('list_missing', 'raw/c1/facts'), ('character_name', 'raw/c1/characters[0].name'), ('server_field', 'raw/c2/facts[0].supersededByFactId'), ('scoped_twice', 'characters/c1/c1::a'), ('value_ambiguous', 'facts/c1/f1')) t(rule, path)""")
 def local_shapes(spark, sf_dir):
     """L-01, L-02, L-04, L-11, L-18, L-19."""
     raw = """('c1', '{"chunkId":"c1","coreRange":{"start":1,"end":9},"characters":[{"id":"a","aliases":[]}],"timelineEvents":[],"threadObservations":[]}'), ('c2', '{"chunkId":"c2","coreRange":{"start":11,"end":20},"characters":[],"facts":[{"supersededByFactId":null}],"timelineEvents":[],"threadObservations":[]}')"""
@@ -171,7 +171,7 @@ def local_shapes(spark, sf_dir):
     return shapes.union(R.scoped_rules(values(spark, "('c1', 'a'), ('c1', 'c1::a'), ('c1', 'key')", "chunk_id, id"), facts, values(spark, "('c1', 'key')", "chunk_id, id")))
 
 
-@query("""SELECT * FROM (VALUES ('conflict_resolution', 'conflicts/c1/x5'), ('conflict_fact_missing', 'conflicts/c1/x5'), ('conflict_unstructured', 'conflicts/c1/x4'), ('conflict_fact_unrelated', 'conflicts/c1/x2'), ('conflict_fact_unrelated', 'conflicts/c1/x3')) t(rule, path)""")
+@fixture("""SELECT * FROM (VALUES ('conflict_resolution', 'conflicts/c1/x5'), ('conflict_fact_missing', 'conflicts/c1/x5'), ('conflict_unstructured', 'conflicts/c1/x4'), ('conflict_fact_unrelated', 'conflicts/c1/x2'), ('conflict_fact_unrelated', 'conflicts/c1/x3')) t(rule, path)""")
 def closing_rules(spark, sf_dir):
     """D-27, D-28: x1 is closed rightly, x2 by a fact of another key, x3 by one
     that doesn't supersede, x4 has one side, x5 has no fact."""
@@ -181,20 +181,20 @@ def closing_rules(spark, sf_dir):
     return R.closing_rules(closed, conflicts, facts)
 
 
-@query("SELECT * FROM (VALUES ('constraint', '全 书', 'global:story'), ('constraint', 'lin', 'lin'), ('location', 'story', 'story')) t(kind, subject, canonical)")
+@fixture("SELECT * FROM (VALUES ('constraint', '全 书', 'global:story'), ('constraint', 'lin', 'lin'), ('location', 'story', 'story')) t(kind, subject, canonical)")
 def global_subjects(spark, sf_dir):
     """P-11."""
     return values(spark, "('constraint', '全 书'), ('constraint', 'lin'), ('location', 'story')", "kind, subject").select("kind", "subject", R.global_subject(F.col("kind"), F.col("subject")).alias("canonical"))
 
 
-@query("""SELECT * FROM (VALUES ('a', 'root', '(root)'), ('b', 'character', 'characters[1]'), ('b', 'scene', 'scenes[0]'), ('b', 'heading', 'scenes[1].heading'), ('b', 'elements', 'scenes[1].elements'), ('b', 'element', 'scenes[2].elements[0]'), ('b', 'heading', 'scenes[2].heading'), ('c', 'root', '(root)')) t(project, rule, path)""")
+@fixture("""SELECT * FROM (VALUES ('a', 'root', '(root)'), ('b', 'character', 'characters[1]'), ('b', 'scene', 'scenes[0]'), ('b', 'heading', 'scenes[1].heading'), ('b', 'elements', 'scenes[1].elements'), ('b', 'element', 'scenes[2].elements[0]'), ('b', 'heading', 'scenes[2].heading'), ('c', 'root', '(root)')) t(project, rule, path)""")
 def screenplay_shapes(spark, sf_dir):
     """Q-01, Q-04, Q-09, Q-12, Q-16, Q-18."""
     raw = """('a', '[]'), ('b', '{"characters":[{"id":"x"},"y"],"scenes":[5,{"id":"s"},{"heading":[],"elements":["e",{"type":"action"}]}]}'), ('c', 'oops'), ('d', '{}')"""
     return S.shape_violations(values(spark, raw, "project, json"))
 
 
-@query("""SELECT * FROM (VALUES ('p', 'character_id', 'characters[2].id'), ('p', 'character_name', 'characters[2].name'), ('p', 'character_duplicate', 'characters[1].id'), ('p', 'scene_id', 'scenes[1].id'), ('p', 'type', 'scenes[1].elements[0].type'), ('p', 'lines', 'scenes[1].elements[1].lines'), ('p', 'speaker', 'scenes[1].elements[2].lines[1].character'), ('p', 'line', 'scenes[1].elements[2].lines[1].line'), ('p', 'speaker_unknown', 'scenes[1].elements[2].lines[0].character'),
+@fixture("""SELECT * FROM (VALUES ('p', 'character_id', 'characters[2].id'), ('p', 'character_name', 'characters[2].name'), ('p', 'character_duplicate', 'characters[1].id'), ('p', 'scene_id', 'scenes[1].id'), ('p', 'type', 'scenes[1].elements[0].type'), ('p', 'lines', 'scenes[1].elements[1].lines'), ('p', 'speaker', 'scenes[1].elements[2].lines[1].character'), ('p', 'line', 'scenes[1].elements[2].lines[1].line'), ('p', 'speaker_unknown', 'scenes[1].elements[2].lines[0].character'),
 ('q', 'characters', 'characters'), ('q', 'scenes', 'scenes')) t(project, rule, path)""")
 def screenplay_violations_more(spark, sf_dir):
     """Q-03, Q-05 .. Q-08, Q-10, Q-19, Q-21, Q-22, Q-24, by project."""
@@ -206,7 +206,7 @@ def screenplay_violations_more(spark, sf_dir):
     return got.where("severity = 'error'").select("project", "rule", "path")
 
 
-@query("SELECT * FROM (VALUES ('a', 'c', 0::BIGINT), ('a', 'x', 1), ('a', 'y', 1), ('b', 'x', 0)) t(project, id, degree)")
+@fixture("SELECT * FROM (VALUES ('a', 'c', 0::BIGINT), ('a', 'x', 1), ('a', 'y', 1), ('b', 'x', 0)) t(project, id, degree)")
 def relation_nodes(spark, sf_dir):
     """G-06, I-04: characters without an edge are nodes too, and projects apart."""
     c = values(spark, "('a', 0, 'x', '林夏', array()), ('a', 1, 'y', '老王', array()), ('a', 2, 'c', '赵', array()), ('b', 0, 'x', '林夏', array())", "project, ord, id, name, aliases")
@@ -214,7 +214,7 @@ def relation_nodes(spark, sf_dir):
     return S.relation_nodes(e.withColumn("character", F.col("character").cast("string")), c)
 
 
-@query("SELECT * FROM (VALUES ('a', 0::BIGINT, 3::BIGINT, false, 3::BIGINT), ('b', 0, 1, true, 1), ('c', 1, 1, true, 1), ('d', 1, 0, true, 0)) t(project, errors, warnings, repaired, scenes)")
+@fixture("SELECT * FROM (VALUES ('a', 0::BIGINT, 3::BIGINT, false, 3::BIGINT), ('b', 0, 1, true, 1), ('c', 1, 1, true, 1), ('d', 1, 0, true, 0)) t(project, errors, warnings, repaired, scenes)")
 def repair_loop(spark, sf_dir):
     """G-04, G-05: a is fine, b is repaired, c's repair can't be read, d has no
     scene; what is left over comes back with its errors."""

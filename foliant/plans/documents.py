@@ -157,7 +157,7 @@ take(source, k, used, took) AS (SELECT source, k, CASE WHEN size <= 20000 THEN s
 SELECT source, count_if(took)::BIGINT AS taken, count_if(NOT took)::BIGINT AS omitted, max(used)::BIGINT AS used FROM take GROUP BY source""")
 def snapshot_budget_take(spark, sf_dir):
     """O-05: items that don't fit are passed over, later ones still tried."""
-    from foliant.operators.sequences import budget_take
+    from foliant.operators.paging import budget_take
 
     d = read(spark, sf_dir, "documents", "doc_id", "text", "source").select("source", "doc_id", F.length("text").alias("size"))
     return budget_take(d, "source", "doc_id", "size", 20000)
@@ -181,4 +181,25 @@ def contains_theta_join(spark, sf_dir):
     return contains_join(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", F.col("text").alias("needle")), "text", "needle").select("doc_id", "item_id")
 
 
+BODY = """replace(replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"""
+
+
+@query(f"""WITH o AS (SELECT doc_id, '{{"t": "' || {BODY} || '{{", "n": {{"id": ' || doc_id || '}}, "x": "\\\\}}"}}' AS j FROM documents)
+SELECT doc_id, md5(CASE doc_id % 4 WHEN 1 THEN substr(j, 1, length(j) - 9) WHEN 3 THEN j ELSE j END) AS digest, doc_id % 4 <> 1 AS parses FROM o""")
+def json_in_text(spark, sf_dir):
+    """K-02, K-03: objects set into texts, which they hold whole: with words and
+    braces around them, cut off, and fenced."""
+    from foliant.sources.model import extract_json
+
+    d = read(spark, sf_dir, "documents", "doc_id", "text")
+    body = F.col("text")
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        body = F.replace(body, F.lit(a), F.lit(b))
+    j = F.concat(F.lit('{"t": "'), body, F.lit('{", "n": {"id": '), F.col("doc_id").cast("string"), F.lit('}, "x": "\\\\}"}'))
+    k = F.col("doc_id") % 4
+    dirty = F.when(k == 0, F.concat(F.lit("the answer:\n"), "j", F.lit("\nwith {more} to say"))).when(k == 1, F.concat(F.lit("cut "), F.expr("substr(j, 1, length(j) - 9)"))).when(k == 2, F.concat("j", F.lit("}}"))).otherwise(F.concat(F.lit("so ```json\n"), "j", F.lit("\n``` done {")))
+    got = d.select("doc_id", j.alias("j")).select("doc_id", extract_json(dirty).alias("g"))
+    return got.select("doc_id", F.md5(F.col("g").cast("binary")).alias("digest"), F.try_parse_json("g").isNotNull().alias("parses"))
+
+
 QUERIES, ORACLES = oracle(__name__)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from foliant.operators import repair as P
 from foliant.operators import rules as R
-from foliant.operators.sequences import budget_take
-from foliant.plans.base import oracle, query, values
+from foliant.operators.paging import budget_take
+from foliant.plans.base import fixture, oracle, query, values
 
 CHUNKS = "('c1', 1, 10, array(named_struct('id', 'k1', 'start', 1, 'end', 4), named_struct('id', 'k2', 'start', 5, 'end', 12)))"
 CAST = "('c1', 'a'), ('c1', 'b')"
@@ -31,7 +31,7 @@ def chunks(spark) -> DataFrame:
     return values(spark, CHUNKS, "chunk_id, start, end, chapters")
 
 
-@query("""SELECT * FROM (VALUES ('fact_value', 'facts/c1/f3'), ('fact_kind', 'facts/c1/f3'), ('fact_status', 'facts/c1/f3'), ('fact_perspective', 'facts/c1/f3'), ('fact_reason', 'facts/c1/f3'), ('fact_subject', 'facts/c1/f4'),
+@fixture("""SELECT * FROM (VALUES ('fact_value', 'facts/c1/f3'), ('fact_kind', 'facts/c1/f3'), ('fact_status', 'facts/c1/f3'), ('fact_perspective', 'facts/c1/f3'), ('fact_reason', 'facts/c1/f3'), ('fact_subject', 'facts/c1/f4'),
 ('supersedes_missing', 'facts/c1/f4'), ('supersedes_order', 'facts/c1/f5'), ('supersedes_key', 'facts/c1/f5'), ('event_summary', 'events/c1/e1'), ('event_order', 'events/c1/e1'), ('event_character', 'events/c1/e2'), ('duplicate_id', 'events/c1/e2'), ('thread_action', 'threads/c1/t1'),
 ('ref_core', 'facts/c1/r2'), ('ref_chapter', 'facts/c1/r3'), ('ref_chapter_range', 'facts/c1/r4'), ('ref_chunk', 'facts/c1/r5'), ('refs_missing', 'facts/c1/r6')) t(rule, path)""")
 def local_violations(spark, sf_dir):
@@ -43,7 +43,7 @@ def local_violations(spark, sf_dir):
     return reduce(DataFrame.union, parts)
 
 
-@query("""SELECT * FROM (VALUES ('thread_unknown', 'threads/c1/t9'), ('thread_not_open', 'threads/c1/t2'), ('thread_twice', 'threads/c1/t1'), ('boundary_side', 'boundary/c1/a'), ('boundary_anchor', 'boundary/c1/b'), ('boundary_character', 'boundary/c1/z'), ('boundary_holder', 'boundary/c1/o'),
+@fixture("""SELECT * FROM (VALUES ('thread_unknown', 'threads/c1/t9'), ('thread_not_open', 'threads/c1/t2'), ('thread_twice', 'threads/c1/t1'), ('boundary_side', 'boundary/c1/a'), ('boundary_anchor', 'boundary/c1/b'), ('boundary_character', 'boundary/c1/z'), ('boundary_holder', 'boundary/c1/o'),
 ('conflict_not_open', 'conflicts/c1/x2'), ('conflict_explanation', 'conflicts/c1/x2'), ('conflict_fact', 'conflicts/c1/x1')) t(rule, path)""")
 def delta_violations(spark, sf_dir):
     resolved = values(spark, "('c1', 't1'), ('c1', 't1'), ('c1', 't2'), ('c1', 't9')", "chunk_id, id")
@@ -68,31 +68,31 @@ def told(spark) -> DataFrame:
     return values(spark, "('f1', 'location', 'a', 'location', 'Street', 's', NULL), ('f2', 'location', 'a', 'currently_at', 'yard', 's', NULL), ('k1', 'knowledge', 'a', 'knows', 'x', 's', NULL), ('k2', 'knowledge', 'a', 'knows', 'of the door', 's', NULL), ('g1', 'character', 'b', 'goal', 'flee', 's', NULL), ('g2', 'character', 'b', 'goal', 'stay', 's', NULL), ('o1', 'object', 'o', 'state', 'whole', 's', NULL)", "id, kind, subject_id, predicate, value, statement, perspective_id")
 
 
-@query("SELECT * FROM (VALUES ('i1', 'f1', 'f2'), ('i2', 'k1', 'k2'), ('i2', 'k2', 'k1'), ('i3', 'g1', 'g2')) t(issue_id, existing_id, incoming_id)")
+@fixture("SELECT * FROM (VALUES ('i1', 'f1', 'f2'), ('i2', 'k1', 'k2'), ('i2', 'k2', 'k1'), ('i3', 'g1', 'g2')) t(issue_id, existing_id, incoming_id)")
 def allowed_transitions(spark, sf_dir):
     return P.allowed_transitions(issues(spark), told(spark))
 
 
-@query("SELECT * FROM (VALUES ('i1', 'state_change', 'f1', 'f2'), ('i2', 'unresolved', '', ''), ('i3', 'unresolved', '', ''), ('i4', 'unresolved', '', '')) t(issue_id, decision, existing_id, incoming_id)")
+@fixture("SELECT * FROM (VALUES ('i1', 'state_change', 'f1', 'f2'), ('i2', 'unresolved', '', ''), ('i3', 'unresolved', '', ''), ('i4', 'unresolved', '', '')) t(issue_id, decision, existing_id, incoming_id)")
 def repair_decisions(spark, sf_dir):
     answers = values(spark, "('i1', 'state_change', 'f1', 'f2', 1), ('i2', 'state_change', 'k1', 'k2', 0), ('i3', 'state_change', 'g2', 'g1', 2)", "issue_id, decision, existing_id, incoming_id, n_refs")
     got = P.apply_answers(issues(spark), answers, P.allowed_transitions(issues(spark), told(spark)))
     return got.select("issue_id", "decision", *(F.coalesce(c, F.lit("")).alias(c) for c in ("existing_id", "incoming_id")))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, true, 'B'), (2, true, 'C'), (3, false, 'C')) t(ord, closed, active)")
+@fixture("SELECT * FROM (VALUES (1::BIGINT, true, 'B'), (2, true, 'C'), (3, false, 'C')) t(ord, closed, active)")
 def state_transitions(spark, sf_dir):
     t = values(spark, "('k', 1L, 'x1', 'A', 'B'), ('k', 2L, 'x2', 'B', 'C'), ('k', 3L, 'x3', 'A', 'D')", "key, ord, conflict_id, from_value, to_value")
     return P.apply_transitions(values(spark, "('k', 'A')", "key, active"), t).select("ord", "closed", "active")
 
 
-@query("SELECT batch::BIGINT AS batch, count(*)::BIGINT AS n FROM (SELECT (i // 40) AS batch FROM range(45) t(i)) GROUP BY batch")
+@fixture("SELECT batch::BIGINT AS batch, count(*)::BIGINT AS n FROM (SELECT (i // 40) AS batch FROM range(45) t(i)) GROUP BY batch")
 def repair_batches(spark, sf_dir):
     rows = spark.range(45).select(F.lit("c1/c2").alias("chunk_pair"), F.format_string("i%03d", "id").alias("issue_id"), F.lit(100).alias("size"))
     return P.repair_batches(rows).groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('a', 2::BIGINT, 1::BIGINT, 10::BIGINT)) t(k, taken, omitted, used)")
+@fixture("SELECT * FROM (VALUES ('a', 2::BIGINT, 1::BIGINT, 10::BIGINT)) t(k, taken, omitted, used)")
 def budget_skip(spark, sf_dir):
     """An item that doesn't fit is passed over, a later one still taken."""
     return budget_take(values(spark, "('a', 1, 6), ('a', 2, 7), ('a', 3, 4)", "k, i, s"), "k", "i", "s", 10)

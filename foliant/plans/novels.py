@@ -10,7 +10,7 @@ from foliant.operators import headings as H
 from foliant.operators import knowledge as K
 from foliant.operators import screenplay as P
 from foliant.operators import segment as S
-from foliant.plans.base import oracle, query, read, values
+from foliant.plans.base import fixture, oracle, query, read, values
 from foliant.plans.documents import WS
 from foliant.sources import model as M
 
@@ -84,7 +84,7 @@ def heading_gaps(spark, sf_dir):
 HEADINGS = """(1, '# 第一章 雨夜'), (2, '【第一章】雨夜'), (3, '第一章雨夜'), (4, '第 一 章 雨夜'), (5, '第壹章 雨夜'), (6, '第廿一章 重逢'), (7, 'Chapter One Return'), (8, '卷一 风云'), (9, 'BOOK ONE'), (10, 'Prologue'), (11, '1. The Arrival'), (12, '他走了。'), (13, 'Section 2 x'), (14, '**第二章 清晨**')"""
 
 
-@query("""SELECT * FROM (VALUES (1, 'chapter', 'markdown,explicit_chapter', true, '第一章雨夜'), (2, 'chapter', 'bracketed,explicit_chapter', true, '第一章雨夜'), (3, 'chapter', 'explicit_chapter', true, '第一章雨夜'), (4, 'chapter', 'explicit_chapter', true, '第一章雨夜'),
+@fixture("""SELECT * FROM (VALUES (1, 'chapter', 'markdown,explicit_chapter', true, '第一章雨夜'), (2, 'chapter', 'bracketed,explicit_chapter', true, '第一章雨夜'), (3, 'chapter', 'explicit_chapter', true, '第一章雨夜'), (4, 'chapter', 'explicit_chapter', true, '第一章雨夜'),
 (5, 'chapter', 'explicit_chapter', true, '第壹章雨夜'), (6, 'chapter', 'explicit_chapter', true, '第廿一章重逢'), (7, 'chapter', 'explicit_chapter', true, 'chapteronereturn'), (8, 'volume', 'explicit_volume', true, '卷一风云'), (9, 'volume', 'explicit_volume', true, 'bookone'),
 (10, 'unknown', 'special_heading', true, 'prologue'), (11, 'unknown', 'numbered_short_line', false, '1.thearrival'), (13, 'section', 'explicit_section', true, 'section2x'), (14, 'chapter', 'explicit_chapter', true, '第二章清晨')) t(n, level, signals, strong, normalized)""")
 def heading_classify(spark, sf_dir):
@@ -92,7 +92,7 @@ def heading_classify(spark, sf_dir):
     return c.select("n", "level", F.array_join("signals", ",").alias("signals"), H.is_strong(F.col("signals")).alias("strong"), "normalized")
 
 
-@query("SELECT * FROM (VALUES ('第十二章 雨夜', true), ('第3回', true), ('一、渡口的船夫', true), ('序章', true), ('番外：旧事', true), ('Chapter 7 Return', true), ('1．行李：两件。', false), ('12. 他对河道的深浅十分熟悉。', false)) t(text, strict)")
+@fixture("SELECT * FROM (VALUES ('第十二章 雨夜', true), ('第3回', true), ('一、渡口的船夫', true), ('序章', true), ('番外：旧事', true), ('Chapter 7 Return', true), ('1．行李：两件。', false), ('12. 他对河道的深浅十分熟悉。', false)) t(text, strict)")
 def heading_strict(spark, sf_dir):
     t = values(spark, "('第十二章 雨夜'), ('第3回'), ('一、渡口的船夫'), ('序章'), ('番外：旧事'), ('Chapter 7 Return'), ('1．行李：两件。'), ('12. 他对河道的深浅十分熟悉。')", "text")
     return t.select("text", S.is_chapter(F.col("text")).alias("strict"))
@@ -107,17 +107,17 @@ def toc(spark):
     return H.likely_toc(H.duplicates(g), rows.groupBy("novel_id").agg(F.max("n").alias("n_paragraphs")))
 
 
-@query("SELECT * FROM (VALUES (2, 2::BIGINT, '5'), (3, 2, '7'), (5, 2, '2'), (7, 2, '3')) t(n, dup_count, others)")
+@fixture("SELECT * FROM (VALUES (2, 2::BIGINT, '5'), (3, 2, '7'), (5, 2, '2'), (7, 2, '3')) t(n, dup_count, others)")
 def heading_duplicates(spark, sf_dir):
     return toc(spark).select("n", "dup_count", F.array_join("others", ",").alias("others"))
 
 
-@query("SELECT * FROM (VALUES (2, true, true), (3, true, true), (5, false, false), (7, false, false)) t(n, repeated_later, likely_toc)")
+@fixture("SELECT * FROM (VALUES (2, true, true), (3, true, true), (5, false, false), (7, false, false)) t(n, repeated_later, likely_toc)")
 def likely_toc(spark, sf_dir):
     return toc(spark).select("n", "repeated_later", "likely_toc")
 
 
-@query("SELECT k, sum(b)::INT AS mask FROM (VALUES (1, 8), (1, 2), (2, 64), (3, 16), (3, 256), (4, 1), (4, 128), (4, 32), (4, 4)) t(k, b) GROUP BY k")
+@fixture("SELECT k, sum(b)::INT AS mask FROM (VALUES (1, 8), (1, 2), (2, 64), (3, 16), (3, 256), (4, 1), (4, 128), (4, 32), (4, 4)) t(k, b) GROUP BY k")
 def signal_mask(spark, sf_dir):
     rows = values(spark, "(1, array('markdown', 'explicit_chapter')), (2, array('numbered_short_line')), (3, array('bracketed', 'likely_toc')), (4, array('explicit_volume', 'repeated_later', 'special_heading', 'explicit_section'))", "k, signals")
     return rows.select("k", H.mask(F.col("signals")).alias("mask"))
@@ -130,41 +130,41 @@ def picks(spark):
     return values(spark, PICKS, "novel_id, n, role, decision")
 
 
-@query("SELECT * FROM (VALUES ('a', 1, 0), ('a', 2, 1), ('a', 4, 2), ('a', 6, 1), ('a', 8, 0), ('a', 9, 8), ('b', 1, 0), ('b', 3, 0)) t(novel_id, n, parent)")
+@fixture("SELECT * FROM (VALUES ('a', 1, 0), ('a', 2, 1), ('a', 4, 2), ('a', 6, 1), ('a', 8, 0), ('a', 9, 8), ('b', 1, 0), ('b', 3, 0)) t(novel_id, n, parent)")
 def heading_parents(spark, sf_dir):
     return H.parents(picks(spark)).select("novel_id", "n", F.coalesce("parent", F.lit(0)).alias("parent"))
 
 
-@query("SELECT * FROM (VALUES ('a', 1, 'boundary'), ('a', 2, 'boundary'), ('a', 4, 'hint'), ('a', 6, 'boundary'), ('a', 8, 'boundary'), ('a', 9, 'boundary'), ('b', 1, 'boundary'), ('b', 3, 'boundary')) t(novel_id, n, kind)")
+@fixture("SELECT * FROM (VALUES ('a', 1, 'boundary'), ('a', 2, 'boundary'), ('a', 4, 'hint'), ('a', 6, 'boundary'), ('a', 8, 'boundary'), ('a', 9, 'boundary'), ('b', 1, 'boundary'), ('b', 3, 'boundary')) t(novel_id, n, kind)")
 def primary_boundaries(spark, sf_dir):
     return H.boundaries(picks(spark))
 
 
-@query("SELECT * FROM (VALUES ('a', 0, 'chapter_001', '开篇', 1, 1), ('a', 1, 'chapter_002', '第一章 雨夜', 2, 3), ('a', 2, 'chapter_003', 'Chapter 2 The Door', 4, 5), ('b', 0, 'chapter_001', '正文', 1, 2)) t(novel_id, idx, id, title, first_n, last_n)")
+@fixture("SELECT * FROM (VALUES ('a', 0, 'chapter_001', '开篇', 1, 1), ('a', 1, 'chapter_002', '第一章 雨夜', 2, 3), ('a', 2, 'chapter_003', 'Chapter 2 The Door', 4, 5), ('b', 0, 'chapter_001', '正文', 1, 2)) t(novel_id, idx, id, title, first_n, last_n)")
 def materialize_chapters(spark, sf_dir):
     p = values(spark, "('a', 1, '版权说明'), ('a', 2, '第一章 雨夜'), ('a', 3, '第一章正文'), ('a', 4, 'Chapter 2 The Door'), ('a', 5, '第二章正文'), ('b', 1, '甲'), ('b', 2, '乙')", "novel_id, n, text")
     b = p.where(S.is_chapter(F.col("text"))).select("novel_id", "n", F.col("text").alias("title"))
     return H.materialize(b, p).select("novel_id", "idx", "id", "title", F.col("start").alias("first_n"), F.col("end").alias("last_n"))
 
 
-@query("SELECT * FROM (VALUES ('fact:a:current_location:', 1), ('fact:a:holder:b', 2), ('state:李 四:life_status:', 3)) t(k, i) WHERE i < 3 UNION ALL SELECT 'state:李四:life_status:', 3")
+@fixture("SELECT * FROM (VALUES ('fact:a:current_location:', 1), ('fact:a:holder:b', 2), ('state:李 四:life_status:', 3)) t(k, i) WHERE i < 3 UNION ALL SELECT 'state:李四:life_status:', 3")
 def fact_key(spark, sf_dir):
     f = values(spark, "(1, 'Fact', ' A ', 'currently-at', NULL), (2, 'fact', 'a', 'Held By', 'B'), (3, 'state', '李 四', '生死', NULL)", "i, kind, subject, predicate, perspective")
     pred = F.when(F.col("i") == 2, "held_by").otherwise(F.col("predicate"))
     return f.select(T.fact_key(F.col("kind"), F.col("subject"), pred, F.col("perspective")).alias("k"), "i")
 
 
-@query("SELECT * FROM (VALUES ('位于', 'current_location'), ('is-alive', 'life_status'), ('Owner', 'holder'), ('colour', 'colour'), ('health_status', 'physical_state')) t(p, canonical)")
+@fixture("SELECT * FROM (VALUES ('位于', 'current_location'), ('is-alive', 'life_status'), ('Owner', 'holder'), ('colour', 'colour'), ('health_status', 'physical_state')) t(p, canonical)")
 def predicate_alias(spark, sf_dir):
     return values(spark, "('位于'), ('is-alive'), ('Owner'), ('colour'), ('health_status')", "p").select("p", T.canonical_predicate(F.col("p")).alias("canonical"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'source_fact'), ('b', 'uncertain')) t(k, status)")
+@fixture("SELECT * FROM (VALUES ('a', 'source_fact'), ('b', 'uncertain')) t(k, status)")
 def uncertain_upgrade(spark, sf_dir):
     return values(spark, "('a', 'uncertain'), ('a', 'source_fact'), ('b', 'uncertain')", "k, s").groupBy("k").agg(K.upgrade_status(F.col("s")).alias("status"))
 
 
-@query("SELECT '小夏' AS name, 'char_lin,char_wu' AS ids")
+@fixture("SELECT '小夏' AS name, 'char_lin,char_wu' AS ids")
 def alias_collision(spark, sf_dir):
     return K.alias_collisions(values(spark, "('char_lin', '林夏'), ('char_lin', '小 夏'), ('char_wu', '小夏'), ('char_wang', '老王'), ('char_wang', '老王')", "id, name"))
 
@@ -172,7 +172,7 @@ def alias_collision(spark, sf_dir):
 LOOSE = "('n', '钥匙', 'a', 8), ('n', '钥 匙', 'a', 5), ('n', '钥匙', 'a,b', 6), ('n', '那封信', '', 2), ('m', '他', '', 4)"
 
 
-@query(f"""WITH r AS (SELECT *, replace(text, ' ', '') AS k FROM (VALUES {LOOSE}) t(novel_id, text, who, first)), g AS (SELECT novel_id, k, who, count(*)::BIGINT AS n, min(first) AS first FROM r GROUP BY ALL)
+@fixture(f"""WITH r AS (SELECT *, replace(text, ' ', '') AS k FROM (VALUES {LOOSE}) t(novel_id, text, who, first)), g AS (SELECT novel_id, k, who, count(*)::BIGINT AS n, min(first) AS first FROM r GROUP BY ALL)
 SELECT novel_id, 'conflict_open_reference_' || lpad((row_number() OVER (PARTITION BY novel_id ORDER BY first, k))::VARCHAR, 3, '0') AS id, k AS text, who AS candidates, n FROM g""")
 def open_reference_conflicts(spark, sf_dir):
     """F-20: grouped by text and candidates, numbered within each novel."""
@@ -180,7 +180,7 @@ def open_reference_conflicts(spark, sf_dir):
     return K.open_references(r).withColumn("text", T.norm_text(F.col("text")))
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, 'f1', 'new', 'f1'), (2, 'f2', 'replace', 'f2'), (3, 'f3', 'conflict', 'f2'), (4, 'f4', 'merge', 'f2'), (5, 'f1', 'conflict', 'f2'), (6, 'g1', 'new', 'g1'), (7, 'g2', 'merge', 'g1')) t(ord, id, outcome, active)""")
+@fixture("""SELECT * FROM (VALUES (1::BIGINT, 'f1', 'new', 'f1'), (2, 'f2', 'replace', 'f2'), (3, 'f3', 'conflict', 'f2'), (4, 'f4', 'merge', 'f2'), (5, 'f1', 'conflict', 'f2'), (6, 'g1', 'new', 'g1'), (7, 'g2', 'merge', 'g1')) t(ord, id, outcome, active)""")
 def rolling_merge(spark, sf_dir):
     d = values(spark, "('n', 1L, 'loc', 'f1', '东街', NULL), ('n', 2L, 'loc', 'f2', '旧码头', 'f1'), ('n', 3L, 'loc', 'f3', '北站', NULL), ('n', 4L, 'loc', 'f4', '旧码头', NULL), ('n', 5L, 'loc', 'f1', '北站', NULL), ('n', 6L, 'hold', 'g1', 'x', NULL), ('n', 7L, 'Hold', 'g2', ' X', NULL)", "novel_id, ord, key, id, value, supersedes")
     return K.roll_facts(d).select("ord", "id", "outcome", "active")
@@ -198,55 +198,55 @@ def acts(spark):
     return values(spark, ACTS, "scene, pos, type, text, character, line, mode")
 
 
-@query("SELECT * FROM (VALUES ('char_lin', 'char_wang', 1::BIGINT, '1 场同框'), ('char_lin', 'ghost', 1, '1 场同框')) t(source, target, weight, label)")
+@fixture("SELECT * FROM (VALUES ('char_lin', 'char_wang', 1::BIGINT, '1 场同框'), ('char_lin', 'ghost', 1, '1 场同框')) t(source, target, weight, label)")
 def screenplay_relations(spark, sf_dir):
     return P.relations(acts(spark), cast(spark)).drop("project")
 
 
-@query("SELECT 2 AS scene, 'ghost' AS id")
+@fixture("SELECT 2 AS scene, 'ghost' AS id")
 def speaks_before_appearance(spark, sf_dir):
     return P.speaks_early(acts(spark), cast(spark)).drop("project")
 
 
-@query("""SELECT * FROM (VALUES ('title', 'error', 'meta.title'), ('setting', 'error', 'scenes[2].heading.setting'), ('time', 'error', 'scenes[2].heading.time'), ('location', 'error', 'scenes[3].heading.location'), ('empty_scene', 'warning', 'scenes[4].elements'), ('source', 'warning', 'scenes[4].source'),
+@fixture("""SELECT * FROM (VALUES ('title', 'error', 'meta.title'), ('setting', 'error', 'scenes[2].heading.setting'), ('time', 'error', 'scenes[2].heading.time'), ('location', 'error', 'scenes[3].heading.location'), ('empty_scene', 'warning', 'scenes[4].elements'), ('source', 'warning', 'scenes[4].source'),
 ('scene_number', 'error', 'scenes[4].number'), ('text', 'error', 'scenes[3].elements[0].text'), ('mode', 'error', 'scenes[2].elements[1].mode'), ('speaker_unknown', 'error', 'scenes[2].elements[1].character'), ('structure', 'error', 'structure[1].scene_ids'), ('speaks_early', 'warning', 'scenes[2] ghost')) t(rule, severity, path)""")
 def screenplay_violations(spark, sf_dir):
     scenes = values(spark, "(1, 's1', 1, 'INT', '屋', 'DAY', true), (2, 's2', 2, '室内', '街', 'NOON', true), (3, 's3', 3, 'INT/EXT', '', 'NIGHT', true), (4, 's4', NULL, 'EXT', '河', 'DAWN', NULL)", "scene, id, number, setting, location, time, has_source")
     return P.violations(values(spark, "('  ')", "title"), cast(spark), scenes, acts(spark), values(spark, "(0, 's1'), (1, 's9')", "pos, scene_id")).drop("project")
 
 
-@query("SELECT 'p' AS project, '重逢' || chr(10) || chr(10) || '第1场　日　内　屋' || chr(10) || '△ 林夏推门。' || chr(10) || '林夏（迟疑地）：好久不见。' || chr(10) || chr(10) || '第2场　正午　外　街' || chr(10) || '林夏（画外）：有些话。' || chr(10) || '林夏（同时）：你' || chr(10) || 'x（同时）：我' || chr(10) || '切至' || chr(10) AS text")
+@fixture("SELECT 'p' AS project, '重逢' || chr(10) || chr(10) || '第1场　日　内　屋' || chr(10) || '△ 林夏推门。' || chr(10) || '林夏（迟疑地）：好久不见。' || chr(10) || chr(10) || '第2场　正午　外　街' || chr(10) || '林夏（画外）：有些话。' || chr(10) || '林夏（同时）：你' || chr(10) || 'x（同时）：我' || chr(10) || '切至' || chr(10) AS text")
 def render_cn(spark, sf_dir):
     e = values(spark, "('p', 1, 0, 0, 'action', '林夏推门。', NULL, NULL, NULL, NULL), ('p', 1, 1, 0, 'dialogue', NULL, 'l', 'in_scene', '迟疑地', '好久不见。'), ('p', 2, 0, 0, 'dialogue', NULL, 'l', 'voiceover', NULL, '有些话。'), ('p', 2, 1, 0, 'dual_dialogue', NULL, 'l', NULL, NULL, '你'), ('p', 2, 1, 1, 'dual_dialogue', NULL, 'x', NULL, NULL, '我'), ('p', 2, 2, 0, 'transition', '切至', NULL, NULL, NULL, NULL)", "project, scene, pos, line_pos, type, text, character, mode, parenthetical, line")
     s = values(spark, "('p', 1, 1, 'INT', '屋', 'DAY'), ('p', 2, 2, 'EXT', '街', '正午')", "project, scene, number, setting, location, time")
     return P.render(values(spark, "('p', '重逢')", "project, title"), values(spark, "('p', 'l', '林夏')", "project, id, name"), s, e)
 
 
-@query("SELECT * FROM (VALUES (1, 10::BIGINT, 5::BIGINT, 15::BIGINT), (2, 7, 3, 10), (3, 1, 2, 9), (4, -1, -1, -1)) t(id, input, output, total)")
+@fixture("SELECT * FROM (VALUES (1, 10::BIGINT, 5::BIGINT, 15::BIGINT), (2, 7, 3, 10), (3, 1, 2, 9), (4, -1, -1, -1)) t(id, input, output, total)")
 def usage_tokens(spark, sf_dir):
     r = values(spark, """(1, '{"input_tokens":10,"output_tokens":5}'), (2, '{"prompt_tokens":7,"completion_tokens":3}'), (3, '{"input_tokens":1,"output_tokens":2,"total_tokens":9}'), (4, '{}')""", "id, usage")
     return r.select("id", *(F.coalesce(c, F.lit(-1)).cast("long").alias(a) for a, c in M.usage(F.col("usage")).items()))
 
 
-@query("SELECT * FROM (VALUES (401, 'auth'), (403, 'permission'), (429, 'rate'), (402, 'quota'), (404, 'model'), (503, 'server'), (400, 'filter'), (418, 'other')) t(status, kind)")
+@fixture("SELECT * FROM (VALUES (401, 'auth'), (403, 'permission'), (429, 'rate'), (402, 'quota'), (404, 'model'), (503, 'server'), (400, 'filter'), (418, 'other')) t(status, kind)")
 def error_class(spark, sf_dir):
     r = values(spark, "(401, 'x'), (403, 'x'), (429, 'x'), (402, 'insufficient balance'), (404, 'x'), (503, 'x'), (400, 'content_filter hit'), (418, 'teapot')", "status, raw")
     return r.select("status", M.error_kind(F.col("status"), F.col("raw")).alias("kind"))
 
 
-@query("""SELECT * FROM (VALUES (1, '{"a":1}'), (2, '{"name":"林夏","ok":true}'), (3, '{"a":{"b":{"c":1}},"d":2}'), (4, '{"s":"a}b"}'), (5, 'none')) t(id, json)""")
+@fixture("""SELECT * FROM (VALUES (1, '{"a":1}'), (2, '{"name":"林夏","ok":true}'), (3, '{"a":{"b":{"c":1}},"d":2}'), (4, '{"s":"a}b"}'), (5, 'none')) t(id, json)""")
 def json_safe_parse(spark, sf_dir):
     r = values(spark, """(1, concat('```json', chr(10), '{"a":1}', chr(10), '```')), (2, 'so {"name":"林夏","ok":true} ok'), (3, 'x {"a":{"b":{"c":1}},"d":2} y'), (4, '{"s":"a}b"} tail}'), (5, ' none ')""", "id, raw")
     return r.select("id", M.extract_json(F.col("raw")).alias("json"))
 
 
-@query("SELECT * FROM (VALUES (0, 'progress'), (4, 'done')) t(pos, kind)")
+@fixture("SELECT * FROM (VALUES (0, 'progress'), (4, 'done')) t(pos, kind)")
 def sse_parse(spark, sf_dir):
     r = values(spark, """(1, concat('data: {"type":"progress"}', chr(10), chr(10), 'event: x', chr(10), 'data: {bad', chr(10), 'data: {"type":"done"}', chr(10)))""", "id, body")
     return M.sse_events(r, "body").select("pos", F.get_json_object("event", "$.type").alias("kind"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'given'), ('zz', 'last')) t(id, label)")
+@fixture("SELECT * FROM (VALUES ('a', 'given'), ('zz', 'last')) t(id, label)")
 def provider_default(spark, sf_dir):
     """S-16, K-07: an unknown provider is the last of the table."""
     return M.with_default(values(spark, "('a'), ('zz')", "id"), values(spark, "(0, 'a', 'given'), (1, 'c', 'last')", "ord, id, label"), "id", "label")

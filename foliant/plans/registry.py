@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliant.plans import app, bible, documents, identities, knowledge, novels, structure, tables
+from foliant.plans import app, bible, bibles, checked, documents, identities, knowledge, novels, rolling, structure, tables
 
-MODULES = (documents, tables, novels, structure, knowledge, identities, bible, app)
+MODULES = (documents, tables, novels, structure, knowledge, identities, bible, app, rolling, checked, bibles)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

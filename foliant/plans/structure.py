@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliant.operators import headings as H
 from foliant.operators import segment as S
 from foliant.operators import structure as C
-from foliant.plans.base import oracle, query, values
+from foliant.plans.base import fixture, oracle, query, values
 from foliant.plans.novels import NOVEL, novel
 
 L = lambda c, a=None: (F.col(c) if isinstance(c, str) else c).cast("long").alias(a or c)
@@ -40,7 +40,7 @@ def evidence_once(spark, sf_dir):
 ROWS = "('a', 1, 'Chapter 1', 'chapter'), ('a', 4, 'Chapter 2', 'chapter'), ('b', 1, 'Chapter 1', 'chapter')"
 
 
-@query("SELECT * FROM (VALUES ('a', 1, 0, 7), ('a', 4, 0, 7), ('b', 1, 0, 11)) t(novel_id, n, page, fields)")
+@fixture("SELECT * FROM (VALUES ('a', 1, 0, 7), ('a', 4, 0, 7), ('b', 1, 0, 11)) t(novel_id, n, page, fields)")
 def evidence_fallback(spark, sf_dir):
     """H-09: where the rows with context fill more than a page, all go without."""
     c = values(spark, ROWS, "novel_id, n, text, level").withColumns({"signals": F.array(F.lit("explicit_chapter")), "since": F.lit(0), "until": F.lit(None).cast("long"), "others": F.array().cast("array<int>"), "dup_count": F.lit(1)})
@@ -65,32 +65,32 @@ def resolved(spark):
     return C.resolve(values(spark, ANSWERS, "novel_id, page, raw"), few, page.unionByName(values(spark, "('b', 99, 0), ('c', 9, 0)", "novel_id, n, page")), values(spark, "('l')", "novel_id")), few
 
 
-@query("SELECT * FROM (VALUES ('a', 'partial'), ('b', 'fallback'), ('c', 'fallback'), ('d', 'fallback'), ('e', 'fallback'), ('f', 'fallback'), ('g', 'resolved'), ('h', 'fallback'), ('k', 'fallback'), ('l', 'fallback')) t(novel_id, status)")
+@fixture("SELECT * FROM (VALUES ('a', 'partial'), ('b', 'fallback'), ('c', 'fallback'), ('d', 'fallback'), ('e', 'fallback'), ('f', 'fallback'), ('g', 'resolved'), ('h', 'fallback'), ('k', 'fallback'), ('l', 'fallback')) t(novel_id, status)")
 def structure_status(spark, sf_dir):
     """H-11, H-12, H-16, H-17."""
     return resolved(spark)[0].status
 
 
-@query("""SELECT * FROM (VALUES ('a', 'uncertain_heading', 'warning', 7), ('a', 'broken_hierarchy', 'warning', 6), ('b', 'duplicate_heading', 'error', 1), ('c', 'unknown_candidate', 'error', 9), ('d', 'invalid_model_output', 'error', 0), ('e', 'invalid_model_output', 'error', 0),
+@fixture("""SELECT * FROM (VALUES ('a', 'uncertain_heading', 'warning', 7), ('a', 'broken_hierarchy', 'warning', 6), ('b', 'duplicate_heading', 'error', 1), ('c', 'unknown_candidate', 'error', 9), ('d', 'invalid_model_output', 'error', 0), ('e', 'invalid_model_output', 'error', 0),
 ('f', 'no_usable_boundary', 'warning', 0), ('h', 'unknown_candidate', 'error', 3), ('k', 'invalid_model_output', 'error', 0), ('l', 'candidate_limit_exceeded', 'warning', 0)) t(novel_id, code, severity, n)""")
 def structure_issues(spark, sf_dir):
     """H-12: the first fatal issue of a novel, or all its warnings."""
     return resolved(spark)[0].issues.select("novel_id", "code", "severity", F.coalesce("n", F.lit(0)).cast("int").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('a', 1, 'front_matter', 0), ('a', 3, 'volume', 0), ('a', 4, 'chapter', 3), ('a', 5, 'section', 4), ('g', 1, 'section', 0), ('g', 3, 'section', 0)) t(novel_id, n, role, parent)")
+@fixture("SELECT * FROM (VALUES ('a', 1, 'front_matter', 0), ('a', 3, 'volume', 0), ('a', 4, 'chapter', 3), ('a', 5, 'section', 4), ('g', 1, 'section', 0), ('g', 3, 'section', 0)) t(novel_id, n, role, parent)")
 def structure_headings(spark, sf_dir):
     """H-12, H-13."""
     return resolved(spark)[0].headings.select("novel_id", F.col("n").cast("int").alias("n"), "role", F.coalesce("parent", F.lit(0)).cast("int").alias("parent"))
 
 
-@query("SELECT 'a' AS novel_id, 2 AS n UNION ALL SELECT 'f', 1")
+@fixture("SELECT 'a' AS novel_id, 2 AS n UNION ALL SELECT 'f', 1")
 def structure_toc(spark, sf_dir):
     """H-12: picks of a table of contents are set apart."""
     return resolved(spark)[0].toc.select("novel_id", F.col("n").cast("int").alias("n"))
 
 
-@query("""SELECT novel_id, idx, 'chapter_00' || (idx + 1) AS id, kind, heading, first_n, last_n, ((last_n - first_n + 1) * (length('line 1') + length('¶1 ')) + last_n - first_n)::BIGINT AS chars
+@fixture("""SELECT novel_id, idx, 'chapter_00' || (idx + 1) AS id, kind, heading, first_n, last_n, ((last_n - first_n + 1) * (length('line 1') + length('¶1 ')) + last_n - first_n)::BIGINT AS chars
 FROM (VALUES ('a', 0, 'front_matter', 1, 1, 2), ('a', 1, 'volume', 3, 3, 3), ('a', 2, 'chapter', 4, 4, 8), ('b', 0, 'fallback', 0, 1, 8), ('g', 0, 'section', 1, 1, 2), ('g', 1, 'section', 3, 3, 8)) t(novel_id, idx, kind, heading, first_n, last_n)""")
 def structure_chapters(spark, sf_dir):
     """H-15 with kinds and sizes."""
@@ -102,7 +102,7 @@ def structure_chapters(spark, sf_dir):
 CHAPTERS = "('ok', 0, 'c1', 1.0, 2.0, 17), ('ok', 1, 'c2', 3.0, 3.0, 8), ('gap', 0, 'c1', 1.0, 1.0, 8), ('gap', 1, 'c1', 3.0, 3.0, 8), ('half', 0, 'c1', 1.0, 2.5, 17), ('back', 0, 'c1', 1.0, 3.0, 26), ('back', 1, 'c2', 4.0, 3.0, 8), ('far', 0, 'c1', 1.0, 4.0, 26), ('size', 0, 'c1', 1.0, 3.0, 25), ('void', 0, 'c1', 1.0, 1.0, 8), ('long', 0, 'c1', 1.0, 3.0, 100)"
 
 
-@query("""SELECT * FROM (VALUES ('gap', 'gap', 'c1'), ('gap', 'duplicate_id', 'c1'), ('half', 'unknown_end', 'c1'), ('half', 'not_covered', ''), ('back', 'reversed', 'c2'), ('back', 'unknown_end', 'c2'), ('far', 'beyond_end', 'c1'), ('far', 'unknown_end', 'c1'), ('far', 'not_covered', ''), ('size', 'char_count', 'c1'),
+@fixture("""SELECT * FROM (VALUES ('gap', 'gap', 'c1'), ('gap', 'duplicate_id', 'c1'), ('half', 'unknown_end', 'c1'), ('half', 'not_covered', ''), ('back', 'reversed', 'c2'), ('back', 'unknown_end', 'c2'), ('far', 'beyond_end', 'c1'), ('far', 'unknown_end', 'c1'), ('far', 'not_covered', ''), ('size', 'char_count', 'c1'),
 ('void', 'chapters_without_text', ''), ('none', 'no_chapters', ''), ('long', 'paragraph_budget', '2'), ('skip', 'no_chapters', ''), ('skip', 'paragraph_order', '4')) t(novel_id, rule, "at")""")
 def chapter_coverage_errors(spark, sf_dir):
     """C-08: each check fires."""
@@ -111,7 +111,7 @@ def chapter_coverage_errors(spark, sf_dir):
     return C.chapter_errors(values(spark, CHAPTERS, "novel_id, idx, id, start, end, char_count"), p, 80).where("not (novel_id = 'long' and rule = 'char_count')")
 
 
-@query("SELECT * FROM (VALUES ('good', '2,3'), ('bad', '2.5'), ('bad', '9.0')) t(side, hints)")
+@fixture("SELECT * FROM (VALUES ('good', '2,3'), ('bad', '2.5'), ('bad', '9.0')) t(side, hints)")
 def split_hint_check(spark, sf_dir):
     """C-10."""
     p = values(spark, "('a', 1), ('a', 2), ('a', 3)", "novel_id, n")
@@ -140,7 +140,7 @@ def chapter_first_cover(spark, sf_dir):
     return whole.groupBy(F.col("novel_id").alias("doc_id")).agg(F.count("*").alias("paragraphs"), L(F.sum(F.length("text")), "chars"))
 
 
-@query("SELECT * FROM (VALUES ('chunk_001', 'c1:1-2', 1, 3), ('chunk_002', 'c2:3-6', 2, 7), ('chunk_003', 'c2:7-7,c3:8-8', 6, 8)) t(id, ranges, context_start, context_end)")
+@fixture("SELECT * FROM (VALUES ('chunk_001', 'c1:1-2', 1, 3), ('chunk_002', 'c2:3-6', 2, 7), ('chunk_003', 'c2:7-7,c3:8-8', 6, 8)) t(id, ranges, context_start, context_end)")
 def chunk_row_ids(spark, sf_dir):
     """C-09: ids, clipped chapter ranges and context ranges."""
     n = values(spark, "('a', array('pppp', 'pppp', 'pppp', 'pppp', 'pppp', 'pppp', 'pppp', 'pppp'), array(1, 3, 8))", "novel_id, paras, starts")

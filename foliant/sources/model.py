@@ -3,12 +3,14 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from foliant.functions.text import trim
 
@@ -20,53 +22,105 @@ def recorded(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return requests.join(responses.select("request_id", "raw"), "request_id", "left")
 
 
-def live(requests: DataFrame, call: Callable[[str], str], workers: int) -> DataFrame:
-    """E-01, M-04: answers by ``call`` on (request_id, message) rows, at most
-    ``workers`` at a time; a failed call gives its error instead."""
+def in_flight(call: Callable[[str], str], messages: Iterator[tuple], most: int) -> Iterator[tuple]:
+    """M-04, M-05: (index, answer, error) of (index, message) pairs, in their order,
+    with at most ``most`` calls under way: the next is begun when the oldest is
+    handed on, so answers that come early wait in a buffer of that size.  A call
+    that fails gives its error; once the reader stops, no call is begun."""
+
+    def one(message: str) -> tuple[str | None, str | None]:
+        try:
+            return call(message), None
+        except Exception as e:  # a failed request is a row, not a lost job
+            return None, str(e)
+
+    pool = ThreadPoolExecutor(most)
+    waiting: deque = deque()
+    try:
+        for index, message in messages:
+            waiting.append((index, pool.submit(one, message)))
+            if len(waiting) >= most:
+                index, got = waiting.popleft()
+                yield (index, *got.result())
+        while waiting:
+            index, got = waiting.popleft()
+            yield (index, *got.result())
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def live(requests: DataFrame, call: Callable[[str], str], workers: int, each: int = 1) -> DataFrame:
+    """E-01, M-04: (request_id, raw, error): answers by ``call`` on (request_id,
+    message) rows: ``workers`` tasks with at most ``each`` calls under way in one.
+    Rows of a task keep their order whatever their calls take.  A failed call
+    gives its error instead; a null message is asked like any other."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples(index=False):
-                try:
-                    out.append((r.request_id, call(r.message), None))
-                except Exception as e:  # a failed request is a row, not a lost job
-                    out.append((r.request_id, None, str(e)))
-            yield pd.DataFrame(out, columns=["request_id", "raw", "error"])
+        asked = ((r.request_id, r.message) for pdf in frames for r in pdf.itertuples(index=False))
+        for some in batched(in_flight(call, asked, each), max(each, 64)):
+            yield pd.DataFrame(list(some), columns=["request_id", "raw", "error"])
 
     kind = requests.schema["request_id"].dataType.simpleString()
     return requests.select("request_id", "message").repartition(workers).mapInPandas(task, f"request_id {kind}, raw string, error string")
 
 
-@F.pandas_udf(StringType())
-def _balanced(col: pd.Series) -> pd.Series:
-    """K-02: from the first brace to the one that closes it; braces in strings
-    don't count."""
-
-    def one(s):
-        if s is None or (a := s.find("{")) < 0:
-            return s
-        depth, quoted, skip = 0, False, False
-        for i in range(a, len(s)):
-            c = s[i]
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "{}":
-                depth += 1 if c == "{" else -1
-                if not depth:
-                    return s[a : i + 1]
-        return s[a:]
-
-    return col.map(one)
+class Calls:
+    """M-06: jobs of model calls under one tag.  ``cancel`` stops those that run,
+    their tasks and so their calls, and lets no more begin."""
+
+    def __init__(self, spark, tag: str) -> None:
+        self.spark, self.tag, self.stopped = spark, tag, False
+
+    def run(self, work: Callable[[], object]) -> object:
+        """``work``, an action, under the tag; an error once cancelled."""
+        if self.stopped:
+            raise RuntimeError(f"{self.tag} is cancelled")
+        self.spark.sparkContext.addJobTag(self.tag)
+        try:
+            return work()
+        finally:
+            self.spark.sparkContext.removeJobTag(self.tag)
+
+    def cancel(self) -> None:
+        self.stopped = True
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+
+#: What decides where a JSON object ends, one at a time, and the text between.
+TOKENS = r'[{}"\\]|[^{}"\\]+'
+
+
+def balanced(raw: Column) -> Column:
+    """K-02: from the first brace to the one that closes it, to the end where none
+    does; braces in strings don't count, nor do quotes behind a backslash there.
+
+    The text from the first brace on is cut into tokens and folded by JVM
+    functions: depth, whether a string is open, whether the next character is
+    escaped, the characters so far and where the object ended.
+    """
+    first = F.locate("{", raw)
+    rest = raw.substr(first, F.length(raw))
+    state = "struct<depth:int,quoted:boolean,escaped:boolean,at:int,end:int>"
+    start = F.struct(F.lit(0), F.lit(False), F.lit(False), F.lit(0), F.lit(0)).cast(state)
+
+    def step(x: Column, t: Column) -> Column:
+        at = x["at"] + F.length(t)
+        closes = ~x["quoted"] & (t == "}")
+        return F.struct(
+            F.when(x["quoted"], x["depth"]).when(t == "{", x["depth"] + 1).when(t == "}", x["depth"] - 1).otherwise(x["depth"]).alias("depth"),
+            F.when(x["quoted"], (t != '"') | x["escaped"]).otherwise(t == '"').alias("quoted"),
+            (x["quoted"] & ~x["escaped"] & (t == "\\")).alias("escaped"),
+            at.alias("at"),
+            F.when(x["end"] > 0, x["end"]).when(closes & (x["depth"] == 1), at).otherwise(0).alias("end"),
+        ).cast(state)
+
+    end = F.aggregate(F.regexp_extract_all(rest, F.lit(TOKENS), F.lit(0)), start, step, lambda x: x["end"])
+    return F.when(first == 0, raw).otherwise(rest.substr(F.lit(1), F.when(end > 0, end).otherwise(F.length(rest))))
 
 
 def extract_json(raw: Column) -> Column:
     """K-02: the first fenced block, else the balanced object, else the text."""
-    return trim(F.when(raw.rlike(FENCE), F.regexp_extract(raw, FENCE, 1)).otherwise(_balanced(raw)))
+    return trim(F.when(raw.rlike(FENCE), F.regexp_extract(raw, FENCE, 1)).otherwise(balanced(raw)))
 
 
 def safe_parse(raw: Column, schema: str, fallback: Column | None = None) -> Column:

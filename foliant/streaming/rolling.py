@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -91,3 +91,11 @@ class Listener(StreamingQueryListener):
 def cancel(spark, group: str) -> None:
     """M-06: stops the running jobs of a group and starts no more of them."""
     spark.sparkContext.cancelJobGroup(group)
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """M-07, E-02: ``df`` and what its next action will have counted on the way:
+    aggregates gathered by the tasks that make its rows, without a pass of their
+    own.  ``get`` of the observation waits for the action."""
+    seen = Observation(name)
+    return df.observe(seen, *(c.alias(k) for k, c in metrics.items())), seen

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from foliant.plans import registry
+from foliant.plans.base import FIXTURES
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,6 +38,15 @@ def test_against_sql(spark, duck, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, want.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(FIXTURES))
+def test_fixture(spark, duck, name):
+    made, sql = FIXTURES[name]
+    got, want = made(spark, SF), duck.execute(sql)
+    columns = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(columns)
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, want.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
