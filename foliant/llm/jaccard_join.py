@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,8 @@ from foliant.llm.textkit import SHINGLE, Words, column, mix, shingle_sets, slice
 
 NUM = 75
 BLOCK = 2_000_000
+#: Cost of a step of the merge against that of a probe, as it weighs in the number of long lists.
+MU = 0.002
 
 
 def set_key(h: np.ndarray) -> int:
@@ -182,15 +185,21 @@ def merge_skip(lists: list[list[int]], t: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (lists[k][at[k]], k))
 
 
-def t_occurrence(sets: list[np.ndarray], comp: np.ndarray, ask: np.ndarray, num: int = NUM) -> list[tuple[int, int]]:
+def divided(need: int, longest: int, mu: float = MU) -> int:
+    """How many of a text's lists are long, at least one fewer than it needs."""
+    return max(0, min(need - 1, int(need / (mu * math.log2(max(longest, 1)) + 1))))
+
+
+def t_occurrence(sets: list[np.ndarray], comp: np.ndarray, ask: np.ndarray, num: int = NUM, mu: float = MU) -> list[tuple[int, int]]:
     """Links that connect ``comp``'s components, found for the texts in ``ask``.
 
     Of two texts that ask the smaller one does.  A text of m shingles then needs
     T = 2 * num / (100 + num) * m of them in a partner, or num / 100 * m where
-    texts are searched that don't ask.  Of its m inverted lists the T - 1 longest
-    are long.  The others are merged by a heap, which finds every text that can
-    still reach T; the long lists are only searched, by bisection, for these, the
-    shortest first, until they can't reach what they need.  Texts of the own
+    texts are searched that don't ask.  Of its m inverted lists the L longest are
+    long, L = T / (mu * log2(length of the longest) + 1) as DivideSkip divides them.
+    The others are merged by a heap that skips to what stands in T - L of them;
+    the long lists are only searched, by bisection, for what is found, the
+    shortest first, until it can't reach what it needs.  Texts of the own
     component and texts that are too large or too small are left out.
     """
     n = len(sets)
@@ -209,7 +218,8 @@ def t_occurrence(sets: list[np.ndarray], comp: np.ndarray, ask: np.ndarray, num:
         need = int(required(m, num)) if not all_ask else -(-2 * num * m // (100 + num))
         at = np.searchsorted(ids, sets[q])
         at = at[np.argsort(much[at], kind="stable")]
-        short, long_ = at[: m - need + 1], at[m - need + 1 :].tolist()
+        many = divided(need, int(much[at[-1]]), mu)
+        short, long_ = at[: m - many], at[m - many :].tolist()
         low = q + 1 if all_ask else int(np.searchsorted(size, -(-num * m // 100)))
         high = int(np.searchsorted(size, 100 * m // num, "right"))
         lists = []
@@ -218,7 +228,7 @@ def t_occurrence(sets: list[np.ndarray], comp: np.ndarray, ask: np.ndarray, num:
             x = x[np.searchsorted(x, low) : np.searchsorted(x, high)]
             x = x[parts.label[x] != parts.label[q]]
             lists.append((x if all_ask else x[(x > q) | ~ask[x]]).tolist())
-        found = list(merge_skip(lists, 1))
+        found = list(merge_skip(lists, need - many))
         if not found:
             continue
         c, o = np.array(found).T
