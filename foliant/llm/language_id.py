@@ -4,7 +4,10 @@ A known word scores its log frequency in each language.  A word the model has
 not kept falls back to its character n-grams of the longest length at which any
 of them is known, then to shorter ones.  Both tables are fitted on a sample of
 about SAMPLE training documents of each language and keep the WORDS and GRAMS most frequent
-entries of each language, so the broadcast model is bounded.
+entries of each language, fewer where the languages are so many that these would
+take over MODEL_BYTES.  An entry holds the languages that know it and their
+values only; the others have one default for each length.  So the model that is
+collected and broadcast is bounded, however many languages there are.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.llm.common import crc_mod, hash_sample, small_batches, table
+from foliant.llm.common import crc_mod, durable, hash_sample, release, small_batches, table
 from foliant.llm.pieces import Kept
 
 SAMPLE = 2_000
@@ -29,6 +32,8 @@ WORDS = 20_000
 GRAMS = 4_000
 LONGEST = 5
 SHARPNESS = 0.5
+#: Size of the model, at ENTRY_BYTES for an entry of one language with its place in the tables.
+MODEL_BYTES, ENTRY_BYTES = 256 << 20, 400
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -72,26 +77,48 @@ def train(docs: DataFrame, chosen: Column, sample: int = SAMPLE) -> dict:
     counts = counts.groupBy("lang", "size", "entry").agg(F.sum("n").alias("n"))
     w = W.partitionBy("lang", "size")
     counts = counts.withColumn("total", F.sum("n").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "entry")))
-    kept = counts.where(F.col("rank") <= F.when(F.col("size") == 0, WORDS).otherwise(GRAMS)).select("lang", "size", "entry", "n", "total").collect()
+    counts = durable(counts)
+    words, few_grams = quotas(counts.select("lang").distinct().count())
+    kept = counts.where(F.col("rank") <= F.when(F.col("size") == 0, words).otherwise(few_grams)).select("lang", "size", "entry", "n", "total").collect()
+    release(counts)
+    return model_of(kept)
+
+
+def quotas(langs: int, size: int = MODEL_BYTES) -> tuple[int, int]:
+    """Words, and n-grams of each length, that a language may keep."""
+    share = min(1.0, size / ENTRY_BYTES / max(langs, 1) / (WORDS + LONGEST * GRAMS))
+    return max(1, int(WORDS * share)), max(1, int(GRAMS * share))
+
+
+def model_of(kept: list) -> dict:
+    """The model of rows (lang, size, entry, n, total): langs, for each size the
+    default of every language, and tables of entries to (places of the languages
+    that know it, their values)."""
     langs = sorted({r["lang"] for r in kept})
     at = {x: i for i, x in enumerate(langs)}
     total = {(r["lang"], r["size"]): r["total"] for r in kept}
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+    default = [np.array([math.log(0.5 / (total.get((x, k), 0) + 1)) for x in langs]) for k in range(LONGEST + 1)]
+    held: list[dict[str, list]] = [{} for _ in range(LONGEST + 1)]
     for r in kept:
-        v = tables[r["size"]].get(r["entry"])
-        if v is None:
-            v = tables[r["size"]][r["entry"]] = np.array([math.log(0.5 / (total.get((x, r["size"]), 0) + 1)) for x in langs])
-        v[at[r["lang"]]] = math.log((r["n"] + 0.5) / (r["total"] + 1))
-    return {"langs": langs, "tables": tables}
+        held[r["size"]].setdefault(r["entry"], []).append((at[r["lang"]], math.log((r["n"] + 0.5) / (r["total"] + 1))))
+    tables = [{e: (np.array([i for i, _ in x], np.int32), np.array([v for _, v in x])) for e, x in t.items()} for t in held]
+    return {"langs": langs, "default": default, "tables": tables}
 
 
 def score_word(model: dict, word: str) -> np.ndarray:
     """Log score of a word in each language."""
-    tables = model["tables"]
-    if (v := tables[0].get(word)) is not None:
+
+    def values(n: int, entry: str) -> np.ndarray | None:
+        if (found := model["tables"][n].get(entry)) is None:
+            return None
+        out = model["default"][n].copy()
+        out[found[0]] = found[1]
+        return out
+
+    if (v := values(0, word)) is not None:
         return v
     for n in range(min(LONGEST, len(word) + 2), 0, -1):
-        known = [v for x in grams(word, n) if (v := tables[n].get(x)) is not None]
+        known = [v for x in grams(word, n) if (v := values(n, x)) is not None]
         if known:
             return np.mean(known, axis=0)
     return np.zeros(len(model["langs"]))
