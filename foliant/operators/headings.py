@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from foliant.functions.text import WS, numbered_cost, padded_id, solid_chars, trim
 from foliant.operators.segment import OPENING, WHOLE
+from foliant.operators.runs import Runs
 from foliant.operators.sequences import even_sample
 
 #: Number characters, the heading patterns, and the bits of the signals.
@@ -31,6 +32,7 @@ ENGLISH_SECTION = rf"(?i)^section{WS}+{ENGLISH_NUMBER}\b"
 SIGNALS = ("explicit_volume", "explicit_chapter", "explicit_section", "markdown", "bracketed", "special_heading", "numbered_short_line", "repeated_later", "likely_toc")
 STRONG_CAP, WEAK_CAP = 5_000, 1_200
 MAX_HEADING = 160
+LONGEST = 4 * MAX_HEADING + 32
 ROLES = ("front_matter", "volume", "chapter", "section", "back_matter", "toc")
 
 
@@ -97,14 +99,14 @@ def classify(paragraphs: DataFrame, text: str = "text") -> DataFrame:
     """P-02: the rows of ``paragraphs`` that may be headings, with normalized,
     level and signals.
 
-    Normalisation joins at most three characters to one, so texts of over three
-    times MAX_HEADING and some marks can't qualify and are dropped first, as are
-    texts in ASCII that start like no heading.  Only texts with other characters
+    Normalisation joins at most four characters to one, so texts of over LONGEST,
+    four times MAX_HEADING and some marks, can't qualify and are dropped first, as
+    are texts in ASCII that start like no heading.  Only texts with other characters
     are normalised; the others cross to Python as nulls.  A generator gives one
     row to what fits and none to the rest, so nothing is computed a second time
     for a filter.
     """
-    rows = paragraphs.where(solid_chars(F.col(text)) <= 3 * MAX_HEADING + 32).withColumn("_t", trim(F.col(text)))
+    rows = paragraphs.where(solid_chars(F.col(text)) <= LONGEST).withColumn("_t", trim(F.col(text)))
     rows = rows.where(F.col("_t").rlike(r"[^\x00-\x7f]") | F.col("_t").rlike(ASCII_START))
     rows = rows.withColumn("_u", nfkc(F.when(F.col("_t").rlike(r"[^\x00-\x7f]"), F.col("_t"))))
     fits = F.filter(F.array(let(unwrap(F.coalesce("_u", "_t")), _classified)), lambda x: x["fits"])
@@ -136,11 +138,15 @@ def sample(candidates: DataFrame, strong: int = STRONG_CAP, weak: int = WEAK_CAP
 
 
 def with_context(paragraphs: DataFrame) -> DataFrame:
-    """H-03, H-05: before and after, the 80-character heads of the neighbours,
-    and upto, the running cost of all paragraphs."""
-    w = W.partitionBy("novel_id").orderBy("n")
-    near = lambda f: F.coalesce(F.substring(f("text").over(w), 1, 80), F.lit(""))
-    return paragraphs.withColumns({"before": near(F.lag), "after": near(F.lead), "upto": F.sum(solid_chars(F.col("text"))).over(w.rowsBetween(W.unboundedPreceding, 0))})
+    """H-03, H-05: (novel_id, n, text, before, after, upto): before and after, the
+    80-character heads of the neighbours, and upto, the running cost of all
+    paragraphs.  Heads and numbers move, no texts but those short enough for a
+    heading; the text of the others is null."""
+    own, text = solid_chars(F.col("text")), F.col("text")
+    slim = paragraphs.select("novel_id", "n", F.when(own <= LONGEST, text).alias("text"), F.substring(text, 1, 80).alias("_head"), own.alias("_own"))
+    runs = Runs(slim, ["novel_id"], ["n"]).neighbours("_head", "before", "after").total("upto", F.col("_own"))
+    near = {c: F.coalesce(c, F.lit("")) for c in ("before", "after")}
+    return runs.table().withColumns(near).drop("_head", "_own")
 
 
 def gaps(candidates: DataFrame) -> DataFrame:
@@ -212,8 +218,8 @@ def materialize(bounds: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
 def cost_of_range(paragraphs: DataFrame, ranges: DataFrame) -> DataFrame:
     """J-05: numbered cost of inclusive ranges, by their ends' running totals."""
-    w = W.partitionBy("novel_id").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    run = paragraphs.select("novel_id", "n", F.sum(numbered_cost(F.col("text"), F.col("n")) + 1).over(w).alias("upto"), (numbered_cost(F.col("text"), F.col("n")) + 1).alias("own"))
+    costs = paragraphs.select("novel_id", "n", (numbered_cost(F.col("text"), F.col("n")) + 1).alias("own"))
+    run = Runs(costs, ["novel_id"], ["n"]).total("upto", F.col("own")).table()
     got = ranges.join(run.select("novel_id", F.col("n").alias("start"), (F.col("upto") - F.col("own")).alias("a")), ["novel_id", "start"])
     got = got.join(run.select("novel_id", F.col("n").alias("end"), F.col("upto").alias("b")), ["novel_id", "end"])
     return got.withColumn("cost", F.col("b") - F.col("a") - 1).drop("a", "b")

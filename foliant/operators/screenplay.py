@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import padded_id, trim
 from foliant.operators.relations import cooccurrence
+from foliant.operators.runs import Runs
 from foliant.sources.model import extract_json
 from foliant.sources.stage import staged
 
@@ -35,11 +36,11 @@ def label(code: Column, names: dict[str, str]) -> Column:
 def renumber(rows: DataFrame, group: str, within: list[str | Column]) -> DataFrame:
     """G-03, W-01: ``number`` from 1 over groups in order, then within them.
 
-    Only group sizes go through the global running sum; rows are numbered inside
-    their group.
+    Rows are numbered inside their group; the group sizes are summed in ranges of
+    groups and these by one row a range.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_before", F.sum("_n").over(W.orderBy(group)) - F.col("_n")).drop("_n")
+    sizes = Runs(rows.groupBy(group).agg(F.count("*").alias("_n")), [], [group]).total("_upto", F.col("_n")).table()
+    sizes = sizes.select(group, (F.col("_upto") - F.col("_n")).alias("_before"))
     k = F.row_number().over(W.partitionBy(group).orderBy(*within))
     return rows.withColumn("_k", k).join(sizes, group).withColumn("number", F.col("_before") + F.col("_k")).drop("_k", "_before")
 

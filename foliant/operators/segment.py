@@ -16,12 +16,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators.runs import Runs
 
 TARGET, OVERLAP = 25_000, 800
 MAX_CHARS, MAX_BYTES = 500_000, 10 * 1024 * 1024
 #: Lines that open a chapter, and the titles of what comes before the first and of a text without any.
 CHAPTER_LINE = rf"(?i)^(?:第[零〇一二三四五六七八九十百千万两\d]+[章回节卷部篇](?:$|(?:{T.WS}|[：:·、—\-]).*)|[零〇一二三四五六七八九十百千万两]{{1,8}}、{T.WS}*[^\s].*|(?:chapter|part){T.WS}+[\divxlcdm]+(?:$|(?:{T.WS}|[：:·、—\-]).*)|序章|序言|前言|楔子|尾声|后记|番外.*)$"
 OPENING, WHOLE = "开篇", "正文"
+#: The labels of a chunk's sections.
 BEFORE = "【重叠上文：只用于理解衔接，不重复提取事实】"
 CORE = "【核心文本：本次只对这个区间提取事实】"
 AFTER = "【重叠下文：只用于理解衔接，不重复提取事实】"
@@ -54,15 +56,13 @@ def is_chapter(text: Column) -> Column:
 
 def chapters(numbered: DataFrame, heading: Column | None = None) -> DataFrame:
     """C-04: (novel_id, idx, id, title, start, end, char_count) from a table of
-    paragraphs; ``heading`` says which of them open a chapter."""
+    paragraphs; ``heading`` says which of them open a chapter.  Costs and titles
+    move, the texts stay where they are."""
     opens = is_chapter(F.col("text")) if heading is None else heading
-    w = W.partitionBy("novel_id").orderBy("n")
-    rows = numbered.withColumn("opens", opens).withColumn("g", F.sum(F.col("opens").cast("int")).over(w))
-    any_ = F.max("opens").over(W.partitionBy("novel_id"))
-    rows = rows.withColumn("some", any_).withColumn("cost", T.numbered_cost(F.col("text"), F.col("n")))
-    by = rows.groupBy("novel_id", "g").agg(
-        F.min("n").alias("start"), F.max("n").alias("end"), (F.sum("cost") + F.count("*") - 1).alias("char_count"), F.min_by("text", "n").alias("first"), F.first("some").alias("some")
-    )
+    slim = numbered.select("novel_id", "n", opens.cast("int").alias("opens"), F.when(opens, F.col("text")).alias("title"), T.numbered_cost(F.col("text"), F.col("n")).alias("cost"))
+    rows = Runs(slim, ["novel_id"], ["n"]).total("g", F.col("opens")).table()
+    by = rows.groupBy("novel_id", "g").agg(F.min("n").alias("start"), F.max("n").alias("end"), (F.sum("cost") + F.count("*") - 1).alias("char_count"), F.min_by("title", "n").alias("first"))
+    by = by.withColumn("some", F.max(F.col("g") > 0).over(W.partitionBy("novel_id")))
     title = F.when(F.col("g") > 0, F.col("first")).when(F.col("some"), OPENING).otherwise(WHOLE)
     idx = F.row_number().over(W.partitionBy("novel_id").orderBy("g")) - 1
     return by.select("novel_id", idx.alias("idx"), T.padded_id("chapter_", idx + 1).alias("id"), title.alias("title"), "start", "end", "char_count")

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.operators.runs import Runs
+
 
 def budget_pick(items: DataFrame, key: list[str], order: str, size: str, budget: Column) -> DataFrame:
     """O-05: ``items`` with taken, whether they are among what still fits, in
@@ -59,8 +61,8 @@ def halved_blocks(items: DataFrame, key: list[str], order: str, size: str, most:
 def even_sample(rows: DataFrame, key: str, order: str, count: int) -> DataFrame:
     """O-07, H-02: the ``count`` evenly spaced rows of each key, the first for a
     count of 1; (key, order, k)."""
-    w = W.partitionBy(key)
-    r = rows.withColumn("k", (F.row_number().over(w.orderBy(order)) - 1).cast("long")).withColumn("total", F.count("*").over(w))
+    r = Runs(rows.select(key, order), [key], [order]).total("k", F.lit(1)).count("total").table()
+    r = r.withColumn("k", (F.col("k") - 1).cast("long"))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor(i * (F.col("total") - 1) / F.lit(float(max(count - 1, 1))) + 0.5))
     return r.where(F.array_contains(wanted, F.col("k"))).select(key, order, "k")
 

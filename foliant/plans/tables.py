@@ -237,12 +237,13 @@ def project_list_all(spark, sf_dir):
     return renumber(o, "age", [F.desc("o_orderdate"), "o_orderkey"]).select("o_orderkey", L("number", "pos"), state.alias("state"), F.round(F.col("o_totalprice") / 1000, 1).alias("k"))
 
 
-@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey")
+@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY o_custkey HAVING arg_max(o_orderstatus, (o_orderdate, o_orderkey)) <> 'P'")
 def project_latest_upsert(spark, sf_dir):
+    """S-05, I-08: the latest version of a customer's orders; one of status P is a
+    deletion, so a customer whose last version it is has none."""
     from foliant.sources.projects import latest
 
-    o = read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
-    return latest(o, "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", F.col("o_orderkey").alias("latest"))
+    return latest(read(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey").where("o_orderstatus <> 'P'").select("o_custkey", F.col("o_orderkey").alias("latest"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN p.k IS NOT NULL THEN 'edited' ELSE l_linestatus END AS status, coalesce(p.q, l_quantity) AS quantity FROM lineitem

@@ -137,7 +137,7 @@ def usage(raw: Column) -> dict[str, Column]:
 
 
 def error_kind(status: Column, raw: Column) -> Column:
-    """S-14: the first class whose rule fits."""
+    """S-14: the first class whose rule fits; the patterns are fixed values."""
     low = F.lower(raw)
     return (
         F.when(low.rlike("contentfilter|content_filter|sensitive|敏感|审核|不安全"), "filter")

@@ -232,3 +232,31 @@ def test_trees(spark):
     assert got == {i: inject(v, chapters) for i, v in docs}
     assert {r["rule"] for r in bad.collect()} == {"range_invalid", "range_crosses"}
     assert "chunk_unknown" in {r["rule"] for r in trees.with_chapters(df, ranges.where("chunk_id <> 'c1'"))[1].collect()}
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_runs_equal_windows(spark, partitions):
+    from pyspark.sql import Window as W
+
+    from foliant.operators.runs import Runs
+
+    rng = random.Random(partitions)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), i, rng.randint(0, 9), f"t{i}") for i in range(400)]
+    rows += [(f"k{i}", 1, 1, "x") for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, n int, v int, t string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = Runs(df, ["k"], ["n"]).total("upto", F.col("v")).count("all").neighbours("t", "b", "a").table()
+        assert got.columns == ["k", "n", "v", "t", "upto", "all", "b", "a"]
+        found = sorted(map(tuple, got.collect()), key=str)
+        whole = sorted(map(tuple, Runs(df, [], ["k", "n"]).total("upto", F.lit(1)).table().select("k", "n", "upto").collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    w = W.partitionBy("k").orderBy("n")
+    want = df.select("*", F.sum("v").over(w).alias("upto"), F.count("*").over(W.partitionBy("k")).alias("all"), F.lag("t").over(w).alias("b"), F.lead("t").over(w).alias("a"))
+    assert found == sorted(map(tuple, want.collect()), key=str)
+    assert whole == sorted(map(tuple, df.select("k", "n", F.row_number().over(W.orderBy("k", "n")).alias("upto")).collect()), key=str)
