@@ -91,10 +91,10 @@ def range_costs(spark, sf_dir):
     return H.cost_of_range(rows, b).select("novel_id", L("start", "first_n"), L("end", "last_n"), L("cost"))
 
 
-@fixture("""SELECT 'p' AS project, '[{"id":"a","name":"林夏","aliases":["小夏"],"description":"tall"},{"id":"b","name":"老王"}]' AS "cast" """)
+@fixture("""SELECT 'p' AS project, '[{"id":"a","name":"苏禾","aliases":["小禾"],"description":"tall"},{"id":"b","name":"老贺"}]' AS "cast" """)
 def prompt_cast(spark, sf_dir):
     """G-09, P-14."""
-    return S.cast_section(values(spark, "('p', 2, 'b', '老王', array(), ''), ('p', 1, 'a', '林夏', array('小夏'), 'tall')", "project, ord, id, name, aliases, description"))
+    return S.cast_section(values(spark, "('p', 2, 'b', '老贺', array(), ''), ('p', 1, 'a', '苏禾', array('小禾'), 'tall')", "project, ord, id, name, aliases, description"))
 
 
 @query("SELECT conv_id AS project, role AS batch, string_agg('【' || turn || '】' || chr(10) || text, chr(10) || chr(10) ORDER BY turn, text) AS section FROM conversations GROUP BY ALL")

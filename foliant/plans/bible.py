@@ -102,13 +102,13 @@ def conflict_order(spark, sf_dir):
 
 
 def bible(spark):
-    c = values(spark, "('n', 1, 'lin', '林夏', array('小 夏'), 'tall', NULL), ('n', 2, 'wang', '老王', array(), '', 'provisional'), ('n', 3, 'zhao', '赵', array(), '', NULL), ('n', 4, 'wu', '吴', array(), '', NULL)", "novel_id, ord, id, name, aliases, description, identity_status")
+    c = values(spark, "('n', 1, 'lin', '苏禾', array('小 禾'), 'tall', NULL), ('n', 2, 'wang', '老贺', array(), '', 'provisional'), ('n', 3, 'zhao', '赵', array(), '', NULL), ('n', 4, 'wu', '吴', array(), '', NULL)", "novel_id, ord, id, name, aliases, description, identity_status")
     f = values(spark, "('n', 1, 'f1', 'relationship', 'lin', 'knows', 'wang', 'source_fact', NULL, NULL), ('n', 2, 'f2', 'location', 'lin', 'p', 'x', 'source_fact', NULL, 'f1'), ('n', 3, 'f3', 'constraint', 'story', 'p', 'x', 'source_fact', NULL, NULL), ('n', 4, 'f4', 'location', 'wang', 'p', 'y', 'source_fact', NULL, NULL), ('n', 5, 'f5', 'location', 'zhao', 'p', 'y', 'source_fact', NULL, NULL), ('n', 6, 'f6', 'relationship', 'wang', 'knows', 'wu', 'source_fact', NULL, NULL), ('n', 7, 'f7', 'knowledge', 'zhao', 'p', 'z', 'uncertain', 'wu', NULL)", "novel_id, ord, id, kind, subject_id, predicate, value, status, perspective_id, superseded_by")
     t = spark.range(1, 51).select(F.lit("n").alias("novel_id"), F.col("id").cast("int").alias("ord"), F.format_string("e%02d", "id").alias("id"), F.lit("s").alias("summary"), F.array().cast("array<string>").alias("character_ids"))
     h = values(spark, "('n', 1, 't1', 'x', 'open'), ('n', 2, 't2', 'y', 'resolved'), ('n', 3, 't3', repeat('z', 200), 'open'), ('n', 4, 't4', 'w', 'open')", "novel_id, ord, id, summary, status")
     x = values(spark, "('n', 1, 'k1', 'd', 'open')", "novel_id, ord, id, description, status")
     b = values(spark, "('n', 'c2', 'zhao')", "novel_id, chunk_id, id")
-    return c, f, t, h, x, b, values(spark, "('n', 'c1', '小夏来了'), ('n', 'c2', '无人')", "novel_id, chunk_id, text")
+    return c, f, t, h, x, b, values(spark, "('n', 'c1', '小禾来了'), ('n', 'c2', '无人')", "novel_id, chunk_id, text")
 
 
 @fixture("SELECT * FROM (VALUES ('c1', 'f1'), ('c1', 'f3'), ('c1', 'f4'), ('c1', 'f6'), ('c1', 'f7'), ('c2', 'f3'), ('c2', 'f5'), ('c2', 'f7')) t(chunk_id, id)")
@@ -138,7 +138,7 @@ def snapshot_counts(spark, sf_dir):
     return P.snapshot_counts(P.snapshot(*bible(spark))).where("section in ('timelineIndex', 'recentTimeline')").select("chunk_id", "section", "taken", "omitted")
 
 
-DELTA = """('c1', '{"chunkId":"c1","processedRange":{"start":1,"end":10},"characters":[{"id":"lin","name":"林夏","aliases":[]},{"id":"wang","name":"王五","aliases":["a",1],"description":5,"identityStatus":"confirmed"},{"id":"x","name":" ","aliases":[]}],"newFacts":[{"id":"f","supersededByFactId":"g"}],"timelineEvents":[],"openedThreads":[],"resolvedThreads":[],"reportedConflicts":[{"description":""}],"resolvedConflicts":[],"boundaryState":{"characters":[],"objects":[],"openReferences":[{"text":"","candidateCharacterIds":["lin","ghost"]},{"text":"他","candidateCharacterIds":"x"}],"timeLabel":3,"location":"yard"}}'),
+DELTA = """('c1', '{"chunkId":"c1","processedRange":{"start":1,"end":10},"characters":[{"id":"lin","name":"苏禾","aliases":[]},{"id":"wang","name":"王五","aliases":["a",1],"description":5,"identityStatus":"confirmed"},{"id":"x","name":" ","aliases":[]}],"newFacts":[{"id":"f","supersededByFactId":"g"}],"timelineEvents":[],"openedThreads":[],"resolvedThreads":[],"reportedConflicts":[{"description":""}],"resolvedConflicts":[],"boundaryState":{"characters":[],"objects":[],"openReferences":[{"text":"","candidateCharacterIds":["lin","ghost"]},{"text":"他","candidateCharacterIds":"x"}],"timeLabel":3,"location":"yard"}}'),
 ('c2', '{"chunkId":"c9","processedRange":{"start":11,"end":19},"characters":[],"newFacts":{},"timelineEvents":[],"openedThreads":[],"resolvedThreads":[],"reportedConflicts":[],"resolvedConflicts":[]}'), ('c3', '[1]'), ('c4', 'no json')"""
 
 
@@ -151,7 +151,7 @@ def spans(spark) -> DataFrame:
 ('chunk_id', 'raw/c2/chunkId'), ('range', 'raw/c2/processedRange'), ('continuity', 'raw/c2/processedRange'), ('list_missing', 'raw/c2/newFacts'), ('boundary_missing', 'raw/c2/boundaryState'), ('root', 'raw/c3/'), ('invalid_json', 'raw/c4/')) t(rule, path)""")
 def delta_shapes(spark, sf_dir):
     """D-01 .. D-04, D-06 .. D-10, D-20, D-26, D-29, D-32, D-33, D-35."""
-    return R.delta_shapes(values(spark, DELTA, "chunk_id, raw"), spans(spark), values(spark, "('lin', '林 夏'), ('wang', '老王')", "id, name"))
+    return R.delta_shapes(values(spark, DELTA, "chunk_id, raw"), spans(spark), values(spark, "('lin', '苏 禾'), ('wang', '老贺')", "id, name"))
 
 
 @fixture("SELECT 'too_long' AS rule, 'raw/c1/' AS path UNION ALL SELECT 'boundary_size', 'raw/c1/boundaryState'")
@@ -159,7 +159,7 @@ def delta_sizes(spark, sf_dir):
     """D-29, D-34."""
     lists = ",".join(f'"{k}":[]' for k in R.DELTA_LISTS)
     raw = f"""('c1', concat('{{"chunkId":"c1","processedRange":{{"start":1,"end":10}},{lists},"boundaryState":{{"characters":[],"objects":[],"openReferences":[],"location":"', repeat('x', 200000), '"}}}}'))"""
-    return R.delta_shapes(values(spark, raw, "chunk_id, raw"), spans(spark), values(spark, "('lin', '林 夏')", "id, name"))
+    return R.delta_shapes(values(spark, raw, "chunk_id, raw"), spans(spark), values(spark, "('lin', '苏 禾')", "id, name"))
 
 
 @fixture("""SELECT * FROM (VALUES ('range', 'raw/c1/coreRange'), ('list_missing', 'raw/c1/facts'), ('character_name', 'raw/c1/characters[0].name'), ('server_field', 'raw/c2/facts[0].supersededByFactId'), ('scoped_twice', 'characters/c1/c1::a'), ('value_ambiguous', 'facts/c1/f1')) t(rule, path)""")
@@ -209,8 +209,8 @@ def screenplay_violations_more(spark, sf_dir):
 @fixture("SELECT * FROM (VALUES ('a', 'c', 0::BIGINT), ('a', 'x', 1), ('a', 'y', 1), ('b', 'x', 0)) t(project, id, degree)")
 def relation_nodes(spark, sf_dir):
     """G-06, I-04: characters without an edge are nodes too, and projects apart."""
-    c = values(spark, "('a', 0, 'x', '林夏', array()), ('a', 1, 'y', '老王', array()), ('a', 2, 'c', '赵', array()), ('b', 0, 'x', '林夏', array())", "project, ord, id, name, aliases")
-    e = values(spark, "('a', 1, 0, 'action', '林夏见老王', NULL), ('b', 1, 0, 'action', '林夏见老王', NULL)", "project, scene, pos, type, text, character")
+    c = values(spark, "('a', 0, 'x', '苏禾', array()), ('a', 1, 'y', '老贺', array()), ('a', 2, 'c', '赵', array()), ('b', 0, 'x', '苏禾', array())", "project, ord, id, name, aliases")
+    e = values(spark, "('a', 1, 0, 'action', '苏禾见老贺', NULL), ('b', 1, 0, 'action', '苏禾见老贺', NULL)", "project, scene, pos, type, text, character")
     return S.relation_nodes(e.withColumn("character", F.col("character").cast("string")), c)
 
 

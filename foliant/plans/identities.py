@@ -33,7 +33,7 @@ def object_rollup(spark, sf_dir):
     return objects(spark).select("id", *(F.array_join(c, ",").alias(c) for c in ("holders", "locations", "states")), "first")
 
 
-PEOPLE = "('n', 1, 'c1::a', '林夏', 3), ('n', 2, 'c1::b', '老王', 1), ('n', 3, 'c2::a', '林 夏', 9), ('n', 4, 'c3::b', '王伯', 12)"
+PEOPLE = "('n', 1, 'c1::a', '苏禾', 3), ('n', 2, 'c1::b', '老贺', 1), ('n', 3, 'c2::a', '苏 禾', 9), ('n', 4, 'c3::b', '贺伯', 12)"
 LINES = "('n', 1, 'c2::t', '失踪的信', 5)"
 
 
@@ -56,7 +56,7 @@ def candidate_paging(spark, sf_dir):
     return I.candidate_pages(rows).groupBy(F.col("page").cast("long").alias("page")).agg(F.count("*").alias("n"))
 
 
-PLANS = """('n', 0, '{"groups":[{"memberIds":["c1::a","c2::a"],"canonicalName":"林夏","aliases":[],"decision":"same"},{"memberIds":["c1::b","c3::b"],"canonicalName":"王","aliases":[],"decision":"uncertain"}],"objectGroups":[{"memberIds":["key"],"canonicalName":"钥匙","decision":"same"}],"threadGroups":[]}'),
+PLANS = """('n', 0, '{"groups":[{"memberIds":["c1::a","c2::a"],"canonicalName":"苏禾","aliases":[],"decision":"same"},{"memberIds":["c1::b","c3::b"],"canonicalName":"王","aliases":[],"decision":"uncertain"}],"objectGroups":[{"memberIds":["key"],"canonicalName":"钥匙","decision":"same"}],"threadGroups":[]}'),
 ('n', 1, '{"groups":[],"objectGroups":[{"memberIds":["box"],"canonicalName":"盒","decision":"same"}],"threadGroups":[{"memberIds":["c2::t"],"canonicalSummary":"那封信","decision":"same"}]}')"""
 PAGED = "('c1::a', 0), ('c1::b', 0), ('c2::a', 0), ('c3::b', 0), ('key', 0), ('box', 1), ('c2::t', 1)"
 
@@ -66,7 +66,7 @@ def planned(spark, pages: str = PAGED, plans: str = PLANS):
     return c, *I.parse_plan(values(spark, plans, "novel_id, page, raw"), c)
 
 
-@fixture("""SELECT * FROM (VALUES ('char', 'char_0001', '老王', 'uncertain', 'c1::b'), ('char', 'char_0002', '林夏', 'uncertain', 'c1::a,c2::a'), ('char', 'char_0003', '王伯', 'uncertain', 'c3::b'), ('object', 'object_0001', '盒', 'uncertain', 'box'), ('object', 'object_0002', '钥匙', 'uncertain', 'key'), ('thread', 'thread_0001', '那封信', 'uncertain', 'c2::t')) t(entity, canonical_id, name, decision, members)""")
+@fixture("""SELECT * FROM (VALUES ('char', 'char_0001', '老贺', 'uncertain', 'c1::b'), ('char', 'char_0002', '苏禾', 'uncertain', 'c1::a,c2::a'), ('char', 'char_0003', '贺伯', 'uncertain', 'c3::b'), ('object', 'object_0001', '盒', 'uncertain', 'box'), ('object', 'object_0002', '钥匙', 'uncertain', 'key'), ('thread', 'thread_0001', '那封信', 'uncertain', 'c2::t')) t(entity, canonical_id, name, decision, members)""")
 def page_merge(spark, sf_dir):
     """F-03, F-04, T11, T12: plans of two pages, numbered over both; no decision
     of a paged novel is certain."""
@@ -100,9 +100,9 @@ def evidence_snippets(spark, sf_dir):
     return I.evidence_snippets(values(spark, REFS, "novel_id, id, pos, start, end"), p, 43).select("id", "pos", "snippet")
 
 
-@fixture("SELECT * FROM (VALUES ('char_0001', '林夏', '小夏,阿夏', 'tall', 'confirmed'), ('char_0002', '老王', '', '', 'provisional')) t(canonical_id, name, aliases, description, status)")
+@fixture("SELECT * FROM (VALUES ('char_0001', '苏禾', '小禾,阿禾', 'tall', 'confirmed'), ('char_0002', '老贺', '', '', 'provisional')) t(canonical_id, name, aliases, description, status)")
 def character_build(spark, sf_dir):
-    m = values(spark, "('char_0001', '林夏', array('小夏'), '', 'same', 1), ('char_0001', '阿夏', array('林夏'), 'tall', 'same', 4), ('char_0002', '老王', NULL, '', 'uncertain', 2)", "canonical_id, name, aliases, description, decision, first")
+    m = values(spark, "('char_0001', '苏禾', array('小禾'), '', 'same', 1), ('char_0001', '阿禾', array('苏禾'), 'tall', 'same', 4), ('char_0002', '老贺', NULL, '', 'uncertain', 2)", "canonical_id, name, aliases, description, decision, first")
     c = I.build_characters(m)
     return c.select("canonical_id", "name", F.array_join("aliases", ",").alias("aliases"), F.coalesce("description", F.lit("")).alias("description"), "status")
 
@@ -118,8 +118,8 @@ def character_match(spark, sf_dir):
     """F-07: a known name again; another name under a known id; somebody's name
     under a new id; a name of nobody's; another primary name with a shared alias;
     an alias that is somebody else's; a name that came in this delta."""
-    known = values(spark, "('n', 1, 'a', '林夏', array('小夏')), ('n', 2, 'b', '老王', array())", "novel_id, ord, id, name, aliases")
-    rows = "('n', 1, 'a', '林 夏', array('夏夏')), ('n', 2, 'b', '赵', array()), ('n', 3, 'c', '老王', array()), ('n', 4, 'd', '新人', array('他')), ('n', 5, 'a', '阿夏', array('小夏')), ('n', 6, 'a', '林夏', array('新人')), ('n', 7, 'e', '某人', array('他', '新人'))"
+    known = values(spark, "('n', 1, 'a', '苏禾', array('小禾')), ('n', 2, 'b', '老贺', array())", "novel_id, ord, id, name, aliases")
+    rows = "('n', 1, 'a', '苏 禾', array('禾禾')), ('n', 2, 'b', '赵', array()), ('n', 3, 'c', '老贺', array()), ('n', 4, 'd', '新人', array('他')), ('n', 5, 'a', '阿禾', array('小禾')), ('n', 6, 'a', '苏禾', array('新人')), ('n', 7, 'e', '某人', array('他', '新人'))"
     return I.match_characters(values(spark, rows, "novel_id, ord, id, name, aliases"), known).select(F.col("ord").cast("int").alias("ord"), "id", "outcome")
 
 

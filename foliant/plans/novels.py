@@ -81,24 +81,24 @@ def heading_gaps(spark, sf_dir):
     return g.select("novel_id", L("n"), L("since"), L(F.coalesce("until", F.lit(-1)), "until"))
 
 
-HEADINGS = """(1, '# 第一章 雨夜'), (2, '【第一章】雨夜'), (3, '第一章雨夜'), (4, '第 一 章 雨夜'), (5, '第壹章 雨夜'), (6, '第廿一章 重逢'), (7, 'Chapter One Return'), (8, '卷一 风云'), (9, 'BOOK ONE'), (10, 'Prologue'), (11, '1. The Arrival'), (12, '他走了。'), (13, 'Section 2 x'), (14, '**第二章 清晨**')"""
+HEADINGS = """(1, '# 第一章 初雪'), (2, '【第一章】初雪'), (3, '第一章初雪'), (4, '第 一 章 初雪'), (5, '第壹章 初雪'), (6, '第廿一章 归途'), (7, 'Chapter One Harbour'), (8, '卷一 风云'), (9, 'BOOK ONE'), (10, 'Prologue'), (11, '1. The Lantern'), (12, '他走了。'), (13, 'Section 2 x'), (14, '**第二章 早市**')"""
 
 
-@fixture("""SELECT * FROM (VALUES (1, 'chapter', 'markdown,explicit_chapter', true, '第一章雨夜'), (2, 'chapter', 'bracketed,explicit_chapter', true, '第一章雨夜'), (3, 'chapter', 'explicit_chapter', true, '第一章雨夜'), (4, 'chapter', 'explicit_chapter', true, '第一章雨夜'),
-(5, 'chapter', 'explicit_chapter', true, '第壹章雨夜'), (6, 'chapter', 'explicit_chapter', true, '第廿一章重逢'), (7, 'chapter', 'explicit_chapter', true, 'chapteronereturn'), (8, 'volume', 'explicit_volume', true, '卷一风云'), (9, 'volume', 'explicit_volume', true, 'bookone'),
-(10, 'unknown', 'special_heading', true, 'prologue'), (11, 'unknown', 'numbered_short_line', false, '1.thearrival'), (13, 'section', 'explicit_section', true, 'section2x'), (14, 'chapter', 'explicit_chapter', true, '第二章清晨')) t(n, level, signals, strong, normalized)""")
+@fixture("""SELECT * FROM (VALUES (1, 'chapter', 'markdown,explicit_chapter', true, '第一章初雪'), (2, 'chapter', 'bracketed,explicit_chapter', true, '第一章初雪'), (3, 'chapter', 'explicit_chapter', true, '第一章初雪'), (4, 'chapter', 'explicit_chapter', true, '第一章初雪'),
+(5, 'chapter', 'explicit_chapter', true, '第壹章初雪'), (6, 'chapter', 'explicit_chapter', true, '第廿一章归途'), (7, 'chapter', 'explicit_chapter', true, 'chapteroneharbour'), (8, 'volume', 'explicit_volume', true, '卷一风云'), (9, 'volume', 'explicit_volume', true, 'bookone'),
+(10, 'unknown', 'special_heading', true, 'prologue'), (11, 'unknown', 'numbered_short_line', false, '1.thelantern'), (13, 'section', 'explicit_section', true, 'section2x'), (14, 'chapter', 'explicit_chapter', true, '第二章早市')) t(n, level, signals, strong, normalized)""")
 def heading_classify(spark, sf_dir):
     c = H.classify(values(spark, HEADINGS, "n, text"))
     return c.select("n", "level", F.array_join("signals", ",").alias("signals"), H.is_strong(F.col("signals")).alias("strong"), "normalized")
 
 
-@fixture("SELECT * FROM (VALUES ('第十二章 雨夜', true), ('第3回', true), ('一、渡口的船夫', true), ('序章', true), ('番外：旧事', true), ('Chapter 7 Return', true), ('1．行李：两件。', false), ('12. 他对河道的深浅十分熟悉。', false)) t(text, strict)")
+@fixture("SELECT * FROM (VALUES ('第十二章 初雪', true), ('第3回', true), ('一、山里的木匠', true), ('序章', true), ('番外：旧事', true), ('Chapter 7 Harbour', true), ('1．工具：三把。', false), ('12. 这条小路走了许多年。', false)) t(text, strict)")
 def heading_strict(spark, sf_dir):
-    t = values(spark, "('第十二章 雨夜'), ('第3回'), ('一、渡口的船夫'), ('序章'), ('番外：旧事'), ('Chapter 7 Return'), ('1．行李：两件。'), ('12. 他对河道的深浅十分熟悉。')", "text")
+    t = values(spark, "('第十二章 初雪'), ('第3回'), ('一、山里的木匠'), ('序章'), ('番外：旧事'), ('Chapter 7 Harbour'), ('1．工具：三把。'), ('12. 这条小路走了许多年。')", "text")
     return t.select("text", S.is_chapter(F.col("text")).alias("strict"))
 
 
-TOC = "('a', 1, '目录'), ('a', 2, '第一章 雨夜'), ('a', 3, '第二章 清晨'), ('a', 4, '出版说明'), ('a', 5, '第一章 雨夜'), ('a', 6, repeat('甲', 400)), ('a', 7, '第二章 清晨'), ('a', 8, repeat('乙', 400))"
+TOC = "('a', 1, '目录'), ('a', 2, '第一章 初雪'), ('a', 3, '第二章 早市'), ('a', 4, '书前的话'), ('a', 5, '第一章 初雪'), ('a', 6, repeat('甲', 400)), ('a', 7, '第二章 早市'), ('a', 8, repeat('乙', 400))"
 
 
 def toc(spark):
@@ -140,9 +140,9 @@ def primary_boundaries(spark, sf_dir):
     return H.boundaries(picks(spark))
 
 
-@fixture("SELECT * FROM (VALUES ('a', 0, 'chapter_001', '开篇', 1, 1), ('a', 1, 'chapter_002', '第一章 雨夜', 2, 3), ('a', 2, 'chapter_003', 'Chapter 2 The Door', 4, 5), ('b', 0, 'chapter_001', '正文', 1, 2)) t(novel_id, idx, id, title, first_n, last_n)")
+@fixture("SELECT * FROM (VALUES ('a', 0, 'chapter_001', '开篇', 1, 1), ('a', 1, 'chapter_002', '第一章 初雪', 2, 3), ('a', 2, 'chapter_003', 'Chapter 2 The Orchard', 4, 5), ('b', 0, 'chapter_001', '正文', 1, 2)) t(novel_id, idx, id, title, first_n, last_n)")
 def materialize_chapters(spark, sf_dir):
-    p = values(spark, "('a', 1, '版权说明'), ('a', 2, '第一章 雨夜'), ('a', 3, '第一章正文'), ('a', 4, 'Chapter 2 The Door'), ('a', 5, '第二章正文'), ('b', 1, '甲'), ('b', 2, '乙')", "novel_id, n, text")
+    p = values(spark, "('a', 1, '书名页'), ('a', 2, '第一章 初雪'), ('a', 3, '第一章正文'), ('a', 4, 'Chapter 2 The Orchard'), ('a', 5, '第二章正文'), ('b', 1, '甲'), ('b', 2, '乙')", "novel_id, n, text")
     b = p.where(S.is_chapter(F.col("text"))).select("novel_id", "n", F.col("text").alias("title"))
     return H.materialize(b, p).select("novel_id", "idx", "id", "title", F.col("start").alias("first_n"), F.col("end").alias("last_n"))
 
@@ -164,9 +164,9 @@ def uncertain_upgrade(spark, sf_dir):
     return values(spark, "('a', 'uncertain'), ('a', 'source_fact'), ('b', 'uncertain')", "k, s").groupBy("k").agg(K.upgrade_status(F.col("s")).alias("status"))
 
 
-@fixture("SELECT '小夏' AS name, 'char_lin,char_wu' AS ids")
+@fixture("SELECT '小禾' AS name, 'char_lin,char_wu' AS ids")
 def alias_collision(spark, sf_dir):
-    return K.alias_collisions(values(spark, "('char_lin', '林夏'), ('char_lin', '小 夏'), ('char_wu', '小夏'), ('char_wang', '老王'), ('char_wang', '老王')", "id, name"))
+    return K.alias_collisions(values(spark, "('char_lin', '苏禾'), ('char_lin', '小 禾'), ('char_wu', '小禾'), ('char_wang', '老贺'), ('char_wang', '老贺')", "id, name"))
 
 
 LOOSE = "('n', '钥匙', 'a', 8), ('n', '钥 匙', 'a', 5), ('n', '钥匙', 'a,b', 6), ('n', '那封信', '', 2), ('m', '他', '', 4)"
@@ -182,12 +182,12 @@ def open_reference_conflicts(spark, sf_dir):
 
 @fixture("""SELECT * FROM (VALUES (1::BIGINT, 'f1', 'new', 'f1'), (2, 'f2', 'replace', 'f2'), (3, 'f3', 'conflict', 'f2'), (4, 'f4', 'merge', 'f2'), (5, 'f1', 'conflict', 'f2'), (6, 'g1', 'new', 'g1'), (7, 'g2', 'merge', 'g1')) t(ord, id, outcome, active)""")
 def rolling_merge(spark, sf_dir):
-    d = values(spark, "('n', 1L, 'loc', 'f1', '东街', NULL), ('n', 2L, 'loc', 'f2', '旧码头', 'f1'), ('n', 3L, 'loc', 'f3', '北站', NULL), ('n', 4L, 'loc', 'f4', '旧码头', NULL), ('n', 5L, 'loc', 'f1', '北站', NULL), ('n', 6L, 'hold', 'g1', 'x', NULL), ('n', 7L, 'Hold', 'g2', ' X', NULL)", "novel_id, ord, key, id, value, supersedes")
+    d = values(spark, "('n', 1L, 'loc', 'f1', '南门', NULL), ('n', 2L, 'loc', 'f2', '磨坊', 'f1'), ('n', 3L, 'loc', 'f3', '西桥', NULL), ('n', 4L, 'loc', 'f4', '磨坊', NULL), ('n', 5L, 'loc', 'f1', '西桥', NULL), ('n', 6L, 'hold', 'g1', 'x', NULL), ('n', 7L, 'Hold', 'g2', ' X', NULL)", "novel_id, ord, key, id, value, supersedes")
     return K.roll_facts(d).select("ord", "id", "outcome", "active")
 
 
-CAST = "(0, 'char_wang', '王志强', array('老王', '王先生')), (1, 'char_lin', '林夏', array('小夏'))"
-ACTS = """(1, 0, 'action', '林夏推门，老王抬头。', NULL, NULL, NULL), (1, 1, 'dialogue', NULL, 'char_lin', '好久不见。', 'in_scene'), (2, 0, 'dialogue', NULL, 'char_lin', '有些话。', 'voiceover'), (2, 1, 'dialogue', NULL, 'ghost', '谁？', 'shout'), (3, 0, 'transition', ' ', NULL, NULL, NULL)"""
+CAST = "(0, 'char_wang', '贺远川', array('老贺', '贺先生')), (1, 'char_lin', '苏禾', array('小禾'))"
+ACTS = """(1, 0, 'action', '苏禾推门，老贺抬头。', NULL, NULL, NULL), (1, 1, 'dialogue', NULL, 'char_lin', '好久不见。', 'in_scene'), (2, 0, 'dialogue', NULL, 'char_lin', '有些话。', 'voiceover'), (2, 1, 'dialogue', NULL, 'ghost', '谁？', 'shout'), (3, 0, 'transition', ' ', NULL, NULL, NULL)"""
 
 
 def cast(spark):
@@ -215,11 +215,11 @@ def screenplay_violations(spark, sf_dir):
     return P.violations(values(spark, "('  ')", "title"), cast(spark), scenes, acts(spark), values(spark, "(0, 's1'), (1, 's9')", "pos, scene_id")).drop("project")
 
 
-@fixture("SELECT 'p' AS project, '重逢' || chr(10) || chr(10) || '第1场　日　内　屋' || chr(10) || '△ 林夏推门。' || chr(10) || '林夏（迟疑地）：好久不见。' || chr(10) || chr(10) || '第2场　正午　外　街' || chr(10) || '林夏（画外）：有些话。' || chr(10) || '林夏（同时）：你' || chr(10) || 'x（同时）：我' || chr(10) || '切至' || chr(10) AS text")
+@fixture("SELECT 'p' AS project, '归途' || chr(10) || chr(10) || '第1场　日　内　屋' || chr(10) || '△ 苏禾推门。' || chr(10) || '苏禾（迟疑地）：好久不见。' || chr(10) || chr(10) || '第2场　正午　外　街' || chr(10) || '苏禾（画外）：有些话。' || chr(10) || '苏禾（同时）：你' || chr(10) || 'x（同时）：我' || chr(10) || '切至' || chr(10) AS text")
 def render_cn(spark, sf_dir):
-    e = values(spark, "('p', 1, 0, 0, 'action', '林夏推门。', NULL, NULL, NULL, NULL), ('p', 1, 1, 0, 'dialogue', NULL, 'l', 'in_scene', '迟疑地', '好久不见。'), ('p', 2, 0, 0, 'dialogue', NULL, 'l', 'voiceover', NULL, '有些话。'), ('p', 2, 1, 0, 'dual_dialogue', NULL, 'l', NULL, NULL, '你'), ('p', 2, 1, 1, 'dual_dialogue', NULL, 'x', NULL, NULL, '我'), ('p', 2, 2, 0, 'transition', '切至', NULL, NULL, NULL, NULL)", "project, scene, pos, line_pos, type, text, character, mode, parenthetical, line")
+    e = values(spark, "('p', 1, 0, 0, 'action', '苏禾推门。', NULL, NULL, NULL, NULL), ('p', 1, 1, 0, 'dialogue', NULL, 'l', 'in_scene', '迟疑地', '好久不见。'), ('p', 2, 0, 0, 'dialogue', NULL, 'l', 'voiceover', NULL, '有些话。'), ('p', 2, 1, 0, 'dual_dialogue', NULL, 'l', NULL, NULL, '你'), ('p', 2, 1, 1, 'dual_dialogue', NULL, 'x', NULL, NULL, '我'), ('p', 2, 2, 0, 'transition', '切至', NULL, NULL, NULL, NULL)", "project, scene, pos, line_pos, type, text, character, mode, parenthetical, line")
     s = values(spark, "('p', 1, 1, 'INT', '屋', 'DAY'), ('p', 2, 2, 'EXT', '街', '正午')", "project, scene, number, setting, location, time")
-    return P.render(values(spark, "('p', '重逢')", "project, title"), values(spark, "('p', 'l', '林夏')", "project, id, name"), s, e)
+    return P.render(values(spark, "('p', '归途')", "project, title"), values(spark, "('p', 'l', '苏禾')", "project, id, name"), s, e)
 
 
 @fixture("SELECT * FROM (VALUES (1, 10::BIGINT, 5::BIGINT, 15::BIGINT), (2, 7, 3, 10), (3, 1, 2, 9), (4, -1, -1, -1)) t(id, input, output, total)")
@@ -234,9 +234,9 @@ def error_class(spark, sf_dir):
     return r.select("status", M.error_kind(F.col("status"), F.col("raw")).alias("kind"))
 
 
-@fixture("""SELECT * FROM (VALUES (1, '{"a":1}'), (2, '{"name":"林夏","ok":true}'), (3, '{"a":{"b":{"c":1}},"d":2}'), (4, '{"s":"a}b"}'), (5, 'none')) t(id, json)""")
+@fixture("""SELECT * FROM (VALUES (1, '{"a":1}'), (2, '{"name":"苏禾","ok":true}'), (3, '{"a":{"b":{"c":1}},"d":2}'), (4, '{"s":"a}b"}'), (5, 'none')) t(id, json)""")
 def json_safe_parse(spark, sf_dir):
-    r = values(spark, """(1, concat('```json', chr(10), '{"a":1}', chr(10), '```')), (2, 'so {"name":"林夏","ok":true} ok'), (3, 'x {"a":{"b":{"c":1}},"d":2} y'), (4, '{"s":"a}b"} tail}'), (5, ' none ')""", "id, raw")
+    r = values(spark, """(1, concat('```json', chr(10), '{"a":1}', chr(10), '```')), (2, 'so {"name":"苏禾","ok":true} ok'), (3, 'x {"a":{"b":{"c":1}},"d":2} y'), (4, '{"s":"a}b"} tail}'), (5, ' none ')""", "id, raw")
     return r.select("id", M.extract_json(F.col("raw")).alias("json"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from foliant.operators import relations as R
 from foliant.operators import segment as S
 from foliant.operators.repair import changed_terms
 from foliant.operators.sequences import first_middle_last
-from foliant.plans.base import oracle, query, read
+from foliant.plans.base import derived, oracle, query, read
 
 L = lambda c, a=None: (F.col(c) if isinstance(c, str) else c).cast("long").alias(a or c)
 
@@ -339,4 +341,35 @@ def summary_counts(spark, sf_dir):
     return read(spark, sf_dir, "orders").agg(F.lit("orders").alias("what"), F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"), F.min("o_orderpriority").alias("first_priority"), L(mask, "mask"))
 
 
+STORED = "SELECT 'p' || o_custkey AS id, CAST(o_orderkey AS STRING) AS title, o_orderstatus AS novel, CAST(o_orderdate AS TIMESTAMP) AS created_at, CAST(o_orderdate AS TIMESTAMP) AS updated_at, o_orderkey % 10 AS part, o_custkey % 7 AS gone FROM orders"
+
+
+@query(f"""WITH s AS ({STORED}), v AS (SELECT id, part, arg_max(title, (updated_at, title)) AS title FROM s GROUP BY id, part), d AS (SELECT DISTINCT id FROM s WHERE gone = 3),
+k AS (SELECT id, arg_max(title, part) AS title FROM v WHERE part > 6 OR id NOT IN (SELECT id FROM d) GROUP BY id) SELECT id, title FROM k WHERE id LIKE 'p1%'""")
+def project_store(spark, sf_dir):
+    """S-05, I-08: orders put in ten parts, a seventh of the customers deleted in
+    between, read by prefix: the last version of what is there."""
+    from foliant.sources.projects import ProjectStore
+    from foliant.sources.stage import shared_dir
+
+    store = ProjectStore(spark, f"{shared_dir(spark)}/foliant-{uuid.uuid4().hex}")
+    rows = derived(spark, sf_dir, STORED)
+    for part in range(10):
+        store.put(rows.where(F.col("part") == part))
+        if part == 6:
+            store.delete(rows.where("gone = 3").select("id").distinct())
+    return store.scan("p1").select("id", "title")
+
+
+@query(rf"""SELECT md5(coalesce(text, '')) AS digest, CASE WHEN doc_id % 3 = 0 AND source IS NOT NULL THEN source ELSE coalesce(substr(list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: regexp_replace(x, '^{T.WS}+|{T.WS}+$', '', 'g')), lambda x: length(x) > 0)[1], 1, 20), '未命名改编') END AS title, true AS stamped FROM documents""")
+def new_project_rows(spark, sf_dir):
+    """S-17: projects of all documents, a third of them under a title given."""
+    from foliant.sources.projects import new_projects
+
+    d = read(spark, sf_dir, "documents", "doc_id", "text", "source").select("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), "source", F.lit(" "))).alias("given"))
+    p = new_projects(d, "text", "given")
+    stamped = (F.length("id") == 36) & (F.col("created_at") == F.col("updated_at"))
+    return p.select(F.md5(F.coalesce("novel", F.lit("")).cast("binary")).alias("digest"), "title", stamped.alias("stamped"))
+
+
 QUERIES, ORACLES = oracle(__name__)

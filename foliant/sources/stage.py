@@ -4,6 +4,7 @@ for each table made from it."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,3 +29,38 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/foliant-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def get_json(spark: SparkSession, path: str):
+    """The value of a small JSON file of any store that Spark reaches, None where
+    there is no such file."""
+    where, fs = _place(spark, path)
+    if not fs.exists(where):
+        return None
+    got = fs.open(where)
+    try:
+        return json.loads(bytes(got.readAllBytes()).decode())
+    finally:
+        got.close()
+
+
+def put_json(spark: SparkSession, path: str, value) -> None:
+    """Writes a small JSON file under another name and renames it, so that it is
+    there whole or not at all."""
+    where, fs = _place(spark, path)
+    part, _ = _place(spark, f"{path}.new")
+    out = fs.create(part, True)
+    out.write(json.dumps(value).encode())
+    out.close()
+    fs.delete(where, False)
+    fs.rename(part, where)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    where, fs = _place(spark, path)
+    fs.delete(where, True)

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from foliant.operators.knowledge import normal
 from foliant.operators.rolling_scan import after
+from foliant.sources.stage import get_json, put_json
 
 OUTCOME = "novel_id string, ord long, key string, id string, outcome string, active string"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -86,28 +87,11 @@ class Run:
         elif have["identity"] != identity:
             raise ValueError("the run in this folder belongs to another source or configuration")
 
-    def _place(self, name: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_run/{name}.json")
-        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def _read(self, name: str) -> dict | None:
-        where, fs = self._place(name)
-        if not fs.exists(where):
-            return None
-        got = fs.open(where)
-        try:
-            return json.loads(bytes(got.readAllBytes()).decode())
-        finally:
-            got.close()
+        return get_json(self.spark, f"{self.path}/_run/{name}.json")
 
     def _write(self, name: str, value: dict) -> None:
-        where, fs = self._place(name)
-        part, _ = self._place(f".{name}")
-        out = fs.create(part, True)
-        out.write(json.dumps(value).encode())
-        out.close()
-        fs.delete(where, False)
-        fs.rename(part, where)
+        put_json(self.spark, f"{self.path}/_run/{name}.json", value)
 
     def durable(self) -> tuple[int, dict | None]:
         """(number, boundary) of the last committed trigger."""

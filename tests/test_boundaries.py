@@ -167,3 +167,28 @@ def test_observed_counts_are_those_of_the_rows_made(spark):
     rows, seen = observed(spark.range(1000).where("id % 3 = 0"), "third", n=F.count("*"), top=F.max("id"))
     made = rows.where("id < 500").collect()
     assert len(made) == 167 and seen.get == {"n": 334, "top": 999}
+
+
+def test_store_merges_and_prunes(spark, tmp_path):
+    from foliant.sources.projects import ProjectStore
+
+    store, want, rng = ProjectStore(spark, str(tmp_path / "s"), group_bytes=1 << 16), {}, random.Random(5)
+    store.FAN = 4
+    touched = []
+    for k in range(24):
+        ids = sorted({f"p{rng.randrange(300):03d}" for _ in range(12)})
+        if k % 5 == 4:
+            store.delete(spark.createDataFrame([(i,) for i in ids], "id string"))
+            want = {i: t for i, t in want.items() if i not in ids}
+        else:
+            rows = [(i, f"{i}/{k}", "n") for i in ids]
+            store.put(spark.createDataFrame(rows, "id string, title string, novel string").selectExpr("*", "timestamp'2024-01-01' AS created_at", f"timestamp'2024-01-01' - interval {k} days AS updated_at"))
+            want |= {i: t for i, t, _ in rows}
+        touched.append(len(store.runs_of("p150", "p150")))
+    assert {r["id"]: r["title"] for r in store.scan().collect()} == want
+    assert {r["id"] for r in store.scan("p1").collect()} == {i for i in want if i.startswith("p1")} and store.scan("q").count() == 0
+    some = next(iter(want))
+    assert store.get(some).first()["title"] == want[some] and store.get("p9999").count() == 0
+    assert max(touched) <= 3 * 3 and len(store._manifest()["runs"]) <= 9
+    plan = store.get(some)._jdf.queryExecution().executedPlan().toString()
+    assert f"EqualTo(id,{some})" in plan and "StringStartsWith(id,p1)" in store.scan("p1")._jdf.queryExecution().executedPlan().toString()

@@ -35,17 +35,17 @@ def test_hints_cut_a_long_chapter(spark):
 
 
 def test_headings(spark):
-    yes = ["第十二章 雨夜", "第3回", "一、渡口的船夫", "序章", "番外：旧事", "Chapter 7 Return"]
-    no = ["1．行李：两件。", "5．天气：有雾，午后转晴", "12. 他对河道的深浅十分熟悉。", "第一章" + "长" * 90]
+    yes = ["第十二章 初雪", "第3回", "一、山里的木匠", "序章", "番外：旧事", "Chapter 7 Harbour"]
+    no = ["1．工具：三把。", "5．天气：有雾，午后转晴", "12. 这条小路走了许多年。", "第一章" + "长" * 90]
     rows = spark.createDataFrame([(t,) for t in yes + no], "text string").select("text", S.is_chapter(F.col("text")).alias("c")).collect()
     assert {r["text"]: r["c"] for r in rows} == {**dict.fromkeys(yes, True), **dict.fromkeys(no, False)}
 
 
 def test_chapters(spark):
-    lines = ["版权说明", "第一章 雨夜", "第一章正文", "Chapter 2 The Door", "第二章正文"]
+    lines = ["书名页", "第一章 初雪", "第一章正文", "Chapter 2 The Orchard", "第二章正文"]
     df = spark.createDataFrame([("a", i + 1, t) for i, t in enumerate(lines)] + [("b", 1, "甲"), ("b", 2, "乙")], "novel_id string, n int, text string")
     got = [(r["novel_id"], r["title"], r["start"], r["end"]) for r in S.chapters(df).orderBy("novel_id", "idx").collect()]
-    assert got == [("a", "开篇", 1, 1), ("a", "第一章 雨夜", 2, 3), ("a", "Chapter 2 The Door", 4, 5), ("b", "正文", 1, 2)]
+    assert got == [("a", "开篇", 1, 1), ("a", "第一章 初雪", 2, 3), ("a", "Chapter 2 The Orchard", 4, 5), ("b", "正文", 1, 2)]
 
 
 @pytest.mark.parametrize("target,overlap", [(127, 23), (1000, 0), (300, 100)])

@@ -29,9 +29,9 @@ def test_text_and_docx(spark, tmp_path):
 
 
 def test_yaml_round_trip(spark):
-    df = spark.createDataFrame([("a", '{"b": 1, "a": ["林夏", null]}')], "id string, j string")
+    df = spark.createDataFrame([("a", '{"b": 1, "a": ["苏禾", null]}')], "id string, j string")
     back = files.from_yaml(files.to_yaml(df, "id", "j"), "id", "yaml").first()["json"]
-    assert back == '{"b": 1, "a": ["林夏", null]}'
+    assert back == '{"b": 1, "a": ["苏禾", null]}'
     assert files.from_yaml(spark.createDataFrame([("a", "a: [")], "id string, y string"), "id", "y").first()["json"] is None
 
 
