@@ -2,14 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of needles that one search holds at once.
 SHARD_CHARS = 2_000_000
+#: Longest anchor of a needle, in bytes.
+ANCHOR = 64
+_CODE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _doubled(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of windows of twice the width."""
+    x = h[:-width] * _MULTIPLIER + h[width:]
+    return (x ^ (x >> np.uint64(29))) * _MULTIPLIER
+
+
+class Search:
+    """All of many needles at once in a text.  A needle is looked for by its
+    anchor, its first 1, 2, 4 .. ANCHOR bytes, as many as it has.  The hashes of
+    all windows of a text come from those of half the width, for the whole text at
+    once; where one is an anchor's, its needles are compared with the text."""
+
+    def __init__(self, needles: list[str]) -> None:
+        self.always = [n for n in needles if not n]  # '' is in every text
+        by: dict[int, dict[int, list[tuple[bytes, str]]]] = {}
+        for n in needles:
+            raw = n.encode()
+            if raw:
+                width = min(ANCHOR, 1 << (len(raw).bit_length() - 1))
+                by.setdefault(width, {}).setdefault(int(self._hash(raw[:width])), []).append((raw, n))
+        self.held = by
+        self.known = {w: np.array(sorted(x), np.uint64) for w, x in by.items()}
+        self.likely = {}
+        for w, h in self.known.items():
+            self.likely[w] = np.zeros(1 << 16, bool)
+            self.likely[w][h & np.uint64(0xFFFF)] = True
+
+    @staticmethod
+    def _hash(raw: bytes) -> np.uint64:
+        h, width = _CODE[np.frombuffer(raw, np.uint8)], 1
+        while len(h) > 1:
+            h, width = _doubled(h, width), width * 2
+        return h[0]
+
+    def find(self, text: str) -> list[str]:
+        """The needles in a text, each once, in order."""
+        raw = text.encode()
+        out = set(self.always)
+        h, width = _CODE[np.frombuffer(raw, np.uint8)], 1
+        while len(h) and width <= ANCHOR:
+            if width in self.known:
+                at = np.flatnonzero(self.likely[width][h & np.uint64(0xFFFF)])
+                found = np.searchsorted(self.known[width], h[at])
+                at = at[self.known[width][np.minimum(found, len(self.known[width]) - 1)] == h[at]]
+                for i in at.tolist():
+                    out.update(n for b, n in self.held[width][int(h[i])] if n not in out and raw.startswith(b, i))
+            h, width = _doubled(h, width) if len(h) > width else h[:0], width * 2
+        return sorted(out)
 
 
 def _finder(held):
@@ -17,18 +73,10 @@ def _finder(held):
     pass over a text with all needles at once; ``held`` is their broadcast."""
 
     @F.pandas_udf("array<string>")
-    def find(col: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        search = ahocorasick.Automaton()
-        always = [n for n in held.value if not n]  # '' is in every text
-        for n in held.value:
-            if n:
-                search.add_word(n, n)
-        if not len(search):
-            return col.map(lambda t: None if t is None else always)
-        search.make_automaton()
-        return col.map(lambda t: None if t is None else [*always, *sorted({n for _, n in search.iter(t)})])
+    def find(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        search = Search(held.value)
+        for col in frames:
+            yield col.map(lambda t: None if t is None else search.find(t))
 
     return find
 

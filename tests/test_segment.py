@@ -109,3 +109,19 @@ def test_empty_and_null(spark):
 def test_greedy_bins(spark):
     df = spark.createDataFrame([([1000] * 4,), ([4000, 500],), ([],)], "s array<int>")
     assert [r[0] for r in df.select(S.greedy_bins(F.col("s"), 2500)).collect()] == [[0, 0, 1, 1], [0, 1], []]
+
+
+def test_search_of_many_needles():
+    import random
+
+    from foliant.operators.relations import Search
+
+    rng = random.Random(1)
+    letters = "ab é漢😀"
+    word = lambda a, b: "".join(rng.choice(letters) for _ in range(rng.randint(a, b)))
+    for _ in range(60):
+        texts = [word(0, 400) for _ in range(6)]
+        needles = list({*(word(0, 5) for _ in range(30)), *(t[i : i + n] for t in texts for i, n in ((3, 20), (9, 70), (0, 130), (50, 400)))})
+        search = Search(needles)
+        assert [search.find(t) for t in texts] == [sorted(n for n in needles if n in t) for t in texts]
+    assert Search([]).find("x") == [] and Search(["a"]).find("") == []
