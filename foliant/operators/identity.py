@@ -102,7 +102,7 @@ def candidate_pages(candidates: DataFrame, order: str = "ord", size: str = "size
     """O-09, F-03: ``candidates`` with page, from 0 within a novel: blocks of
     ``most`` in order, and a block of over ``chars`` characters is halved until
     its parts fit."""
-    from foliant.operators.sequences import halved_blocks
+    from foliant.operators.paging import halved_blocks
 
     return halved_blocks(candidates, ["novel_id"], order, size, most, chars, "page")
 

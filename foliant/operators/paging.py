@@ -43,6 +43,47 @@ class Pages:
         yield row["key"], row["item"], self.page, self.rows, self.used
 
 
+class BudgetPick:
+    """O-05: whether each row is among what still fits its key's budget."""
+
+    def __init__(self) -> None:
+        self.used = 0
+
+    def eval(self, row):
+        fits = self.used + (row["size"] or 0) <= row["top"]
+        self.used += (row["size"] or 0) if fits else 0
+        yield row["key"], row["item"], fits
+
+
+class HalvedBlocks:
+    """O-09: numbers blocks of at most ``most`` rows, halving those that are too
+    long; a block is all that is held."""
+
+    def __init__(self) -> None:
+        self.number, self.held = 0, []
+
+    def eval(self, row, most: int, chars: int):
+        self.held.append((row["key"], row["item"], row["size"] or 0))
+        self.chars = chars
+        if len(self.held) == most:
+            yield from self._dealt(self.held)
+            self.held = []
+
+    def terminate(self):
+        if self.held:
+            yield from self._dealt(self.held)
+
+    def _dealt(self, rows: list):
+        if len(rows) > 1 and sum(s for _, _, s in rows) > self.chars:
+            middle = -(-len(rows) // 2)
+            yield from self._dealt(rows[:middle])
+            yield from self._dealt(rows[middle:])
+            return
+        for key, item, _ in rows:
+            yield key, item, self.number
+        self.number += 1
+
+
 def _kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
@@ -64,3 +105,33 @@ def pages(items: DataFrame, key: str, order: str, size: Column, most: int, chars
     deal = F.udtf(Pages, returnType=f"key {_kind(rows, 'key')}, item {_kind(rows, 'item')}, page long, row long, used long")
     got = deal(rows.asTable().partitionBy("key").orderBy("item"), F.lit(most), F.lit(chars))
     return got.select(F.col("key").alias(key), F.col("item").alias(order), "page", "row", "used")
+
+
+def _keyed(items: DataFrame, key: list[str], order: str, *more: Column) -> DataFrame:
+    return items.select(F.struct(*key).alias("key"), F.col(order).alias("item"), *more)
+
+
+def _back(items: DataFrame, got: DataFrame, key: list[str], order: str, name: str) -> DataFrame:
+    """``items`` with what a table function said of each."""
+    flags = got.select(*(F.col(f"key.{k}").alias(f"_{k}") for k in key), F.col("item").alias("_item"), name)
+    on = F.col(order) == F.col("_item")
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return items.join(flags, on).drop("_item", *(f"_{k}" for k in key))
+
+
+def budget_pick(items: DataFrame, key: list[str], order: str, size: str, budget: Column) -> DataFrame:
+    """O-05: ``items`` with taken, whether they are among what still fits, in
+    order, into a key's ``budget``."""
+    rows = _keyed(items, key, order, F.col(size).cast("long").alias("size"), budget.cast("long").alias("top"))
+    pick = F.udtf(BudgetPick, returnType=f"key {_kind(rows, 'key')}, item {_kind(rows, 'item')}, taken boolean")
+    return _back(items, pick(rows.asTable().partitionBy("key").orderBy("item")), key, order, "taken")
+
+
+def halved_blocks(items: DataFrame, key: list[str], order: str, size: str, most: int, chars: int, name: str) -> DataFrame:
+    """O-09: ``items`` with the number of their block within a key, from 0:
+    ``most`` at a time in order, and a block of over ``chars`` characters is
+    halved, the first half the longer one, until its parts fit or stand alone."""
+    rows = _keyed(items, key, order, F.col(size).cast("long").alias("size"))
+    deal = F.udtf(HalvedBlocks, returnType=f"key {_kind(rows, 'key')}, item {_kind(rows, 'item')}, `{name}` int")
+    return _back(items, deal(rows.asTable().partitionBy("key").orderBy("item"), F.lit(most), F.lit(chars)), key, order, name)

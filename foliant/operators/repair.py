@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.functions.text import canonical_predicate, fact_key, norm_text
 from foliant.operators.knowledge import conflict_ids
-from foliant.operators.sequences import budget_pick, halved_blocks
+from foliant.operators.paging import budget_pick, halved_blocks
 
 BATCH_ISSUES, BATCH_CHARS = 40, 120_000
 #: Entity and boundary field, and the predicate of the facts that speak of it.

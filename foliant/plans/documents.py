@@ -163,6 +163,30 @@ def snapshot_budget_take(spark, sf_dir):
     return budget_take(d, "source", "doc_id", "size", 20000)
 
 
+@query(r"""WITH RECURSIVE s AS (SELECT doc_id, length(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, source FROM documents),
+take(source, doc_id, k, used, took) AS (SELECT source, doc_id, k, CASE WHEN size <= 9000 THEN size ELSE 0 END, size <= 9000 FROM s WHERE k = 1
+  UNION ALL SELECT s.source, s.doc_id, s.k, CASE WHEN t.used + s.size <= 9000 THEN t.used + s.size ELSE t.used END, t.used + s.size <= 9000 FROM take t JOIN s ON s.source IS NOT DISTINCT FROM t.source AND s.k = t.k + 1)
+SELECT source, doc_id, took AS taken FROM take""")
+def snapshot_budget_pick(spark, sf_dir):
+    """O-05, E-04: which documents of a source fit, one by one."""
+    from foliant.operators.paging import budget_pick
+
+    d = read(spark, sf_dir, "documents", "doc_id", "text", "source").select("source", "doc_id", F.length("text").alias("size"))
+    return budget_pick(d, ["source"], "doc_id", "size", F.lit(9000)).select("source", "doc_id", "taken")
+
+
+@query(r"""WITH s AS (SELECT source, doc_id, length(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents),
+b AS (SELECT *, k // 4 AS blk, k % 4 AS i, count(*) OVER (PARTITION BY source, k // 4) AS n, sum(size) OVER (PARTITION BY source, k // 4) AS total FROM s),
+h AS (SELECT *, CASE WHEN i < (n + 1) // 2 THEN 0 ELSE 1 END AS half FROM b), g AS (SELECT *, sum(size) OVER (PARTITION BY source, blk, half) AS part FROM h)
+SELECT source, doc_id, (dense_rank() OVER (PARTITION BY source ORDER BY blk, CASE WHEN total > 6000 THEN half ELSE 0 END, CASE WHEN total > 6000 AND part > 6000 THEN i ELSE 0 END) - 1)::BIGINT AS block FROM g""")
+def halved_document_blocks(spark, sf_dir):
+    """O-09, F-17: blocks of four documents of a source, halved where too long."""
+    from foliant.operators.paging import halved_blocks
+
+    d = read(spark, sf_dir, "documents", "doc_id", "text", "source").select("source", "doc_id", F.length("text").alias("size"))
+    return halved_blocks(d, ["source"], "doc_id", "size", 4, 6000, "block").select("source", "doc_id", F.col("block").cast("long").alias("block"))
+
+
 @query(r"""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS total FROM documents),
 o AS (SELECT DISTINCT total, floor(i * (total - 1) / 6.0 + 0.5)::BIGINT AS k FROM (SELECT DISTINCT total FROM r) t, range(7) x(i))
 SELECT r.source, r.doc_id, r.k::BIGINT AS k FROM r JOIN o ON r.total = o.total AND r.k = o.k""")
