@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import PILCROW, norm_text, scoped_id
 from foliant.sources.model import extract_json
+from foliant.sources.stage import staged
 
 #: Pronouns that are nobody's name, and the kinds of identity with their lists, name fields and ids.
 PRONOUNS = ("他", "她", "它", "他们", "她们", "其", "此人")
@@ -116,7 +117,8 @@ def parse_plan(answers: DataFrame, candidates: DataFrame) -> tuple[DataFrame, Da
     are missing, groups without members, name or decision, and candidates that a
     plan has twice, lacks or doesn't know.
     """
-    got = answers.withColumn("_a", F.from_json(extract_json(F.col("raw")), PLAN)).withColumn("_ok", F.try_parse_json(extract_json(F.col("raw"))).isNotNull())
+    text = extract_json(F.col("raw"))
+    got = staged(answers.select("novel_id", "page", F.from_json(text, PLAN).alias("_a"), F.try_parse_json(text).isNotNull().alias("_ok")))
     say = lambda df, rule, at: df.select("novel_id", "page", "entity", F.lit(rule).alias("rule"), at.cast("string").alias("at"))
     errors = [say(got.where("not _ok").withColumn("entity", F.lit("")), "invalid_json", F.lit(""))]
     groups = []
@@ -126,7 +128,7 @@ def parse_plan(answers: DataFrame, candidates: DataFrame) -> tuple[DataFrame, Da
         absent = rows.where(F.col("_a")[key].isNull())
         errors.append(say(absent if entity == "char" else absent.join(asked, ["novel_id", "page"], "left_semi"), "missing_list", F.lit(key)))
         groups.append(rows.select("novel_id", "page", "entity", F.posexplode(F.col("_a")[key]).alias("g", "v")).select("novel_id", "page", "entity", "g", F.col("v.memberIds").alias("members"), F.col(f"v.{name}").alias("name"), F.col("v.aliases").alias("aliases"), F.col("v.decision").alias("decision")))
-    g = reduce(DataFrame.unionByName, groups)
+    g = staged(reduce(DataFrame.unionByName, groups))
     bad = F.coalesce(F.size("members"), F.lit(0)) < 1
     errors.append(say(g.where(bad | F.coalesce(F.exists("members", lambda x: x.isNull()), F.lit(False))), "members_empty", F.col("g")))
     errors.append(say(g.where(F.coalesce(norm_text(F.col("name")) == "", F.lit(True))), "name_empty", F.col("g")))

@@ -346,4 +346,105 @@ def upgraded_status(spark, sf_dir):
     return e.groupBy("key", "user_id").agg(F.count("*").alias("n"), K.upgrade_status(F.when(F.col("value") > 60, "source_fact").otherwise("uncertain")).alias("status"))
 
 
+# F-02: a novel's characters, objects and threads, each by kind of event.
+PEOPLE = f"SELECT novel_id, min(e) AS ord, 'c::' || kind AS id, 'The ' || kind AS name, min(v) AS first FROM ({EVENTS}) x GROUP BY novel_id, kind"
+THINGS = f"SELECT novel_id, 'o::' || (v % 6) AS id, min(e) AS first FROM ({EVENTS}) x GROUP BY novel_id, v % 6"
+PLOTS = f"SELECT novel_id, min(e) AS ord, 't::' || (e % 4) AS id, 'plot ' || (e % 4) AS summary, max(v) AS first FROM ({EVENTS}) x GROUP BY novel_id, e % 4"
+
+
+@query(f"""WITH a AS (SELECT novel_id, 'char' AS entity, 0 AS k, ord, id, name, first FROM ({PEOPLE}) p UNION ALL SELECT novel_id, 'object', 1, row_number() OVER (PARTITION BY novel_id ORDER BY first, id), id, id, first FROM ({THINGS}) o UNION ALL SELECT novel_id, 'thread', 2, ord, id, summary, first FROM ({PLOTS}) t)
+SELECT novel_id, entity, row_number() OVER (PARTITION BY novel_id ORDER BY k, ord, id)::BIGINT AS ord, id, name, first::BIGINT AS first FROM a""")
+def candidates_of_events(spark, sf_dir):
+    """F-02, A-05."""
+    got = I.identity_candidates(*(derived(spark, sf_dir, x) for x in (PEOPLE, THINGS, PLOTS)))
+    return got.select("novel_id", "entity", L("ord"), "id", "name", "first")
+
+
+# F-03: a plan an order for four candidates, spoiled by key.
+PLAN = """('{"groups":[{"memberIds":["a"],"canonicalName":"A","aliases":[],"decision":"same"},{"memberIds":["b"],"canonicalName":"B","aliases":[],"decision":"same"}],"objectGroups":[{"memberIds":["key"],"canonicalName":"K","decision":"same"}],"threadGroups":[{"memberIds":["t"],"canonicalSummary":"T","decision":"uncertain"}]}')"""
+PLAN_FAULTS = [
+    (1, "'no json'", None, [("", "invalid_json", "")]),
+    (2, '"groups":', "'\"other\":'", [("char", "missing_list", "groups")]),
+    (3, '"objectGroups":', "'\"other\":'", [("object", "missing_list", "objectGroups")]),
+    (4, '"threadGroups":', "'\"other\":'", [("thread", "missing_list", "threadGroups")]),
+    (5, '"memberIds":["a"]', "'\"memberIds\":[\"a\",\"a\"]'", [("char", "duplicate_member", "a")]),
+    (6, '"memberIds":["a"]', "'\"memberIds\":[\"a\",\"zz\"]'", [("char", "unknown_member", "zz")]),
+    (7, '"memberIds":["b"]', "'\"memberIds\":[]'", [("char", "members_empty", "1"), ("char", "missing_member", "b")]),
+    (8, '"canonicalName":"A"', "'\"canonicalName\":\" \"'", [("char", "name_empty", "0")]),
+    (9, '"decision":"uncertain"', "'\"decision\":\"maybe\"'", [("thread", "decision", "0")]),
+    (10, '"aliases":[]', "'\"aliases\":[null]'", [("char", "aliases", "0"), ("char", "aliases", "1")]),
+    (11, '"memberIds":["key"]', "'\"memberIds\":[\"a\"]'", [("object", "unknown_member", "a"), ("object", "missing_member", "key")]),
+]
+PLAN_ROWS = ", ".join(f"({f}, '{e}', '{r}', '{a}')" for f, _, _, found in PLAN_FAULTS for e, r, a in found)
+
+
+@query(f"""SELECT o_orderkey AS novel_id, 0 AS page, entity, rule, "at" FROM orders JOIN (VALUES {PLAN_ROWS}) v(f, entity, rule, "at") ON o_orderkey % 17 = v.f""")
+def plan_errors_of_orders(spark, sf_dir):
+    """F-03, U-06."""
+    cases = " ".join(f"WHEN o_orderkey % 17 = {f} THEN {old}" if new is None else f"WHEN o_orderkey % 17 = {f} THEN replace({PLAN}, '{old}', {new})" for f, old, new, _ in PLAN_FAULTS)
+    raw = derived(spark, sf_dir, f"SELECT o_orderkey AS novel_id, 0 AS page, CASE {cases} ELSE {PLAN} END AS raw FROM orders")
+    four = F.array(*(F.struct(F.lit(e).alias("entity"), F.lit(i).alias("id")) for e, i in (("char", "a"), ("char", "b"), ("object", "key"), ("thread", "t"))))
+    return I.parse_plan(raw, raw.select("novel_id", "page", F.explode(four).alias("x")).select("novel_id", "page", "x.*"))[1]
+
+
+# F-19: a customer's orders are changes of one fact, each of the one before; some are of another key, some aren't asked for.
+CHANGES = "SELECT o_custkey AS novel_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k, o_orderkey % 13 = 5 AS strange, o_orderkey % 17 = 3 AS unasked FROM orders"
+
+
+@query(f"""WITH c AS ({CHANGES}), a AS (SELECT *, min(CASE WHEN strange OR unasked THEN 0 ELSE 1 END) OVER (PARTITION BY novel_id ORDER BY k) = 1 AS ok FROM c), n AS (SELECT *, coalesce(lead(ok) OVER (PARTITION BY novel_id ORDER BY k), false) AS more FROM a)
+SELECT novel_id, 'f0' AS id, NULL AS supersedes, CASE WHEN bool_or(k = 1 AND ok) THEN 'f1' END AS superseded_by FROM a GROUP BY novel_id UNION ALL SELECT novel_id, 'f' || k, 'f' || (k - 1), CASE WHEN more THEN 'f' || (k + 1) END FROM n WHERE ok""")
+def state_changes_of_orders(spark, sf_dir):
+    """F-19: a chain of changes goes on until one doesn't apply."""
+    c = derived(spark, sf_dir, CHANGES)
+    name = lambda x: F.concat(F.lit("f"), x.cast("string"))
+    facts = c.select("novel_id").distinct().select("novel_id", F.lit("f0").alias("id"), F.lit("loc").alias("key"), F.lit("v0").alias("value"), F.lit(None).cast("string").alias("superseded_by"))
+    pair = c.select("novel_id", F.col("k").alias("ord"), name(F.col("k") - 1).alias("existing_id"), name(F.col("k")).alias("incoming_id"), "strange", "unasked")
+    conflicts = pair.select("novel_id", F.concat(F.lit("x"), "incoming_id").alias("conflict_id"), "existing_id", "incoming_id", F.when(F.col("strange"), "own").otherwise("loc").alias("key"), F.col("incoming_id").alias("value"))
+    facts, conflicts = (d.withColumn("novel_id", F.col("novel_id").cast("string")) for d in (facts, conflicts))
+    asked = pair.where("not unasked").select(F.col("novel_id").cast("string").alias("novel_id"), "ord", "existing_id", "incoming_id")
+    return P.apply_state_changes(facts, conflicts, asked)[0].select(F.col("novel_id").cast("long").alias("novel_id"), "id", "supersedes", "superseded_by")
+
+
+HINTED = "SELECT DISTINCT l_orderkey AS novel_id, l_suppkey % 9 AS n FROM lineitem"
+NUMBERED_LINES = "SELECT DISTINCT l_orderkey AS novel_id, l_linenumber AS n FROM lineitem"
+
+
+@query(f"SELECT novel_id, 'unknown_hint' AS rule, CAST(CAST(n AS DOUBLE) AS STRING) AS \"at\" FROM ({HINTED}) h WHERE NOT EXISTS (SELECT 1 FROM ({NUMBERED_LINES}) p WHERE p.novel_id = h.novel_id AND p.n = h.n)")
+def unknown_hints_of_lines(spark, sf_dir):
+    """C-10."""
+    from foliant.operators.structure import split_hints
+
+    return split_hints(derived(spark, sf_dir, HINTED), derived(spark, sf_dir, NUMBERED_LINES))[1]
+
+
+# F-16: an order is an entity, its lines facts of where it is and changes of that.
+PLACED = "SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem"
+
+
+@query(f"""WITH p AS ({PLACED}) SELECT 'i' || i.k || '/' || i.n AS issue_id, 'f' || i.k || '/' || a.n AS existing_id, 'f' || i.k || '/' || b.n AS incoming_id
+FROM p i JOIN p a ON a.k = i.k AND a.n % 3 = i.n % 3 JOIN p b ON b.k = i.k AND b.n % 3 = (i.n + 1) % 3""")
+def transitions_of_lines(spark, sf_dir):
+    """F-16, P-12, K-05: scalar fields; other spellings of a predicate count."""
+    p = derived(spark, sf_dir, PLACED)
+    value = lambda n: F.concat(F.lit("Place "), (n % 3).cast("string"))
+    who, at = F.concat(F.lit("p"), F.col("k").cast("string")), F.concat(F.col("k").cast("string"), F.lit("/"), F.col("n").cast("string"))
+    issues = p.select(F.concat(F.lit("i"), at).alias("issue_id"), F.lit("character").alias("entity_type"), who.alias("entity_id"), F.lit("location").alias("field"), value(F.col("n")).alias("exit"), value(F.col("n") + 1).alias("entry"))
+    facts = p.select(F.concat(F.lit("f"), at).alias("id"), F.lit("location").alias("kind"), who.alias("subject_id"), F.when(F.col("n") % 2 == 0, "currently-at").otherwise("location").alias("predicate"), value(F.col("n")).alias("value"), F.lit("s").alias("statement"), F.lit(None).cast("string").alias("perspective_id"))
+    return P.allowed_transitions(issues, facts)
+
+
+# O-06, O-08: an order's lines are paragraphs, and references to two of them each.
+WRITTEN = "SELECT l_orderkey AS novel_id, l_linenumber AS n, 'part ' || min(l_partkey) AS text FROM lineitem GROUP BY l_orderkey, l_linenumber"
+
+
+@query(f"""WITH p AS ({WRITTEN}), r AS (SELECT novel_id, n AS pos, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY novel_id) AS total FROM p WINDOW w AS (PARTITION BY novel_id ORDER BY n)), c AS (SELECT * FROM r WHERE k IN (0, (total - 1) // 2, total - 1)),
+t AS (SELECT c.novel_id, c.pos, coalesce(string_agg('¶' || p.n || ' ' || p.text, chr(10) ORDER BY p.n), '') AS t FROM c LEFT JOIN p ON p.novel_id = c.novel_id AND p.n BETWEEN c.pos AND c.pos + 1 GROUP BY ALL)
+SELECT novel_id, pos, substr(t, 1, greatest(30 - coalesce(sum(length(t)) OVER (PARTITION BY novel_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::BIGINT) AS snippet FROM t""")
+def snippets_of_lines(spark, sf_dir):
+    """O-06, O-08."""
+    p = derived(spark, sf_dir, WRITTEN)
+    refs = p.select("novel_id", F.lit("a").alias("id"), F.col("n").alias("pos"), F.col("n").alias("start"), (F.col("n") + 1).alias("end"))
+    return I.evidence_snippets(refs, p, 30).select("novel_id", "pos", "snippet")
+
+
 QUERIES, ORACLES = oracle(__name__)
