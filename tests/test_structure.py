@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import headings as H
+from foliant.operators import paging
 from foliant.operators import relations as R
 from foliant.operators import repair as P
 from foliant.operators import sequences as Q
@@ -49,14 +50,14 @@ def test_sample_at_a_cap_of_one(spark):
 
 def test_halving(spark):
     rows = spark.createDataFrame([("k", i, s) for i, s in enumerate([10] * 5 + [200] + [10] * 3)], "k string, i int, size int")
-    got = {r["i"]: r["b"] for r in Q.halved_blocks(rows, ["k"], "i", "size", 6, 40, "b").collect()}
+    got = {r["i"]: r["b"] for r in paging.halved_blocks(rows, ["k"], "i", "size", 6, 40, "b").collect()}
     # 0-5 has 250: 0-2 fits, 3-5 has 220: 3-4 fits, 5 stands alone; 6-8 fits
     assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 2, 6: 3, 7: 3, 8: 3}
 
 
 def test_budget_pick_passes_over(spark):
     rows = spark.createDataFrame([("k", i, s) for i, s in enumerate([6, 7, 4, 1])], "k string, i int, size int")
-    assert {r["i"]: r["taken"] for r in Q.budget_pick(rows, ["k"], "i", "size", F.lit(10)).collect()} == {0: True, 1: False, 2: True, 3: False}
+    assert {r["i"]: r["taken"] for r in paging.budget_pick(rows, ["k"], "i", "size", F.lit(10)).collect()} == {0: True, 1: False, 2: True, 3: False}
 
 
 def test_prepare_rejects_what_is_too_large(spark):
