@@ -34,6 +34,8 @@ LONGEST = 5
 SHARPNESS = 0.5
 #: Size of the model, at ENTRY_BYTES for an entry of one language with its place in the tables.
 MODEL_BYTES, ENTRY_BYTES = 256 << 20, 400
+#: Up to so many languages a worker holds the values of an entry in full.
+DENSE = 32
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -105,22 +107,33 @@ def model_of(kept: list) -> dict:
     return {"langs": langs, "default": default, "tables": tables}
 
 
-def score_word(model: dict, word: str) -> np.ndarray:
-    """Log score of a word in each language."""
+def full(model: dict, entry: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
+    """The values of an entry in all languages."""
+    out = model["default"][size].copy()
+    out[entry[0]] = entry[1]
+    return out
+
 
-    def values(n: int, entry: str) -> np.ndarray | None:
-        if (found := model["tables"][n].get(entry)) is None:
-            return None
-        out = model["default"][n].copy()
-        out[found[0]] = found[1]
-        return out
+def ready(model: dict) -> dict:
+    """The model with its entries in full, made once in a worker, where the
+    languages are so few (DENSE) that this takes no more than the bound."""
+    if len(model["langs"]) <= DENSE and not model.get("full"):
+        model["tables"] = [{e: full(model, x, k) for e, x in t.items()} for k, t in enumerate(model["tables"])]
+        model["full"] = True
+    return model
 
-    if (v := values(0, word)) is not None:
-        return v
+
+def score_word(model: dict, word: str) -> np.ndarray:
+    """Log score of a word in each language."""
+    tables = model["tables"]
+    whole = (lambda x, n: x) if model.get("full") else (lambda x, n: full(model, x, n))
+    if (v := tables[0].get(word)) is not None:
+        return whole(v, 0)
     for n in range(min(LONGEST, len(word) + 2), 0, -1):
-        known = [v for x in grams(word, n) if (v := values(n, x)) is not None]
+        table = tables[n]
+        known = [v for x in grams(word, n) if (v := table.get(x)) is not None]
         if known:
-            return np.mean(known, axis=0)
+            return np.mean([whole(v, n) for v in known], axis=0)
     return np.zeros(len(model["langs"]))
 
 
@@ -137,7 +150,7 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, kept = spread.value, Kept(200_000)
+        m, kept = ready(spread.value), Kept(200_000)
         langs = m["langs"]
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
