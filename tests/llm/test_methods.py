@@ -106,6 +106,8 @@ def test_backoff_order_by_brute_force():
     words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(400)] + [r[2] for r in rows if r[1] == 0] + ["zzz"]
     for w in words:
         assert np.allclose(language_id.score_word(model, w), plain_score(rows, model["langs"], w))
+    model = language_id.ready(model)
+    assert model["full"] and all(np.allclose(language_id.score_word(model, w), plain_score(rows, model["langs"], w)) for w in words)
 
 
 def test_model_is_bounded_over_languages():
