@@ -65,8 +65,9 @@ def live(requests: DataFrame, call: Callable[[str], str], workers: int, each: in
 
 
 class Calls:
-    """M-06: jobs of model calls under one tag.  ``cancel`` stops those that run,
-    their tasks and so their calls, and lets no more begin."""
+    """M-06: jobs of model calls under one tag.  ``cancel`` stops those that run and
+    lets no more begin; calls under way end with their workers, which the engine
+    gives two seconds (spark.python.task.killTimeout)."""
 
     def __init__(self, spark, tag: str) -> None:
         self.spark, self.tag, self.stopped = spark, tag, False
@@ -76,10 +77,12 @@ class Calls:
         if self.stopped:
             raise RuntimeError(f"{self.tag} is cancelled")
         self.spark.sparkContext.addJobTag(self.tag)
+        self.spark.sparkContext.setInterruptOnCancel(True)  # else its Python workers go on
         try:
             return work()
         finally:
             self.spark.sparkContext.removeJobTag(self.tag)
+            self.spark.sparkContext.setInterruptOnCancel(False)
 
     def cancel(self) -> None:
         self.stopped = True
