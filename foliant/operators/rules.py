@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import fact_key, norm_text, scoped_id, utf16_units
 from foliant.operators.screenplay import blank
-from foliant.sources.model import extract_json
+from foliant.sources.model import parse_json
 from foliant.sources.stage import staged
 
 #: The vocabularies of the model.
@@ -36,12 +36,6 @@ def _rows(df: DataFrame, when: Column, rule: str, path: Column) -> DataFrame:
     return df.where(when).select(F.lit(rule).alias("rule"), path.alias("path"))
 
 
-def _rules(df: DataFrame, *rules: tuple[Column, str, Column]) -> DataFrame:
-    """The violations of several rules (when, rule, path) in one pass over rows."""
-    found = F.array(*(F.when(when, F.struct(F.lit(rule).alias("rule"), path.alias("path"))) for when, rule, path in rules))
-    return df.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("x.rule", "x.path")
-
-
 def _at(table: str, *more: str) -> Column:
     return F.concat_ws("/", F.lit(table), "chunk_id", F.coalesce("id", F.lit("")), *(F.lit(m) for m in more))
 
@@ -199,98 +193,118 @@ def closing_rules(closed: DataFrame, conflicts: DataFrame, facts: DataFrame) ->
     ])
 
 
-def _kind(path: str) -> Column:
-    name = F.schema_of_variant(F.variant_get("v", path, "variant"))
+def _kind(path: str, v: str | Column = "v") -> Column:
+    name = F.schema_of_variant(F.variant_get(v, path, "variant"))
     return F.coalesce(F.lower(F.regexp_extract(name, "^[A-Z]+", 0)), F.lit("missing"))
 
 
-def _strings(path: str) -> Column:
+def _strings(path: str, v: str | Column = "v") -> Column:
     """Whether there is an array of nothing but strings at ``path``."""
-    return F.coalesce(F.schema_of_variant(F.variant_get("v", path, "variant")).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
+    return F.coalesce(F.schema_of_variant(F.variant_get(v, path, "variant")).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
+
+
+def _text(path: str, v: str | Column = "v") -> Column:
+    return F.when(_kind(path, v) == "string", F.try_variant_get(v, path, "string"))
+
+
+def _items(path: str, v: str | Column = "v") -> Column:
+    """(i, v) of the objects of a list, with their places in it."""
+    all_ = F.when(_kind(path, v) == "array", F.variant_get(v, path, "array<variant>"))
+    placed = F.transform(F.coalesce(all_, F.array().cast("array<variant>")), lambda x, i: F.struct(i.alias("i"), x.alias("v")))
+    return F.filter(placed, lambda x: _kind("$", x["v"]) == "object")
+
 
+def _path(kind: str, *places: Column) -> Column:
+    return F.concat_ws("/", F.lit("raw"), "chunk_id", F.format_string(kind, *places) if places else F.lit(kind))
 
-def _text(path: str) -> Column:
-    return F.when(_kind(path) == "string", F.try_variant_get("v", path, "string"))
 
+#: What is wrong with an answer: (rule, path) of each rule (when, rule, path).
+FOUND = "array<struct<rule:string,path:string>>"
 
-def _items(df: DataFrame, path: str) -> DataFrame:
-    """(chunk_id, i, v) of the objects of a list."""
-    got = df.where(_kind(path) == "array").select("chunk_id", F.posexplode(F.variant_get("v", path, "array<variant>")).alias("i", "v"))
-    return got.where(_kind("$") == "object")
 
+def _found(*rules: tuple[Column, str, Column]) -> Column:
+    return F.array_compact(F.array(*(F.when(when, F.struct(F.lit(rule).alias("rule"), path.alias("path"))) for when, rule, path in rules))).cast(FOUND)
 
-def _path(kind: str, *columns: str) -> Column:
-    return F.concat_ws("/", F.lit("raw"), "chunk_id", F.format_string(kind, *(F.col(c) for c in columns)) if columns else F.lit(kind))
 
+def _of_items(items: Column, rules) -> Column:
+    """What ``rules`` (an item's value and place to its rules) find in a list."""
+    return F.flatten(F.transform(items, lambda x: _found(*rules(x["v"], x["i"])))).cast(FOUND)
 
-def _answers(raw: DataFrame, most: int | None, lists: tuple[str, ...], span: str, chunks: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """The answers that are objects, and what is wrong with all as a whole.  They
-    are parsed once for all rules."""
-    parsed = staged(raw.select("chunk_id", utf16_units(F.col("raw")).alias("size"), F.try_parse_json(extract_json(F.col("raw"))).alias("v")))
-    rows = parsed.join(chunks.select("chunk_id", "start", "end"), "chunk_id")
-    whole = rows.where(F.col("v").isNotNull() & (_kind("$") == "object"))
-    edge = lambda name: F.try_variant_get("v", f"$.{span}.{name}", "double")
-    exact = F.coalesce((edge("start") == F.col("start")) & (edge("end") == F.col("end")), F.lit(False))
+
+def _answers(raw: DataFrame, most: int | None, lists: tuple[str, ...], span: str, chunks: DataFrame, found: list[Column], **kept: Column) -> DataFrame:
+    """The answers of ``chunks`` with found, what is wrong with each, and with what
+    is ``kept`` of those that are objects.  ``found`` and ``kept`` are columns of
+    the parsed text v.  A text is parsed once, where it lies: nothing of it is
+    written or joined but what is found and kept."""
+    parsed = raw.select("chunk_id", utf16_units(F.col("raw")).alias("size"), parse_json(F.col("raw")).alias("v"))
+    whole = F.col("v").isNotNull() & (_kind("$") == "object")
     broken = [(F.col("v").isNull(), "invalid_json", _path("")), (F.col("v").isNotNull() & (_kind("$") != "object"), "root", _path(""))]
     if most is not None:
         broken.append((F.col("size") > most, "too_long", _path("")))
-    chunk = (~F.coalesce(_text("$.chunkId") == F.col("chunk_id"), F.lit(False)), "chunk_id", _path("chunkId"))
-    missing = [(_kind(f"$.{k}") != "array", "list_missing", _path(k)) for k in lists]
-    return whole, [_rules(rows, *broken), _rules(whole, chunk, (~exact, "range", _path(span)), *missing)]
-
-
-def _character_shapes(people: DataFrame, *more: tuple[Column, str, Column]) -> DataFrame:
-    return _rules(
-        people,
-        (blank(_text("$.name")), "character_name", _path("characters[%d].name", "i")),
-        (~_strings("$.aliases"), "character_aliases", _path("characters[%d].aliases", "i")),
-        (~_kind("$.description").isin("string", "missing"), "character_description", _path("characters[%d].description", "i")),
-        *more,
-    )
+    shape = [(~F.coalesce(_text("$.chunkId") == F.col("chunk_id"), F.lit(False)), "chunk_id", _path("chunkId")), *((_kind(f"$.{k}") != "array", "list_missing", _path(k)) for k in lists)]
+    all_ = F.concat(_found(*broken), F.when(whole, F.concat(_found(*shape), *found)).otherwise(F.array().cast(FOUND)))
+    edges = {f"_{k}": F.when(whole, F.try_variant_get("v", f"$.{span}.{k}", "double")) for k in ("start", "end")}
+    made = parsed.select("chunk_id", whole.alias("_whole"), all_.alias("found"), *(c.alias(k) for k, c in edges.items()), *(F.when(whole, c).alias(k) for k, c in kept.items()))
+    rows = staged(made).join(chunks.select("chunk_id", "start", "end"), "chunk_id")
+    exact = F.coalesce((F.col("_start") == F.col("start")) & (F.col("_end") == F.col("end")), F.lit(False))
+    return rows.withColumn("found", F.concat("found", _found((F.col("_whole") & ~exact, "range", _path(span))))).drop("_whole", "_start", "_end", "start", "end")
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    return rows.select(F.explode("found").alias("x")).select("x.rule", "x.path")
+
+
+def _character_shapes(*more) -> Column:
+    """``more``: of a character's value and place, a further rule."""
+    return _of_items(_items("$.characters"), lambda v, i: [
+        (blank(_text("$.name", v)), "character_name", _path("characters[%d].name", i)),
+        (~_strings("$.aliases", v), "character_aliases", _path("characters[%d].aliases", i)),
+        (~_kind("$.description", v).isin("string", "missing"), "character_description", _path("characters[%d].description", i)),
+        *(rule(v, i) for rule in more),
+    ])
 
 
 def delta_shapes(raw: DataFrame, chunks: DataFrame, known: DataFrame) -> DataFrame:
     """D-01 .. D-04, D-06 .. D-10, D-20, D-26, D-29, D-32 .. D-35 on the texts of
     deltas: raw (chunk_id, raw), chunks (chunk_id, start, end, done: the last
     paragraph processed before), known (id, name): the characters so far."""
-    whole, out = _answers(raw, DELTA_CHARS, DELTA_LISTS, "processedRange", chunks)
+    has_state = _kind("$.boundaryState") == "object"
+    loose = _items("$.boundaryState.openReferences")
+    found = [
+        _character_shapes(lambda v, i: (_kind("$.identityStatus", v) != "missing", "server_field", _path("characters[%d].identityStatus", i))),
+        _of_items(_items("$.newFacts"), lambda v, i: [(_kind("$.supersededByFactId", v) != "missing", "server_field", _path("newFacts[%d].supersededByFactId", i))]),
+        _of_items(_items("$.reportedConflicts"), lambda v, i: [(blank(_text("$.description", v)), "conflict_description", _path("reportedConflicts[%d].description", i))]),
+        _found(
+            (~has_state, "boundary_missing", _path("boundaryState")),
+            (has_state & (utf16_units(F.to_json(F.variant_get("v", "$.boundaryState", "variant"))) > BOUNDARY_CHARS), "boundary_size", _path("boundaryState")),
+            *((has_state & (_kind(f"$.boundaryState.{k}") != "array"), "list_missing", _path(f"boundaryState.{k}")) for k in ("characters", "objects", "openReferences")),
+            *((has_state & ~_kind(f"$.boundaryState.{k}").isin("string", "missing"), "boundary_label", _path(f"boundaryState.{k}")) for k in ("timeLabel", "location")),
+        ),
+        _of_items(loose, lambda v, i: [
+            (blank(_text("$.text", v)), "reference_text", _path("boundaryState.openReferences[%d].text", i)),
+            (~_strings("$.candidateCharacterIds", v), "reference_candidates", _path("boundaryState.openReferences[%d].candidateCharacterIds", i)),
+        ]),
+    ]
+    people = F.transform(_items("$.characters"), lambda x: F.struct(x["i"].alias("i"), _text("$.id", x["v"]).alias("id"), _text("$.name", x["v"]).alias("name")))
+    named_in = F.transform(F.filter(loose, lambda x: _strings("$.candidateCharacterIds", x["v"])), lambda x: F.struct(x["i"].alias("i"), F.variant_get(x["v"], "$.candidateCharacterIds", "array<string>").alias("ids")))
+    rows = _answers(raw, DELTA_CHARS, DELTA_LISTS, "processedRange", chunks, found, people=people, loose=named_in)
+    out = [_told(rows)]
     asked = raw.select("chunk_id").join(chunks, "chunk_id")
     out.append(_rows(asked, F.col("start") != F.coalesce("done", F.lit(0)) + 1, "continuity", _path("processedRange")))
-    people = _items(whole, "$.characters")
-    out.append(_character_shapes(people, (_kind("$.identityStatus") != "missing", "server_field", _path("characters[%d].identityStatus", "i"))))
-    named = people.select("chunk_id", "i", _text("$.id").alias("id"), _text("$.name").alias("_n")).join(known.select("id", "name"), "id")
-    out.append(_rows(named, F.coalesce(norm_text(F.col("_n")) != "", F.lit(False)) & (norm_text(F.col("_n")) != norm_text(F.col("name"))), "character_renamed", _path("characters[%d].name", "i")))
-    out.append(_rows(_items(whole, "$.newFacts"), _kind("$.supersededByFactId") != "missing", "server_field", _path("newFacts[%d].supersededByFactId", "i")))
-    out.append(_rows(_items(whole, "$.reportedConflicts"), blank(_text("$.description")), "conflict_description", _path("reportedConflicts[%d].description", "i")))
-    state = whole.select("chunk_id", F.variant_get("v", "$.boundaryState", "variant").alias("v"))
-    is_object = F.coalesce(_kind("$") == "object", F.lit(False))
-    out.append(_rules(
-        state,
-        (~is_object, "boundary_missing", _path("boundaryState")),
-        (is_object & (utf16_units(F.to_json("v")) > BOUNDARY_CHARS), "boundary_size", _path("boundaryState")),
-        *((is_object & (_kind(f"$.{k}") != "array"), "list_missing", _path(f"boundaryState.{k}")) for k in ("characters", "objects", "openReferences")),
-        *((is_object & ~_kind(f"$.{k}").isin("string", "missing"), "boundary_label", _path(f"boundaryState.{k}")) for k in ("timeLabel", "location")),
-    ))
-    loose = _items(state.where(is_object), "$.openReferences")
-    out.append(_rules(
-        loose,
-        (blank(_text("$.text")), "reference_text", _path("boundaryState.openReferences[%d].text", "i")),
-        (~_strings("$.candidateCharacterIds"), "reference_candidates", _path("boundaryState.openReferences[%d].candidateCharacterIds", "i")),
-    ))
-    each = loose.where(_strings("$.candidateCharacterIds")).select("chunk_id", "i", F.explode(F.variant_get("v", "$.candidateCharacterIds", "array<string>")).alias("id"))
-    own = people.select("chunk_id", _text("$.id").alias("id"))
-    strange = each.join(known.select("id"), "id", "left_anti").join(own, ["chunk_id", "id"], "left_anti")
-    out.append(_rows(strange, F.lit(True), "reference_unknown", _path("boundaryState.openReferences[%d].candidateCharacterIds", "i")))
+    named = rows.select("chunk_id", F.explode("people").alias("p")).select("chunk_id", "p.i", "p.id", F.col("p.name").alias("_n")).join(known.select("id", "name"), "id")
+    out.append(_rows(named, F.coalesce(norm_text(F.col("_n")) != "", F.lit(False)) & (norm_text(F.col("_n")) != norm_text(F.col("name"))), "character_renamed", _path("characters[%d].name", F.col("i"))))
+    own = F.coalesce(F.transform("people", lambda p: p["id"]), F.array().cast("array<string>"))
+    each = rows.select("chunk_id", own.alias("own"), F.explode("loose").alias("l")).select("chunk_id", "own", "l.i", F.explode("l.ids").alias("id"))
+    strange = each.where(~F.coalesce(F.array_contains("own", F.col("id")), F.lit(False))).drop("own").join(known.select("id"), "id", "left_anti")
+    out.append(_rows(strange, F.lit(True), "reference_unknown", _path("boundaryState.openReferences[%d].candidateCharacterIds", F.col("i"))))
     return _report(out)
 
 
 def local_shapes(raw: DataFrame, chunks: DataFrame) -> DataFrame:
     """L-01, L-02, L-04, L-11 on the texts of local results: raw (chunk_id, raw),
     chunks (chunk_id, start, end)."""
-    whole, out = _answers(raw, None, LOCAL_LISTS, "coreRange", chunks)
-    out.append(_character_shapes(_items(whole, "$.characters")))
-    out.append(_rows(_items(whole, "$.facts"), _kind("$.supersededByFactId") != "missing", "server_field", _path("facts[%d].supersededByFactId", "i")))
-    return _report(out)
+    facts = _of_items(_items("$.facts"), lambda v, i: [(_kind("$.supersededByFactId", v) != "missing", "server_field", _path("facts[%d].supersededByFactId", i))])
+    return _told(_answers(raw, None, LOCAL_LISTS, "coreRange", chunks, [_character_shapes(), facts]))
 
 
 def scoped_rules(characters: DataFrame, facts: DataFrame, objects: DataFrame) -> DataFrame:

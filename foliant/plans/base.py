@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,9 +46,12 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns) -> DataFrame:
     have more pieces and don't move."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     df = df.select(*columns) if columns else df
-    if name != "documents" or "text" not in df.columns:
-        return df
-    cores = spark.sparkContext.defaultParallelism
+    return dealt(df) if name == "documents" and "text" in df.columns else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, dealt out if it lies in so few pieces."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
     pieces = df.select(F.spark_partition_id().alias("p")).distinct().limit(cores).count()
     return df.repartition(cores) if pieces * 4 <= cores else df
 
@@ -56,8 +60,14 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns) -> DataFrame:
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Rows of a statement over the given tables that the oracle reads as well."""
+def derived(spark: SparkSession, sf_dir: str, sql: str, deal: str | None = None) -> DataFrame:
+    """Rows of a statement over the given tables that the oracle reads as well.  The
+    rows of the table ``deal`` are dealt out if few pieces hold them, for statements
+    that make long texts of short rows."""
+    if deal:
+        view = f"{deal}_{uuid.uuid4().hex}"
+        dealt(read(spark, sf_dir, deal)).createOrReplaceTempView(view)
+        sql = re.sub(rf"\b(FROM|JOIN) {deal}\b", rf"\1 {view} AS {deal}", sql)
     return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", rf"\1 parquet.`{sf_dir}/\2.parquet` AS \2", sql))
 
 

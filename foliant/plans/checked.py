@@ -135,7 +135,7 @@ def delta_answers(spark, sf_dir):
     """D-01 .. D-04, D-06 .. D-10, D-20, D-26, D-29, D-32 .. D-35: an answer an
     order, a fault in about half."""
     known = spark.range(1).select(F.lit("lin").alias("id"), F.lit("Lin").alias("name"))
-    return R.delta_shapes(derived(spark, sf_dir, DELTA_ROWS), spans(spark, sf_dir), known)
+    return R.delta_shapes(derived(spark, sf_dir, DELTA_ROWS, "orders"), spans(spark, sf_dir), known)
 
 
 LOCAL = f"""('so ```json' || chr(10) || '{{"chunkId":"k' || o_orderkey || '","coreRange":' || {EDGES} || ',"characters":[{{"id":"a","name":"A","aliases":["b"]}}],"facts":[{{"id":"f"}}],"timelineEvents":[],"threadObservations":[]}}' || chr(10) || '```')"""
@@ -157,7 +157,7 @@ LOCAL_FAULTS = [
 def local_answers(spark, sf_dir):
     """L-01, L-02, L-04, L-11."""
     rows = f"SELECT 'k' || o_orderkey AS chunk_id, {spoiled(LOCAL, [x[:3] for x in LOCAL_FAULTS], 19, 'o_orderkey')} AS raw FROM orders"
-    return R.local_shapes(derived(spark, sf_dir, rows), spans(spark, sf_dir))
+    return R.local_shapes(derived(spark, sf_dir, rows, "orders"), spans(spark, sf_dir))
 
 
 PLAY = """('{"characters":[{"id":"x"}],"scenes":[{"heading":{},"elements":[{"type":"action"}]}]}')"""

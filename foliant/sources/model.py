@@ -117,8 +117,8 @@ def balanced(raw: Column) -> Column:
             F.when(x["end"] > 0, x["end"]).when(closes & (x["depth"] == 1), at).otherwise(0).alias("end"),
         ).cast(state)
 
-    end = F.aggregate(F.regexp_extract_all(rest, F.lit(TOKENS), F.lit(0)), start, step, lambda x: x["end"])
-    return F.when(first == 0, raw).otherwise(rest.substr(F.lit(1), F.when(end > 0, end).otherwise(F.length(rest))))
+    end = F.aggregate(F.regexp_extract_all(rest, F.lit(TOKENS), F.lit(0)), start, step, lambda x: F.when(x["end"] > 0, x["end"]).otherwise(F.length(rest)))
+    return F.when(first == 0, raw).otherwise(rest.substr(F.lit(1), end))
 
 
 def extract_json(raw: Column) -> Column:
@@ -126,6 +126,14 @@ def extract_json(raw: Column) -> Column:
     return trim(F.when(raw.rlike(FENCE), F.regexp_extract(raw, FENCE, 1)).otherwise(balanced(raw)))
 
 
+def parse_json(raw: Column) -> Column:
+    """The VARIANT of ``extract_json``, null where that is no JSON.  A text that
+    begins with a brace and reads as JSON is its own object, so only others are
+    searched for where theirs ends."""
+    plain = F.when(raw.startswith("{") & ~raw.rlike(FENCE), F.try_parse_json(raw))
+    return F.coalesce(plain, F.try_parse_json(extract_json(raw)))
+
+
 def safe_parse(raw: Column, schema: str, fallback: Column | None = None) -> Column:
     """K-03: parsed by ``schema``; malformed text gives ``fallback``."""
     got = F.when(F.try_parse_json(extract_json(raw)).isNotNull(), F.from_json(extract_json(raw), schema))
