@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.text import PILCROW, norm_text, scoped_id
-from foliant.sources.model import extract_json
+from foliant.operators.headings import let
+from foliant.sources.model import json_text, parse_json
 from foliant.sources.stage import staged
 
 #: Pronouns that are nobody's name, and the kinds of identity with their lists, name fields and ids.
@@ -117,32 +118,52 @@ def parse_plan(answers: DataFrame, candidates: DataFrame) -> tuple[DataFrame, Da
     are missing, groups without members, name or decision, and candidates that a
     plan has twice, lacks or doesn't know.
     """
-    text = extract_json(F.col("raw"))
-    got = staged(answers.select("novel_id", "page", F.from_json(text, PLAN).alias("_a"), F.try_parse_json(text).isNotNull().alias("_ok")))
-    say = lambda df, rule, at: df.select("novel_id", "page", "entity", F.lit(rule).alias("rule"), at.cast("string").alias("at"))
-    errors = [say(got.where("not _ok").withColumn("entity", F.lit("")), "invalid_json", F.lit(""))]
-    groups = []
-    for entity, (key, name) in PLAN_LISTS.items():
-        asked = candidates.where(F.col("entity") == entity).select("novel_id", "page").distinct()
-        rows = got.where("_ok").withColumn("entity", F.lit(entity))
-        absent = rows.where(F.col("_a")[key].isNull())
-        errors.append(say(absent if entity == "char" else absent.join(asked, ["novel_id", "page"], "left_semi"), "missing_list", F.lit(key)))
-        groups.append(rows.select("novel_id", "page", "entity", F.posexplode(F.col("_a")[key]).alias("g", "v")).select("novel_id", "page", "entity", "g", F.col("v.memberIds").alias("members"), F.col(f"v.{name}").alias("name"), F.col("v.aliases").alias("aliases"), F.col("v.decision").alias("decision")))
-    g = staged(reduce(DataFrame.unionByName, groups))
-    bad = F.coalesce(F.size("members"), F.lit(0)) < 1
-    errors.append(say(g.where(bad | F.coalesce(F.exists("members", lambda x: x.isNull()), F.lit(False))), "members_empty", F.col("g")))
-    errors.append(say(g.where(F.coalesce(norm_text(F.col("name")) == "", F.lit(True))), "name_empty", F.col("g")))
-    errors.append(say(g.where((F.col("entity") == "char") & (F.col("aliases").isNull() | F.exists("aliases", lambda x: x.isNull()))), "aliases", F.col("g")))
-    errors.append(say(g.where(~F.coalesce(F.col("decision").isin("same", "uncertain"), F.lit(False))), "decision", F.col("g")))
-    plan = g.select("novel_id", "page", "entity", F.concat_ws("/", F.col("page").cast("string"), F.col("g").cast("string")).alias("grp"), F.posexplode("members").alias("pos", "member_id"), "name", "decision")
-    of = ["novel_id", "page", "entity", "member_id"]
-    there = candidates.select("novel_id", "page", "entity", F.col("id").alias("member_id")).distinct()
-    errors.append(say(plan.groupBy(*of).agg(F.count("*").alias("n")).where("n > 1"), "duplicate_member", F.col("member_id")))
-    errors.append(say(plan.join(there, of, "left_anti").select(*of).distinct(), "unknown_member", F.col("member_id")))
-    # only where there is a list is a candidate that isn't in it missing
-    listed = reduce(DataFrame.unionByName, [got.where("_ok").where(F.col("_a")[k].isNotNull()).select("novel_id", "page", F.lit(e).alias("entity")) for e, (k, _) in PLAN_LISTS.items()])
-    errors.append(say(there.join(listed.distinct(), ["novel_id", "page", "entity"], "left_semi").join(plan, of, "left_anti"), "missing_member", F.col("member_id")))
-    return plan, reduce(DataFrame.unionByName, errors)
+    parsed = F.from_json(json_text(F.col("raw")), PLAN)
+    got = staged(answers.select("novel_id", "page", parsed.alias("_a"), parse_json(F.col("raw")).isNotNull().alias("_ok")))
+    # a page has few candidates; sizes that are guessed from files don't count as small here
+    asked = candidates.select("novel_id", "page", "entity", "id").groupBy("novel_id", "page").agg(F.collect_list(F.struct("entity", "id")).alias("_c"))
+    rows = got.join(asked.hint("merge"), ["novel_id", "page"], "left").withColumn("_c", F.coalesce("_c", F.array().cast(asked.schema["_c"].dataType)))
+    errors = F.flatten(F.array(*(_plan_errors(e, *names) for e, names in PLAN_LISTS.items())))
+    found = F.when(F.col("_ok"), errors).otherwise(F.array(_say("", "invalid_json", F.lit(""))))
+    groups = [got.where("_ok").select("novel_id", "page", F.lit(e).alias("entity"), F.posexplode(F.col("_a")[key]).alias("g", "v")).select("novel_id", "page", "entity", "g", F.col("v.memberIds").alias("members"), F.col(f"v.{name}").alias("name"), F.col("v.decision").alias("decision")) for e, (key, name) in PLAN_LISTS.items()]
+    plan = reduce(DataFrame.unionByName, groups).select("novel_id", "page", "entity", F.concat_ws("/", F.col("page").cast("string"), F.col("g").cast("string")).alias("grp"), F.posexplode("members").alias("pos", "member_id"), "name", "decision")
+    return plan, rows.select("novel_id", "page", F.explode(found).alias("x")).select("novel_id", "page", "x.*")
+
+
+def _say(entity: str, rule: str, at: Column) -> Column:
+    return F.struct(F.lit(entity).alias("entity"), F.lit(rule).alias("rule"), at.cast("string").alias("at"))
+
+
+def _without(some: Column, others: Column) -> Column:
+    """The different ids of one list that another lacks; no id is null's equal."""
+    none = F.when(F.exists(some, lambda x: x.isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array_except(F.array_compact(some), others), none)
+
+
+def _plan_errors(entity: str, key: str, name: str) -> Column:
+    """What is wrong with one list of an answer _a about its page's candidates _c."""
+    given = F.col("_a")[key]
+    groups = F.coalesce(given, F.array().cast(_GROUP))
+    members = F.flatten(F.transform(groups, lambda v: F.coalesce(v["memberIds"], F.array().cast("array<string>"))))
+    ids = F.transform(F.filter("_c", lambda c: c["entity"] == entity), lambda c: c["id"].cast("string"))
+    absent = given.isNull() if entity == "char" else given.isNull() & (F.size(ids) > 0)
+    has_null = lambda c: F.coalesce(F.exists(c, lambda x: x.isNull()), F.lit(False))
+    of_group = {
+        "members_empty": lambda v: (F.coalesce(F.size(v["memberIds"]), F.lit(0)) < 1) | has_null(v["memberIds"]),
+        "name_empty": lambda v: F.coalesce(norm_text(v[name]) == "", F.lit(True)),
+        "decision": lambda v: ~F.coalesce(v["decision"].isin("same", "uncertain"), F.lit(False)),
+    }
+    if entity == "char":
+        of_group["aliases"] = lambda v: v["aliases"].isNull() | has_null(v["aliases"])
+    found = [F.filter(F.array(F.when(absent, _say(entity, "missing_list", F.lit(key)))), lambda x: x.isNotNull())]
+    for rule, bad in of_group.items():
+        placed = F.transform(groups, lambda v, i: F.when(bad(v), _say(entity, rule, i)))  # noqa: B023
+        found.append(F.filter(placed, lambda x: x.isNotNull()))
+    again = let(F.array_sort(members), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & x.eqNullSafe(F.get(s, i - 1)))))
+    missing = F.when(given.isNotNull(), _without(ids, members)).otherwise(F.array().cast("array<string>"))
+    for rule, which in (("duplicate_member", again), ("unknown_member", _without(members, ids)), ("missing_member", F.array_distinct(missing))):
+        found.append(F.transform(which, lambda x: _say(entity, rule, x)))  # noqa: B023
+    return F.flatten(F.array(*found))
 
 
 def assign(plan: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -331,10 +331,10 @@ HEAD = """'{{"id":"z","heading":{{"setting":"INT","location":"' || {} || '","tim
 def repaired_projects(spark, sf_dir):
     """G-04, G-05."""
     good, own = HEAD.replace("{{", "{").replace("}}", "}").replace("{}", "'yard'", 1), HEAD.replace("{{", "{").replace("}}", "}").replace("{}", "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'yard' END", 1)
-    b = derived(spark, sf_dir, f"""SELECT o_orderkey AS project, 0 AS ord, '{{"scenes":[' || {own} || ',' || {own} || ']}}' AS json FROM orders""")
+    b = derived(spark, sf_dir, f"""SELECT o_orderkey AS project, 0 AS ord, '{{"scenes":[' || {own} || ',' || {own} || ']}}' AS json FROM orders""", "orders")
     p = b.select("project", F.lit("T").alias("title"))
     c = p.select("project", F.lit(0).alias("ord"), F.lit("x").alias("id"), F.lit("X").alias("name"), F.array().cast("array<string>").alias("aliases"))
-    new = derived(spark, sf_dir, f"""SELECT o_orderkey AS project, CASE WHEN o_orderkey % 2 = 0 THEN '{{"scenes":[' || {good} || ']}}' ELSE 'sorry' END AS json FROM orders""")
+    new = derived(spark, sf_dir, f"""SELECT o_orderkey AS project, CASE WHEN o_orderkey % 2 = 0 THEN '{{"scenes":[' || {good} || ']}}' ELSE 'sorry' END AS json FROM orders""", "orders")
     got = S.generate(p, c, b, lambda errors: errors.select("project").distinct().join(new, "project"))["status"]
     return got.select("project", "errors", "warnings", "repaired", L("scenes"))
 
@@ -382,7 +382,7 @@ PLAN_ROWS = ", ".join(f"({f}, '{e}', '{r}', '{a}')" for f, _, _, found in PLAN_F
 def plan_errors_of_orders(spark, sf_dir):
     """F-03, U-06."""
     cases = " ".join(f"WHEN o_orderkey % 17 = {f} THEN {old}" if new is None else f"WHEN o_orderkey % 17 = {f} THEN replace({PLAN}, '{old}', {new})" for f, old, new, _ in PLAN_FAULTS)
-    raw = derived(spark, sf_dir, f"SELECT o_orderkey AS novel_id, 0 AS page, CASE {cases} ELSE {PLAN} END AS raw FROM orders")
+    raw = derived(spark, sf_dir, f"SELECT o_orderkey AS novel_id, 0 AS page, CASE {cases} ELSE {PLAN} END AS raw FROM orders", "orders")
     four = F.array(*(F.struct(F.lit(e).alias("entity"), F.lit(i).alias("id")) for e, i in (("char", "a"), ("char", "b"), ("object", "key"), ("thread", "t"))))
     return I.parse_plan(raw, raw.select("novel_id", "page", F.explode(four).alias("x")).select("novel_id", "page", "x.*"))[1]
 

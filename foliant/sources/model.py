@@ -126,10 +126,16 @@ def extract_json(raw: Column) -> Column:
     return trim(F.when(raw.rlike(FENCE), F.regexp_extract(raw, FENCE, 1)).otherwise(balanced(raw)))
 
 
+def json_text(raw: Column) -> Column:
+    """A text that parses as ``extract_json`` of ``raw`` does.  One that begins with
+    a brace and reads as JSON is taken as it is, as readers stop where its object
+    ends; only others are searched for where theirs does."""
+    plain = raw.startswith("{") & ~raw.rlike(FENCE) & F.try_parse_json(raw).isNotNull()
+    return F.when(plain, raw).otherwise(extract_json(raw))
+
+
 def parse_json(raw: Column) -> Column:
-    """The VARIANT of ``extract_json``, null where that is no JSON.  A text that
-    begins with a brace and reads as JSON is its own object, so only others are
-    searched for where theirs ends."""
+    """The VARIANT of ``extract_json``, null where that is no JSON."""
     plain = F.when(raw.startswith("{") & ~raw.rlike(FENCE), F.try_parse_json(raw))
     return F.coalesce(plain, F.try_parse_json(extract_json(raw)))
 
