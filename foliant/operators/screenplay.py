@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from foliant.functions.text import padded_id, trim
 from foliant.operators.relations import cooccurrence
 from foliant.operators.runs import Runs
-from foliant.sources.model import extract_json
+from foliant.sources.model import json_text
 from foliant.sources.stage import staged
 
 #: Codes and their labels.
@@ -209,10 +209,10 @@ def flatten(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """G-04: (scenes, elements) of scene texts: raw (project, ord, json), one JSON
     object {scenes: [...]} a batch.  Scenes of all batches are numbered anew in
     order; lines spoken together are one row each.  A text that can't be read
-    gives no scenes."""
-    got = raw.select("project", "ord", F.from_json(extract_json(F.col("json")), f"struct<scenes:array<{SCENE}>>")["scenes"].alias("x"))
+    gives no scenes.  A text is read once for both tables."""
+    got = raw.select("project", "ord", F.from_json(json_text(F.col("json")), f"struct<scenes:array<{SCENE}>>")["scenes"].alias("x"))
     one = got.select("project", "ord", F.posexplode("x").alias("p", "v"))
-    one = one.withColumn("scene", F.row_number().over(W.partitionBy("project").orderBy("ord", "p")))
+    one = staged(one).withColumn("scene", F.row_number().over(W.partitionBy("project").orderBy("ord", "p")))
     scenes = one.select("project", "scene", padded_id("scene_", F.col("scene")).alias("id"), F.col("scene").alias("number"), "v.heading.setting", "v.heading.location", "v.heading.time", F.coalesce(F.col("v.source").startswith("{"), F.lit(False)).alias("has_source"))
     e = one.select("project", "scene", F.posexplode("v.elements").alias("pos", "e"))
     lone = F.array(F.struct(F.lit(0).alias("line_pos"), F.col("e.character").alias("character"), F.col("e.line").alias("line")))
@@ -234,8 +234,8 @@ def generate(project: DataFrame, characters: DataFrame, batches: DataFrame, repa
     scenes, elements = map(staged, flatten(batches))
     errors = staged(violations(project, characters, scenes, elements, none).where("severity = 'error'"))
     fixed = repair(errors).select("project", F.lit(0).alias("ord"), "json")
-    readable = F.from_json(extract_json(F.col("json")), f"struct<scenes:array<{SCENE}>>")["scenes"].isNotNull()
-    fixed = fixed.join(errors.select("project").distinct(), "project", "left_semi").where(readable)
+    readable = F.from_json(json_text(F.col("json")), f"struct<scenes:array<{SCENE}>>")["scenes"].isNotNull()
+    fixed = staged(fixed.join(errors.select("project").distinct(), "project", "left_semi").where(readable))
     again = batches.select("project", "ord", "json").join(fixed.select("project"), "project", "left_anti").unionByName(fixed)
     scenes, elements = map(staged, flatten(again))
     left = staged(violations(project, characters, scenes, elements, none))
