@@ -32,18 +32,29 @@ class FactMerge(StatefulProcessor):
         self.ids = handle.getMapState("ids", "id string", "key string, value string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
+        """An entry costs a round trip to the engine: each that the rows ask for is
+        read once, and a key's active fact is written once, as the last row leaves
+        it."""
+        active, ids, changed, out = {}, {}, set(), []
+
+        def held(state, cache: dict, k):
+            if k not in cache:
+                cache[k] = tuple(state.getValue((k,))) if state.containsKey((k,)) else None
+            return cache[k]
+
         for r in pd.concat(list(rows)).sort_values(["ord", "key", "id", "value"]).itertuples(index=False):
-            known = self.ids.getValue((r.id,)) if self.ids.exists() and self.ids.containsKey((r.id,)) else None
-            now = self.active.getValue((r.key,)) if self.active.exists() and self.active.containsKey((r.key,)) else ()
+            known, now = held(self.ids, ids, r.id), held(self.active, active, r.key) or ()
             if known is not None:
-                outcome = "merge" if tuple(known) == (r.key, r.value) else "conflict"
+                outcome = "merge" if known == (r.key, r.value) else "conflict"
             else:
-                now, outcome = after(tuple(now), (r.id, r.value, r.supersedes))
+                now, outcome = after(now, (r.id, r.value, r.supersedes))
                 if outcome in ("new", "replace"):
-                    self.active.updateValue((r.key,), now)
-                    self.ids.updateValue((r.id,), (r.key, r.value))
+                    active[r.key], ids[r.id] = now, (r.key, r.value)
+                    changed.add(r.key)
+                    self.ids.updateValue((r.id,), ids[r.id])
             out.append((key[0], r.ord, r.key, r.id, outcome, now[0] if now else None))
+        for k in changed:
+            self.active.updateValue((k,), active[k])
         yield pd.DataFrame(out, columns=["novel_id", "ord", "key", "id", "outcome", "active"])
 
     def close(self) -> None:
