@@ -1,72 +1,138 @@
 """Rewriting JSON trees of any depth (K-06).
 
-A tree is walked level by level with ``variant_explode_outer``: a round turns the
-nodes of one level into those of the next, until none is left, so the plan of a
-round doesn't know the depth.  What is to change is then a join on the table of
-nodes, and the texts are put together again from the deepest level upwards.  Both
-ways are equi-joins and grouped aggregates by document and path; a group is one
-object or array.
+A text is parsed and brought into VARIANT's form once, where it lies; one pass over
+the tokens of that form finds what is to change and writes it, with a stack of the
+objects and arrays that are open.  No table of nodes is made, so what moves is a
+text and its ranges once, however deep it is.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.sources.stage import staged
-
-
-def levels(docs: DataFrame, key: str = "id", json: str = "json") -> list[DataFrame]:
-    """The levels of the trees from the root down, each (id, path, value, pos, key,
-    child): a row for each child of a node, and one without pos for a node that has
-    none.  Keys come in the order of their names, as VARIANT holds them.  Text that
-    is no JSON is no tree."""
-    spark = docs.sparkSession
-    nodes = docs.select(F.col(key).alias("id"), F.lit("").alias("path"), F.try_parse_json(json).alias("value")).where("value is not null")
-    out: list[DataFrame] = []
-    while True:
-        view = f"nodes_{len(out)}_{id(nodes)}"
-        nodes.createOrReplaceTempView(view)
-        level = staged(spark.sql(f"SELECT n.id, n.path, n.value, c.pos, c.key, c.value AS child FROM {view} n, LATERAL variant_explode_outer(n.value) c"))
-        spark.catalog.dropTempView(view)
-        out.append(level)
-        inner = level.where("pos is not null")
-        if inner.isEmpty():
-            return out
-        nodes = inner.select("id", F.concat_ws("/", "path", F.col("pos").cast("string")).alias("path"), F.col("child").alias("value"))
-
-
-def fields(level: DataFrame) -> DataFrame:
-    """(id, path, chunk_id, start, end) of the nodes of a level that are references:
-    objects with a text chunkId and an object paragraphRange."""
-    by = level.where("key in ('chunkId', 'paragraphRange')").groupBy("id", "path").agg(*(F.max(F.when(F.col("key") == k, F.to_json("child"))).alias(k) for k in ("chunkId", "paragraphRange")))
-    is_ref = F.col("chunkId").startswith('"') & F.col("paragraphRange").startswith("{")
-    number = lambda k: F.get_json_object("paragraphRange", f"$.{k}").cast("long").alias(k)
-    text = F.from_json(F.concat(F.lit('{"x":'), F.col("chunkId"), F.lit("}")), "x string")["x"]
-    return by.where(is_ref).select("id", "path", text.alias("chunk_id"), number("start"), number("end"))
-
-
-def rebuilt(found: list[DataFrame], added: DataFrame) -> DataFrame:
-    """(id, json): the trees of ``levels`` again, with the fields of ``added`` (id,
-    path, key, text) set, which replace those of the same name."""
-    text = None
-    for level in reversed(found):
-        leaves = level.where("pos is null").select("id", "path", F.to_json("value").alias("text"))
-        inner = level.where("pos is not null")
-        if text is not None:
-            below = text.select("id", F.col("path").alias("_path"), "text")
-            parts = inner.select("id", "path", "pos", "key", F.concat_ws("/", "path", F.col("pos").cast("string")).alias("_path")).join(below, ["id", "_path"])
-            new = added.select("id", "path", "key", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("_path"), "text")
-            here = parts.select("id", "path").distinct()
-            parts = parts.join(new.select("id", "path", "key"), ["id", "path", "key"], "left_anti").unionByName(new.join(here, ["id", "path"], "left_semi"), allowMissingColumns=True)
-            named = F.concat(F.to_json(F.struct(F.col("key").alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("key").alias("k")))) - 6), F.lit(":"), F.col("text"))
-            item = F.struct(F.coalesce("key", F.lit("")).alias("key"), "pos", F.when(F.col("key").isNull(), F.col("text")).otherwise(named).alias("text"))
-            whole = parts.groupBy("id", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), ",").alias("text"), F.max(F.col("key").isNotNull()).alias("_object"))
-            built = whole.select("id", "path", F.when(F.col("_object"), F.concat(F.lit("{"), "text", F.lit("}"))).otherwise(F.concat(F.lit("["), "text", F.lit("]"))).alias("text"))
-            text = staged(leaves.unionByName(built))
-        else:
-            text = staged(leaves)
-    return text.select("id", F.col("text").alias("json"))
+from foliant.operators.batches import small_batches
+
+TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s"{}\[\],:]+')
+WHOLE = re.compile(r'"?([+-]?\d{1,19})"?')
+#: A reference that can be told without its surroundings: nothing before its chunk, whole numbers.
+PLAIN = re.compile(r'\{"chunkId":("(?:[^"\\]|\\.)*"),"paragraphRange":\{"end":(-?\d{1,18}),"start":(-?\d{1,18})\}')
+CHUNK_KEY = re.compile(r'[{,]"chunkId":')
+
+
+@lru_cache(1024)
+def ranges_of(text: str | None) -> dict[str, list[tuple]]:
+    """Each chunk's (start, end, quoted chapter id) in order."""
+    by: dict[str, list[tuple]] = {}
+    for r in json.loads(text) if text else []:
+        by.setdefault(r.get("chunk"), []).append((r.get("start"), r.get("end"), r.get("chapter")))
+    return by
+
+
+def chapter_of(known: list[tuple], start: int, end: int) -> str | None:
+    return next((c for lo, hi, c in known if lo is not None and hi is not None and lo <= start and end <= hi), None)
+
+
+def with_plain(text: str, ranges: dict[str, list[tuple]]) -> str:
+    """The text of ``rewritten``; the tokens are gone through only where a
+    reference isn't plain."""
+    if len(CHUNK_KEY.findall(text)) != len(PLAIN.findall(text)):
+        return rewritten(text, ranges)[0]
+
+    def put(m: re.Match) -> str:
+        chapter = chapter_of(ranges.get(name_of(m[1]), []), int(m[3]), int(m[2]))
+        return m[0] if chapter is None else f'{{"chapterId":{chapter},{m[0][1:]}'
+
+    return PLAIN.sub(put, text)
+
+
+def name_of(quoted: str) -> str:
+    return json.loads(quoted) if "\\" in quoted else quoted[1:-1]
+
+
+def whole_number(value) -> int | None:
+    """The whole number that a scalar's text is."""
+    found = WHOLE.fullmatch(value) if isinstance(value, str) else None
+    n = int(found[1]) if found else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
+
+
+def rewritten(text: str, ranges: dict[str, list[tuple]]) -> tuple[str, list[tuple[str, str]]]:
+    """A tree in VARIANT's form with the chapters of its references set, and (path,
+    rule) of the references that have none.
+    ``ranges`` has each chunk's (start, end, quoted chapter id) in order."""
+    bad: list[tuple[str, str]] = []
+    opened: list[list] = []  # [is an object, entries (name, quoted, value), place in what holds it, quoted name of the entry at hand]
+    root = None
+    for token in TOKEN.finditer(text):
+        t = token[0]
+        if t == "," or t == ":":
+            continue
+        if t == "{" or t == "[":
+            opened.append([t == "{", [], len(opened[-1][1]) if opened else 0, None])
+            continue
+        value = t
+        if t == "}" or t == "]":
+            node = opened[-1]
+            if node[0]:
+                if rule := placed(node[1], ranges):
+                    bad.append(("".join(f"/{n[2]}" for n in opened[1:]), rule))
+            opened.pop()
+            value = (node[0], node[1])
+        elif opened and opened[-1][0] and opened[-1][3] is None:
+            opened[-1][3] = t
+            continue
+        if not opened:
+            root = value
+            continue
+        into = opened[-1]
+        into[1].append((name_of(into[3]), into[3], value) if into[0] else (None, None, value))
+        into[3] = None
+    out: list[str] = []
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        is_object, entries = x
+        out.append("{" if is_object else "[")
+        todo.append("}" if is_object else "]")
+        for i in range(len(entries) - 1, -1, -1):
+            _, quoted, value = entries[i]
+            todo.append(value)
+            if head := ("," if i else "") + (f"{quoted}:" if is_object else ""):
+                todo.append(head)
+    return "".join(out), bad
+
+
+def placed(entries: list[tuple], ranges: dict[str, list[tuple]]) -> str | None:
+    """Sets the chapter among an object's entries if it is a reference, an object
+    with a text chunkId and an object paragraphRange; the rule it breaks if it has
+    none."""
+    by = {name: value for name, _, value in entries}
+    chunk, span = by.get("chunkId"), by.get("paragraphRange")
+    if not (isinstance(chunk, str) and chunk.startswith('"') and isinstance(span, tuple) and span[0]):
+        return None
+    known = ranges.get(name_of(chunk))
+    if known is None:
+        return "chunk_unknown"
+    number = {name: whole_number(value) for name, _, value in span[1]}
+    start, end = number.get("start"), number.get("end")
+    if start is None or end is None:
+        return "range_invalid"
+    chapter = chapter_of(known, start, end)
+    if chapter is None:
+        return "range_crosses"
+    entries[:] = [e for e in entries if e[0] != "chapterId"]
+    at = next(i for i, e in enumerate(entries) if e[0] > "chapterId")
+    entries.insert(at, ("chapterId", '"chapterId"', chapter))
+    return None
 
 
 def with_chapters(docs: DataFrame, ranges: DataFrame, key: str = "id", json: str = "json") -> tuple[DataFrame, DataFrame]:
@@ -76,17 +142,20 @@ def with_chapters(docs: DataFrame, ranges: DataFrame, key: str = "id", json: str
     (chunk_unknown), without whole numbers (range_invalid), or across or outside
     the chapters (range_crosses).  Of several chapters that hold one the first
     counts.  A document that is no JSON has no row."""
-    found = levels(docs, key, json)
-    refs = None
-    for level in found:
-        refs = fields(level) if refs is None else refs.unionByName(fields(level))
-    refs = staged(refs)
-    r = ranges.select(F.col("id").alias("_id"), F.col("chunk_id").alias("_chunk"), "chapter_id", F.col("start").alias("_start"), F.col("end").alias("_end"))
-    fits = (F.col("start") >= F.col("_start")) & (F.col("end") <= F.col("_end"))
-    met = refs.join(r, (F.col("id") == F.col("_id")) & (F.col("chunk_id") == F.col("_chunk")))
-    met = met.groupBy("id", "path").agg(F.min_by("chapter_id", F.when(fits, F.col("_start"))).alias("chapter_id"), F.lit(True).alias("_known"))
-    got = staged(refs.join(met, ["id", "path"], "left"))
+    small_batches(docs.sparkSession)
     quoted = F.to_json(F.struct(F.col("chapter_id").alias("k")))
-    added = got.where("chapter_id is not null").select("id", "path", F.lit("chapterId").alias("key"), quoted.substr(F.lit(6), F.length(quoted) - 6).alias("text"))
-    rule = F.when(F.col("_known").isNull(), "chunk_unknown").when(F.col("start").isNull() | F.col("end").isNull(), "range_invalid").otherwise("range_crosses")
-    return rebuilt(found, added), got.where("chapter_id is null").select("id", "path", rule.alias("rule"))
+    quoted = F.when(F.col("chapter_id").isNotNull(), quoted.substr(F.lit(6), F.length(quoted) - 6))
+    one = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), quoted.alias("chapter"), F.col("chunk_id").alias("chunk"))
+    held = ranges.groupBy(F.col("id").alias("_id")).agg(F.to_json(F.array_sort(F.collect_list(one))).alias("_r"))
+
+    @F.pandas_udf("string")
+    def rewrite(texts: pd.Series, held: pd.Series) -> pd.Series:
+        return pd.Series([with_plain(t, ranges_of(r)) for t, r in zip(texts, held, strict=True)], dtype=object)
+
+    @F.pandas_udf("array<struct<path:string,rule:string>>")
+    def broken(texts: pd.Series, held: pd.Series) -> pd.Series:
+        return pd.Series([[{"path": p, "rule": x} for p, x in rewritten(t, ranges_of(r))[1]] for t, r in zip(texts, held, strict=True)], dtype=object)
+
+    rows = docs.select(F.col(key).alias("id"), F.to_json(F.try_parse_json(json)).alias("_text")).where("_text is not null").join(held, F.col("id") == F.col("_id"), "left")
+    bad = rows.select("id", F.explode(broken("_text", "_r")).alias("_b")).select("id", "_b.path", "_b.rule")
+    return rows.select("id", rewrite("_text", "_r").alias("json")), bad

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.operators import chains, rolling_scan, trees
+from foliant.operators.batches import pieces
 from foliant.operators.paging import pages
 from foliant.plans.base import oracle, query, read
 from foliant.sources.events import EventSource
@@ -209,16 +210,23 @@ SELECT o_orderkey AS id, '{{"items":' || coalesce(items, '[]') || ',"order":{{"i
 def tree_rewrite(spark, sf_dir):
     """K-06: an answer an order, its lines nested as deep as their numbers; every
     reference in it gets its chapter."""
-    line = read(spark, sf_dir, "lineitem", F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), "l_suppkey")
-    chunk = F.when(F.col("l_suppkey") % 10 == 0, "other").otherwise(F.concat(F.lit("c"), (F.col("id") % 5).cast("string")))
-    line = line.select("id", "n", "p", chunk.alias("chunk"), (F.col("n") * 3).alias("s"), (F.col("n") * 3 + F.col("p") % 4).alias("e"))
-    ref = F.to_json(F.struct(F.col("chunk").alias("chunkId"), F.struct(F.col("s").alias("start"), F.col("e").alias("end")).alias("paragraphRange")))
-    item = F.concat(F.repeat(F.lit('{"in":'), F.col("n")), ref, F.repeat(F.lit("}"), F.col("n")))
-    items = line.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "p", "s", "e", "chunk", item.alias("x")))), lambda v: v["x"]), ",").alias("items"))
-    o = read(spark, sf_dir, "orders", F.col("o_orderkey").alias("id"), "o_orderstatus").join(items, "id", "left")
-    whole = F.concat(F.lit('{"order":'), F.to_json(F.struct("id", F.col("o_orderstatus").alias("status"))), F.lit(',"items":['), F.coalesce("items", F.lit("")), F.lit("]}"))
+    line = read(spark, sf_dir, "lineitem", F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), (F.col("l_suppkey") % 10 == 0).alias("other"))
+    own = F.concat(F.lit("c"), (F.col("id") % 5).cast("string"))
+    # numbers move and texts are made where an order's lines are together; of equal lines the one of the order's own chunk is the first
+    n = pieces(spark, line.count())
+    by = line.repartition(n, "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "p", "other"))).alias("lines"))
+
+    def item(v):
+        start = v["n"] * 3
+        ref = F.to_json(F.struct(F.when(v["other"], "other").otherwise(own).alias("chunkId"), F.struct(start.alias("start"), (start + v["p"] % 4).alias("end")).alias("paragraphRange")))
+        return F.concat(F.repeat(F.lit('{"in":'), v["n"]), ref, F.repeat(F.lit("}"), v["n"]))
+
+    orders = read(spark, sf_dir, "orders", F.col("o_orderkey").alias("id"), "o_orderstatus").repartition(n, "id")
+    o = orders.join(by, "id", "left")
+    items = F.array_join(F.transform("lines", item), ",")
+    whole = F.concat(F.lit('{"order":'), F.to_json(F.struct("id", F.col("o_orderstatus").alias("status"))), F.lit(',"items":['), F.coalesce(items, F.lit("")), F.lit("]}"))
     chapters = F.explode(F.array(F.struct(F.lit("ch1").alias("chapter_id"), F.lit(1).alias("start"), F.lit(10).alias("end")), F.struct(F.lit("ch2").alias("chapter_id"), F.lit(11).alias("start"), F.lit(20).alias("end"))))
-    ranges = o.select("id", F.concat(F.lit("c"), (F.col("id") % 5).cast("string")).alias("chunk_id"), chapters.alias("x")).select("id", "chunk_id", "x.*")
+    ranges = orders.select("id", own.alias("chunk_id"), chapters.alias("x")).select("id", "chunk_id", "x.*")
     return trees.with_chapters(o.select("id", whole.alias("json")), ranges)[0]
 
 
