@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -108,30 +109,45 @@ def apply_state_changes(facts: DataFrame, conflicts: DataFrame, transitions: Dat
     value, supersedes, superseded_by, reason) and (novel_id, conflict_id, status,
     resolved_by).
     """
-    rows = facts.select("novel_id", F.lit("fact").alias("what"), F.lit(0).cast("long").alias("ord"), "id", F.lit(None).cast("string").alias("other"), "key", "value", F.col("superseded_by").alias("extra"))
-    rows = rows.unionByName(conflicts.select("novel_id", F.lit("conflict").alias("what"), F.lit(0).cast("long").alias("ord"), F.col("incoming_id").alias("id"), F.col("existing_id").alias("other"), "key", "value", F.col("conflict_id").alias("extra")))
-    rows = rows.unionByName(transitions.select("novel_id", F.lit("change").alias("what"), F.col("ord").cast("long").alias("ord"), F.col("incoming_id").alias("id"), F.col("existing_id").alias("other"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("extra")))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        novel = pdf["novel_id"].iloc[0]
-        of = lambda w: pdf[pdf["what"] == w].sort_values(["ord", "id"]).itertuples(index=False)
-        # id: [key, value, supersedes, superseded_by, reason]
-        held = {r.id: [r.key, r.value, None, r.extra, None] for r in of("fact")}
-        open_ = {(r.other, r.id): r for r in of("conflict")}
-        status = {r.extra: ("open", None) for r in open_.values()}
-        for t in of("change"):
-            c, old = open_.get((t.other, t.id)), held.get(t.other)
-            if c is None or old is None or old[3] is not None or t.id in held or old[0] != c.key:
-                continue
-            old[3] = t.id
-            held[t.id] = [c.key, c.value, t.other, None, "state_change"]
-            status[c.extra] = ("resolved", t.id)
-        out = [(novel, "fact", i, *v) for i, v in held.items()] + [(novel, "conflict", i, None, None, s, by, None) for i, (s, by) in status.items()]
-        return pd.DataFrame(out, columns=["novel_id", "what", "id", "key", "value", "a", "b", "reason"])
-
-    got = rows.groupBy("novel_id").applyInPandas(fold, "novel_id string, what string, id string, key string, value string, a string, b string, reason string")
-    after = got.where("what = 'fact'").select("novel_id", "id", "key", "value", F.col("a").alias("supersedes"), F.col("b").alias("superseded_by"), "reason")
-    return after, got.where("what = 'conflict'").select("novel_id", F.col("id").alias("conflict_id"), F.col("a").alias("status"), F.col("b").alias("resolved_by"))
+    none = F.lit(None).cast("string")
+    rows = facts.select("novel_id", F.lit(0).alias("what"), F.lit(0).cast("long").alias("ord"), "id", none.alias("other"), "key", "value", F.col("superseded_by").alias("extra"))
+    rows = rows.unionByName(conflicts.select("novel_id", F.lit(1).alias("what"), F.lit(0).cast("long").alias("ord"), F.col("incoming_id").alias("id"), F.col("existing_id").alias("other"), "key", "value", F.col("conflict_id").alias("extra")))
+    rows = rows.unionByName(transitions.select("novel_id", F.lit(2).alias("what"), F.col("ord").cast("long").alias("ord"), F.col("incoming_id").alias("id"), F.col("existing_id").alias("other"), none.alias("key"), none.alias("value"), none.alias("extra")))
+    # a partition's novels come one after the other, each its facts, its conflicts and its changes in order: batches hold many novels, and a task one
+    rows = rows.repartition("novel_id").sortWithinPartitions("novel_id", "what", F.asc_nulls_last("ord"), F.asc_nulls_last("id"))
+
+    def folded(told: Callable[[str | None, dict, dict], Iterator[tuple]], columns: list[str]):
+        def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, begun = None, False
+            held: dict[str, list] = {}  # id: [key, value, supersedes, superseded_by, reason]
+            open_: dict[tuple, tuple] = {}
+            status: dict[str, tuple] = {}
+            for pdf in frames:
+                out: list[tuple] = []
+                for novel, what, ident, other, key, value, extra in zip(*(pdf[c].tolist() for c in ("novel_id", "what", "id", "other", "key", "value", "extra")), strict=True):
+                    if not begun or novel != now:
+                        out += told(now, held, {x: status.get(x, ("open", None)) for _, _, x in open_.values()}) if begun else []
+                        now, begun, held, open_, status = novel, True, {}, {}, {}
+                    if what == 0:
+                        held[ident] = [key, value, None, extra, None]
+                    elif what == 1:
+                        open_[other, ident] = (key, value, extra)
+                    else:
+                        c, old = open_.get((other, ident)), held.get(other)
+                        if c is None or old is None or old[3] is not None or ident in held or old[0] != c[0]:
+                            continue
+                        old[3] = ident
+                        held[ident] = [c[0], c[1], other, None, "state_change"]
+                        status[c[2]] = ("resolved", ident)
+                yield pd.DataFrame(out, columns=columns)
+            if begun:
+                yield pd.DataFrame(list(told(now, held, {x: status.get(x, ("open", None)) for _, _, x in open_.values()})), columns=columns)
+
+        kind = rows.schema["novel_id"].dataType.simpleString()
+        return rows.mapInPandas(task, f"novel_id {kind}, " + ", ".join(f"{c} string" for c in columns[1:]))
+
+    after = folded(lambda novel, held, _: ((novel, i, *v) for i, v in held.items()), ["novel_id", "id", "key", "value", "supersedes", "superseded_by", "reason"])
+    return after, folded(lambda novel, _, status: ((novel, i, s, by) for i, (s, by) in status.items()), ["novel_id", "conflict_id", "status", "resolved_by"])
 
 
 def residual_conflicts(decisions: DataFrame, issues: DataFrame) -> DataFrame:
