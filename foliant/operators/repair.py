@@ -44,13 +44,17 @@ def allowed_transitions(issues: DataFrame, facts: DataFrame) -> DataFrame:
     f = facts.select("id", "kind", norm_text(F.col("subject_id")).alias("_s"), key.alias("_k"), canonical_predicate(F.col("predicate")).alias("_f"), norm_text(F.col("value")).alias("_v"), told.alias("_t"))
     old = f.select("_s", "_k", F.col("kind").alias("kind"), "_f", F.col("id").alias("existing_id"), F.col("_v").alias("_a"), F.col("_t").alias("_ta"))
     new = f.select("_k", F.col("id").alias("incoming_id"), F.col("_v").alias("_b"), F.col("_t").alias("_tb"))
-    got = i.join(old, "_s").join(new, "_k").where("existing_id <> incoming_id")
+    # a field's issues have one kind of rule each; for scalars the values are keys of the joins, so no pair is made that doesn't account for the change
+    asked = i.where("_p is not null").select("issue_id", "_s", F.col("_p").alias("_f"), norm_text(F.col("exit")).alias("_a"), norm_text(F.col("entry")).alias("_b"))
+    scalar = asked.join(old.select("_s", "_k", "_f", "_a", "existing_id"), ["_s", "_f", "_a"]).join(new.select("_k", "_b", "incoming_id"), ["_k", "_b"])
+    by_lists = i.where("entity_type = 'character' and field in ('knowledge', 'activeGoals')")
+    got = by_lists.join(old.where("kind in ('knowledge', 'constraint', 'character')"), "_s").join(new, "_k")
     terms = lambda c: F.transform(F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")), norm_text)
-    scalar = (F.col("_p") == F.col("_f")) & (F.col("_a") == norm_text(F.col("exit"))) & (F.col("_b") == norm_text(F.col("entry")))
     said = F.concat("_ta", "_tb")
-    knows = (F.col("entity_type") == "character") & (F.col("field") == "knowledge") & (F.col("kind") == "knowledge") & F.exists(changed_terms(terms("exit"), terms("entry")), lambda t: (F.length(t) >= 2) & F.contains(said, t))
-    goal = (F.col("entity_type") == "character") & (F.col("field") == "activeGoals") & F.col("kind").isin("constraint", "character") & F.array_contains(terms("exit"), F.col("_a")) & F.array_contains(terms("entry"), F.col("_b")) & (F.col("_a") != F.col("_b"))
-    return got.where(F.coalesce(scalar, F.lit(False)) | knows | goal).select("issue_id", "existing_id", "incoming_id")
+    knows = (F.col("field") == "knowledge") & (F.col("kind") == "knowledge") & F.exists(changed_terms(terms("exit"), terms("entry")), lambda t: (F.length(t) >= 2) & F.contains(said, t))
+    goal = (F.col("field") == "activeGoals") & F.col("kind").isin("constraint", "character") & F.array_contains(terms("exit"), F.col("_a")) & F.array_contains(terms("entry"), F.col("_b")) & (F.col("_a") != F.col("_b"))
+    out = ["issue_id", "existing_id", "incoming_id"]
+    return scalar.where("existing_id <> incoming_id").select(*out).unionByName(got.where("existing_id <> incoming_id").where(knows | goal).select(*out))
 
 
 def changed_terms(left: Column, right: Column) -> Column:
