@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.batches import pieces
+
 #: Characters of needles that one search holds at once.
 SHARD_CHARS = 2_000_000
 #: Longest anchor of a needle, in bytes.
@@ -101,16 +103,28 @@ def contains_join(texts: DataFrame, needles: DataFrame, text: str, needle: str)
 
 
 def cooccurrence(members: DataFrame, group: str, member: str) -> DataFrame:
-    """G-06, J-08, A-03: (source, target, weight) of members of one group."""
-    one = members.select(group, member).distinct()
+    """G-06, J-08, A-03: (source, target, weight) of members of one group.
+
+    Members and pairs are counted first and dealt to as many tasks, so what a task
+    holds doesn't grow with them; a pair of many groups is counted in parts.
+    """
+    spark = members.sparkSession
+    two = members.select(group, member)
+    one = two.repartition(pieces(spark, two.count()), group).distinct()
+    of = one.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(member).alias("n"))
+    n = pieces(spark, int(of.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0))).first()[0]), 1 << 20)
     a, b = one.select(group, F.col(member).alias("source")), one.select(group, F.col(member).alias("target"))
-    return a.join(b, group).where("source < target").groupBy("source", "target").agg(F.count("*").alias("weight"))
+    pairs = a.join(b, group).where("source < target").select("source", "target", F.pmod(F.xxhash64(group), F.lit(16)).alias("_part"))
+    part = pairs.repartition(n, "source", "target", "_part").groupBy("source", "target", "_part").agg(F.count("*").alias("weight"))
+    return part.repartition(n, "source", "target").groupBy("source", "target").agg(F.sum("weight").alias("weight"))
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """A-13: (node, degree) with edges counted from both ends."""
-    both = edges.select(F.col("source").alias("node"), F.col("target").alias("other")).union(edges.select("target", "source"))
-    return both.groupBy("node").agg(F.count_distinct("other").alias("degree"))
+def degrees(edges: DataFrame, once: bool = False) -> DataFrame:
+    """A-13: (node, degree) with edges counted from both ends; ``once`` where no two
+    edges have the same ends, either way round."""
+    ends = F.explode(F.array(F.struct(F.col("source").alias("node"), F.col("target").alias("other")), F.struct(F.col("target").alias("node"), F.col("source").alias("other"))))
+    both = edges.select(ends.alias("x")).select("x.*")
+    return both.groupBy("node").agg((F.count("other") if once else F.count_distinct("other")).alias("degree"))
 
 
 def neighbours(edges: DataFrame, node: Column) -> DataFrame:
