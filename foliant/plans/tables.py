@@ -61,7 +61,7 @@ def cooccurrence_edges(spark, sf_dir):
 
 @query(f"WITH {EDGES}, b AS (SELECT source AS node, target AS o FROM e UNION ALL SELECT target, source FROM e) SELECT node, count(DISTINCT o)::BIGINT AS degree FROM b GROUP BY node")
 def graph_degree(spark, sf_dir):
-    return R.degrees(edges(spark, sf_dir))
+    return R.degrees(edges(spark, sf_dir), once=True)
 
 
 @query(f"WITH {EDGES} SELECT CASE WHEN source = 7 THEN target ELSE source END AS neighbour, weight FROM e WHERE source = 7 OR target = 7")
