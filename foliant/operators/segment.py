@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators.batches import small_batches
 from foliant.operators.runs import Runs
 
 TARGET, OVERLAP = 25_000, 800
@@ -188,6 +189,7 @@ def split_oversized(novels: DataFrame, target: int = TARGET, overlap: int = OVER
     """C-01: paragraphs that don't fit a core, or are long enough to be cut for
     overlap, are split by sentence; (novel_id, paras)."""
     check_budgets(target, overlap)
+    small_batches(novels.sparkSession)
 
     @F.pandas_udf("array<string>")
     def cut(col: pd.Series) -> pd.Series:
