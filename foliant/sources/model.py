@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from itertools import batched
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import trim
+from foliant.sources.stage import staged
 
 FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```"
 
@@ -49,11 +51,19 @@ def in_flight(call: Callable[[str], str], messages: Iterator[tuple], most: int)
         pool.shutdown(wait=False, cancel_futures=True)
 
 
+#: Bytes of messages that one task of a pool reads at most, or about.
+TASK_BYTES = 128 << 20
+
+
 def live(requests: DataFrame, call: Callable[[str], str], workers: int, each: int = 1) -> DataFrame:
     """E-01, M-04: (request_id, raw, error): answers by ``call`` on (request_id,
     message) rows: ``workers`` tasks with at most ``each`` calls under way in one.
     Rows of a task keep their order whatever their calls take.  A failed call
-    gives its error instead; a null message is asked like any other."""
+    gives its error instead; a null message is asked like any other.
+
+    Messages of more than TASK_BYTES a task are dealt to waves of ``workers`` tasks
+    that are asked one after the other, their answers written: what a task reads
+    doesn't grow with the requests, and no more calls are under way."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked = ((r.request_id, r.message) for pdf in frames for r in pdf.itertuples(index=False))
@@ -61,7 +71,14 @@ def live(requests: DataFrame, call: Callable[[str], str], workers: int, each: in
             yield pd.DataFrame(list(some), columns=["request_id", "raw", "error"])
 
     kind = requests.schema["request_id"].dataType.simpleString()
-    return requests.select("request_id", "message").repartition(workers).mapInPandas(task, f"request_id {kind}, raw string, error string")
+    ask = lambda rows: rows.repartition(workers).mapInPandas(task, f"request_id {kind}, raw string, error string")
+    rows = requests.select("request_id", "message")
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("message"), F.lit(0)) + 16)).first()[0] or 0
+    waves = -(-size // (workers * TASK_BYTES))
+    if waves <= 1:
+        return ask(rows)
+    dealt = staged(rows.withColumn("_wave", (F.monotonically_increasing_id() % waves).cast("int")), "_wave")
+    return reduce(DataFrame.unionByName, [staged(ask(dealt.where(F.col("_wave") == k).drop("_wave"))) for k in range(waves)])
 
 
 class Calls:

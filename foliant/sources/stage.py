@@ -24,10 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written and read back."""
+def staged(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written, in folders by the columns ``by``, and read back."""
     path = f"{shared_dir(df.sparkSession)}/foliant-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
