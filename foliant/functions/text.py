@@ -12,9 +12,9 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The white-space class, and line ends in matching order.
+#: The white-space class and its characters.
 WS = r"[\t\n\x0b\x0c\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
-LINE_END = r"\r\n|\n|\r"
+SPACES = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 PILCROW = "¶"
 
 #: Spellings of predicates that mean the same.
@@ -41,7 +41,7 @@ PREDICATE_ALIASES = {
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def solid_chars(text: Column) -> Column:
@@ -60,12 +60,18 @@ def utf16_units(text: Column) -> Column:
 
 def numbered_cost(text: Column, n: Column) -> Column:
     """X-03: length of a paragraph with its number in front."""
-    return F.length(text) + F.length(F.concat(F.lit(PILCROW), n.cast("string"), F.lit(" ")))
+    return numbered_size(F.length(text), n)
+
+
+def numbered_size(length: Column, n: Column) -> Column:
+    """X-03 of a paragraph of which only the length is at hand."""
+    return length + F.length(F.concat(F.lit(PILCROW), n.cast("string"), F.lit(" ")))
 
 
 def lines(text: Column) -> Column:
-    """X-05: the trimmed, non-empty lines as an array."""
-    return F.filter(F.transform(F.split(text, LINE_END), trim), lambda x: F.length(x) > 0)
+    """X-05: the trimmed, non-empty lines as an array.  A line end of two
+    characters counts as two, what lies between is empty."""
+    return F.filter(F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("\n")), "\n"), trim), lambda x: F.length(x) > 0)
 
 
 def norm_text(value: Column) -> Column:

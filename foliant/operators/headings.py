@@ -6,13 +6,15 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
-from foliant.functions.text import WS, numbered_cost, padded_id, solid_chars, trim
+from foliant.functions.text import SPACES, WS, numbered_cost, numbered_size, padded_id, solid_chars, trim
+from foliant.operators.batches import small_batches
 from foliant.operators.segment import OPENING, WHOLE
 from foliant.operators.runs import Runs
 from foliant.operators.sequences import even_sample
@@ -91,8 +93,20 @@ def _classified(form: Column) -> Column:
     return let(form["display"], lambda shown: let(F.regexp_replace(shown, WS, ""), lambda compact: kinds(shown, compact)))
 
 
-#: What a heading of ASCII characters starts with, whatever its form.
-ASCII_START = r"(?i)^(?:[#\[*_]|\d{1,4}\.|part|book|volume|chapter|section|prologue|epilogue|preface|foreword|afterword)"
+#: What a heading of ASCII characters starts with, whatever its form, and the starts
+#: that normalisation may make one of these or a heading of other characters: of the
+#: ASCII characters before the first other one, only the last can be changed by it, and
+#: Latin letters with marks (C0 to FF) stay what they are and change none.
+WORDS = ("part", "book", "volume", "chapter", "section", "prologue", "epilogue", "preface", "foreword", "afterword")
+ASCII_START = rf"(?i)^(?:[#\[*_]|\d{{1,4}}\.|{'|'.join(WORDS)})"
+OTHER_START = rf"^(?:\d{{0,4}}|(?i:{'|'.join(sorted({w[:k] for w in WORDS for k in range(1, len(w))}, reverse=True))}))[\x00-\x7f]?[^\x00-\x7f\xc0-\xff]"
+HEAD = 12
+
+
+def may_open(text: Column) -> Column:
+    """Whether a text's first characters can be those of a heading."""
+    head = F.substring(F.ltrim(text, F.lit(SPACES)), 1, HEAD)
+    return head.rlike(ASCII_START) | head.rlike(OTHER_START)
 
 
 def classify(paragraphs: DataFrame, text: str = "text") -> DataFrame:
@@ -101,13 +115,12 @@ def classify(paragraphs: DataFrame, text: str = "text") -> DataFrame:
 
     Normalisation joins at most four characters to one, so texts of over LONGEST,
     four times MAX_HEADING and some marks, can't qualify and are dropped first, as
-    are texts in ASCII that start like no heading.  Only texts with other characters
-    are normalised; the others cross to Python as nulls.  A generator gives one
+    are texts that start like no heading.  Only texts with characters that aren't
+    ASCII are normalised; the others cross to Python as nulls.  A generator gives one
     row to what fits and none to the rest, so nothing is computed a second time
     for a filter.
     """
-    rows = paragraphs.where(solid_chars(F.col(text)) <= LONGEST).withColumn("_t", trim(F.col(text)))
-    rows = rows.where(F.col("_t").rlike(r"[^\x00-\x7f]") | F.col("_t").rlike(ASCII_START))
+    rows = paragraphs.where(may_open(F.col(text)) & (solid_chars(F.col(text)) <= LONGEST)).withColumn("_t", trim(F.col(text)))
     rows = rows.withColumn("_u", nfkc(F.when(F.col("_t").rlike(r"[^\x00-\x7f]"), F.col("_t"))))
     fits = F.filter(F.array(let(unwrap(F.coalesce("_u", "_t")), _classified)), lambda x: x["fits"])
     rows = rows.select(*paragraphs.columns, F.explode(fits).alias("_h"))
@@ -149,6 +162,27 @@ def with_context(paragraphs: DataFrame) -> DataFrame:
     return runs.table().withColumns(near).drop("_head", "_own")
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _totals(values: pd.Series, at: pd.Series) -> pd.Series:
+    """The total of an array's values up to each of the positions ``at``."""
+    return pd.Series([None if v is None else np.cumsum(np.asarray(v, np.int64))[np.asarray(i, np.int64)] for v, i in zip(values, at, strict=True)], dtype=object)
+
+
+def context_of(novels: DataFrame, paras: str = "paras") -> DataFrame:
+    """``with_context`` where a novel's paragraphs lie in one array: only those
+    that may be headings become rows, no text moves, and totals are made of novels
+    that have some."""
+    small_batches(novels.sparkSession)
+    at = F.array_compact(F.transform(paras, lambda x, i: F.when(may_open(x) & (solid_chars(x) <= LONGEST), i)))
+    rows = novels.select("novel_id", F.col(paras).alias("_p"), at.alias("_at"))
+    head = lambda i: F.coalesce(F.substring(F.get("_p", i), 1, 80), F.lit(""))
+    row = lambda i: F.struct((i + 1).alias("n"), F.get("_p", i).alias("text"), head(i - 1).alias("before"), head(i + 1).alias("after"))
+    own = F.when(F.size("_at") > 0, F.transform("_p", solid_chars))
+    rows = rows.select("novel_id", F.transform("_at", row).alias("_h"), _totals(own, F.col("_at")).alias("_upto"))
+    rows = rows.select("novel_id", F.explode(F.arrays_zip("_h", "_upto")).alias("_x"))
+    return rows.select("novel_id", "_x._h.*", F.col("_x._upto").alias("upto"))
+
+
 def gaps(candidates: DataFrame) -> DataFrame:
     """H-05: characters since the candidate before and until the next, from the
     running totals ``upto`` of all paragraphs."""
@@ -204,10 +238,12 @@ def boundaries(picks: DataFrame) -> DataFrame:
     return rows.select("novel_id", "n", kind.alias("kind"))
 
 
-def materialize(bounds: DataFrame, paragraphs: DataFrame) -> DataFrame:
+def materialize(bounds: DataFrame, paragraphs: DataFrame | None, size: DataFrame | None = None) -> DataFrame:
     """H-15: (novel_id, idx, id, title, start, end) of the chapters that
-    ``bounds`` (novel_id, n, title) open."""
-    size = paragraphs.groupBy("novel_id").agg(F.max("n").alias("last"), F.min("n").alias("one"))
+    ``bounds`` (novel_id, n, title) open; ``size``: (novel_id, one, last), the
+    first and last paragraph, where they are at hand."""
+    if size is None:
+        size = paragraphs.groupBy("novel_id").agg(F.max("n").alias("last"), F.min("n").alias("one"))
     head = bounds.groupBy("novel_id").agg(F.min("n").alias("low"))
     lead = size.join(head, "novel_id", "left").where("low is null or low > one").select("novel_id", F.col("one").alias("n"), F.when(F.col("low").isNull(), WHOLE).otherwise(OPENING).alias("title"))
     w = W.partitionBy("novel_id").orderBy("n")
@@ -225,6 +261,18 @@ def cost_of_range(paragraphs: DataFrame, ranges: DataFrame) -> DataFrame:
     return got.withColumn("cost", F.col("b") - F.col("a") - 1).drop("a", "b")
 
 
+def cost_of_chapters(chapters: DataFrame, lengths: DataFrame) -> DataFrame:
+    """J-05 for ranges that don't overlap, from ``lengths`` (novel_id, lengths),
+    one array a novel: ``chapters`` with cost."""
+    cost = lambda x, i, r: (numbered_size(x, i + r["start"]) + 1).cast("long")
+    part = lambda r: F.slice("lengths", r["start"].cast("int"), (r["end"] - r["start"] + 1).cast("int"))
+    total = lambda r: F.aggregate(F.transform(part(r), lambda x, i: cost(x, i, r)), F.lit(-1).cast("long"), lambda a, x: a + x)
+    by = chapters.groupBy("novel_id").agg(F.collect_list(F.struct(*(c for c in chapters.columns if c != "novel_id"))).alias("_r"))
+    rows = by.join(lengths.select("novel_id", "lengths"), "novel_id")
+    rows = rows.select("novel_id", F.explode(F.transform("_r", lambda r: F.struct(r.alias("r"), total(r).alias("cost")))).alias("_x"))
+    return rows.select("novel_id", "_x.r.*", "_x.cost")
+
+
 def evidence_pages(rows: DataFrame, budget: int = 300_000) -> DataFrame:
     """H-09: (novel_id, n, page): rows in order, pages filled up to ``budget``
     characters with one between rows; each row on one page."""

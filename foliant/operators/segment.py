@@ -29,6 +29,8 @@ BEFORE = "【重叠上文：只用于理解衔接，不重复提取事实】"
 CORE = "【核心文本：本次只对这个区间提取事实】"
 AFTER = "【重叠下文：只用于理解衔接，不重复提取事实】"
 SENTENCE_ENDS = "。！？!?；;"
+#: Fixed value: what the number of a paragraph takes at most, whatever a novel holds.
+NUMBER = 12
 
 CHUNK = "array<struct<idx:int,start:int,end:int,core_chars:long,before:int,after:int,context_chars:long>>"
 
@@ -47,7 +49,7 @@ def paragraphs(novels: DataFrame, novel_id: str = "novel_id", text: str = "text"
 
 def input_guard(text: Column) -> Column:
     """S-04: 'chars', 'bytes' or 'ok'."""
-    return F.when(T.solid_chars(text) > MAX_CHARS, "chars").when(F.octet_length(text) > MAX_BYTES, "bytes").otherwise("ok")
+    return F.when((F.length(text) > MAX_CHARS) & (T.solid_chars(text) > MAX_CHARS), "chars").when(F.octet_length(text) > MAX_BYTES, "bytes").otherwise("ok")
 
 
 def is_chapter(text: Column) -> Column:
@@ -113,13 +115,14 @@ def overlaps(costs: np.ndarray, a: int, b: int, overlap: int, total: np.ndarray)
     return min(lo, a), max(hi, b)
 
 
-def chunks(novels: DataFrame, target: int = TARGET, overlap: int = OVERLAP, novel_id: str = "novel_id", paras: str = "paras", starts: str | None = None, hints: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def chunks(novels: DataFrame, target: int = TARGET, overlap: int = OVERLAP, novel_id: str = "novel_id", paras: str = "paras", starts: str | None = None, hints: str | None = None, keep: tuple[str, ...] = (), lengths: str | None = None) -> DataFrame:
     """C-09: (novel_id, idx, start, end, core_chars, before, after,
     context_chars) and the columns of ``keep``, one row a chunk; before and after
     are null without overlap.
 
-    ``paras`` is the array of paragraph texts; ``starts`` and ``hints`` arrays of
-    paragraph numbers that open chapters and sections.
+    ``paras`` is the array of paragraph texts, or ``lengths`` that of their
+    lengths; ``starts`` and ``hints`` arrays of paragraph numbers that open
+    chapters and sections.
     """
     check_budgets(target, overlap)
 
@@ -139,7 +142,7 @@ def chunks(novels: DataFrame, target: int = TARGET, overlap: int = OVERLAP, nove
             out.append(rows)
         return pd.Series(out)
 
-    costs = F.transform(F.col(paras), lambda x, i: T.numbered_cost(x, i + 1))
+    costs = F.transform(F.col(lengths), lambda x, i: T.numbered_size(x, i + 1)) if lengths else F.transform(F.col(paras), lambda x, i: T.numbered_cost(x, i + 1))
     none = F.array().cast("array<int>")
     got = novels.select(F.col(novel_id).alias("novel_id"), *keep, F.explode(pack(costs, F.col(starts) if starts else none, F.col(hints) if hints else none)).alias("c"))
     return got.select("novel_id", *keep, "c.*")
@@ -187,14 +190,17 @@ def split_by_budget(text: str, most: int) -> list[str]:
 
 def split_oversized(novels: DataFrame, target: int = TARGET, overlap: int = OVERLAP, novel_id: str = "novel_id", paras: str = "paras") -> DataFrame:
     """C-01: paragraphs that don't fit a core, or are long enough to be cut for
-    overlap, are split by sentence; (novel_id, paras)."""
+    overlap, are split by sentence; (novel_id, paras).  Only novels that may have
+    one cross to Python: numbers leave a paragraph at most NUMBER characters less."""
     check_budgets(target, overlap)
     small_batches(novels.sparkSession)
 
     @F.pandas_udf("array<string>")
     def cut(col: pd.Series) -> pd.Series:
-        def one(texts) -> list[str]:
-            texts = list(texts) if texts is not None else []
+        def one(texts) -> list[str] | None:
+            if texts is None:
+                return None
+            texts = list(texts)
             room = len(str(max(1, len(texts), sum(map(len, texts))))) + 2
             core, over = target - room, overlap - room
             if core <= 0 and texts:
@@ -204,7 +210,10 @@ def split_oversized(novels: DataFrame, target: int = TARGET, overlap: int = OVER
 
         return col.map(one)
 
-    return novels.select(F.col(novel_id).alias("novel_id"), cut(F.col(paras)).alias("paras"))
+    rows = novels.select(F.col(novel_id).alias("novel_id"), F.col(paras).alias("paras"))
+    least = min(target - NUMBER, max(overlap - NUMBER, 255)) if overlap > 0 else target - NUMBER
+    long = F.exists("paras", lambda x: F.length(x) > least)
+    return rows.select("novel_id", F.coalesce(cut(F.when(long, F.col("paras"))), "paras", F.array().cast("array<string>")).alias("paras"))
 
 
 def greedy_bins(sizes: Column, budget: int, joiner: int = 0) -> Column:

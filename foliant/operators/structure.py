@@ -133,16 +133,22 @@ def resolve(answers: DataFrame, candidates: DataFrame, page_of: DataFrame | None
     return Structure(novels.join(by, "novel_id", "left").select("novel_id", status.alias("status")), headings, bounds, toc, issues)
 
 
-def chapter_rows(structure: Structure, paragraphs: DataFrame) -> DataFrame:
+def chapter_rows(structure: Structure, paragraphs: DataFrame | None, lengths: DataFrame | None = None) -> DataFrame:
     """H-15 with all columns: (novel_id, idx, id, title, kind, heading, start,
-    end, char_count) of every novel of ``paragraphs``.  What lies before the
-    first boundary is front matter; a novel that falls back is one chapter."""
+    end, char_count) of every novel of ``paragraphs``, or of ``lengths``
+    (novel_id, lengths), one array a novel, where they are at hand.  What lies
+    before the first boundary is front matter; a novel that falls back is one
+    chapter."""
     bounds = structure.bounds.where("kind = 'boundary'").select("novel_id", "n").join(structure.headings, ["novel_id", "n"]).join(structure.status.where("status <> 'fallback'"), "novel_id", "left_semi")
-    rows = H.materialize(bounds.select("novel_id", "n", "title"), paragraphs)
+    size = None if lengths is None else lengths.where(F.size("lengths") > 0).select("novel_id", F.lit(1).alias("one"), F.size("lengths").alias("last"))
+    rows = H.materialize(bounds.select("novel_id", "n", "title"), paragraphs, size)
     rows = rows.join(bounds.select("novel_id", F.col("n").alias("start"), F.col("n").alias("heading"), "role"), ["novel_id", "start"], "left")
     kind = F.coalesce("role", F.when(F.col("title") == S.OPENING, "front_matter").otherwise("fallback"))
-    costs = H.cost_of_range(paragraphs, rows.select("novel_id", "start", "end"))
-    return rows.join(costs, ["novel_id", "start", "end"]).select("novel_id", "idx", "id", "title", kind.alias("kind"), "heading", "start", "end", F.col("cost").alias("char_count"))
+    if lengths is None:
+        costed = rows.join(H.cost_of_range(paragraphs, rows.select("novel_id", "start", "end")), ["novel_id", "start", "end"])
+    else:
+        costed = H.cost_of_chapters(rows, lengths)
+    return costed.select("novel_id", "idx", "id", "title", kind.alias("kind"), "heading", "start", "end", F.col("cost").alias("char_count"))
 
 
 def prepare(novels: DataFrame, target: int = S.TARGET, overlap: int = S.OVERLAP, novel_id: str = "novel_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -224,21 +230,25 @@ def chunk_rows(chunks: DataFrame, chapters: DataFrame) -> DataFrame:
 def chapter_first(novels: DataFrame, answer, target: int = S.TARGET, overlap: int = S.OVERLAP) -> dict[str, DataFrame]:
     """H-18: novels (novel_id, text) to chapters and chunks on one numbering of
     paragraphs.  ``answer`` gives answers (novel_id, page, raw) to evidence
-    (novel_id, n, row, page).  The result has paragraphs, candidates, structure
-    (status and issues), chapters, chunks and rejected; the tables between the
-    steps are written to the shared folder."""
+    (novel_id, n, row, page).  The result has arrays and paragraphs, candidates,
+    structure (status and issues), chapters, chunks and rejected; the tables
+    between the steps are written to the shared folder.
+
+    A novel's texts stay in the array where they were made: headings are looked
+    for there, and chapters and chunks are made of the paragraphs' lengths."""
     arrays, rejected = prepare(novels, target, overlap)
-    arrays = staged(arrays)
+    arrays = staged(arrays.withColumn("lengths", F.transform("paras", lambda x: F.length(x))))
+    lengths = arrays.select("novel_id", "lengths")
     paragraphs = arrays.select("novel_id", F.posexplode("paras").alias("i", "text")).select("novel_id", (F.col("i") + 1).alias("n"), "text")
-    found = staged(H.duplicates(H.gaps(H.classify(H.with_context(paragraphs)))))
-    kept = found.join(H.sample(found).select("novel_id", "n"), ["novel_id", "n"], "left_semi")
+    found = staged(H.duplicates(H.gaps(staged(H.classify(H.context_of(arrays))))))
+    kept = staged(found.join(H.sample(found).select("novel_id", "n"), ["novel_id", "n"], "left_semi"))
     limited = H.over_limit(H.counts(found)).where("fallback").select("novel_id")
     shown = staged(pages(kept))
     made = resolve(staged(answer(shown)), kept, shown.select("novel_id", "n", "page"), limited)
     made = Structure(*(staged(t) for t in made))
-    chapters = staged(chapter_rows(made, paragraphs))
-    hints, _ = split_hints(made.bounds.where("kind = 'hint'").select("novel_id", "n"), paragraphs)
+    chapters = staged(chapter_rows(made, None, lengths))
+    hints, _ = split_hints(made.bounds.where("kind = 'hint'").select("novel_id", "n"), kept)
     starts = chapters.groupBy("novel_id").agg(F.array_sort(F.collect_list(F.col("start").cast("int"))).alias("starts"))
-    ready = arrays.join(starts, "novel_id").join(hints, "novel_id", "left").withColumn("hints", F.coalesce("hints", F.array().cast("array<int>")))
-    chunks = chunk_rows(S.chunks(ready, target, overlap, starts="starts", hints="hints"), chapters)
-    return {"paragraphs": paragraphs, "candidates": kept, "status": made.status, "issues": made.issues, "chapters": chapters, "chunks": chunks, "rejected": rejected}
+    ready = lengths.join(starts, "novel_id").join(hints, "novel_id", "left").withColumn("hints", F.coalesce("hints", F.array().cast("array<int>")))
+    chunks = chunk_rows(staged(S.chunks(ready, target, overlap, starts="starts", hints="hints", lengths="lengths")), chapters)
+    return {"arrays": arrays, "paragraphs": paragraphs, "candidates": kept, "status": made.status, "issues": made.issues, "chapters": chapters, "chunks": chunks, "rejected": rejected}
