@@ -19,3 +19,10 @@ def pieces(spark: SparkSession, rows: int, most: int = 1 << 19) -> int:
     would make: what a task holds doesn't grow with a table, and few bytes that
     become long texts aren't put together in one task."""
     return max(-(-rows // most), spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def met(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join whose rows are shuffled and met in order.  The
+    engine takes the size of a written table for that of its files; keys of millions
+    of rows that are alike take few bytes there and would go through the driver."""
+    return df.hint("merge")

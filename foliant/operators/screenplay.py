@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.text import padded_id, trim
+from foliant.operators.batches import met
 from foliant.operators.relations import cooccurrence
 from foliant.operators.runs import Runs
 from foliant.sources.model import json_text
@@ -62,7 +63,7 @@ def named_in(texts: DataFrame, owned: DataFrame) -> DataFrame:
     is tried against the names of its own project, which travel as one array."""
     by = owned.groupBy("project").agg(F.collect_list(F.struct("name", "id")).alias("owned"))
     found = F.transform(F.filter("owned", lambda x: F.contains(F.col("text"), x["name"])), lambda x: x["id"])
-    return texts.join(by, "project").select("project", "scene", F.explode(F.array_distinct(found)).alias("id")).distinct()
+    return texts.join(met(by), "project").select("project", "scene", F.explode(F.array_distinct(found)).alias("id")).distinct()
 
 
 def speakers(elements: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def first_appearance(elements: DataFrame, characters: DataFrame) -> DataFrame:
 def speaks_early(elements: DataFrame, characters: DataFrame) -> DataFrame:
     """Q-27: (project, scene, id) of speakers not named in an action text up to
     then."""
-    got = speakers(elements).join(first_appearance(elements, characters), ["project", "id"], "left")
+    got = speakers(elements).join(met(first_appearance(elements, characters)), ["project", "id"], "left")
     return got.where(F.col("first").isNull() | (F.col("first") > F.col("scene"))).select("project", "scene", "id")
 
 
@@ -115,6 +116,14 @@ def blank(c: Column) -> Column:
     return F.coalesce(F.length(trim(c)) == 0, F.lit(True))
 
 
+def at(kind: str, *columns: str) -> Column:
+    """The text ``kind`` with the numbers of ``columns`` for its %d, as format_string
+    makes it, which takes most of the time of a report of many rows."""
+    first, *rest = kind.split("%d")
+    shown = (F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns)
+    return F.concat(F.lit(first), *chain.from_iterable((c, F.lit(t)) for c, t in zip(shown, rest, strict=True)))
+
+
 def scene_of_paragraph(scenes: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """I-02, J-05: (project, scene, n) of the paragraphs that a scene was made
     from; scenes (project, scene, first, last), paragraphs (project, n)."""
@@ -133,39 +142,55 @@ def violations(project: DataFrame, characters: DataFrame, scenes: DataFrame, ele
     project, characters, scenes, elements, structure = map(keyed, (project, characters, scenes, elements, structure))
     if "line_pos" not in elements.columns:
         elements = elements.withColumn("line_pos", F.lit(0))
-    bad = lambda df, when, rule, path, level="error": df.where(when).select("project", F.lit(rule).alias("rule"), F.lit(level).alias("severity"), path.alias("path"))
-    none = lambda df, rule: bad(project.join(df.select("project").distinct(), "project", "left_anti"), F.lit(True), rule, F.lit(rule))
-    at = lambda kind, *cols: F.format_string(kind, *(F.col(c) for c in cols))
+    bad = lambda when, rule, path, level="error": F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("severity"), path.alias("path")))
+    told = lambda df, *rules: df.select("project", F.inline(F.array_compact(F.array(*rules))))
+    all_ = lambda df, *rule: told(df, bad(F.lit(True), *rule))
     both = F.col("type") == "dual_dialogue"
-    part = lambda field: F.when(both, F.format_string(f"scenes[%d].elements[%d].lines[%d].{field}", "scene", "pos", "line_pos")).otherwise(at(f"scenes[%d].elements[%d].{field}", "scene", "pos"))
+    part = lambda field: F.when(both, at(f"scenes[%d].elements[%d].lines[%d].{field}", "scene", "pos", "line_pos")).otherwise(at(f"scenes[%d].elements[%d].{field}", "scene", "pos"))
     spoken = F.col("type").isin("dialogue", "dual_dialogue") & ~(both & F.col("line_pos").isNull())
+    holds = reduce(DataFrame.union, [df.select("project", F.lit(c).alias("c"), F.lit(s).alias("s")) for df, c, s in ((characters, True, False), (scenes, False, True))])
+    holds = holds.groupBy("project").agg(F.max("c").alias("_c"), F.max("s").alias("_s"))
+    none = lambda c: ~F.coalesce(c, F.lit(False))
+    # the rules of a row are looked at in one pass; keys that are sought elsewhere are shuffled, not broadcast
     out = [
-        bad(project, blank(F.col("title")), "title", F.lit("meta.title")),
-        none(characters, "characters"),
-        bad(characters, blank(F.col("id")), "character_id", at("characters[%d].id", "ord")),
-        bad(characters, blank(F.col("name")), "character_name", at("characters[%d].name", "ord")),
-        none(scenes, "scenes"),
-        bad(scenes, blank(F.col("id")), "scene_id", at("scenes[%d].id", "scene")),
-        bad(scenes, F.col("number").isNull(), "scene_number", at("scenes[%d].number", "scene")),
-        bad(scenes, ~F.coalesce(F.col("setting").isin(*SETTINGS), F.lit(False)), "setting", at("scenes[%d].heading.setting", "scene")),
-        bad(scenes, blank(F.col("location")), "location", at("scenes[%d].heading.location", "scene")),
-        bad(scenes, ~F.coalesce(F.col("time").isin(*TIMES), F.lit(False)), "time", at("scenes[%d].heading.time", "scene")),
-        bad(scenes.join(elements.select("project", "scene").distinct(), ["project", "scene"], "left_anti"), F.lit(True), "empty_scene", at("scenes[%d].elements", "scene"), "warning"),
-        bad(scenes, ~F.coalesce("has_source", F.lit(False)), "source", at("scenes[%d].source", "scene"), "warning"),
-        bad(elements, ~F.coalesce(F.col("type").isin(*ELEMENTS), F.lit(False)), "type", at("scenes[%d].elements[%d].type", "scene", "pos")),
-        bad(elements, F.col("type").isin("action", "transition") & blank(F.col("text")), "text", at("scenes[%d].elements[%d].text", "scene", "pos")),
-        bad(elements, both & F.col("line_pos").isNull(), "lines", at("scenes[%d].elements[%d].lines", "scene", "pos")),
-        bad(elements, spoken & blank(F.col("character")), "speaker", part("character")),
-        bad(elements, spoken & blank(F.col("line")), "line", part("line")),
-        bad(elements, (F.col("type") == "dialogue") & F.col("mode").isNotNull() & ~F.col("mode").isin(*MODES), "mode", at("scenes[%d].elements[%d].mode", "scene", "pos")),
+        told(
+            project.join(met(holds), "project", "left"),
+            bad(blank(F.col("title")), "title", F.lit("meta.title")),
+            bad(none("_c"), "characters", F.lit("characters")),
+            bad(none("_s"), "scenes", F.lit("scenes")),
+        ),
+        told(
+            characters,
+            bad(blank(F.col("id")), "character_id", at("characters[%d].id", "ord")),
+            bad(blank(F.col("name")), "character_name", at("characters[%d].name", "ord")),
+        ),
+        told(
+            scenes,
+            bad(blank(F.col("id")), "scene_id", at("scenes[%d].id", "scene")),
+            bad(F.col("number").isNull(), "scene_number", at("scenes[%d].number", "scene")),
+            bad(~F.coalesce(F.col("setting").isin(*SETTINGS), F.lit(False)), "setting", at("scenes[%d].heading.setting", "scene")),
+            bad(blank(F.col("location")), "location", at("scenes[%d].heading.location", "scene")),
+            bad(~F.coalesce(F.col("time").isin(*TIMES), F.lit(False)), "time", at("scenes[%d].heading.time", "scene")),
+            bad(~F.coalesce("has_source", F.lit(False)), "source", at("scenes[%d].source", "scene"), "warning"),
+        ),
+        all_(scenes.join(met(elements.select("project", "scene").distinct()), ["project", "scene"], "left_anti"), "empty_scene", at("scenes[%d].elements", "scene"), "warning"),
+        told(
+            elements,
+            bad(~F.coalesce(F.col("type").isin(*ELEMENTS), F.lit(False)), "type", at("scenes[%d].elements[%d].type", "scene", "pos")),
+            bad(F.col("type").isin("action", "transition") & blank(F.col("text")), "text", at("scenes[%d].elements[%d].text", "scene", "pos")),
+            bad(both & F.col("line_pos").isNull(), "lines", at("scenes[%d].elements[%d].lines", "scene", "pos")),
+            bad(spoken & blank(F.col("character")), "speaker", part("character")),
+            bad(spoken & blank(F.col("line")), "line", part("line")),
+            bad((F.col("type") == "dialogue") & F.col("mode").isNotNull() & ~F.col("mode").isin(*MODES), "mode", at("scenes[%d].elements[%d].mode", "scene", "pos")),
+        ),
     ]
     w = W.partitionBy("project", "id").orderBy("ord")
     again = characters.where(~blank(F.col("id"))).withColumn("k", F.row_number().over(w))
-    out.append(bad(again, F.col("k") > 1, "character_duplicate", at("characters[%d].id", "ord")))
+    out.append(all_(again.where("k > 1"), "character_duplicate", at("characters[%d].id", "ord")))
     speak = elements.where(spoken & ~blank(F.col("character")))
-    out.append(bad(speak.join(characters.select("project", F.col("id").alias("character")), ["project", "character"], "left_anti"), F.lit(True), "speaker_unknown", part("character")))
-    out.append(bad(structure.join(scenes.select("project", F.col("id").alias("scene_id")), ["project", "scene_id"], "left_anti"), F.lit(True), "structure", at("structure[%d].scene_ids", "pos")))
-    out.append(bad(speaks_early(elements, characters), F.lit(True), "speaks_early", F.concat(F.lit("scenes["), F.col("scene").cast("string"), F.lit("] "), F.col("id")), "warning"))
+    out.append(all_(speak.join(met(characters.select("project", F.col("id").alias("character"))), ["project", "character"], "left_anti"), "speaker_unknown", part("character")))
+    out.append(all_(structure.join(met(scenes.select("project", F.col("id").alias("scene_id"))), ["project", "scene_id"], "left_anti"), "structure", at("structure[%d].scene_ids", "pos")))
+    out.append(all_(speaks_early(elements, characters), "speaks_early", F.concat(F.lit("scenes["), F.col("scene").cast("string"), F.lit("] "), F.col("id")), "warning"))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -209,10 +234,12 @@ def flatten(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """G-04: (scenes, elements) of scene texts: raw (project, ord, json), one JSON
     object {scenes: [...]} a batch.  Scenes of all batches are numbered anew in
     order; lines spoken together are one row each.  A text that can't be read
-    gives no scenes.  A text is read once for both tables."""
-    got = raw.select("project", "ord", F.from_json(json_text(F.col("json")), f"struct<scenes:array<{SCENE}>>")["scenes"].alias("x"))
-    one = got.select("project", "ord", F.posexplode("x").alias("p", "v"))
-    one = staged(one).withColumn("scene", F.row_number().over(W.partitionBy("project").orderBy("ord", "p")))
+    gives no scenes.  A text is read once for both tables, behind the only shuffle."""
+    texts = raw.select("project", "ord", "json").repartition("project").sortWithinPartitions("project", "ord")
+    got = texts.select("project", "ord", F.from_json(json_text(F.col("json")), f"struct<scenes:array<{SCENE}>>")["scenes"].alias("x"))
+    before = F.coalesce(F.sum(F.size(F.coalesce("x", F.array()))).over(W.partitionBy("project").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    one = got.withColumn("before", before.cast("int")).select("project", "before", F.posexplode("x").alias("p", "v"))
+    one = staged(one.select("project", (F.col("before") + F.col("p") + 1).alias("scene"), "v"))
     scenes = one.select("project", "scene", padded_id("scene_", F.col("scene")).alias("id"), F.col("scene").alias("number"), "v.heading.setting", "v.heading.location", "v.heading.time", F.coalesce(F.col("v.source").startswith("{"), F.lit(False)).alias("has_source"))
     e = one.select("project", "scene", F.posexplode("v.elements").alias("pos", "e"))
     lone = F.array(F.struct(F.lit(0).alias("line_pos"), F.col("e.character").alias("character"), F.col("e.line").alias("line")))
@@ -228,22 +255,27 @@ def generate(project: DataFrame, characters: DataFrame, batches: DataFrame, repa
 
     What remains is returned with its violations rather than lost: status
     (project, errors, warnings, repaired, scenes), scenes, elements, violations.
-    A repair that can't be read leaves the scenes as they were.
+    A repair that can't be read leaves the scenes as they were.  Rules hold within
+    a project, so only projects with new scenes are read and checked again.
     """
-    none = project.select("project", F.lit(0).alias("pos"), F.lit("").alias("scene_id")).where("false")
+    nothing = project.select("project", F.lit(0).alias("pos"), F.lit("").alias("scene_id")).where("false")
     scenes, elements = map(staged, flatten(batches))
-    errors = staged(violations(project, characters, scenes, elements, none).where("severity = 'error'"))
+    found = staged(violations(project, characters, scenes, elements, nothing))
+    errors = met(found.where("severity = 'error'"))
+    tried = staged(errors.select("project").distinct())
     fixed = repair(errors).select("project", F.lit(0).alias("ord"), "json")
     readable = F.from_json(json_text(F.col("json")), f"struct<scenes:array<{SCENE}>>")["scenes"].isNotNull()
-    fixed = staged(fixed.join(errors.select("project").distinct(), "project", "left_semi").where(readable))
-    again = batches.select("project", "ord", "json").join(fixed.select("project"), "project", "left_anti").unionByName(fixed)
-    scenes, elements = map(staged, flatten(again))
-    left = staged(violations(project, characters, scenes, elements, none))
+    fixed = staged(fixed.join(met(tried), "project", "left_semi").where(readable))
+    new = fixed.select("project").distinct()
+    kept = lambda df: df.join(met(new), "project", "left_anti")
+    mended = lambda df: df.join(met(new), "project", "left_semi")
+    scenes_of, elements_of = map(staged, flatten(fixed))
+    left = staged(kept(found).unionByName(violations(mended(project), mended(characters), scenes_of, elements_of, nothing)))
+    scenes, elements = kept(scenes).unionByName(scenes_of), kept(elements).unionByName(elements_of)
     by = left.groupBy("project").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
-    tried = errors.select("project").distinct().withColumn("repaired", F.lit(True))
     size = scenes.groupBy("project").agg(F.count("*").alias("scenes"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    status = project.select("project").join(by, "project", "left").join(tried, "project", "left").join(size, "project", "left")
+    status = project.select("project").join(met(by), "project", "left").join(met(tried.withColumn("repaired", F.lit(True))), "project", "left").join(met(size), "project", "left")
     status = status.select("project", zero("errors"), zero("warnings"), F.coalesce("repaired", F.lit(False)).alias("repaired"), zero("scenes"))
     return {"status": status, "scenes": scenes, "elements": elements, "violations": left}
 
