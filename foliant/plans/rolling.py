@@ -102,7 +102,7 @@ def reach(batch: DataFrame) -> dict:
 def rolling_stream(spark, sf_dir):
     """M-01: the events streamed to their end in chunks, merged under state."""
     landing, chunks, schema = arriving(spark, sf_dir)
-    run = Run(spark, f"{landing}-run", "events/rolling-1")
+    run = Run(spark, f"{landing}-run", "events/rolling-2")
     for put in chunks:
         put()
         run.go(merge_facts(spark.readStream.schema(schema).parquet(landing)), reach)
@@ -125,7 +125,7 @@ def rolling_resumed(spark, sf_dir):
     for put in chunks:
         put()
         while True:
-            run = Run(spark, f"{landing}-run", "events/rolling-1")
+            run = Run(spark, f"{landing}-run", "events/rolling-2")
             try:
                 run.go(merge_facts(spark.readStream.schema(schema).parquet(landing)), reach, hook)
                 break

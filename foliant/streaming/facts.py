@@ -5,10 +5,11 @@ commit each trigger once, resume after a failure and say how far they came
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import batched
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -22,6 +23,41 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Accepted facts up to which a novel's state is one entry.
+FEW = 512
+
+
+class Entries(dict):
+    """The entries of a map state that are asked for, None where there is none;
+    each is read once.  Without a state there are no others."""
+
+    def __init__(self, state=None, have: Iterable[tuple] = ()) -> None:
+        super().__init__(have)
+        self.state = state
+
+    def __missing__(self, k):
+        self[k] = tuple(self.state.getValue((k,))) if self.state is not None and self.state.containsKey((k,)) else None
+        return self[k]
+
+
+def fold(novel, facts: Iterable[tuple], active: Entries, ids: Entries) -> tuple[list[tuple], set, list]:
+    """Outcomes of facts (ord, key, id, value, supersedes) in order, on what the
+    keys have active and the accepted ids stand for; the keys and ids that changed."""
+    out, keys, new = [], set(), []
+    for place, key, ident, value, supersedes in facts:
+        known, now = ids[ident], active[key] or ()
+        if known is not None:
+            outcome = "merge" if known == (key, value) else "conflict"
+        else:
+            now, outcome = after(now, (ident, value, supersedes))
+            if outcome in ("new", "replace"):
+                active[key], ids[ident] = now, (key, value)
+                keys.add(key)
+                new.append(ident)
+        out.append((novel, place, key, ident, outcome, now[0] if now else None))
+    return out, keys, new
+
+
 class FactMerge(StatefulProcessor):
     """The state of a novel: the active fact of each key and what each accepted id
     stands for, as two maps.  Only entries that a trigger asks for are read and
@@ -35,40 +71,81 @@ class FactMerge(StatefulProcessor):
         """An entry costs a round trip to the engine: each that the rows ask for is
         read once, and a key's active fact is written once, as the last row leaves
         it."""
-        active, ids, changed, out = {}, {}, set(), []
-
-        def held(state, cache: dict, k):
-            if k not in cache:
-                cache[k] = tuple(state.getValue((k,))) if state.containsKey((k,)) else None
-            return cache[k]
-
-        for r in pd.concat(list(rows)).sort_values(["ord", "key", "id", "value"]).itertuples(index=False):
-            known, now = held(self.ids, ids, r.id), held(self.active, active, r.key) or ()
-            if known is not None:
-                outcome = "merge" if known == (r.key, r.value) else "conflict"
-            else:
-                now, outcome = after(now, (r.id, r.value, r.supersedes))
-                if outcome in ("new", "replace"):
-                    active[r.key], ids[r.id] = now, (r.key, r.value)
-                    changed.add(r.key)
-                    self.ids.updateValue((r.id,), ids[r.id])
-            out.append((key[0], r.ord, r.key, r.id, outcome, now[0] if now else None))
-        for k in changed:
-            self.active.updateValue((k,), active[k])
-        yield pd.DataFrame(out, columns=["novel_id", "ord", "key", "id", "outcome", "active"])
+        facts = pd.concat(list(rows)).sort_values(["ord", "key", "id", "value"])[["ord", "key", "id", "value", "supersedes"]]
+        yield pd.DataFrame(self.spread(key[0], facts.itertuples(index=False, name=None)), columns=["novel_id", "ord", "key", "id", "outcome", "active"])
+
+    def spread(self, novel, facts: Iterable[tuple]) -> list[tuple]:
+        active, ids = Entries(self.active), Entries(self.ids)
+        out, keys, new = fold(novel, facts, active, ids)
+        self.put(((k, active[k]) for k in keys), ((i, ids[i]) for i in new))
+        return out
+
+    def put(self, active: Iterable[tuple], ids: Iterable[tuple]) -> None:
+        for state, entries in ((self.active, active), (self.ids, ids)):
+            for k, v in entries:
+                state.updateValue((k,), v)
 
     def close(self) -> None:
         pass
 
 
+def place(fact: tuple) -> list[tuple]:
+    """Sorts facts by ord, key, id and value, nulls last."""
+    return [(x is None, x) if x is not None else (True,) for x in fact[:4]]
+
+
+FACT = ("ord", "key", "id", "value", "supersedes")
+
+
+def packs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row of the facts (JSON texts) that a batch holds of a novel."""
+    for pdf in frames:
+        of: dict = {}
+        for novel, fact in zip(pdf["novel_id"], pdf["fact"], strict=True):
+            of.setdefault(novel, []).append(fact)
+        yield pd.DataFrame([(novel, f"[{','.join(x)}]") for novel, x in of.items()], columns=["novel_id", "facts"])
+
+
+class NovelMerge(FactMerge):
+    """Takes rows of ``packs`` and gives rows of outcomes: a cell of a row costs the
+    engine more time than a fact does.  Up to FEW accepted facts the state of a novel
+    is one entry, read and written once a trigger, as most of a trigger of many novels
+    would be round trips; a novel that outgrows it has the maps from then on."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.few = handle.getValueState("few", "held string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        facts = [tuple(map(x.get, FACT)) for r in rows for x in json.loads(r["facts"])]
+        facts.sort(key=lambda f: [(x is None, x) if x is not None else (True,) for x in f[:4]])
+        have = self.few.get()
+        if have is not None and have[0] is None:
+            out = self.spread(key[0], facts)
+        else:
+            active, ids = (Entries(None, ((k, tuple(v)) for k, v in x)) for x in (json.loads(have[0]) if have else ([], [])))
+            out, keys, new = fold(key[0], facts, active, ids)
+            held = [[(k, v) for k, v in x.items() if v is not None] for x in (active, ids)]
+            if len(held[1]) > FEW:
+                self.put(*held)
+                self.few.update((None,))
+            elif new:
+                self.few.update((json.dumps(held),))
+        for some in batched(out, 1000):
+            yield Row(novel_id=key[0], found=json.dumps([x[1:] for x in some]))
+
+
 def merge_facts(stream: DataFrame) -> DataFrame:
     """M-01: outcomes of a stream of facts (novel_id, ord, key, id, value,
     supersedes) under state in RocksDB; facts of one trigger come in order of ord.
     A trigger's facts of one novel meet in memory: bound the trigger, not the
     novel.  Keys and values are compared in normal form."""
     stream.sparkSession.conf.set(PROVIDER, ROCKS)
-    rows = normal(stream).withColumn("value", F.coalesce("value", F.lit("\0")))
-    return rows.groupBy("novel_id").transformWithStateInPandas(FactMerge(), OUTCOME, "append", "none")
+    rows = normal(stream).withColumn("value", F.coalesce("value", F.lit("\0"))).select("novel_id", F.to_json(F.struct(*FACT)).alias("fact"))
+    packed = rows.mapInPandas(packs, "novel_id string, facts string")
+    got = packed.groupBy("novel_id").transformWithState(NovelMerge(), "novel_id string, found string", "append", "none")
+    got = got.select("novel_id", F.explode(F.from_json("found", "array<array<string>>", {"mode": "FAILFAST"})).alias("x"))
+    return got.select("novel_id", *(F.col("x")[k].cast(t).alias(c) for k, (c, t) in enumerate((("ord", "long"), ("key", "string"), ("id", "string"), ("outcome", "string"), ("active", "string")))))
 
 
 class RunFailed(RuntimeError):
