@@ -11,9 +11,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.text import fact_key, norm_text, scoped_id, utf16_units
+from foliant.operators.batches import met
 from foliant.operators.screenplay import blank
 from foliant.sources.model import parse_json
 from foliant.sources.stage import staged
@@ -152,19 +154,67 @@ def boundary_rules(boundary: DataFrame, chunks: DataFrame, characters: DataFrame
     return _report(out)
 
 
+def _filled(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns))
+
+
+def conflict_report(closed: DataFrame, conflicts: DataFrame, facts: DataFrame) -> DataFrame:
+    """D-27, D-28: the rules of ``conflict_rules`` and ``closing_rules``.
+
+    A conflict meets its row, then the fact that closes it, then the existing one;
+    each of these steps is written with what it found, so that the files of one
+    shuffle are gone before the next and no row is moved for a rule of its own.
+    """
+    closed = _filled(closed, "chunk_id", "id", "resolution", "explanation", "fact_id")
+    conflicts = _filled(conflicts, "id", "status", "existing_id", "incoming_value")
+    facts = _filled(facts, "id", "key", "value", "supersedes")
+    kind = F.col("resolution")
+    one = W.partitionBy("id", "chunk_id")
+    c = closed.repartition("id").withColumns({"_n": F.count("*").over(one), "_k": F.row_number().over(one.orderBy("chunk_id"))})
+    open_ = F.coalesce(F.col("status") == "open", F.lit(False))
+    o = conflicts.repartition("id").select("id", open_.alias("_open"), "existing_id", F.col("incoming_value").alias("_in"))
+    o = o.withColumn("_j", F.row_number().over(W.partitionBy("id").orderBy(F.col("_open").desc())))  # open ones first
+    is_open = F.coalesce("_open", F.lit(False))
+    first = F.coalesce(F.col("_j") == 1, F.lit(True))
+    found = (
+        (~is_open, "conflict_not_open"),
+        (first & blank(F.col("explanation")), "conflict_explanation"),
+        (first & (F.col("_n") > 1) & (F.col("_k") == 1), "conflict_twice"),
+        (first & ~F.coalesce(kind.isin(*RESOLUTIONS), F.lit(False)), "conflict_resolution"),
+        (first & blank(F.col("fact_id")), "conflict_fact_missing"),
+    )
+    met_row = staged(c.join(met(o), "id", "left").select(
+        "chunk_id", "id", "resolution", "fact_id", F.when(is_open, F.col("existing_id")).alias("existing_id"), F.when(is_open, F.col("_in")).alias("_in"),
+        first.alias("_first"), (is_open | first).alias("_goes_on"), F.array_compact(F.array(*(F.when(when, rule) for when, rule in found))).alias("found"),
+    ))
+
+    same = lambda a, b: norm_text(F.col(a)) == norm_text(F.col(b))
+    new = facts.select(F.col("id").alias("fact_id"), F.col("key").alias("_nk"), F.col("value").alias("_nv"), F.col("supersedes").alias("_s"), F.lit(True).alias("_there"))
+    after = F.coalesce(F.col("_s") == F.col("existing_id"), F.lit(False))
+    fits = F.when(kind == "confirmed_incoming", same("_nv", "_in") & after).when(kind.isin("state_change", "correction"), after).otherwise(True)
+    confirms = F.coalesce(kind == "confirmed_existing", F.lit(False))
+    met_new = staged(met_row.where("_goes_on").join(met(new), "fact_id", "left").select(
+        "chunk_id", "id", "existing_id", F.col("_in").isNotNull().alias("_sided"), "_nk", F.when(confirms, F.col("_nv")).alias("_nv"),
+        confirms.alias("_confirms"), fits.alias("_fits"), (F.col("_first") & F.col("fact_id").isNotNull() & F.col("_there").isNull()).alias("_absent"),
+    ))
+
+    old = facts.select(F.col("id").alias("existing_id"), F.col("key").alias("_k"), F.col("value").alias("_v"))
+    sided = F.col("_sided") & F.col("_k").isNotNull()
+    fits = same("_nk", "_k") & F.when(F.col("_confirms"), same("_nv", "_v")).otherwise(F.col("_fits"))
+    rule = F.when(~sided, "conflict_unstructured").when(F.col("_nk").isNotNull() & ~fits, "conflict_fact_unrelated")
+    both = met_new.drop("_absent").join(met(old), "existing_id", "left").select(rule.alias("rule"), _at("conflicts").alias("path"))
+    return _report([
+        met_row.select(F.explode("found").alias("rule"), _at("conflicts").alias("path")),
+        _rows(met_new, F.col("_absent"), "conflict_fact", _at("conflicts")),
+        both.where("rule is not null"),
+    ])
+
+
 def conflict_rules(closed: DataFrame, opened: DataFrame, facts: DataFrame) -> DataFrame:
     """D-27, D-28: a conflict is closed once, must be open, needs an explanation
     and, if a fact settles it, one that exists.  ``closed``: (chunk_id, id,
     resolution, explanation, fact_id)."""
-    known = closed.join(opened.select("id", F.col("status")), "id", "left")
-    twice = closed.groupBy("chunk_id", "id").agg(F.count("*").alias("n"))
-    cited = closed.where("fact_id is not null")
-    return _report([
-        _rows(known, ~F.coalesce(F.col("status") == "open", F.lit(False)), "conflict_not_open", _at("conflicts")),
-        _rows(closed, blank(F.col("explanation")), "conflict_explanation", _at("conflicts")),
-        _rows(cited.join(facts.select(F.col("id").alias("fact_id")).distinct(), "fact_id", "left_anti"), F.lit(True), "conflict_fact", _at("conflicts")),
-        _rows(twice, F.col("n") > 1, "conflict_twice", _at("conflicts")),
-    ])
+    return conflict_report(closed, opened, facts).where(F.col("rule").isin("conflict_not_open", "conflict_explanation", "conflict_fact", "conflict_twice"))
 
 
 def closing_rules(closed: DataFrame, conflicts: DataFrame, facts: DataFrame) -> DataFrame:
@@ -176,21 +226,7 @@ def closing_rules(closed: DataFrame, conflicts: DataFrame, facts: DataFrame) ->
     closed (chunk_id, id, resolution, fact_id), conflicts (id, status,
     existing_id, incoming_value), facts (id, key, value, supersedes).
     """
-    open_ = conflicts.where("status = 'open'").select("id", "existing_id", F.col("incoming_value").alias("_in"))
-    old = facts.select(F.col("id").alias("existing_id"), F.col("key").alias("_k"), F.col("value").alias("_v"))
-    new = facts.select(F.col("id").alias("fact_id"), F.col("key").alias("_nk"), F.col("value").alias("_nv"), F.col("supersedes").alias("_s"))
-    got = closed.join(open_, "id", "left").join(old, "existing_id", "left").join(new, "fact_id", "left")
-    same = lambda a, b: norm_text(F.col(a)) == norm_text(F.col(b))
-    after = F.coalesce(F.col("_s") == F.col("existing_id"), F.lit(False))
-    kind = F.col("resolution")
-    fits = same("_nk", "_k") & F.when(kind == "confirmed_existing", same("_nv", "_v")).when(kind == "confirmed_incoming", same("_nv", "_in") & after).when(kind.isin("state_change", "correction"), after).otherwise(True)
-    sided = F.col("_in").isNotNull() & F.col("_k").isNotNull()
-    return _report([
-        _rows(closed, ~F.coalesce(kind.isin(*RESOLUTIONS), F.lit(False)), "conflict_resolution", _at("conflicts")),
-        _rows(closed, blank(F.col("fact_id")), "conflict_fact_missing", _at("conflicts")),
-        _rows(got, ~sided, "conflict_unstructured", _at("conflicts")),
-        _rows(got, sided & F.col("_nk").isNotNull() & ~fits, "conflict_fact_unrelated", _at("conflicts")),
-    ])
+    return conflict_report(closed, conflicts, facts).where(F.col("rule").isin("conflict_resolution", "conflict_fact_missing", "conflict_unstructured", "conflict_fact_unrelated"))
 
 
 def _kind(path: str, v: str | Column = "v") -> Column:

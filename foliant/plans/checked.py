@@ -313,8 +313,8 @@ j AS (SELECT c.*, o.status, CASE WHEN o.status = 'open' THEN o.incoming_value EN
 ])}""")
 def conflict_reports(spark, sf_dir):
     """D-27, D-28: the rows are made once for all rules."""
-    c, o, f = (staged(derived(spark, sf_dir, v)) for v in (SETTLED, CONFLICTS, SIDES))
-    return R.conflict_rules(c, o, f).union(R.closing_rules(c, o, f))
+    c, o, f = (derived(spark, sf_dir, v) for v in (SETTLED, CONFLICTS, SIDES))
+    return R.conflict_report(c, o, staged(f))
 
 
 # Ids with their chunk in front, and values that are both a character's and an object's id.
