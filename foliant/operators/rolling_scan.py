@@ -6,7 +6,12 @@ the run supersedes is replaced, unless both have one value; any other stays.  So
 a run's function is its result for no fact, a few special facts and a default
 that changes nothing, and the functions of two runs compose to one of that form.
 
-Rows are ordered by (novel, key, ord) in range partitions and cut into blocks of
+Rows are ordered by (novel, ord) in range partitions first, and a novel of at most
+BLOCK facts that lies inside one is folded as it passes: nothing of it is guessed or
+composed.  The novels at the ends of partitions, which may go on in the next, and
+those of more facts are scanned.
+
+These rows are ordered by (novel, key, ord) in range partitions and cut into blocks of
 at most BLOCK rows.  Only a key that goes on from one block to the next needs the
 function of a block's last or first run; these are composed in a tree of FAN
 blocks a node, upwards and down again, which gives each block the fact that is
@@ -21,7 +26,10 @@ that stays is the only right one.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -206,6 +214,55 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.join(F.broadcast(before), part == F.col("_part")).withColumn("block", F.col("_before") + F.floor(local / size)).drop("_part", "_before")
 
 
+FACT = ("novel_id", "ord", "key", "id", "value", "supersedes")
+
+
+def folded(facts: list[tuple]) -> list[tuple]:
+    """The facts (as FACT) of one novel in order, each with its outcome and what its
+    key has active behind it."""
+    ids: dict = {}
+    now: dict[str | None, State] = {}
+    out = []
+    for f in facts:
+        _, _, key, ident, value, supersedes = f
+        state = now.get(key, ())
+        if ident is not None and ident in ids:
+            outcome = "merge" if ids[ident] == (key, value) else "conflict"
+        else:
+            state, outcome = after(state, (ident, value, supersedes))
+            if outcome in ("new", "replace"):
+                now[key], ids[ident] = state, (key, value)
+        out.append((*f, outcome, state[0] if state else None))
+    return out
+
+
+def inside(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over a partition's facts in order of novel: those of the novels that
+    lie inside it and have at most ``most`` are folded, the others go on without an
+    outcome.  It holds a novel of at most ``most`` facts."""
+    schema = pa.schema([(c, pa.int64() if c == "ord" else pa.string()) for c in (*FACT, "outcome", "active")])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, whole, held, out = object(), False, [], []
+        first = True
+        for batch in batches:
+            for f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if f[0] != at:
+                    out += folded(held) if whole else [(*x, None, None) for x in held]
+                    at, whole, held, first = f[0], not first, [], False
+                held.append(f)
+                if not whole or len(held) > most:
+                    out += [(*x, None, None) for x in held]
+                    whole, held = False, []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                out = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((*x, None, None) for x in held), strict=True), schema.types, strict=True)], schema=schema)
+
+    return task
+
+
 def roll_facts(deltas: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """F-06, M-01: (novel_id, ord, key, id, outcome, active) of facts (novel_id,
     ord, key, id, value, supersedes), as ``knowledge.roll_facts`` folds them.
@@ -214,6 +271,15 @@ def roll_facts(deltas: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFra
     null value is a value of its own; facts without an id are never known.
     """
     given = normal(deltas).select("novel_id", F.col("ord").cast("long").alias("ord"), "key", "id", F.coalesce("value", F.lit("\0")).alias("value"), "supersedes")
+    order = ["novel_id", "ord", "key", "id", "value"]  # of one id by key and value, of one key by id
+    rows = given.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = staged(rows.mapInArrow(inside(block), "novel_id string, ord long, key string, id string, value string, supersedes string, outcome string, active string"))
+    done = rows.where("outcome is not null").select("novel_id", "ord", "key", "id", "outcome", "active")
+    return done.unionByName(_composed(rows.where("outcome is null").select(*FACT), block, fan))
+
+
+def _composed(given: DataFrame, block: int, fan: int) -> DataFrame:
+    """What ``roll_facts`` returns of ``given``, by scans."""
     order = ["novel_id", "key", "ord", "id", "value"]
     rows = staged(given.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id()))
     rows = staged(_blocks(rows, block))
